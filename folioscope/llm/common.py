@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -35,6 +36,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: Spark then removes the shuffle files of phases that have ended."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet below the shared folder and read it back.
 
@@ -44,6 +51,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioscope/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
 
     def drop() -> None:
         with contextlib.suppress(Exception):  # the JVM may have ended before
