@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, hilbert, linededup, mixing, shiftand, tiff
+from folioscope.llm import bpe, hilbert, langid, linededup, mixing, partenum, shiftand, subspace, tiff
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -41,6 +41,21 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+def held_out(id_col: str = "doc_id") -> Column:
+    """True for a third of the ids by hash, and for null: those that nothing is learned from."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(True))
+
+
+def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = langid.fit(docs.where(~held_out()), "text", "lang", "doc_id")
+    return langid.predict_languages(docs.select("doc_id", held_out().alias("held_out"), "text"), net).drop("text")
+
+
 def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -64,6 +79,10 @@ def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
 
 
+def op9_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.shingle_groups(table(spark, sf_dir, "documents"), partenum.Scheme(words=3, num=90, den=100))
+
+
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.poisson_mix(docs, size=F.octet_length(F.coalesce("text", F.lit("")))).withColumn("rate", F.round("rate", 9))
@@ -72,15 +91,38 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_hilbert_shards": op3_hilbert_shards,
+    "op4_subspace_join": op4_subspace_join,
+    "op5_byte_cnn": op5_byte_cnn,
     "op6_tiff": op6_tiff,
     "op7_url_automaton": op7_url_automaton,
     "op8_line_runs": op8_line_runs,
+    "op9_partenum": op9_partenum,
     "op10_poisson_mix": op10_poisson_mix,
 }
 
 _BARE = r"regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+
+def shingle_sql(words: int, num: int, den: int) -> str:
+    """Components of documents whose sets of shingles of so many words have 100 num / den percent in common."""
+    return rf"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < {words} THEN array_to_string(w, ' ')
+    ELSE array_to_string(w[i:i + {words - 1}], ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {words - 2}, 2))) AS i FROM tokens WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE {den} * k >= {num} * (x.n + y.n - k)
+), reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, least(d.doc_id, coalesce(min(b), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id"""
+
+
 ORACLES: dict[str, str] = {
     "op7_url_automaton": rf"""
 WITH cut AS (
@@ -108,6 +150,21 @@ common AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id""",
+    "op4_subspace_join": """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM embeddings LEFT JOIN degree ON degree.a = vec_id LEFT JOIN least ON least.a = vec_id""",
+    "op9_partenum": shingle_sql(3, 90, 100),
     "op10_poisson_mix": """
 WITH RECURSIVE sizes AS (
   SELECT source, sum(octet_length(encode(coalesce(text, ''))))::DOUBLE AS size FROM documents GROUP BY source
