@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, hilbert, langid, linededup, mixing, partenum, shiftand, subspace, tiff
+from folioscope.llm import bpe, hilbert, langid, linededup, mixing, partenum, shiftand, subspace, surrogates, tiff
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -24,6 +24,15 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.drop("text")
 
 
+#: In production the key comes from a secret store; results are the same for the same key.
+PII_KEY = b"folioscope-demo-key"
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs, PII_KEY)
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -90,6 +99,7 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_subspace_join": op4_subspace_join,
     "op5_byte_cnn": op5_byte_cnn,
