@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import hash_unit
+from folioscope.llm.common import hash_unit, written
 
 #: Highest mean repetition rate; beyond it the list of thresholds would grow and exp(-rate) lose its digits.
 MAX_RATE = 64.0
@@ -65,6 +65,8 @@ def poisson_mix(
         "__s", F.least(F.coalesce(share, F.lit(0.0)), F.lit(MAX_RATE)).alias("__rate")
     )
     rates = rates.withColumn("__cdf", _thresholds(F.col("__rate")))
+    # written first, so that its measured size decides between sending it to all rows and moving the rows
+    rates = written(rates.withColumn("__cdf", F.slice("__cdf", 1, F.size(F.filter("__cdf", lambda c: c < 1.0)) + 1)), "rates")
     unit = hash_unit(f"{seed}:count", base[f"`{id_col}`"])
     counted = base.withColumn("__u", unit).join(rates, src.eqNullSafe(F.col("__s")))
     counted = counted.withColumn("__k", F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))))
