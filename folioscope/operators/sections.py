@@ -63,11 +63,11 @@ def table_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def paragraph_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Runs of lines that are neither blank nor of a table, without the last line's break where a blank line follows."""
+    """Runs of lines that are neither blank nor of a table, without the last line's break where a blank line and another one follow."""
     lines = line_rows(df, id_col, text_col)
     w = Window.partitionBy("id").orderBy("pos")
-    lines = lines.withColumn("next", F.lead("line").over(w))
-    blank_after = F.col("next").isNotNull() & (F.trim("next") == "")
+    lines = lines.withColumns({"next": F.lead("line").over(w), "more": F.lead("pos", 2).over(w).isNotNull()})
+    blank_after = F.col("more") & (F.trim("next") == "")
     lines = lines.withColumn("stop", F.when(blank_after, F.col("start") + F.length("line")).otherwise(F.col("stop")))
     return _runs(lines, (F.trim("line") != "") & ~_is_table(F.col("line")))
 

@@ -155,8 +155,8 @@ def table_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_DOC_LINES + """
-next AS (SELECT *, lead(line) OVER (PARTITION BY id ORDER BY pos) AS after FROM lines),
-marked AS (SELECT *, CASE WHEN after IS NOT NULL AND trim(after) = '' THEN start + length(line) ELSE least(start + length(line) + 1, total) END AS stop,
+next AS (SELECT *, lead(line) OVER w AS after, lead(line, 2) OVER w AS later FROM lines WINDOW w AS (PARTITION BY id ORDER BY pos)),
+marked AS (SELECT *, CASE WHEN later IS NOT NULL AND trim(after) = '' THEN start + length(line) ELSE least(start + length(line) + 1, total) END AS stop,
   trim(line) <> '' AND NOT contains(line, '|') AS t FROM next),
 runs AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) - row_number() OVER (PARTITION BY id, t ORDER BY pos) AS run FROM marked)
 SELECT id, min(start) AS start_char, max(stop) AS end_char FROM runs WHERE t GROUP BY id, run""")

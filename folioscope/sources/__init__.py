@@ -1,0 +1 @@
+"""Sources and sinks: registries, pages, bundles, versioned tables."""
