@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import rules as R
 from folioscope.functions import text as X
 from folioscope.functions import urls as U
-from folioscope.operators import chunking, guardrails, html, hybrid, intent, keyword, quality, refresh, requests, sections, vectors
+from folioscope.operators import chunking, guardrails, handoff, html, hybrid, intent, keyword, quality, refresh, requests, sections, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -539,6 +539,19 @@ def compose_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guardrails.compose_factual(rows, POLICY).select("query_id", "id", "facet_detected", "body_text", "footer_line")
 
 
+@query()
+def facet_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _questions(spark, sf_dir).select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
+    return handoff.facet_candidates(rows, "id", "text")
+
+
+@query()
+def quarantine_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html.html_to_markdown(table(spark, sf_dir, "pages"), "page_id", "html")
+    args = [F.col("extract_status"), F.col("normalize_status"), F.octet_length("markdown"), F.lit(None).cast("string")]
+    return pages.select("page_id", handoff.parse_success(*args).alias("success"), handoff.quarantine_reasons(*args).alias("reasons"))
+
+
 # -- rollups and requests -------------------------------------------------------------------------------------------
 
 
