@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import bound_arrow_batches, components, written
+from folioscope.llm.common import bound_arrow_batches, components, release, written
 
 #: Each group of the domain has three parts; a signature covers two of them, so it survives one difference in a group.
 PARTS = 3
@@ -171,8 +171,10 @@ def set_hashes(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 # -- signatures -----------------------------------------------------------------------------------------------------
 
 
-def signatures(h: np.ndarray, counts: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set number) of all sets, in no order. Two different sets that link share a signature.
+def signatures(
+    h: np.ndarray, counts: np.ndarray, scheme: Scheme, only: int | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, set number, instance) of all sets, in no order, of all instances or only one. Two different sets that link share a signature.
 
     Under a partition of the domain into groups of three parts, a set gives one signature for each two parts of a group that
     aren't both empty. If a set has needed_groups groups with at most one empty part, every set that links with it shares a signature
@@ -183,11 +185,14 @@ def signatures(h: np.ndarray, counts: np.ndarray, scheme: Scheme) -> tuple[np.nd
     ends = np.concatenate([[0], np.cumsum(counts)])
     found: list[np.ndarray] = []
     owners: list[np.ndarray] = []
+    where: list[np.ndarray] = []
     for step in (0, 1):
         ok = counts > 0
         if step:
             ok &= above
         instance = band + step
+        if only is not None:
+            ok &= instance == only
         allowed = np.where(ok, scheme.differences(np.maximum(instance, 0)), 0)
         live = np.flatnonzero(ok & (allowed > 0))
         for attempt in range(PARTITIONS):
@@ -196,18 +201,25 @@ def signatures(h: np.ndarray, counts: np.ndarray, scheme: Scheme) -> tuple[np.nd
             sig, owner, good = _under(h, ends, live, instance[live], allowed[live], attempt)
             found.append(sig)
             owners.append(owner)
+            where.append(instance[owner])
             live = live[~good]
         if len(live):
             found.append(mixed(instance[live].astype(np.uint64) ^ _U(0x5851F42D4C957F2D)))
             owners.append(live)
+            where.append(instance[live])
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(found), np.concatenate(owners)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(found), np.concatenate(owners), np.concatenate(where)
+
+
+def nodes(k1: np.ndarray, instance: np.ndarray) -> np.ndarray:
+    """A number for each set in an instance: what signatures link. So clusters don't grow from one instance to the next."""
+    return mixed(k1.view(np.uint64) ^ mixed(instance.astype(np.uint64) + _U(0x1D8AF066))).view(np.int64)
 
 
 def _under(h, ends, live, instance, allowed, attempt):
     need = needed_groups(allowed)
-    groups = need + need // 12 + 2
+    groups = need + need // 5 + 2
     sizes = ends[live + 1] - ends[live]
     first = np.concatenate([[0], np.cumsum(sizes)])
     at = np.arange(first[-1]) - np.repeat(first[:-1] - ends[live], sizes)
@@ -238,7 +250,9 @@ def _under(h, ends, live, instance, allowed, attempt):
 # -- verification ---------------------------------------------------------------------------------------------------
 
 
-def linked_groups(sets: list[np.ndarray], h: np.ndarray, counts: np.ndarray, scheme: Scheme) -> np.ndarray:
+def linked_groups(
+    sets: list[np.ndarray], h: np.ndarray, counts: np.ndarray, scheme: Scheme, only: int | None = None
+) -> np.ndarray:
     """For each set the least number of a set in its component, links being exact; candidates share a signature.
 
     Members of a signature's bucket are tested with its first member, then those that are still apart with all others
@@ -265,7 +279,7 @@ def linked_groups(sets: list[np.ndarray], h: np.ndarray, counts: np.ndarray, sch
         if scheme.links(int((large[place] == small).sum()), m, n):
             parent[max(a, b)] = min(a, b)
 
-    sig, owner = signatures(h, counts, scheme)
+    sig, owner, _ = signatures(h, counts, scheme, only)
     order = np.lexsort((owner, sig))
     sig, owner = sig[order], owner[order]
     new = np.ones(len(sig), bool)
@@ -320,7 +334,7 @@ def shingle_groups(
     copies). An empty table stays empty; other columns are ignored.
 
     Passes over the texts: first each set is hashed, and equal sets become one representative. Then each set gives its
-    signatures, in slices turns by hash, which bounds what is shuffled at once; the least set of each signature is an edge to all others, and components of these edges are
+    signatures, in slices turns by hash, which bounds what is shuffled at once; the least set of each signature is an edge to all others in its instance, and components of these edges are
     clusters that hold every link. At last the texts of representatives in clusters go to their cluster's task, which tests
     candidates exactly and gives a spanning forest. A cluster of over MAX_SIDE shingles is cut into parts, and each
     pair of parts is a task. Nothing gathers pairs, a signature's sets or a component.
@@ -334,9 +348,11 @@ def shingle_groups(
         for batch in batches:
             h, counts = shingle_sets(*_texts(batch.column("text")), scheme.words)
             k1, k2 = set_hashes(h, counts)
+            band, above = scheme.instances(counts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("mark"), pa.array(counts), pa.array(k1), pa.array(k2)], names=["id", "mark", "n", "k1", "k2"]
-            )
+                [batch.column("id"), batch.column("mark"), pa.array(counts), pa.array(k1), pa.array(k2), pa.array(band), pa.array(nodes(k1, band)),
+                 pa.array(nodes(k1, band + 1), mask=~above)], names=["id", "mark", "n", "k1", "k2", "band", "node0", "node1"]
+            )
 
     def sign(turn: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,48 +367,62 @@ def shingle_groups(
                         if len(seen) < REMEMBERED:
                             seen.add(k)
                 h, counts, k1 = h[np.repeat(fresh, counts)], counts[fresh], k1[fresh]
-                sig, owner = signatures(h, counts, scheme)
+                sig, owner, instance = signatures(h, counts, scheme)
                 if slices > 1:
                     mine = (sig >> _U(20)) % _U(slices) == turn
-                    sig, owner = sig[mine], owner[mine]
+                    sig, owner, instance = sig[mine], owner[mine], instance[mine]
+                node = nodes(k1[owner], instance)
                 for at in range(0, len(sig), 1 << 18):
                     some = slice(at, at + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[some].view(np.int64)), pa.array(k1[owner[some]])], names=["sig", "k1"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[some].view(np.int64)), pa.array(node[some])], names=["sig", "node"])
 
         return run
 
-    sets = written(docs.mapInArrow(describe, "id long, mark long, n long, k1 long, k2 long"), "shingle_sets")
+    sets = written(docs.mapInArrow(describe, "id long, mark long, n long, k1 long, k2 long, band long, node0 long, node1 long"), "shingle_sets")
     key = ["k1", "k2", "n"]
     some = sets.where("n > 0 AND id IS NOT NULL")
-    reps = some.groupBy(*key).agg(F.min(F.struct("id", "mark")).alias("rep")).select(*key, "rep.id", "rep.mark")
+    first = some.groupBy(*key).agg(F.min(F.struct("id", "mark", "band", "node0", "node1")).alias("rep"))
+    reps = first.select(*key, "rep.*")
+    placed = reps.select("id", "mark", "n", F.explode(F.array(
+        F.struct(F.col("band").alias("instance"), F.col("node0").alias("node"), F.lit(True).alias("own")),
+        F.struct((F.col("band") + 1).alias("instance"), F.col("node1").alias("node"), F.lit(False).alias("own")),
+    )).alias("p"))
+    placed = placed.select("id", "mark", "n", "p.*").where("node IS NOT NULL")
     edges = None
     for turn in range(slices):
-        signed = docs.select("text").mapInArrow(sign(turn), "sig long, k1 long")
-        found = signed.withColumn("lead", F.min("k1").over(Window.partitionBy("sig"))).where("k1 <> lead")
-        found = written(found.select(F.col("k1").alias("u"), F.col("lead").alias("v")).distinct(), "shingle_edges")
+        signed = docs.select("text").mapInArrow(sign(turn), "sig long, node long")
+        found = signed.withColumn("lead", F.min("node").over(Window.partitionBy("sig"))).where("node <> lead")
+        found = written(found.select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct(), "shingle_edges")
+        del signed
+        release(spark)
         edges = found if edges is None else edges.union(found)
     clusters = components(edges)
     members = written(
-        reps.join(clusters, F.col("k1") == F.col("node")).select("id", "mark", "n", F.col("component").alias("cluster")), "shingle_clusters"
+        placed.join(clusters, "node").select("id", "mark", "n", "instance", "own", F.col("component").alias("cluster")), "shingle_clusters"
     )
-    parts = members.groupBy("cluster").agg(F.ceil(F.sum("n") / MAX_SIDE).cast("int").alias("parts"), F.count("*").alias("size"))
-    placed = members.join(parts.where("size > 1"), "cluster").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    placed = placed.select("id", "mark", "cluster", "part", "parts")
-    texts = docs.where("id IS NOT NULL").join(placed.hint("shuffle_hash"), ["id", "mark"])
+    parts = members.groupBy("cluster", "instance").agg(F.ceil(F.sum("n") / MAX_SIDE).cast("int").alias("parts"), F.count("*").alias("size"), F.max("own").alias("own"))
+    # a link belongs to the instance of its larger set's band: clusters with none of that band have nothing to test
+    parts = parts.where("size > 1 AND own").drop("own")
+    dealt = members.join(parts, ["cluster", "instance"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.select("id", "mark", "cluster", "instance", "part", "parts")
+    texts = docs.where("id IS NOT NULL").join(dealt.hint("shuffle_hash"), ["id", "mark"])
     texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    texts = texts.select("id", "cluster", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "text")
+    texts = texts.select("id", "cluster", "instance", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "text")
 
     def verify(group: pa.Table) -> pa.Table:
         ids = group.column("id").to_numpy()
         h, counts = shingle_sets(*_texts(group.column("text")), scheme.words)
         ends = np.concatenate([[0], np.cumsum(counts)])
-        found = linked_groups([h[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], h, counts, scheme)
+        instance = group.column("instance")[0].as_py()
+        found = linked_groups([h[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], h, counts, scheme, instance)
         least = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(least, found, ids)
         root = least[found]
         return pa.table({"id": ids[ids != root], "root": root[ids != root]})
 
-    links = written(texts.groupBy("cluster", "a", "b").applyInArrow(verify, "id long, root long"), "shingle_links")
+    links = written(texts.groupBy("cluster", "instance", "a", "b").applyInArrow(verify, "id long, root long"), "shingle_links")
+    del texts
+    release(spark)
     groups = components(links.select(F.col("id").alias("u"), F.col("root").alias("v")))
     known = reps.join(groups, F.col("id") == F.col("node"), "left").select(*key, F.coalesce("component", "id").alias("c"))
     # several representatives can share an id if different texts do; the least component serves them all
