@@ -34,7 +34,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose five-word shingles have a Jaccard similarity of 0.8 or more, directly or in a chain, the least id stays."""
     scheme = partenum.Scheme(words=5, num=80, den=100)
-    groups = partenum.shingle_groups(docs.select("doc_id", "text"), scheme, slices=4)
+    groups = partenum.shingle_groups(docs.select("doc_id", "text"), scheme, slices=3)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
 
