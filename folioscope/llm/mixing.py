@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import hash_unit, written
 
-#: Highest mean repetition rate; beyond it the list of thresholds would grow and exp(-rate) lose its digits.
+#: Highest mean of one Poisson variable; beyond it the list of thresholds would grow and exp(-rate) lose its digits. A higher rate is a sum of such variables.
 MAX_RATE = 64.0
 #: Thresholds of a rate reach this many repetitions; the chance of more is below 2**-52 for MAX_RATE.
 MAX_COPIES = 160
+#: Copies of a row made from one array; a row with more gets several arrays, one after another.
+COPIES_AT_ONCE = 1 << 16
 
 
 def _thresholds(rate: Column) -> Column:
@@ -38,8 +40,9 @@ def poisson_mix(
 
     size is what is weighed (default: 1 for each row); total is the size aimed at (default: that of df); weights has
     columns source and weight, which are divided by their sum (default: every source the same). The mean rate of a
-    source is its share of total divided by its size, at most MAX_RATE. A row's count is the Poisson quantile
-    of a number hashed from seed and id, hence it does not depend on partitions, order or retries.
+    source is its share of total divided by its size. A row's count is the Poisson quantile of a number hashed from seed
+    and id, hence it does not depend on partitions, order or retries; a rate above MAX_RATE is split into equal
+    parts, each with a number of its own, and their counts are added (a sum of Poisson variables is one).
 
     A null source is a source of its own; sources without a weight, or of no size, get rate 0. Rows with equal ids get
     equal counts; a null id counts as one more id. Returns the columns of df and copy int (from 0), rate double and
@@ -61,16 +64,20 @@ def poisson_mix(
     sums = weighed.agg(F.sum("__w").alias("__ws"), F.sum("__size").alias("__all"))
     aim = F.col("__all") if total is None else F.lit(float(total))
     share = F.when((F.col("__size") > 0) & (F.col("__ws") > 0), F.col("__w") / F.col("__ws") * aim / F.col("__size"))
-    rates = weighed.crossJoin(F.broadcast(sums)).select(
-        "__s", F.least(F.coalesce(share, F.lit(0.0)), F.lit(MAX_RATE)).alias("__rate")
-    )
-    rates = rates.withColumn("__cdf", _thresholds(F.col("__rate")))
+    rates = weighed.crossJoin(F.broadcast(sums)).select("__s", F.coalesce(share, F.lit(0.0)).alias("__rate"))
+    rates = rates.withColumn("__parts", F.greatest(F.ceil(F.col("__rate") / MAX_RATE), F.lit(1)).cast("int"))
+    rates = rates.withColumn("__cdf", _thresholds(F.col("__rate") / F.col("__parts")))
     # written first, so that its measured size decides between sending it to all rows and moving the rows
     rates = written(rates.withColumn("__cdf", F.slice("__cdf", 1, F.size(F.filter("__cdf", lambda c: c < 1.0)) + 1)), "rates")
-    unit = hash_unit(f"{seed}:count", base[f"`{id_col}`"])
-    counted = base.withColumn("__u", unit).join(rates, src.eqNullSafe(F.col("__s")))
-    counted = counted.withColumn("__k", F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))))
-    copies = counted.where("__k > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
+    doc = base[f"`{id_col}`"]
+    counted = base.withColumn("__u", hash_unit(f"{seed}:count", doc)).join(rates, src.eqNullSafe(F.col("__s")))
+    quantile = lambda u: F.size(F.filter("__cdf", lambda c: c <= u))
+    others = F.transform(F.sequence(F.lit(1), F.col("__parts") - 1), lambda part: hash_unit(f"{seed}:part", part, doc))
+    others = F.aggregate(others, F.lit(0), lambda k, u: k + quantile(u))
+    counted = counted.withColumn("__k", quantile(F.col("__u")) + F.when(F.col("__parts") > 1, others).otherwise(0))
+    copies = counted.where("__k > 0").withColumn("__from", F.explode(F.sequence(F.lit(0), F.col("__k") - 1, F.lit(COPIES_AT_ONCE))))
+    last = F.least(F.col("__k"), F.col("__from") + COPIES_AT_ONCE) - 1
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.col("__from"), last)))
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("~")), "copy"))
     mixed = copies.select(*[F.col(f"`{c}`") for c in base.columns], "copy", F.col("__rate").alias("rate"), key.alias("shuffle_key"))
     return mixed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

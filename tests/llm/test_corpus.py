@@ -272,6 +272,19 @@ def test_mix_reaches_the_weights(spark):
     assert {r.copy for r in mixing.poisson_mix(ties, total=40).collect()} >= {0}
 
 
+def test_mix_reaches_the_weights_of_tiny_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES_AT_ONCE", 100)
+    df = spark.range(20004).selectExpr("id AS doc_id", "if(id < 20000, 'big', 'tiny') AS source")
+    mixed = mixing.poisson_mix(df).where("source = 'tiny'")
+    rows = sorted((r.doc_id, r.copy) for r in mixed.collect())
+    counts = Counter(i for i, _ in rows)
+    assert abs(len(rows) - 10002) < 500, "five standard deviations"
+    assert all(abs(counts[i] - 10002 / 4) < 300 for i in range(20000, 20004)) and len(set(counts.values())) > 1
+    assert rows == [(i, k) for i in sorted(counts) for k in range(counts[i])]
+    assert rows == sorted((r.doc_id, r.copy) for r in mixing.poisson_mix(df.repartition(3)).where("source = 'tiny'").collect())
+    assert abs(mixed.first().rate - 10002 / 4) < 1e-9
+
+
 # -- pipeline -------------------------------------------------------------------------------------------------------
 
 
