@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,19 +26,29 @@ TITLES = {
     "господин": "m", "госпожа": "f", "κύριος": "m", "κυρία": "f",
 }
 
+_TITLES = "|".join(TITLES)
 _NAME = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 PATTERNS: list[tuple[str, re.Pattern[str]]] = [
     ("email", re.compile(r"(?<![\w.+-])[\w.+-]*\w@(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w-])")),
-    ("secret", re.compile(r"(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key)\b[\"']?\s*[=:]\s*[\"']?(?P<v>[\w+/-]{16,})")),
+    ("secret", re.compile(r"(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key)\b[\"']?\s*[=:]\s*[\"']?(?P<v>(?=[\w+/-]{16}|[\w+/.~-]*[0-9])[\w+/-][\w+/.~-]{14,}[\w+/-]=*)")),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")),
     ("ip", re.compile(r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])")),
-    ("card", re.compile(r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9])")),
+    ("card", re.compile(r"(?<![0-9])(?!(?<=\+)[0-9](?:[ -]?[0-9]){12,14}(?![ -]?[0-9]))(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9])")),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
-    ("phone", re.compile(r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}(?![0-9])")),
-    ("name", re.compile(rf"(?<!\w)(?P<t>{'|'.join(TITLES)})\.?[ ](?P<v>{_NAME})")),
+    # international; area in parentheses; North American; national with 0; other groups; local; any digits, for _CALL to judge
+    ("phone", re.compile(r"(?<![0-9+])(?:\+\(?[0-9](?:[ .()/-]{0,2}[0-9]){6,14}|\([0-9]{2,5}\)[ ./-]?[0-9]{2,8}(?:[ .-][0-9]{2,8}){0,4}"
+        r"|(?:1[ .-]?)?[2-9][0-9]{2}[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}|0[0-9]{1,5}[ ./-]?[0-9]{2,10}(?:[ .-][0-9]{2,8}){0,4}"
+        r"|[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}|(?<![0-9]-)[0-9]{3}-[0-9]{4}(?!-?[0-9]))(?![0-9])")),
+    ("phone", re.compile(r"(?<![0-9+])[0-9](?:[ .()/-]{0,2}[0-9]){6,14}(?![0-9])")),
+    ("name", re.compile(rf"(?<!\w)(?P<t>(?:{_TITLES})\.?(?:[ ](?:{_TITLES})\b\.?)*)[ ](?P<v>{_NAME})")),
 ]
-_SECOND = re.compile(rf"[ ]({_NAME})")
-_ANY = re.compile(rf"[0-9@]|(?<!\w)(?:{'|'.join(TITLES)})\b|(?i:token|secret|passw|api.?key)")
+_CALL = re.compile(
+    r"(?i)(?<!\w)(?:(?:tele|mobile ?|cell ?)?phone|tel|telefono?|teléfono|téléphone|tél|mobile?|móvil|handy|cell|fax|call|dial|whatsapp|sms|телефон|тел|τηλέφωνο|τηλ)"
+    r"\W{1,3}(?:[^\W\d]+\W{1,3}){0,3}$"
+)
+_NEXT = re.compile(rf"[ ](?:(?:van|von|vom|zu|zur|der|den|ten|de|del|della|di|da|dos|du|des|la|le|el|al|bin|ibn|y)[ ]){{0,3}}({_NAME})")
+_WORD, _PART = re.compile(rf"(?<!\w){_NAME}(?!\w)"), re.compile(r"[^\W\d_]+")
+_ANY = re.compile(rf"[0-9@]|(?<!\w)(?:{_TITLES})\b|(?i:token|secret|passw|api.?key)")
 
 
 # -- detection ------------------------------------------------------------------------------------------------------
@@ -47,38 +56,65 @@ _ANY = re.compile(rf"[0-9@]|(?<!\w)(?:{'|'.join(TITLES)})\b|(?i:token|secret|pas
 Entity = tuple[int, int, str, str]  # start, end, kind, value
 
 
+def _is_phone(text: str, m: re.Match[str]) -> bool:
+    """Has a match the digits of a number? Groups that tell nothing need nine of them, or seven after a word such as 'phone'."""
+    n = sum(c.isdigit() for c in m[0])
+    if n > 15:
+        return False
+    told = m[0][0] in "+(" or re.fullmatch(r"[0-9]{3}-[0-9]{4}", m[0])
+    return n >= (7 if told else 9) if m.re is PATTERNS[-3][1] else bool(_CALL.search(text, max(0, m.start() - 60), m.start()))
+
+
+def _names(text: str, titled: Iterator[re.Match[str]]) -> Iterator[Entity]:
+    """All words of the names after titles, and every other mention of these words in the text (in the same letter case, or all capitals)."""
+    found: dict[int, Entity] = {}
+    for m in titled:
+        gender = next((g for t in _PART.findall(m["t"]) if (g := TITLES.get(t, "n")) != "n"), "n")
+        words, more = [], m
+        while more and more[more.lastindex][0].isupper() and more[more.lastindex] not in TITLES:
+            start, end = more.span(more.lastindex)
+            if end - start > 2 and text[end - 2 : end] in ("'s", "’s"):
+                words.append((start, end - 2))
+                break
+            words.append((start, end))
+            more = _NEXT.match(text, end + (end - start == 1 and text[end : end + 1] == "."))
+        for i, (a, b) in enumerate(words):
+            role = "surname-n" if i == len(words) - 1 else f"given-{gender}"
+            found[a] = (a, b, f"name-{role}", text[a:b])
+    known: dict[str, str] = {}
+    for _, _, kind, word in found.values():
+        for form in (word, word.upper(), word.title() if word.isupper() else word) if len(word) > 1 else ():
+            if known.get(form, "name-given").startswith("name-given"):
+                known[form] = kind
+    for m in _WORD.finditer(text) if known else ():
+        whole = m[0][:-2] if m[0].endswith(("'s", "’s")) else m[0]
+        for start, word in [(m.start(), whole)] if whole in known else [(p.start(), p[0]) for p in _PART.finditer(text, *m.span())]:
+            if word in known and start not in found:
+                found[start] = (start, start + len(word), known[word], word)
+    yield from found.values()
+
+
 def find_entities(text: str | None) -> list[Entity]:
-    """Entities of a text in order, not overlapping; the earlier kind of PATTERNS wins. kind of a name has its role
+    """Entities of a text in order, not overlapping; the earlier kind of PATTERNS wins, and later ones see what it leaves. kind of a name has its role
     (given, surname) and gender, and each word of a name is an entity of its own, so that a surname alone is the same entity.
     """
     if not text or not _ANY.search(text):
         return []
-    taken: list[Entity] = []
-    for kind, pattern in PATTERNS:
-        for m in pattern.finditer(text):
-            start, end = m.span("v") if "v" in pattern.groupindex else m.span()
-            if kind == "phone" and (len(digits := re.sub(r"\D", "", m[0])) < 9 or len(digits) > 15):
-                continue
-            if kind == "name":
-                if not m["v"][0].isupper():
-                    continue
-                words = [(start, end, m["v"])]
-                more = _SECOND.match(text, end)
-                if more and more[1][0].isupper() and more[1] not in TITLES:
-                    words.append((*more.span(1), more[1]))
-                for i, (a, b, word) in enumerate(words):
-                    role = "surname" if i == len(words) - 1 else "given"
-                    taken.append((a, b, f"name-{role}-{TITLES[m['t']] if role == 'given' else 'n'}", word))
-            else:
-                taken.append((start, end, kind, text[start:end]))
-    order = {k: i for i, (k, _) in enumerate(PATTERNS)}
     out: list[Entity] = []
-    covered: list[tuple[int, int]] = []
-    for e in sorted(taken, key=lambda e: (order[e[2].partition("-")[0]], e[0])):
-        i = bisect_left(covered, e[:2])
-        if (not i or covered[i - 1][1] <= e[0]) and (i == len(covered) or e[1] <= covered[i][0]):
-            covered.insert(i, e[:2])
-            out.append(e)
+    for kind, pattern in PATTERNS:
+        if kind == "name":
+            taken = list(_names(text, pattern.finditer(text)))
+        else:
+            part = "v" if "v" in pattern.groupindex else 0
+            hits = (m for m in pattern.finditer(text) if kind != "phone" or _is_phone(text, m))
+            taken = [(*m.span(part), kind, m[part]) for m in hits]
+        if taken and kind != "name":
+            pieces, at = [], 0
+            for start, end, *_ in taken:
+                pieces += [text[at:start], "\0" * (end - start)]
+                at = end
+            text = "".join(pieces) + text[at:]
+        out += taken
     return sorted(out)
 
 
@@ -154,9 +190,10 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _phone_class(value: str) -> tuple[bool, bool]:
-    local = value[2:] if value.startswith("+1") else value
-    return value.startswith("+1") and len(local) == 10, len(local) == 10 and local[0] in "23456789" and local[3] in "23456789"
+def _phone_class(value: str) -> tuple[bool, ...]:
+    trunk = len(value) == 11 and value[0] == "1"
+    local = value[2:] if value.startswith("+1") else value[trunk:]
+    return value[0] == "0", trunk, value.startswith("+1") and len(local) == 10, len(local) == 10 and local[0] in "23456789" and local[3] in "23456789"
 
 
 def _iban_rest(value: str) -> int:
@@ -230,7 +267,7 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     if kind == "card":
         return _walk(lambda v: _formatted(key, tweak, v, lambda i: i == 0), entity, luhn)
     if kind == "phone":
-        fixed = 2 if entity.startswith("+1") else 3 if entity.startswith("+") else 0
+        fixed = 2 if entity.startswith("+1") else 3 if entity.startswith("+") else int(entity[0] == "0" or entity[0] == "1" and len(entity) == 11)
         return _walk(lambda v: _formatted(key, tweak, v, lambda i: i < fixed), entity, _phone_class)
     if kind == "iban":
         return _walk(lambda v: _formatted(key, tweak, v, lambda i: i < 2), entity, lambda v: _iban_rest(v) == 1)

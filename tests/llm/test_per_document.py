@@ -124,6 +124,46 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert [(r.text, r.n_entities) for r in rows[2:]] == [(None, 0), ("", 0), ("nothing", 0)]
 
 
+NUMBERS = ["+14155550123", "4155550123", "+49 30 1234567", "(030) 1234567", "+44 20 79460958", "555-3824", "+49 (0)30 1234567", "+4915112345678", "030/1234567", "1-415-5550123"]
+
+
+@pytest.mark.parametrize("number", NUMBERS)
+@pytest.mark.parametrize("around", ["Reach us: {} today.", "{}", "{} 10.1.2.3"])
+def test_forms_of_phone_numbers(number, around):
+    text = around.format(number)
+    assert ("phone", number) in [(k, v) for *_, k, v in surrogates.find_entities(text)]
+    changed = surrogates.replaced(text, KEY, {})[0]
+    assert number not in changed and "phone" in [k for *_, k, _ in surrogates.find_entities(changed)]
+
+
+def test_phone_numbers_by_context():
+    assert [v for *_, v in surrogates.find_entities("Phone: 5553824, or call me at 1234 5678.")] == ["5553824", "1234 5678"]
+    assert not surrogates.find_entities("order 5553824 of 2023-05-12, 2019-2020, 12.05.2023, 10000000 and 120000 450000, 1700000000 s")
+
+
+def test_all_words_of_a_name_and_later_mentions():
+    text = "Mr John Ronald Smith came. SMITH and Smith's wife met Herr Dr. Ludwig van Moser and Mr J. R. Hill. The Moser-Hill plan, a hill, Ronald."
+    words = [v for *_, v in surrogates.find_entities(text)]
+    assert words == ["John", "Ronald", "Smith", "SMITH", "Smith", "Ludwig", "Moser", "J", "R", "Hill", "Moser", "Hill", "Ronald"]
+    changed = surrogates.replaced(text, KEY, {})[0]
+    assert not re.search("(?i)john|ronald|smith|ludwig|moser|Hill", changed.replace("a hill", ""))
+    new = changed.split()
+    assert new[3].rstrip(".") == new[7].removesuffix("'s") == new[5].title()
+
+
+def test_names_do_not_overlap():
+    found = surrogates.find_entities("Mr O'Brien and Frau Anna-Moser's cat. Herr Moser, O'Brien's, Anna-Moser")
+    assert [v for *_, v in found] == ["O'Brien", "Anna-Moser", "Moser", "O'Brien", "Anna-Moser"]
+    assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+
+
+@pytest.mark.parametrize("secret", ["eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVP-mB92K27uhbU", "SG.a1b2c3d4e5f6g7h8.i9j0"])
+def test_secrets_run_over_dots(secret):
+    assert [(k, v) for *_, k, v in surrogates.find_entities(f"token: {secret}. Then")] == [("secret", secret)]
+    assert not surrogates.find_entities("token = self.tokenizer.next_token")
+    assert not any(part in surrogates.replaced(f"token: {secret}", KEY, {})[0] for part in secret.split(".") if len(part) > 3)
+
+
 def test_bijection():
     seen = {tuple(surrogates.permuted(KEY, "t", [a, b, c], [3, 4, 5])) for a in range(3) for b in range(4) for c in range(5)}
     assert len(seen) == 60
