@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,14 +52,18 @@ def dedupe_exact(df: DataFrame, group_col: str, text_col: str, order: Sequence[s
     return met.drop("__h", "__o", "g", "h", "o")
 
 
+def _word_sets(df: DataFrame, id_col: str, text_col: str, group_col: str | None) -> DataFrame:
+    words = F.array_distinct(F.filter(F.split(X.dedupe_form(F.col(text_col)), " ", -1), lambda w: w != ""))
+    return df.select(F.col(id_col).alias("id"), (F.col(group_col) if group_col else F.lit(0)).cast("string").alias("g"), F.array_sort(words).alias("w"))
+
+
 def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.92, group_col: str | None = None) -> DataFrame:
     """(a, b, jaccard) of texts whose word sets have at least that Jaccard similarity, a < b.
 
-    Equal word sets are one representative (its least id stands for them). Each set is indexed by the rarest words of its prefix: two sets
+    Equal word sets are one representative (its least id stands for them; near_members tells whom). Each set is indexed by the rarest words of its prefix: two sets
     that are similar share one of them, so frequent words make no pairs; a pair must also agree in size.
     """
-    words = F.array_distinct(F.filter(F.split(X.dedupe_form(F.col(text_col)), " ", -1), lambda w: w != ""))
-    rows = df.select(F.col(id_col).alias("id"), (F.col(group_col) if group_col else F.lit(0)).cast("string").alias("g"), F.array_sort(words).alias("w")).where(F.size("w") > 0)
+    rows = _word_sets(df, id_col, text_col, group_col).where(F.size("w") > 0)
     reps = rows.groupBy("g", F.xxhash64("w").alias("h"), "w").agg(F.min("id").alias("id")).select("id", "g", "w")
     freq = reps.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
     ranked = reps.select("id", "g", F.size("w").alias("n_w"), F.explode("w").alias("t")).join(freq, "t")
@@ -71,6 +76,39 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.9
     return full.withColumn("jaccard", F.round(X.jaccard(F.col("wa"), F.col("wb")), 6)).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
 
 
+def near_members(df: DataFrame, id_col: str, text_col: str, group_col: str | None = None) -> DataFrame:
+    """(id, representative, n_copies): a row for each document with the least id of its word set, under which near_pairs has it, and the
+    number of documents of this set. Texts without words are one set. Only ids and SHA-256 of the sets are shuffled.
+    """
+    rows = _word_sets(df, id_col, text_col, group_col).select("id", "g", F.sha2(F.array_join("w", " "), 256).alias("h"))
+    sets = rows.groupBy("g", "h").agg(F.min("id").alias("representative"), F.count("*").alias("n_copies"))
+    met = rows.join(sets, rows["g"].eqNullSafe(sets["g"]) & (rows["h"] == sets["h"]))
+    return met.select("id", "representative", "n_copies")
+
+
+def keep_first(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.92, group_col: str | None = None) -> DataFrame:
+    """(id, kept_id, kept): what a scan in the order of unique ids keeps that drops each document near one it has kept; kept_id is the least such one.
+
+    Each round keeps the representatives without a smaller undecided neighbour and drops their neighbours; a round's rest is
+    cut by checkpoint(). There are as many rounds as a chain of decisions is long, and pairs are all that moves.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    pairs = near_pairs(df, id_col, text_col, threshold, group_col).select("a", "b").distinct().checkpoint()
+    left, gone = pairs, pairs.select("b").limit(0)
+    while not left.isEmpty():
+        free = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
+        out = left.join(free, "a").select("b").distinct().checkpoint()
+        gone = gone.union(out)
+        left = left.join(out, "b", "left_anti").join(out.withColumnRenamed("b", "a"), "a", "left_anti").checkpoint()
+    first = pairs.join(gone.withColumnRenamed("b", "a"), "a", "left_anti").groupBy("b").agg(F.min("a").alias("first"))
+    members = near_members(df, id_col, text_col, group_col)
+    met = members.join(first, F.col("representative") == F.col("b"), "left")
+    kept = F.coalesce("first", "representative")
+    return met.select("id", kept.alias("kept_id"), (F.col("id") == kept).alias("kept"))
+
+
 def chunk_errors(df: DataFrame, allowed: DataFrame | None = None, site: str | None = None, required: Sequence[str] = REQUIRED) -> DataFrame:
     """(chunk_id, code, hard): a row for each missing field, and for urls that are broken or not allowed (these are hard)."""
     codes = [(f"missing_{c}", F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")) for c in required]

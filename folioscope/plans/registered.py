@@ -264,6 +264,17 @@ def near_dup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.near_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@query(f"""WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split({_DEDUPE}, ' '), lambda x: x <> ''))) AS w FROM documents)
+SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY w) AS representative, count(*) OVER (PARTITION BY w) AS n_copies FROM w""")
+def near_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.near_members(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def near_dup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.keep_first(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 # -- keyword and vector channels ------------------------------------------------------------------------------------
 
 

@@ -170,6 +170,23 @@ def test_near_pairs(spark):
     assert sorted((r.a, r.b) for r in quality.near_pairs(rows, "id", "text", 0.92).collect()) == [(1, 2), (1, 3), (2, 3)]
 
 
+def test_near_members_and_keep_first(spark):
+    base = [f"w{i}" for i in range(50)]
+    texts = [" ".join([*base[k:], *(f"v{i}" for i in range(k))]) for k in range(0, 12, 2)]
+    texts = {i: t for i, t in enumerate([*texts, texts[0].upper(), texts[1], None, "", "other", texts[2]])}
+    sets = {i: frozenset((t or "").lower().split()) for i, t in texts.items()}
+    near = lambda x, y: x == y or bool(x and y) and len(x & y) / len(x | y) >= 0.92
+    kept, by = [], {}
+    for i in texts:
+        by[i] = next((k for k in kept if near(sets[k], sets[i])), i)
+        kept += [i] if by[i] == i else []
+    df = spark.createDataFrame(list(texts.items()), "id int, text string")
+    assert {r.id: (r.kept_id, r.kept) for r in quality.keep_first(df, "id", "text").collect()} == {i: (k, k == i) for i, k in by.items()}
+    assert len(set(by.values())) < len(set(sets.values())) and len(by) == 12
+    got = {r.id: (r.representative, r.n_copies) for r in quality.near_members(df, "id", "text").collect()}
+    assert got == {i: (min(k for k in sets if sets[k] == w), sum(v == w for v in sets.values())) for i, w in sets.items()}
+
+
 def test_chunk_errors_and_states(spark):
     chunks = spark.createDataFrame([("a", "t", "https://x.org/a", "s", "d"), ("b", " ", "https://y.org/a", "s", None), ("c", "t", "bad", "s", "d")], "chunk_id string, text string, source_url string, scheme string, doc_type string")
     allowed = spark.createDataFrame([("https://x.org/a",)], "url string")
