@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
+from folioscope.sources import scratch
 
 #: Fixed values of the ranking function.
 K1, B = 1.5, 0.75
@@ -56,17 +57,36 @@ def bm25_topk(
 ) -> DataFrame:
     """(query_id, id, score, rank): the k best documents of each query; score rounded to 6 places, ties by id.
 
-    One scan gives tokens; only terms of some query are counted, and counts are summed before the shuffle. keep names columns of
-    docs that must equal the query's columns of the same name where these aren't null (a filter before scoring).
+    Documents are read and tokenised once: the postings of terms of some query, and one row of each document for the statistics, are counted
+    with sums before the shuffle and written. keep names columns of docs that must equal the query's columns of the same
+    name where these aren't null (a filter before scoring).
     """
     terms = query_terms(queries, query_id, query_text, normalized)
-    rows = token_rows(docs, doc_id, doc_text, expand, normalized)
-    vocabulary = terms.select("term").distinct()
-    lengths = rows.select("id", F.size("toks").alias("dl"))
-    wanted = rows.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(vocabulary, "term", "left_semi")
-    postings = wanted.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    rows = token_rows(scratch.spread(docs), doc_id, doc_text, expand, normalized)
+    vocabulary = terms.select("term").distinct().withColumn("known", F.lit(True))
+    each = rows.select("id", F.size("toks").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "toks")).alias("term"))
+    wanted = each.join(vocabulary, "term", "left").where("term IS NULL OR known")
+    counted = scratch.written(wanted.groupBy("term", "id", "dl").agg(F.count("*").alias("tf")), "postings")
+    postings = counted.where("term IS NOT NULL")
+    return search(Postings(postings, _stats(counted.where("term IS NULL"))), terms, docs, queries, k, doc_id, query_id, k1, b, keep)
+
+
+@dataclass(frozen=True)
+class Postings:
+    """What a search reads: postings(term, id, dl, tf) and stats(n_docs, avg_dl)."""
+
+    postings: DataFrame
+    stats: DataFrame
+
+
+def search(
+    index: Postings, terms: DataFrame, docs: DataFrame, queries: DataFrame, k: int, doc_id: str, query_id: str, k1: float = K1, b: float = B,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """The k best documents of each query by a built index; terms(query_id, term, qtf). docs and queries are read for the columns in keep alone."""
+    postings = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = df.crossJoin(F.broadcast(_stats(lengths))).select("term", idf().alias("idf"), "avg_dl")
+    weighted = df.crossJoin(F.broadcast(index.stats)).select("term", idf().alias("idf"), "avg_dl")
     hits = terms.join(weighted, "term").join(postings, "term")
     if keep:
         left = docs.select(F.col(doc_id).alias("id"), *[F.col(c).alias(f"__d_{c}") for c in keep])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
 from folioscope.functions import urls as U
+from folioscope.sources import scratch
 
 REQUIRED = ("chunk_id", "text", "source_url", "scheme", "doc_type")
 
@@ -63,8 +63,8 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.9
     Equal word sets are one representative (its least id stands for them; near_members tells whom). Each set is indexed by the rarest words of its prefix: two sets
     that are similar share one of them, so frequent words make no pairs; a pair must also agree in size.
     """
-    rows = _word_sets(df, id_col, text_col, group_col).where(F.size("w") > 0)
-    reps = rows.groupBy("g", F.xxhash64("w").alias("h"), "w").agg(F.min("id").alias("id")).select("id", "g", "w")
+    rows = _word_sets(scratch.spread(df), id_col, text_col, group_col).where(F.size("w") > 0)
+    reps = scratch.written(rows.groupBy("g", F.xxhash64("w").alias("h"), "w").agg(F.min("id").alias("id")).select("id", "g", "w"), "word_sets")
     freq = reps.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
     ranked = reps.select("id", "g", F.size("w").alias("n_w"), F.explode("w").alias("t")).join(freq, "t")
     order = Window.partitionBy("id", "g").orderBy("n", "t")
@@ -73,7 +73,11 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.9
     right = prefix.select("g", "t", F.col("id").alias("b"), F.col("n_w").alias("nb"))
     pairs = left.join(right, ["g", "t"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("g", "a", "b").distinct()
     full = pairs.join(reps.select("g", F.col("id").alias("a"), F.col("w").alias("wa")), ["g", "a"]).join(reps.select("g", F.col("id").alias("b"), F.col("w").alias("wb")), ["g", "b"])
-    return full.withColumn("jaccard", F.round(X.jaccard(F.col("wa"), F.col("wb")), 6)).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+    common = F.size(F.array_intersect("wa", "wb"))
+    sized = full.select("a", "b", common.alias("c"), (F.size("wa") + F.size("wb") - common).alias("u"))
+    # in whole numbers, as a rounded share can reach a threshold that the sets don't
+    near = sized.where(F.col("c") * 1_000_000 >= F.col("u") * F.lit(round(threshold * 1_000_000)))
+    return near.select("a", "b", F.round(F.col("c") / F.col("u"), 6).alias("jaccard"))
 
 
 def near_members(df: DataFrame, id_col: str, text_col: str, group_col: str | None = None) -> DataFrame:
@@ -90,18 +94,15 @@ def keep_first(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.9
     """(id, kept_id, kept): what a scan in the order of unique ids keeps that drops each document near one it has kept; kept_id is the least such one.
 
     Each round keeps the representatives without a smaller undecided neighbour and drops their neighbours; a round's rest is
-    cut by checkpoint(). There are as many rounds as a chain of decisions is long, and pairs are all that moves.
+    written. There are as many rounds as a chain of decisions is long, and pairs are all that moves.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    pairs = near_pairs(df, id_col, text_col, threshold, group_col).select("a", "b").distinct().checkpoint()
+    pairs = scratch.written(near_pairs(df, id_col, text_col, threshold, group_col).select("a", "b").distinct(), "near_pairs")
     left, gone = pairs, pairs.select("b").limit(0)
     while not left.isEmpty():
         free = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
-        out = left.join(free, "a").select("b").distinct().checkpoint()
+        out = scratch.written(left.join(free, "a").select("b").distinct(), "near_gone")
         gone = gone.union(out)
-        left = left.join(out, "b", "left_anti").join(out.withColumnRenamed("b", "a"), "a", "left_anti").checkpoint()
+        left = scratch.written(left.join(out, "b", "left_anti").join(out.withColumnRenamed("b", "a"), "a", "left_anti"), "near_left")
     first = pairs.join(gone.withColumnRenamed("b", "a"), "a", "left_anti").groupBy("b").agg(F.min("a").alias("first"))
     members = near_members(df, id_col, text_col, group_col)
     met = members.join(first, F.col("representative") == F.col("b"), "left")

@@ -9,17 +9,15 @@ from folioscope.functions import text as X
 
 
 def line_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pos, line, start, stop, total): lines with their offsets; stop counts the line break.
+    """(id, pos, line, start, stop, total): lines with their offsets; stop counts the line break. ids are unique.
 
-    Offsets are summed inside the row, so lines needn't be brought together again.
+    A line's offset is a running sum over its document's lines, linear in their number, and lies in the partitioning by id that sections and spans need anyway.
     """
     lines = F.split(X.text_of(F.col(text_col)), "\n", -1)
-    ends = F.aggregate(
-        lines, F.array(F.lit(0)), lambda acc, line: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(line) + 1))
-    )
-    rows = df.select(F.col(id_col).alias("id"), F.length(X.text_of(F.col(text_col))).alias("total"), ends.alias("ends"), F.posexplode(lines).alias("pos", "line"))
-    at = F.get("ends", F.col("pos"))
-    return rows.select("id", "pos", "line", at.alias("start"), F.least(at + F.length("line") + 1, F.col("total")).alias("stop"), "total")
+    rows = df.select(F.col(id_col).alias("id"), F.length(X.text_of(F.col(text_col))).alias("total"), F.posexplode(lines).alias("pos", "line"))
+    before = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("int"))
+    return rows.select("id", "pos", "line", "start", F.least(F.col("start") + F.length("line") + 1, F.col("total")).alias("stop"), "total")
 
 
 def heading_sections(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
 from folioscope.operators.keyword import top_k
+from folioscope.sources import scratch
 
 #: Fixed values of the hashed embedding: dimensions, bytes used of each digest, and how far its sign byte is.
 DIM, BYTES, SHIFT = 384, 16, 7
 #: Vectors in a block; a pair of blocks is one matrix product.
 BLOCK = 1000
+#: Numbers of all query vectors that are broadcast at most (32 MB).
+SHARED_VALUES = 1 << 22
 
 
 def hash_embedding(df: DataFrame, id_col: str, text_col: str, model: str, positional: bool = True, dim: int = DIM) -> DataFrame:
@@ -63,15 +66,67 @@ def _blocks(df: DataFrame, id_col: str, vec_col: str, name: str, key: str | None
     return packed.select(F.col("key"), F.col("rows.id").alias(f"{name}_ids"), F.col("rows.v").alias(f"{name}_vecs"))
 
 
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, score) of the k highest scores of each row, ties by id: only scores that reach a row's k-th highest are sorted."""
+    m = scores.shape[1]
+    least = np.partition(scores, m - k, axis=1)[:, m - k] if m > k else np.full(len(scores), -np.inf)
+    row, col = np.nonzero(scores >= least[:, None])
+    return _first(row, ids[col], scores[row, col], k)
+
+
+def _first(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((ids, -scores, row))
+    row, ids, scores = row[order], ids[order], scores[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], ids[keep], scores[keep]
+
+
+def _unit(flat: np.ndarray, n: int) -> np.ndarray:
+    m = flat.reshape(n, -1).astype(np.float64)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _scan(queries: list[tuple], k: int):
+    """A task's pass over (id, key, v) that keeps the best k vectors of each query."""
+    groups: dict[tuple[str, int], list[tuple]] = {}
+    for q in queries:
+        groups.setdefault((q[2], len(q[1])), []).append(q)
+    asked = {g: (np.array([q[0] for q in qs]), _unit(np.array([q[1] for q in qs]), len(qs))) for g, qs in groups.items() if g[1]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {g: (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for g in asked}
+        for batch in batches:
+            keys, sizes = batch.column(1).to_numpy(zero_copy_only=False), np.diff(batch.column(2).offsets.to_numpy())
+            for (key, dim), (_, q) in asked.items():
+                some = np.flatnonzero((keys == key) & (sizes == dim))
+                for at in range(0, len(some), BLOCK):
+                    part = batch.take(pa.array(some[at : at + BLOCK]))
+                    d = _unit(part.column(2).flatten().to_numpy(zero_copy_only=False), len(part))
+                    new = best_of(np.round(q @ d.T, 6), part.column(0).to_numpy(), k)
+                    best[key, dim] = _first(*(np.concatenate(x) for x in zip(best[key, dim], new, strict=True)), k)
+        for g, (row, ids, scores) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(asked[g][0][row]), pa.array(ids), pa.array(scores)], names=["query_id", "id", "score"])
+
+    return run
+
+
 def cosine_topk(
     vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", query_id: str = "query_id",
     query_vec: str = "query_vec", key: str | None = None,
 ) -> DataFrame:
     """(query_id, id, score, rank): the k vectors of highest cosine for each query, exact; score rounded to 6 places, ties by id.
 
-    Both sides are packed in blocks and each pair of blocks is one numpy product that keeps k rows a query, so memory doesn't
+    Queries of up to SHARED_VALUES numbers in all, as counted, are broadcast, and one scan of the vectors keeps the best k of each query in every task; vectors don't
+    move. More queries are packed in blocks like the vectors, and each pair of blocks is one numpy product. Either way memory doesn't
     depend on the tables. key: a column that query and vector must have in common (filter before scoring).
     """
+    asked = queries.where(F.col(query_vec).isNotNull())
+    size = asked.agg(F.coalesce(F.sum(F.size(query_vec)), F.lit(0))).first()[0]
+    if size <= SHARED_VALUES:
+        rows = asked.select(query_id, query_vec, (F.col(key) if key else F.lit(0)).cast("string").alias("key")).collect()
+        sources = scratch.spread(vectors.where(F.col(vec_col).isNotNull()))
+        found = sources.select(F.col(id_col).alias("id"), (F.col(key) if key else F.lit(0)).cast("string").alias("key"), F.col(vec_col).alias("v"))
+        return top_k(found.mapInArrow(_scan([tuple(r) for r in rows], k), "query_id long, id long, score double"), k)
     pairs = _blocks(queries, query_id, query_vec, "q", key).join(_blocks(vectors, id_col, vec_col, "d", key), "key").drop("key")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,13 +135,7 @@ def cosine_topk(
                 q, d = (np.array(row[f"{n}_vecs"], np.float64) for n in "qd")
                 for m in (q, d):
                     m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                s = np.round(q @ d.T, 6)
-                ids = np.array(row["d_ids"])
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                n = order.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(row["q_ids"], n)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())],
-                    names=["query_id", "id", "score"],
-                )
+                at, ids, s = best_of(np.round(q @ d.T, 6), np.array(row["d_ids"]), k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(row["q_ids"])[at]), pa.array(ids), pa.array(s)], names=["query_id", "id", "score"])
 
     return top_k(pairs.mapInArrow(score, "query_id long, id long, score double"), k)
