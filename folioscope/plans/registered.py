@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,28 +11,14 @@ from folioscope.functions import rules as R
 from folioscope.functions import text as X
 from folioscope.functions import urls as U
 from folioscope.operators import chunking, guardrails, handoff, html, hybrid, intent, keyword, quality, refresh, requests, sections, vectors
+from folioscope.plans import evaluations
+from folioscope.plans.base import ORACLES, QUERIES, query, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "evaluations"]
 
 SITE = "example.com"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # -- urls -----------------------------------------------------------------------------------------------------------
 
 _HOST = r"regexp_replace(lower(regexp_replace(regexp_extract(trim(url), '^(?i)([a-z][a-z0-9+.-]*)://([^/?#]*)([^?#]*)', 2), '^.*@|:\d*$', '')), '^www\.', '')"
@@ -259,7 +244,7 @@ def dedupe_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 reps AS (SELECT min(doc_id) AS id, w FROM w WHERE len(w) > 0 GROUP BY w)
 SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS jaccard
 FROM reps a JOIN reps b ON a.id < b.id AND least(len(a.w), len(b.w)) >= 0.92 * greatest(len(a.w), len(b.w))
-WHERE round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) >= 0.92""")
+WHERE 100 * len(list_intersect(a.w, b.w)) >= 92 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""")
 def near_dup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.near_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -330,16 +315,20 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("value", F.round("value", 9))
 
 
-def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vector of each benchmark item's number asks for its neighbours."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
-    found = table(spark, sf_dir, "embeddings").join(items, "vec_id", "left_semi")
+def _vector_queries(spark: SparkSession, sf_dir: str, items: bool = False) -> DataFrame:
+    """Every vector whose id is divisible by 100 asks for its neighbours; items: those with the number of a benchmark item, to be merged with the item's own question."""
+    found = table(spark, sf_dir, "embeddings")
+    if items:
+        found = found.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    else:
+        found = found.where("vec_id % 100 = 0")
     return found.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), "label")
 
 
-_VEC = """vscore AS (SELECT q.vec_id AS query_id, d.vec_id AS id, q.label AS ql, d.label AS dl, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score
+_VEC_ITEMS = """vscore AS (SELECT q.vec_id AS query_id, d.vec_id AS id, q.label AS ql, d.label AS dl, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score
   FROM embeddings q CROSS JOIN embeddings d WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
 vec AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vscore) WHERE rank <= 5)"""
+_VEC = _VEC_ITEMS.replace("q.vec_id IN (SELECT item_id FROM benchmark)", "q.vec_id % 100 = 0")
 
 
 @query(f"WITH {_VEC} SELECT * FROM vec")
@@ -353,10 +342,11 @@ def cosine_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid.merge_channels(bm25_topk(spark, sf_dir), cosine_topk(spark, sf_dir))
+    near = vectors.cosine_topk(table(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir, items=True))
+    return hybrid.merge_channels(bm25_topk(spark, sf_dir), near)
 
 
-_MERGED = f"""WITH {_BM25}, {_VEC}, merged AS (SELECT query_id, id, kw.score AS keyword, vec.score AS vector,
+_MERGED = f"""WITH {_BM25}, {_VEC_ITEMS}, merged AS (SELECT query_id, id, kw.score AS keyword, vec.score AS vector,
   list_filter([CASE WHEN kw.score IS NOT NULL THEN 'keyword' END, CASE WHEN vec.score IS NOT NULL THEN 'vector' END], lambda x: x IS NOT NULL) AS channels
   FROM kw FULL JOIN vec USING (query_id, id))"""
 _NORM = "CASE WHEN {0} IS NULL THEN NULL WHEN max({0}) OVER w <= min({0}) OVER w THEN 1.0 ELSE ({0} - min({0}) OVER w) / (max({0}) OVER w - min({0}) OVER w) END"
@@ -618,3 +608,7 @@ def freshness_sla(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = events.agg(F.max("ts").alias("now"))
     rows = events.crossJoin(F.broadcast(latest)).select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("at"), "now")
     return quality.freshness_sla(rows, "at", F.col("now"), 10)
+
+
+# what else is registered builds on the queries above
+from folioscope.plans import records  # noqa: E402, F401
