@@ -16,7 +16,7 @@ K1, B = 1.5, 0.75
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """postings(term, id, tf), lengths(id, dl), terms(term, df), stats(n_docs, avg_dl)."""
+    """postings(term, id, dl, tf), lengths(id, dl), terms(term, df), stats(n_docs, avg_dl)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -32,7 +32,7 @@ def token_rows(docs: DataFrame, id_col: str, text_col: str, expand: bool = True,
 
 def build_index(docs: DataFrame, id_col: str, text_col: str, expand: bool = True, normalized: bool = False) -> KeywordIndex:
     rows = token_rows(docs, id_col, text_col, expand, normalized)
-    postings = rows.select("id", F.explode("toks").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    postings = rows.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
     lengths = rows.select("id", F.size("toks").alias("dl"))
     return KeywordIndex(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")), _stats(lengths))
 

@@ -73,7 +73,7 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.9
     right = prefix.select("g", "t", F.col("id").alias("b"), F.col("n_w").alias("nb"))
     pairs = left.join(right, ["g", "t"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("g", "a", "b").distinct()
     full = pairs.join(reps.select("g", F.col("id").alias("a"), F.col("w").alias("wa")), ["g", "a"]).join(reps.select("g", F.col("id").alias("b"), F.col("w").alias("wb")), ["g", "b"])
-    common = F.size(F.array_intersect("wa", "wb"))
+    common = F.size(F.array_intersect("wa", "wb")).cast("long")
     sized = full.select("a", "b", common.alias("c"), (F.size("wa") + F.size("wb") - common).alias("u"))
     # in whole numbers, as a rounded share can reach a threshold that the sets don't
     near = sized.where(F.col("c") * 1_000_000 >= F.col("u") * F.lit(round(threshold * 1_000_000)))

@@ -12,7 +12,7 @@ from folioscope.functions import text as X
 from folioscope.functions import urls as U
 from folioscope.functions.rules import ANSWER_PATTERNS, QUERY_INJECTION
 from folioscope.operators import corpus, guardrails, handoff, refresh, resolve, sections, vectors
-from folioscope.plans.base import answers, answers_sql, query, table
+from folioscope.plans.base import ORACLES, answers, answers_sql, query, table
 from folioscope.plans.registered import _BM25, _CANON, _CANONICAL, _DOC_LINES, _STABLE, _VEC_ITEMS, LEADS, POLICY, _questions, _vector_queries, bm25_topk
 from folioscope.sources import bundles, scratch, tables
 
@@ -543,3 +543,86 @@ def hash_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     missing = tables.read_or_empty(spark, path, "doc_id long, h string")
     docs.join(missing, "doc_id", "left_anti").select("doc_id", "h").write.parquet(path)
     return tables.read_or_empty(spark, path, "doc_id long, h string")
+
+
+# -- SQL of queries registered before, made of the pieces above -----------------------------------------------------
+
+
+def _listed(pairs: list[tuple[str, str]]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {test} THEN {label} END" for label, test in pairs) + "], lambda x: x IS NOT NULL)"
+
+
+def _phrases(t: str) -> str:
+    """How many phrases and patterns an answer has outside quotes."""
+    low = rf"""lower(trim(regexp_replace(regexp_replace(regexp_replace({t}, '"[^"]*"', ' ', 'g'), '''[^'']*''', ' ', 'g'), {_WS})))"""
+    tests = [f"contains(low, '{p}')" if " " in p else rf"regexp_matches(low, '\b{p}\b')" for _, ps in guardrails.ANSWER_PHRASES for p in (x.strip() for x in ps)]
+    tests += [f"regexp_matches(low, '(?i){p}')" for p in ANSWER_PATTERNS]
+    return low, " + ".join(f"({x})::INTEGER" for x in tests)
+
+
+def _clauses(t: str) -> str:
+    return f"coalesce(list_sum(list_transform({_sentences(t)}, lambda s: greatest(1, len(list_filter(string_split(s, ';'), lambda p: trim(p) <> ''))))), 0)"
+
+
+_BARE_URL = r"(?i)https?://[^\s)\]]+"
+_LOW_BODY, _PHRASE_COUNT = _phrases("body")
+_DRAFTS = f"""q AS ({_ASKED}), k AS (SELECT conv_id, turn, query AS chunk, (conv_id + turn) % 5 AS k FROM q),
+drafts AS (SELECT *, CASE WHEN k = 1 THEN chunk || ' see https://funds.example.com/a' ELSE chunk END AS body FROM k),
+lowered AS (SELECT *, {_LOW_BODY} AS low FROM drafts), counted AS (SELECT *, {_PHRASE_COUNT} AS phrases, {_clauses('body')} AS n, len(regexp_extract_all(body, '{_BARE_URL}')) AS links FROM lowered),
+judged AS (SELECT *, list_concat({_listed([("'sentence_budget_exceeded'", 'n > 3'), ("'body_contains_hyperlink'", 'links > 0'), ("'citation_not_allowlisted'", 'k = 2'), ("'missing_disclaimer'", 'k = 3'), ("'missing_footer'", 'k = 4'), ("'footer_date_mismatch'", 'k = 4'), ("'empty_body'", "trim(body) = ''")])},
+  list_transform(range(phrases), lambda i: 'prohibited_phrase')) AS codes FROM counted)"""
+ORACLES["validate_drafts"] = f"WITH {_DRAFTS} SELECT conv_id, turn, len(codes) = 0 AS passed, codes FROM judged"
+
+_LOW_CUT, _CUT_COUNT = _phrases("cut")
+_STRIPPED = rf"trim(regexp_replace(regexp_replace(regexp_replace(body, '\[[^\]]+\]\(([^)]+)\)', '', 'g'), '{_BARE_URL}', '', 'g'), '\s{{2,}}', ' ', 'g'))"
+ORACLES["repair_drafts"] = rf"""WITH {_DRAFTS}, bare AS (SELECT * EXCLUDE (low), len(codes) = 0 AS good, CASE WHEN links > 0 THEN {_STRIPPED} ELSE body END AS plain FROM judged),
+cuts AS (SELECT *, CASE WHEN good THEN body WHEN n > 3 THEN {_first_sentences('plain', 3)} ELSE plain END AS cut FROM bare),
+lowcut AS (SELECT *, {_LOW_CUT} AS low FROM cuts), bad AS (SELECT *, NOT good AND ({_CUT_COUNT}) > 0 AS bad FROM lowcut),
+done AS (SELECT *, CASE WHEN bad THEN 'refusal' ELSE 'factual' END AS answer_type, CASE WHEN bad THEN '{_q(dict(POLICY.refusals)[POLICY.fallback_type])}' ELSE cut END AS text,
+  CASE WHEN good THEN [] ELSE {_listed([("'strip_body_hyperlinks'", 'links > 0'), ("'rebuild_citation_markdown'", 'k = 2'), ("'truncate_sentence_budget'", 'n > 3'), ("'inject_footer_unavailable'", 'k = 4'), (f"'fallback_refusal:{POLICY.fallback_type}'", 'bad')])} END AS repair_actions,
+  CASE WHEN bad THEN '' WHEN k = 4 THEN '{POLICY.footer}{POLICY.no_date}' ELSE '{POLICY.footer}01 Jan 2025' END AS footer, CASE WHEN k = 3 THEN '' ELSE '{POLICY.disclaimer}' END AS disclaimer,
+  CASE k WHEN 2 THEN '[{POLICY.default_label}]({POLICY.default_url})' ELSE '[a](https://www.funds.example.com/funds/a/?x=1)' END AS link FROM bad),
+again AS (SELECT *, {_listed([("'sentence_budget_exceeded'", f"{_clauses('text')} > 3"), ("'missing_disclaimer'", 'k = 3'), ("'empty_body'", "trim(text) = ''")])} AS rest FROM done)
+SELECT conv_id, turn, answer_type, len(rest) = 0 AS passed, repair_actions, rest AS codes,
+array_to_string(list_filter([text, link, CASE WHEN answer_type = 'factual' THEN footer END, disclaimer], lambda p: p IS NOT NULL AND trim(p) <> ''), chr(10) || chr(10)) AS display FROM again"""
+
+ORACLES["compliance_route"] = f"""WITH i AS ({ORACLES['intent_classify']}), {_sanitize_sql()},
+o AS (SELECT clean.*, action IN ('refuse', 'disambiguate') AS refused, refusal_type, action = 'performance_limited' AS limited, length(query) <= 200 OR trim(query) = '' AS missing FROM clean JOIN i USING (conv_id, turn))
+SELECT conv_id, turn, CASE WHEN refused THEN 'refuse' WHEN missing THEN 'abstain' ELSE 'allow_compose' END AS decision, CASE WHEN refused THEN 'refusal' WHEN missing THEN 'abstention' ELSE 'factual' END AS route, sanitized AS sanitized_query,
+{_listed([("'refusal_short_circuit'", 'refused'), ("'query_injection_stripped'", "found <> ''"), ("'refusal_type:' || refusal_type", "refused AND refusal_type <> ''"), ("'performance_limited_grounding_required'", 'NOT refused AND limited'), ("'performance_projection_query_detected'", f'NOT refused AND limited AND {_PROJECTING}'),
+  ("'evidence_empty_not_found_in_sources'", 'NOT refused AND missing'), ("'retrieval_evidence_present'", 'NOT refused AND NOT missing'), ("'performance_limited_compose_allowed'", 'NOT refused AND NOT missing AND limited')])} AS reasons FROM o"""
+
+_KEYED = _BEST.replace("conv_id, turn", "query_id, id")
+_TEMPLATES = " ".join(f"WHEN facet = '{n}' AND value <> '' THEN '{t.split('{value}')[0]}' || value || '{t.split('{value}')[1]}'" for n, t in guardrails.ANSWER_TEMPLATES.items())
+ORACLES["compose_answers"] = f"""WITH {_BM25}, f AS (SELECT query_id, id, b.text AS query, d.text AS chunk FROM kw JOIN documents d ON d.doc_id = id JOIN benchmark b ON b.item_id = query_id WHERE rank = 1), {_KEYED},
+d AS (SELECT *, {_detect_sql('query', 'chunk')} AS facet FROM b), v AS (SELECT *, {_value_sql('facet', 'chunk')} AS value FROM d)
+SELECT query_id, id, facet AS facet_detected, CASE {_TEMPLATES} ELSE sentence END AS body_text, '{POLICY.footer}31 Jan 2025' AS footer_line FROM v"""
+
+
+def _candidate_sql(facet: str, t: str) -> str:
+    """The first pattern that fits as a struct; a snippet with context begins so many characters before the first place of the match."""
+    cases = []
+    for name, pattern, group, before, after in handoff.CANDIDATES[facet]:
+        p = _q(pattern)
+        hit = f"regexp_extract({t}, '{p}', 0)"
+        at = f"strpos({t}, {hit})"
+        snippet = f"substr({t}, greatest({at} - {before}, 1), {at} - greatest({at} - {before}, 1) + length({hit}) + {after})" if before else hit
+        value = f"regexp_extract({t}, '{p}', {group})" if group else "NULL"
+        value = f"'₹' || {value}" if facet == "min_sip" else f"{value} || ' risk'" if name == "risk_label_v1" else value
+        clip = lambda x, n: f"CASE WHEN length({x}) > {n} THEN substr({x}, 1, {n - 3}) || '...' ELSE {x} END"
+        squeezed = rf"trim(regexp_replace({snippet}, {_WS}))"
+        cases.append(f"WHEN {hit} <> '' THEN struct_pack(pattern := '{name}', snippet := {clip(squeezed, 220)}, value := {clip(f'trim({value})', 80) if value != 'NULL' else 'NULL'})")
+    return "CASE " + " ".join(cases) + " END"
+
+
+_STATED = [f for f in handoff.CANDIDATES if f != "benchmark"]
+_STATED_SQL = f"WITH {_FACT_ROWS} " + " UNION ALL ".join(
+    f"SELECT id, '{f}' AS facet, c.pattern AS pattern, c.snippet AS snippet, c.value AS value FROM (SELECT conv_id || '/' || turn AS id, {_candidate_sql(f, 'chunk')} AS c FROM f) WHERE c IS NOT NULL" for f in _STATED
+)
+
+
+@query(_STATED_SQL)
+def stated_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """facet_candidates of texts that state facts, but for the benchmark's pattern, which looks ahead and has no SQL."""
+    rows = _facts(spark, sf_dir).select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("chunk").alias("text"))
+    return handoff.facet_candidates(rows, "id", "text").where("facet <> 'benchmark'")

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from threading import Timer
 from typing import Any
+from uuid import uuid4
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import urls as U
 from folioscope.functions.rules import Rules
-from folioscope.operators import guardrails, hybrid, intent, keyword, resolve, vectors
-from folioscope.sources import tables
+from folioscope.operators import guardrails, hybrid, intent, keyword, requests, resolve, vectors
+from folioscope.sources import scratch, tables
 
 MODEL = "hash_v1"
 
@@ -41,6 +42,26 @@ def build_indexes(spark: SparkSession, chunks: DataFrame, root: str, stamp: str,
     return version
 
 
+@dataclass(frozen=True)
+class Index:
+    """The active version of what build_indexes wrote: chunks, postings with their statistics, and sparse vectors(id, idx, value)."""
+
+    chunks: DataFrame
+    keyword: keyword.Postings
+    vectors: DataFrame
+
+
+def load_index(spark: SparkSession, root: str, model: str = MODEL) -> Index:
+    """Read the active version; one of another embedding model, or without chunks, is an error."""
+    active = tables.active_version(spark, root)
+    if active["model"] != model:
+        raise ValueError(f"the index was built with {active['model']}, not with {model}")
+    if not active["chunks"]:
+        raise ValueError("the index is empty")
+    read = lambda name: spark.read.parquet(f"{root}/{name}/index_version={active['version']}")
+    return Index(read("chunks"), keyword.Postings(read("postings"), read("stats")), read("vectors"))
+
+
 def sparse_topk(queries: DataFrame, index: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """Top k by dot product of sparse unit vectors (id, idx, value); allowed(query_id, id) restricts pairs before they are summed."""
     q = queries.select(F.col("id").alias("query_id"), "idx", F.col("value").alias("qv"))
@@ -61,19 +82,26 @@ class Service:
     k: int = 5
     pool: int = 12
 
-    def retrieve(self, questions: DataFrame, chunks: DataFrame) -> DataFrame:
-        """Per question (query_id, query): decision of the intent, resolved scheme, and for those that are retrieved the best chunk with its score and status."""
+    def retrieve(self, questions: DataFrame, chunks: DataFrame | None = None, index: Index | None = None) -> DataFrame:
+        """Per question (query_id, query): decision of the intent, resolved scheme, and for those that are retrieved the best chunk with its score and status.
+
+        With an index only its postings and vectors of the questions' terms are read; without one, chunks are tokenised and embedded for this call.
+        """
+        if index is not None:
+            chunks = index.chunks
         asked = intent.classify(questions, "query", self.rules)
         solved = resolve.resolve(questions, "query_id", "query", self.registry, self.aliases, self.rules.house, f"{self.rules.site}/", self.policy.default_url)
-        # kept on disk at the points that several branches read: the rules are evaluated once, and the plans stay small
-        asked = asked.join(solved.withColumnRenamed("confidence", "scheme_confidence"), "query_id").persist(StorageLevel.DISK_ONLY)
+        # written at the points that several branches read: the rules are evaluated once, and the plans stay small
+        asked = scratch.written(asked.join(solved.withColumnRenamed("confidence", "scheme_confidence"), "query_id"), "asked")
         live = asked.where(F.col("action").isin("retrieve", "performance_limited"))
         sure = (F.col("status") == "resolved") & (F.col("scheme_confidence") >= 0.82)
         live = live.withColumn("scheme_filter", F.when(sure, F.col("scheme")))
-        found = keyword.bm25_topk(
-            chunks.withColumn("scheme_filter", F.col("scheme")), live, self.k, "chunk_id", "text", "query_id", "query", keep=["scheme_filter"]
-        )
-        near = self._near(live, chunks)
+        filtered = chunks.withColumn("scheme_filter", F.col("scheme"))
+        if index is None:
+            found = keyword.bm25_topk(filtered, live, self.k, "chunk_id", "text", "query_id", "query", keep=["scheme_filter"])
+        else:
+            found = keyword.search(index.keyword, keyword.query_terms(live, "query_id", "query"), filtered, live, self.k, "chunk_id", "query_id", keep=["scheme_filter"])
+        near = self._near(live, chunks, index)
         fused = hybrid.fuse(hybrid.merge_channels(found, near), self.pool)
         rows = fused.drop("rank").join(chunks.withColumnRenamed("chunk_id", "id").withColumnRenamed("text", "chunk_text").withColumnRenamed("scheme", "chunk_scheme"), "id")
         facts = live.select("query_id", "query", "facet", F.col("scheme").alias("wanted"), F.col("scheme_filter").isNotNull().alias("sure"), "scheme_confidence", F.col("source_url").alias("resolved_url"))
@@ -83,27 +111,51 @@ class Service:
         best = best.select("query_id", "id", "chunk_text", "section_title", "effective_date", F.col("cite.url").alias("citation_url"), "final_score", F.col("status").alias("retrieval_status"))
         return asked.drop("status").join(best, "query_id", "left")
 
-    def _near(self, live: DataFrame, chunks: DataFrame) -> DataFrame:
-        index = vectors.hash_embedding(chunks, "chunk_id", "text", MODEL)
+    def _near(self, live: DataFrame, chunks: DataFrame, index: Index | None) -> DataFrame:
+        embedded = vectors.hash_embedding(chunks, "chunk_id", "text", MODEL) if index is None else index.vectors
         of = chunks.select(F.col("chunk_id").alias("id"), F.col("scheme").alias("s"))
         pairs = live.select("query_id", "scheme_filter").join(of, F.col("scheme_filter").isNull() | (F.col("scheme_filter") == F.col("s"))).select("query_id", "id")
-        return sparse_topk(vectors.hash_embedding(live, "query_id", "query", MODEL), index, self.k, pairs)
-
-    def answer(self, questions: DataFrame, chunks: DataFrame) -> DataFrame:
+        return sparse_topk(vectors.hash_embedding(live, "query_id", "query", MODEL), embedded, self.k, pairs)
+
+    def answer_within(self, questions: DataFrame, seconds: float, chunks: DataFrame | None = None, index: Index | None = None) -> DataFrame:
+        """answer, written, with code and status null and 200; or, where that takes longer, a row for each question with upstream_timeout and its status. Jobs that are late are cancelled."""
+        sc, group = questions.sparkSession.sparkContext, f"answer-{uuid4().hex}"
+        late: list[bool] = []
+
+        def cancel() -> None:
+            late.append(True)
+            sc._jsc.sc().cancelJobGroupAndFutureJobs(group)  # also what has not begun yet
+
+        timer = Timer(seconds, cancel)
+        sc.setJobGroup(group, "answers", interruptOnCancel=True)
+        timer.start()
+        try:
+            done = scratch.written(self.answer(questions, chunks, index), "answers")
+            return done.withColumns({"code": F.lit(None).cast("string"), "status": F.lit(200)})
+        except Exception:  # a cancelled job ends in one of several kinds of error
+            if not late:
+                raise
+            sc.setLocalProperty("spark.jobGroup.id", None)
+            return questions.select("query_id", F.lit("upstream_timeout").alias("code"), F.lit(requests.STATUS["upstream_timeout"]).alias("status"))
+        finally:
+            timer.cancel()
+            sc.setLocalProperty("spark.jobGroup.id", None)
+
+    def answer(self, questions: DataFrame, chunks: DataFrame | None = None, index: Index | None = None) -> DataFrame:
         """Envelopes for all questions: refused, abstained or composed, then validated and repaired."""
-        got = self.retrieve(questions, chunks).persist(StorageLevel.DISK_ONLY)
+        got = scratch.written(self.retrieve(questions, chunks, index), "retrieved")
         refused = F.col("action").isin("refuse", "disambiguate")
         rows = got.withColumns({
             "outcome_type": F.when(refused, "refusal").otherwise("retrieval"), "refusal_type": intent.refusal_type(F.col("intent"), F.col("action")),
             "performance_limited": F.col("action") == "performance_limited", "retrieval_status": F.coalesce("retrieval_status", F.lit("not_found_in_sources")), "not_found_reason": F.lit(""),
             "citation_url": F.coalesce("citation_url", F.lit(self.policy.default_url)),
         })
-        routed = guardrails.route(rows).persist(StorageLevel.DISK_ONLY)
+        routed = scratch.written(guardrails.route(rows), "routed")
         parts = [
             guardrails.compose_factual(routed.where("route = 'factual'"), self.policy).drop("facet_detected"),
             guardrails.compose_refusal(routed.where("route = 'refusal'"), self.policy),
             guardrails.compose_refusal(routed.where("route = 'abstention'"), self.policy, abstain=True),
         ]
         drafts = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
-        done = guardrails.validate_and_repair(drafts.persist(StorageLevel.DISK_ONLY), self.policy)
+        done = guardrails.validate_and_repair(scratch.written(drafts, "drafts"), self.policy)
         return done.select("query_id", "answer_type", "body_text", "citation_url", "citation_markdown", "disclaimer_line", "footer_line", "footer_date", "refusal_type", "passed", "repair_actions", guardrails.display_text(self.policy).alias("display"))

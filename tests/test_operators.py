@@ -288,3 +288,47 @@ def test_refresh(spark):
     assert {r.url: r.hash for r in refresh.next_hashes(diff, True).collect()} == {"a": "1", "b": "2", "c": "3", "d": "4"}
     merged = refresh.upsert(old, spark.createDataFrame([("a", "9"), ("z", "8")], "url string, hash string"), "url")
     assert {r.url: r.hash for r in merged.collect()} == {"a": "9", "b": "2", "c": "3", "e": "5", "z": "8"}
+
+
+def test_sections_of_a_long_document(spark):
+    """100 000 lines: offsets are linear in their number."""
+    import time
+
+    from folioscope.operators import sections
+
+    text = "\n".join(f"# heading {i}" if i % 100 == 0 else ("" if i % 10 == 9 else f"line {i} | x" if i % 10 < 2 else f"line {i}") for i in range(100_000))
+    df = spark.createDataFrame([(1, text), (2, "short")], "id long, text string")
+    start = time.time()
+    heads = sections.heading_sections(df, "id", "text").where("id = 1").orderBy("ordinal").collect()
+    spans = sections.atomic_spans(df, "id", "text").where("id = 1").collect()
+    assert time.time() - start < 60
+    assert len(heads) == 1000 and all(text[h.start_char :].startswith(f"# heading {100 * h.ordinal}") for h in heads)
+    assert len(spans) > 19_000 and all("|" in text[s.start_char : s.end_char] for s in spans if s.kind == "table")
+
+
+def test_near_pairs_below_the_threshold_stay_out(spark):
+    """A share of 0.9199996 rounds to 0.92 and is less."""
+    from folioscope.operators import quality
+
+    a, b = [f"w{i}" for i in range(9600)], [f"w{i}" for i in range(400, 10000)]
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(a[:-1]))]
+    got = {(r.a, r.b) for r in quality.near_pairs(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    exact = {(i, j) for i, x in rows for j, y in rows if i < j and 100 * len(set(x.split()) & set(y.split())) >= 92 * len(set(x.split()) | set(y.split()))}
+    assert got == exact
+
+
+def test_vector_queries_of_any_number(spark, monkeypatch):
+    import numpy as np
+
+    from folioscope.operators import vectors
+
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.integers(-2, 3, 6).astype(float).tolist(), "ab"[i % 2]) for i in range(300)] + [(900, None, "a"), (901, [1.0, 2.0], "a")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    asked = df.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS query_vec", "label")
+    for key in (None, "label"):
+        monkeypatch.setattr(vectors, "SHARED_VALUES", 1 << 22)
+        few = sorted(map(tuple, vectors.cosine_topk(df.where("vec_id < 900"), asked.where("query_id < 900"), key=key).collect()))
+        assert sorted(map(tuple, vectors.cosine_topk(df, asked.where("query_id < 900"), key=key).collect())) == few
+        monkeypatch.setattr(vectors, "SHARED_VALUES", 0)
+        assert sorted(map(tuple, vectors.cosine_topk(df.where("vec_id < 900"), asked.where("query_id < 900"), key=key).collect())) == few

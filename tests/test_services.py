@@ -100,3 +100,62 @@ def test_refresh_stream(spark, tmp_path):
     before = {r.url: r.hash for r in latest_hashes(spark, where["store"]).collect()}
     arrive(("a", "x", "2025-01-03"), ("b", "y", "2025-01-03"), ("c", "z", "2025-01-03"))
     assert {r.url: r.hash for r in latest_hashes(spark, where["store"]).collect()} == before, "three changes at once freeze the store"
+
+
+def test_answers_from_the_index(spark, tmp_path, monkeypatch):
+    rows = [(c, t, s, f"https://funds.example.com/f/{s}", "Facts", "2025-01-31") for c, t, s in CHUNKS]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, scheme string, source_url string, section_title string, effective_date string")
+    root = str(tmp_path / "index")
+    services.build_indexes(spark, chunks, root, "20250101")
+    index = services.load_index(spark, root)
+    asked = spark.createDataFrame([(1, "what is the expense ratio of acme gilt fund"), (2, "exit load of acme gilt fund"), (3, "weather")], "query_id int, query string")
+    service = services.Service(Rules(house="acme", site="funds.example.com"), guardrails.Policy(), REGISTRY, {})
+    fresh = sorted(map(str, service.answer(asked, chunks).collect()))
+    monkeypatch.setattr(services.keyword, "bm25_topk", lambda *a, **k: 1 / 0)
+    embedded = []
+    real = services.vectors.hash_embedding
+    monkeypatch.setattr(services.vectors, "hash_embedding", lambda df, *a: embedded.append(df.columns) or real(df, *a))
+    assert sorted(map(str, service.answer(asked, index=index).collect())) == fresh
+    assert all("chunk_id" not in c for c in embedded), "only questions are embedded"
+    with pytest.raises(ValueError):
+        services.load_index(spark, root, "other_model")
+    got = service.answer_within(asked, 300, index=index).collect()
+    assert len(got) == 3 and {r.status for r in got} == {200}
+    late = service.answer_within(asked, 0.01, index=index).collect()
+    assert {(r.code, r.status) for r in late} == {("upstream_timeout", 503)} and len(late) == 3
+    assert spark.range(5).count() == 5
+
+
+def test_rule_files(tmp_path):
+    import json
+
+    from folioscope.sources import bundles
+
+    put = lambda name, doc: (tmp_path / name).write_text(json.dumps(doc)) and str(tmp_path / name)
+    assert bundles.load_cases(put("c.json", {"probes": [{"id": "a"}]})) == [{"id": "a"}]
+    assert bundles.load_phrases(put("p.json", {"phrases": {"advisory": ["buy"]}, "x": 1})) == [("advisory", ["buy"])]
+    assert bundles.load_templates(put("t.json", {"templates": {"a": "It is {value}."}})) == {"a": "It is {value}."}
+    with pytest.raises(ValueError):
+        bundles.load_templates(put("b.json", {"a": "{other}"}))
+
+
+def test_errors_of_lookups(spark):
+    from folioscope.operators import corpus
+
+    registry = spark.createDataFrame([("a", "https://x.org/a")], "scheme string, url string")
+    assert corpus.by_scheme(registry, "a", required=True).first().url == "https://x.org/a"
+    with pytest.raises(KeyError):
+        corpus.by_scheme(registry, "b", required=True)
+    urls = spark.createDataFrame([("https://www.x.org/a/",)], "url string")
+    assert urls.select(corpus.require_allowed(F.col("url"), ["https://x.org/a"])).first()[0] == "https://x.org/a"
+    with pytest.raises(Exception, match="not allowlisted"):
+        urls.select(corpus.require_allowed(F.col("url"), ["https://x.org/b"])).collect()
+    for status, reason in ((301, "Redirect detected"), (404, "404 for"), (500, "HTTP 500")):
+        with pytest.raises(Exception, match=reason):
+            corpus.strict_pages(urls.withColumn("http_status", F.lit(status))).collect()
+    assert corpus.check_defaults({"a": "One. Two."}) == {"a": 2}
+    with pytest.raises(ValueError):
+        corpus.check_defaults({"a": "One. Two. Three. Four."})
+    contract = corpus.hybrid_contract("v", "m", 3)
+    manifest = {"index_version": "v", "embedding_model_id": "m", "partial_corpus": False, "schemes_indexable": 16, "total_chunks": 3, "benchmark_passed": True, "recall_at_k": 0.9}
+    assert corpus.handoff_document(manifest, contract)["hybrid_api_surface"]["merge_keys"] == ["chunk_id", "source_url", "scheme"]
