@@ -234,6 +234,14 @@ def bare_url(site: str) -> str:
     return rf"(?i)https?://[^\s)\]]+|(?<![/@]){re.escape(site)}/[^\s)\]]+"
 
 
+def link_targets(c: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text_of(c), F.lit(MARKDOWN_LINK), F.lit(1)), lambda u: F.trim(u))
+
+
+def bare_urls(c: Column, site: str) -> Column:
+    return F.transform(F.regexp_extract_all(text_of(c), F.lit(bare_url(site)), F.lit(0)), lambda u: F.trim(u))
+
+
 def markdown_link_count(c: Column) -> Column:
     return F.regexp_count(text_of(c), F.lit(MARKDOWN_LINK))
 

@@ -133,6 +133,13 @@ def chunk_spans(text: str, params: ChunkParams = ChunkParams()) -> list[tuple[in
         low = back if back > low else high
 
 
+def chunk(df: DataFrame, id_col: str, text_col: str, strategy: str = "section_sliding_v1", params: ChunkParams = ChunkParams()) -> DataFrame:
+    """Chunks by the named strategy; another name is an error."""
+    if strategy != "section_sliding_v1":
+        raise ValueError(f"unknown chunking strategy {strategy}")
+    return sliding_chunks(df, id_col, text_col, params)
+
+
 def sliding_chunks(df: DataFrame, id_col: str, text_col: str, params: ChunkParams = ChunkParams()) -> DataFrame:
     """Chunks of every text; null and blank texts have none. Documents are independent: one pass, no shuffle."""
 

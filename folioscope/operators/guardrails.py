@@ -172,6 +172,30 @@ def compose_refusal(df: DataFrame, policy: Policy = Policy(), abstain: bool = Fa
     })
 
 
+# Fields of a draft.
+DRAFT_FIELDS = ["body_text", "citation_url", "citation_markdown", "disclaimer_line", "footer_line", "footer_date", "evidence_chunk_id", "refusal_type", "chunk_text"]
+
+
+def normalize_drafts(df: DataFrame, json_col: str, answer_type: str | None = None) -> DataFrame:
+    """Drafts of JSON objects in one form, in place of the column: missing fields are empty, and an unknown type is refusal where a refusal type is named, else factual."""
+    d = F.from_json(F.col(json_col), "struct<answer_type:string," + ",".join(f"{f}:string" for f in DRAFT_FIELDS) + ",number_grounding_flags:array<string>>")
+    given = F.lit(answer_type) if answer_type else F.coalesce(F.nullif(d["answer_type"], F.lit("")), F.lit("refusal"))
+    kind = F.when(given.isin("refusal", "factual"), given).when(X.text_of(d["refusal_type"]) != "", "refusal").otherwise("factual")
+    fields = {"answer_type": kind, **{f: X.text_of(d[f]) for f in DRAFT_FIELDS}, "number_grounding_flags": F.coalesce(d["number_grounding_flags"], F.array().cast("array<string>"))}
+    return df.withColumns(fields).drop(json_col)
+
+
+def normalize_outcomes(df: DataFrame, json_col: str) -> DataFrame:
+    """Outcomes of JSON objects as route reads them: the parts of refusal and retrieval side by side, empty where one is missing."""
+    part = "struct<refusal_type:string>", "struct<status:string,chunk_text:string,not_found_reason:string>"
+    o = F.from_json(F.col(json_col), f"struct<query:string,outcome_type:string,performance_limited:boolean,refusal:{part[0]},retrieval:{part[1]}>")
+    return df.withColumns({
+        "query": X.text_of(o["query"]), "outcome_type": X.text_of(o["outcome_type"]), "performance_limited": F.coalesce(o["performance_limited"], F.lit(False)),
+        "refusal_type": X.text_of(o["refusal"]["refusal_type"]), "retrieval_status": X.text_of(o["retrieval"]["status"]), "chunk_text": X.text_of(o["retrieval"]["chunk_text"]),
+        "not_found_reason": X.text_of(o["retrieval"]["not_found_reason"]),
+    }).drop(json_col)
+
+
 # -- after ----------------------------------------------------------------------------------------------------------
 
 

@@ -184,17 +184,17 @@ def collapse(md: str) -> str:
     return md + "\n" if md else ""
 
 
-def to_markdown(html: str | None) -> dict[str, object]:
-    """Status, how the fragment was found, its text length, and Markdown without page furniture and static lines."""
+def to_markdown(html: str | None, most: int | None = MAX_MARKDOWN) -> dict[str, object]:
+    """Status, how the fragment was found, its text length, and Markdown without page furniture and static lines, cut to most characters (None: whole)."""
     root, how = main_fragment(parse(html))
     text = root.text()
     md = collapse(markdown(root))
     kept = [x for x in md.splitlines() if x.strip() not in STATIC_LINES]
     removed = len(md.splitlines()) - len(kept)
     md = collapse("\n".join(kept))
-    cut = len(md) > MAX_MARKDOWN
+    cut = most is not None and len(md) > most
     if cut:
-        md = md[:MAX_MARKDOWN] + "\n\n<!-- truncated -->\n"
+        md = md[:most] + "\n\n<!-- truncated -->\n"
     return {
         "extract_status": extract_status(text, html or ""), "selector": how, "text_length": len(text), "markdown": md,
         "normalize_status": "empty" if not md else "ok" if len(md) >= 800 else "partial", "char_count": len(md), "lines_removed": removed, "truncated": cut,
@@ -207,9 +207,12 @@ MARKDOWN_SCHEMA = T.StructType([
 ])
 
 
-@F.pandas_udf(MARKDOWN_SCHEMA)
-def markdown_of(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([to_markdown(h) for h in html], columns=MARKDOWN_SCHEMA.names)
+def markdown_of(html: Column, most: int | None = MAX_MARKDOWN) -> Column:
+    @F.pandas_udf(MARKDOWN_SCHEMA)
+    def convert(pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([to_markdown(h, most) for h in pages], columns=MARKDOWN_SCHEMA.names)
+
+    return convert(html)
 
 
 @F.pandas_udf(T.StringType())
@@ -218,9 +221,9 @@ def visible_text(html: pd.Series) -> pd.Series:
     return html.map(lambda h: parse(h).text())
 
 
-def html_to_markdown(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """One row a page with the fields of MARKDOWN_SCHEMA; a null page counts as empty."""
-    return df.select(F.col(id_col), markdown_of(F.col(html_col)).alias("m")).select(id_col, "m.*")
+def html_to_markdown(df: DataFrame, id_col: str, html_col: str, most: int | None = MAX_MARKDOWN) -> DataFrame:
+    """One row a page with the fields of MARKDOWN_SCHEMA; a null page counts as empty. most: characters of Markdown at most, None for whole pages."""
+    return df.select(F.col(id_col), markdown_of(F.col(html_col), most).alias("m")).select(id_col, "m.*")
 
 
 # -- boilerplate ----------------------------------------------------------------------------------------------------

@@ -136,6 +136,24 @@ def bundle_states(df: DataFrame, group_col: str) -> DataFrame:
     return sums.withColumn("status", state)
 
 
+def validation_rollup(chunks: DataFrame, group_col: str, text_col: str, order: Sequence[str], limit: int = 512) -> DataFrame:
+    """One row for each group of chunks(hard_errors, ...) after exact duplicates within it are dropped: chunks in and out, duplicates, chunks over the embedding limit, hard errors, status, indexable."""
+    kept = context_flags(dedupe_exact(chunks, group_col, text_col, order), text_col, limit)
+    before = chunks.groupBy(group_col).agg(F.count("*").alias("chunks_in"), F.coalesce(F.sum("hard_errors"), F.lit(0)).alias("hard_errors"))
+    after = kept.groupBy(F.col(group_col).alias("__g")).agg(F.count("*").alias("chunks_out"), F.count_if("exceeds_context").alias("over_limit"))
+    met = before.join(after, F.col(group_col).eqNullSafe(F.col("__g")), "left").drop("__g")
+    status = F.when(F.col("hard_errors") > 0, "failed_validation").otherwise("validated")
+    return met.withColumns({"duplicates": F.col("chunks_in") - F.col("chunks_out"), "status": status, "indexable": F.col("hard_errors") == 0})
+
+
+def validation_totals(rollup: DataFrame, group_col: str) -> DataFrame:
+    """One row of validation_rollup's: groups, indexable ones, sums, and the names of those left out, in order (a corpus has few groups)."""
+    return rollup.agg(
+        F.count("*").alias("groups"), F.count_if("indexable").alias("indexable"), *[F.sum(c).alias(c) for c in ("chunks_in", "chunks_out", "duplicates", "over_limit")],
+        F.array_sort(F.collect_list(F.when(~F.col("indexable"), F.col(group_col)))).alias("excluded"),
+    )
+
+
 # -- metrics --------------------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +59,48 @@ def envelope_faults(columns: Sequence[str], expected: Sequence[str] = tuple(ENVE
     return {"missing": [c for c in expected if c not in columns], "extra": [c for c in columns if c not in expected]}
 
 
+def load_contract(handoff: Mapping[str, Any], phase: str = "5.6") -> dict[str, Any]:
+    """What a handoff document promises: fields of envelope and assistant, outcome types, path, request fields, and the codes of what it lacks (driver side, one document)."""
+    api = handoff.get("api_surface") or {}
+    envelope, chat = api.get("answer_envelope") or {}, api.get("chat_endpoint_suggestion") or {}
+    out: dict[str, Any] = {
+        "envelope_fields": sorted(map(str, envelope.get("fields") or [])), "assistant_fields": sorted(map(str, (api.get("assistant_response") or {}).get("fields") or [])),
+        "outcome_types": sorted(map(str, envelope.get("outcome_types") or [])), "chat_path": str(chat.get("path") or "/chat"), "request_fields": sorted(chat.get("request_body") or {}),
+    }
+    lacks = [f"missing_{k}" for k in ("envelope_fields", "assistant_fields", "outcome_types") if not out[k]]
+    out["issues"] = ["missing_handoff"] if not handoff else [*(["handoff_phase"] if str(handoff.get("phase")) != phase else []), *lacks]
+    return out
+
+
+def contract_faults(envelope: Column, contract: Mapping[str, Any]) -> Column:
+    """Of a JSON envelope: missing and extra fields, those of its assistant that are missing, and an outcome type that the contract lacks."""
+    keys = lambda c: F.coalesce(F.json_object_keys(c), F.array().cast("array<string>"))
+    want = lambda k: F.array(*[F.lit(f) for f in contract[k]]).cast("array<string>")
+    own, assistant = keys(envelope), keys(F.get_json_object(envelope, "$.assistant"))
+    tell = lambda label, names: F.transform(F.array_sort(names), lambda n: F.concat(F.lit(f"{label}:"), n))
+    kind = X.text_of(F.get_json_object(envelope, "$.outcome_type"))
+    return F.concat(
+        tell("missing", F.array_except(want("envelope_fields"), own)), tell("extra", F.array_except(own, want("envelope_fields"))),
+        tell("assistant_missing", F.array_except(want("assistant_fields"), assistant)), X.hits([("unknown_outcome_type", ~F.coalesce(F.array_contains(want("outcome_types"), kind), F.lit(False)))]),
+    )
+
+
+def ui_response(envelope: Column) -> Column:
+    """(answer, citation_url, footer_date, outcome_type, label) of a JSON envelope, as a page shows it."""
+    at = lambda path: F.trim(X.text_of(F.get_json_object(envelope, f"$.{path}")))
+    first = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs], F.lit(""))
+    kind, url = at("outcome_type"), at("assistant.citation_url")
+    told = F.trim(F.regexp_extract(at("assistant.footer_line"), r"(?i)Last updated from sources:\s*(.+)$", 1))
+    is_url = url.rlike("^[A-Za-z][A-Za-z0-9+.-]*://[^/]")
+    slug = F.element_at(F.split(F.regexp_extract(url, "^[^:]+://[^/?#]*([^?#]*)", 1), "/"), -1)
+    return F.struct(
+        first(at("assistant.body_text"), at("display_text"), at("assistant.display_text")).alias("answer"), url.alias("citation_url"),
+        F.coalesce(F.nullif(first(at("assistant.footer_date"), told), F.lit("")), F.lit("date unavailable")).alias("footer_date"),
+        F.when(kind.isin("refusal", "abstention"), kind).otherwise("factual").alias("outcome_type"),
+        F.when(is_url & (slug != ""), F.replace(slug, F.lit("-"), F.lit(" "))).otherwise("Official Source").alias("label"),
+    )
+
+
 def outcome_faults(outcome: Column, answer: Column, body: Column, citation: Column) -> Column:
     """What is wrong between an outcome and its answer."""
     return X.hits([

@@ -16,6 +16,8 @@ from folioscope.functions import text as X
 SCORES = {"url": 1.0, "slug": 0.98, "alias": 0.96, "display_name": 0.94, "house_core": 0.93, "core_phrase": 0.90}
 FUZZY = {"fuzzy": 0.92, "fuzzy_house": 0.91, "fuzzy_token": 0.89}
 RESOLVE, FUZZY_MIN, GAP, MULTI = 0.82, 0.86, 0.06, 0.72
+#: Schemes that one function scores a question against.
+BLOCK = 10_000
 #: Words of a scheme's name that distinguish nothing.
 COMMON_WORDS = ["fund", "direct", "growth", "plan", "the", "of", "and", "cap", "mid", "small", "large"]
 
@@ -100,20 +102,21 @@ def resolve(
     Ratcliff-Obershelp has no built-in, and the decision is made of windows over (query_id).
     """
     aliases = aliases or {}
-    if len(registry) > 10_000:
-        raise ValueError("a registry has at most 10000 schemes")
-
-    @F.pandas_udf("array<struct<scheme:string,url:string,score:double,method:string>>")
-    def scored(q: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[dict[str, object]]:
-            rows = []
-            for s in registry:
-                if text and (found := match_scores(text, s, aliases, house, url_prefix)):
-                    score, method = max(found, key=lambda f: f[0])
-                    rows.append({"scheme": s.scheme, "url": s.url, "score": score, "method": method})
-            return rows
 
-        return q.map(one)
+    def scored(block: list[Scheme]):
+        @F.pandas_udf("array<struct<scheme:string,url:string,score:double,method:string>>")
+        def run(q: pd.Series) -> pd.Series:
+            return q.map(lambda text: best(text, block))
+
+        return run
+
+    def best(text: str | None, block: list[Scheme]) -> list[dict[str, object]]:
+        rows = []
+        for s in block:
+            if text and (found := match_scores(text, s, aliases, house, url_prefix)):
+                score, method = max(found, key=lambda f: f[0])
+                rows.append({"scheme": s.scheme, "url": s.url, "score": score, "method": method})
+        return rows
 
     @F.pandas_udf("array<string>")
     def compared(q: pd.Series) -> pd.Series:
@@ -128,8 +131,11 @@ def resolve(
 
         return q.map(one)
 
+    # a long registry goes to the workers in blocks, each one function
+    blocks = [registry[i : i + BLOCK] for i in range(0, max(1, len(registry)), BLOCK)]
+    matches = F.concat(*[scored(block)("raw") for block in blocks])
     base = queries.select(F.col(query_id).alias("query_id"), X.query_form(F.col(query_col)).alias("q"), F.col(query_col).alias("raw"))
-    base = base.select("query_id", F.array_sort(scored("raw"), _by_score).alias("m"), compared("q").alias("cmp"))
+    base = base.select("query_id", F.array_sort(matches, _by_score).alias("m"), compared("q").alias("cmp"))
     top, second = F.get("m", F.lit(0)), F.get("m", F.lit(1))
     strong = F.filter("m", lambda r: r["score"] >= MULTI)
     gap = top["score"] - F.coalesce(second["score"], F.lit(0.0))

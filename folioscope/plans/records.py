@@ -626,3 +626,103 @@ def stated_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """facet_candidates of texts that state facts, but for the benchmark's pattern, which looks ahead and has no SQL."""
     rows = _facts(spark, sf_dir).select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("chunk").alias("text"))
     return handoff.facet_candidates(rows, "id", "text").where("facet <> 'benchmark'")
+
+
+# -- contracts, adapters, providers ---------------------------------------------------------------------------------
+
+
+@query(rf"""WITH l AS (SELECT conv_id, turn, text || ' [a]( https://x.org/' || turn || ' ) and https://funds.example.com/b.' AS t FROM conversations)
+SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(t, '\[[^\]]+\]\(([^)]+)\)', 1), lambda u: trim(u)), '|') AS targets, array_to_string(regexp_extract_all(t, '{_BARE_URL}'), '|') AS urls FROM l""")
+def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat("text", F.lit(" [a]( https://x.org/"), F.col("turn").cast("string"), F.lit(" ) and https://funds.example.com/b."))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(X.link_targets(t), "|").alias("targets"), F.array_join(X.bare_urls(t, "funds.example.com"), "|").alias("urls"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'factual' WHEN turn % 3 = 1 AND conv_id % 2 = 1 THEN 'factual' ELSE 'refusal' END AS answer_type, text AS body_text, CASE WHEN conv_id % 2 = 0 THEN 'advisory' ELSE '' END AS refusal_type, '' AS footer_line FROM conversations""")
+def normalized_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("turn") % 3
+    draft = F.to_json(F.struct(F.when(k == 0, "factual").when(k == 1, "odd").alias("answer_type"), F.col("text").alias("body_text"), F.when(F.col("conv_id") % 2 == 0, "advisory").alias("refusal_type")))
+    rows = guardrails.normalize_drafts(table(spark, sf_dir, "conversations").select("conv_id", "turn", draft.alias("j")), "j")
+    return rows.select("conv_id", "turn", "answer_type", "body_text", "refusal_type", "footer_line")
+
+
+@query("""SELECT conv_id, turn, text AS query, CASE WHEN turn % 2 = 0 THEN 'refusal' ELSE 'retrieval' END AS outcome_type, conv_id % 3 = 0 AS performance_limited, CASE WHEN turn % 2 = 0 THEN 'advisory' ELSE '' END AS refusal_type,
+CASE WHEN turn % 2 = 1 THEN 'found' ELSE '' END AS retrieval_status, CASE WHEN turn % 2 = 1 THEN text ELSE '' END AS chunk_text, '' AS not_found_reason FROM conversations""")
+def normalized_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refused = F.col("turn") % 2 == 0
+    outcome = F.to_json(F.struct(
+        F.col("text").alias("query"), F.when(refused, "refusal").otherwise("retrieval").alias("outcome_type"), F.when(F.col("conv_id") % 3 == 0, True).alias("performance_limited"),
+        F.when(refused, F.struct(F.lit("advisory").alias("refusal_type"))).alias("refusal"), F.when(~refused, F.struct(F.lit("found").alias("status"), F.col("text").alias("chunk_text"))).alias("retrieval"),
+    ))
+    return guardrails.normalize_outcomes(table(spark, sf_dir, "conversations").select("conv_id", "turn", outcome.alias("j")), "j")
+
+
+_CONTRACT = {"phase": "5.6", "api_surface": {"answer_envelope": {"fields": ["outcome_type", "query", "assistant"], "outcome_types": ["factual", "refusal"]}, "assistant_response": {"fields": ["body_text"]}}}
+
+
+@query("""SELECT conv_id, turn, concat_ws('|', CASE WHEN turn % 2 = 1 THEN 'missing:query' END, CASE WHEN turn % 3 = 0 THEN 'extra:trace' END, CASE WHEN conv_id % 4 = 0 THEN 'assistant_missing:body_text' END, CASE WHEN conv_id % 5 > 2 THEN 'unknown_outcome_type' END) AS faults FROM conversations""")
+def envelope_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.operators import requests
+
+    k = F.col("conv_id")
+    kind = F.when(k % 5 == 0, "factual").when(k % 5 < 3, "refusal").otherwise("odd")
+    envelope = F.to_json(F.struct(kind.alias("outcome_type"), F.when(F.col("turn") % 2 == 0, F.col("text")).alias("query"), F.when(F.col("turn") % 3 == 0, 1).alias("trace"), F.struct(F.when(k % 4 != 0, "b").alias("body_text")).alias("assistant")))
+    faults = requests.contract_faults(envelope, requests.load_contract(_CONTRACT))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(faults, "|").alias("faults"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN trim(text) ELSE 'shown' END AS answer, CASE WHEN conv_id % 3 = 0 THEN 'https://funds.example.com/f/some-fund-x' WHEN conv_id % 3 = 1 THEN 'none' ELSE '' END AS citation_url,
+CASE WHEN turn % 3 = 0 THEN '01 Jan 2025' WHEN turn % 3 = 1 THEN '02 Feb 2025' ELSE 'date unavailable' END AS footer_date, CASE WHEN conv_id % 4 = 1 THEN 'refusal' ELSE 'factual' END AS outcome_type, CASE WHEN conv_id % 3 = 0 THEN 'some fund x' ELSE 'Official Source' END AS label FROM conversations""")
+def ui_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.operators import requests
+
+    k, t = F.col("conv_id"), F.col("turn")
+    assistant = F.struct(
+        F.when(t % 2 == 0, F.col("text")).otherwise(" ").alias("body_text"), F.when(k % 3 == 0, "https://funds.example.com/f/some-fund-x").when(k % 3 == 1, " none").alias("citation_url"),
+        F.when(t % 3 == 0, "01 Jan 2025").alias("footer_date"), F.when(t % 3 == 1, "last updated from sources: 02 Feb 2025").alias("footer_line"),
+    )
+    envelope = F.to_json(F.struct(F.when(k % 4 == 1, "refusal").when(k % 4 == 2, "odd").alias("outcome_type"), F.lit("shown").alias("display_text"), assistant.alias("assistant")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", requests.ui_response(envelope).alias("r")).select("conv_id", "turn", "r.*")
+
+
+_DEDUPED = "lower(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')))"
+_ROLLUP = f"""r AS (SELECT source, text, row_number() OVER (PARTITION BY source, {_DEDUPED} ORDER BY n_chars, doc_id) AS rn, coalesce(toxic, 0) AS toxic FROM documents LEFT JOIN labels USING (doc_id)),
+v AS (SELECT source, count(*) AS chunks_in, sum(toxic)::BIGINT AS hard_errors, count(*) FILTER (WHERE rn = 1) AS chunks_out, count(*) FILTER (WHERE rn = 1 AND greatest(1, floor(length(coalesce(text, '')) / 4.0)) > 512) AS over_limit FROM r GROUP BY source)"""
+
+
+def _validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.operators import quality
+
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    chunks = docs.select("doc_id", "source", "n_chars", "text", F.coalesce("toxic", F.lit(0)).alias("hard_errors"))
+    return quality.validation_rollup(chunks, "source", "text", ["n_chars", "doc_id"])
+
+
+@query(f"WITH {_ROLLUP} SELECT *, chunks_in - chunks_out AS duplicates, CASE WHEN hard_errors > 0 THEN 'failed_validation' ELSE 'validated' END AS status, hard_errors = 0 AS indexable FROM v")
+def validation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _validation(spark, sf_dir)
+
+
+@query(f"""WITH {_ROLLUP} SELECT count(*) AS groups, count(*) FILTER (WHERE hard_errors = 0) AS indexable, sum(chunks_in)::BIGINT AS chunks_in, sum(chunks_out)::BIGINT AS chunks_out, sum(chunks_in - chunks_out)::BIGINT AS duplicates, sum(over_limit)::BIGINT AS over_limit,
+coalesce(array_to_string(list(source ORDER BY source) FILTER (WHERE hard_errors > 0), '|'), '') AS excluded FROM v""")
+def validation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.operators import quality
+
+    return quality.validation_totals(_validation(spark, sf_dir), "source").withColumn("excluded", F.array_join("excluded", "|"))
+
+
+@query(r"""SELECT doc_id AS id, round((length(t) - length(regexp_replace(t, '[aeiou]', '', 'g'))) / greatest(1, length(t)), 9) AS vowels, round((length(t) - length(regexp_replace(t, '[0-9]', '', 'g'))) / greatest(1, length(t)), 9) AS digits,
+round((length(t) - length(regexp_replace(t, '[ \t\n]', '', 'g'))) / greatest(1, length(t)), 9) AS blanks FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
+def provider_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.operators import embedding
+
+    rows = embedding.embed(table(spark, sf_dir, "documents"), "doc_id", "text", embedding.provider("letters_v1"))
+    return rows.select("id", *[F.round(F.get("embedding", F.lit(i)), 9).alias(n) for i, n in enumerate(("vowels", "digits", "blanks"))])
+
+
+@query("SELECT 'recall_at_k' AS metric, 0.9::DOUBLE AS value, 'r' || i AS run FROM range(3) t(i)")
+def metric_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "snapshots")
+    for i in range(3):
+        bundles.write_snapshot(spark.range(1).select(F.lit("recall_at_k").alias("metric"), F.lit(0.9).alias("value")), path, f"r{i}")
+    return spark.read.schema("metric string, value double, run string").json(path)
