@@ -1,16 +1,14 @@
-"""What several operators share: the cluster's shared folder, written tables, and components."""
+"""What several operators share: Arrow batches, hashed numbers, written tables, and components."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.sources.scratch import discard, release, remove, shared_dir, written
+
+__all__ = ["ARROW_BATCH_BYTES", "bound_arrow_batches", "components", "discard", "hash_unit", "release", "remove", "shared_dir", "written"]
+
 #: Bytes of Arrow data handed to a Python worker at once. One row may be larger; it then travels alone.
 ARROW_BATCH_BYTES = 8 << 20
 
@@ -20,47 +18,6 @@ def bound_arrow_batches(spark: SparkSession, n_bytes: int = ARROW_BATCH_BYTES) -
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="folioscope-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the driver collect its garbage: Spark then removes the shuffle files of phases that have ended."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet below the shared folder and read it back.
-
-    This cuts the lineage with files that every executor can read, so a lost executor costs no recomputation.
-    The files go when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folioscope/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    release(spark)
-
-    def drop() -> None:
-        with contextlib.suppress(Exception):  # the JVM may have ended before
-            remove(spark, path)
-
-    atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def hash_unit(seed: str, *cols: Column) -> Column:
     """A number in [0, 1) with 52 bits, from the MD5 of the seed and the columns (nulls as '~')."""
     joined = F.concat_ws(":", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("~")) for c in cols])
@@ -71,14 +28,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph as (node, component), component being the smallest node.
 
     edges has long columns u and v; loops, nulls and repeats are ignored. Nodes without an edge to another node don't
-    appear. Large-star and small-star rounds alternate until the edges are stars; every round is cut by checkpoint().
+    appear. Large-star and small-star rounds alternate until the edges are stars; every round is written, and the one before it removed.
     Each round only groups and joins on a node, minima are taken before the shuffle, and a node with very many
     edges is left to the adaptive skew join: no neighbourhood is ever gathered.
     """
-    shared_dir(edges.sparkSession)
-    now = (
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
-    )
+    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
     before = None
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -89,7 +43,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(low, F.col("u") == F.col("w")).where("v <> m").select(
             F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")
         )
-        now = small.union(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct().checkpoint()
+        last, now = now, written(small.union(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "stars")
+        discard(last)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
