@@ -6,6 +6,8 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -16,8 +18,10 @@ from folioscope.llm.common import bound_arrow_batches, written
 
 #: An exception table up to this many rows goes to the workers whole; a larger one is joined to the documents.
 MAX_SHARED = 100_000
-#: Rounds in which surrogates that collide are made anew.
-MAX_ROUNDS = 30
+#: Rounds in which surrogates of a format make way for real entities; a format that is too full for that then takes one bijection as a whole.
+FORMAT_ROUNDS = 6
+#: Bijections that such a format can choose from.
+FORMAT_CHOICES = 16
 
 # Forms of address and the gender they tell.
 TITLES = {
@@ -107,7 +111,8 @@ def find_entities(text: str | None) -> list[Entity]:
         else:
             part = "v" if "v" in pattern.groupindex else 0
             hits = (m for m in pattern.finditer(text) if kind != "phone" or _is_phone(text, m))
-            taken = [(*m.span(part), kind, m[part]) for m in hits]
+            # a value in which nothing can change, such as a row of dashes, is no personal data
+            taken = [(*m.span(part), kind, m[part]) for m in hits if any(map(str.isalnum, m[part]))]
         if taken and kind != "name":
             pieces, at = [], 0
             for start, end, *_ in taken:
@@ -157,18 +162,35 @@ def permuted(key: bytes, tweak: str, symbols: list[int], radices: list[int]) ->
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+@lru_cache(maxsize=4096)
+def alphabet_of(c: str) -> str:
+    """The characters that can stand for c, c among them; each of them has the same alphabet. ASCII digits and letters have
+    their classes; other letters and numbers those of their block of 64 code points with equal category and normal form. Empty for all else.
+    """
+    for known in _CLASSES:
+        if c in known:
+            return known
+    if not c.isalnum():
+        return ""
+    kind = lambda x: (unicodedata.category(x), x.lower() == x, unicodedata.normalize("NFC", x) == x, len(x.upper()))
+    first = ord(c) & ~63
+    return "".join(x for x in map(chr, range(max(first, 128), first + 64)) if x.isalnum() and kind(x) == kind(c))
+
+
 def _formatted(key: bytes, tweak: str, value: str, keep: Callable[[int], bool] = lambda i: False) -> str:
-    """Digits become digits and ASCII letters letters of the same case; all else, and places in keep, stay."""
+    """Digits become digits and letters letters of the same script and case; all else, and places in keep, stay."""
     places, symbols, radices, alphabets = [], [], [], []
     for i, c in enumerate(value):
-        alphabet = next((a for a in _CLASSES if c in a), None)
+        alphabet = alphabet_of(c)
         if alphabet and not keep(i):
             places.append(i)
             symbols.append(alphabet.index(c))
             radices.append(len(alphabet))
             alphabets.append(alphabet)
-    fixed = "".join("#" if i in set(places) else c for i, c in enumerate(value))
     out = list(value)
+    for i in places:
+        out[i] = "#"
+    fixed = "".join(out)
     for i, v, a in zip(places, permuted(key, f"{tweak}|{fixed}", symbols, radices), alphabets, strict=True):
         out[i] = a[v]
     return "".join(out)
@@ -200,20 +222,25 @@ def _iban_rest(value: str) -> int:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
 
 
+def _network(value: str) -> str:
+    """The private network of an address, 'special' or 'public'."""
+    p = [int(x) for x in value.split(".")]
+    if p[0] in (10, 127):
+        return str(p[0])
+    if p[:2] == [192, 168] or p[0] == 172 and 16 <= p[1] < 32:
+        return f"{p[0]}.{p[1]}"
+    return "special" if p[0] == 0 or p[0] >= 224 else "public"
+
+
 def _ip(key: bytes, tweak: str, value: str) -> str:
-    parts = [int(p) for p in value.split(".")]
-    fixed = 1 if parts[0] in (10, 127) else 2 if parts[:2] == [192, 168] or parts[0] == 172 and 16 <= parts[1] < 32 else 0
-    head = ".".join(map(str, parts[:fixed]))
+    head = _network(value)
+    fixed = 0 if head in ("special", "public") else head.count(".") + 1
 
     def step(v: str) -> str:
         p = [int(x) for x in v.split(".")]
         return ".".join(map(str, p[:fixed] + permuted(key, f"{tweak}|ip|{head}", p[fixed:], [256] * (4 - fixed))))
 
-    def private(v: str) -> bool:
-        p = [int(x) for x in v.split(".")]
-        return p[0] in (0, 10, 127) or p[:2] == [192, 168] or p[0] == 172 and 16 <= p[1] < 32 or p[0] >= 224
-
-    return step(value) if fixed else _walk(step, value, private)
+    return step(value) if fixed else _walk(step, value, _network)
 
 
 # Sounds to build names from, by script.
@@ -237,43 +264,73 @@ def script_of(word: str) -> str:
     return "LATIN"
 
 
-def _name(key: bytes, tweak: str, kind: str, value: str) -> str:
+def _name(key: bytes, attempt: int, kind: str, value: str) -> str:
+    """A name of the script and gender. Every second attempt is a syllable longer, so there are names for any number of entities."""
     script, gender = script_of(value), kind.rpartition("-")[2]
-    s = _stream(key, tweak, kind.rpartition("-")[0], value)
+    s = _stream(key, str(attempt), kind.rpartition("-")[0], value)
     if script not in _ONSETS:  # no sounds known: other letters of the same block of 64 code points
-        base = [c for c in range(ord(value[0]) & ~63, (ord(value[0]) & ~63) + 64) if chr(c).isalpha()]
-        return "".join(chr(base[next(s) % len(base)]) for _ in value)
+        base = [c for c in range(ord(value[0]) & ~63, (ord(value[0]) & ~63) + 64) if chr(c).isalpha()] or [ord(value[0])]
+        return "".join(chr(base[next(s) % len(base)]) for _ in range(len(value) + attempt // 2))
     out = ""
-    for _ in range(max(2, min(4, len(value) // 3 + 1))):
+    for _ in range(max(2, min(4, len(value) // 3 + 1)) + attempt // 2):
         out += _ONSETS[script][next(s) % len(_ONSETS[script])] + _VOWELS[script][next(s) % len(_VOWELS[script])]
     ends = _ENDINGS[script, gender]
     end = ends[next(s) % len(ends)]
     return (out[:-1] if end[0] in _VOWELS[script] else out) + end
 
 
-def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
-    """The surrogate of an entity key. For attempt 0 and all kinds but names it is a bijection within the kind's format."""
-    tweak = f"{kind}|{attempt}"
-    if kind.startswith("name"):
-        return _name(key, str(attempt), kind, entity)
+def _is_hex(value: str) -> bool:
+    return bool(re.fullmatch(r"[0-9a-f]+", value))
+
+
+def _valid_ssn(v: str) -> bool:
+    return v[:3] not in ("000", "666") and v[0] != "9" and v[4:6] != "00" and v[7:] != "0000"
+
+
+def _rule(kind: str, entity: str) -> tuple[Callable[[int], bool], Callable[[str], object]]:
+    """Which places of an entity stay, and what else its surrogate has in common with it."""
     if kind == "email":
         last = entity.rindex(".")
-        return _walk(lambda v: _formatted(key, tweak, v, lambda i: i >= last), entity, lambda v: "@" in v)
-    if kind == "secret" and re.fullmatch(r"[0-9a-f]+", entity):
-        digits = permuted(key, tweak + "|hex", [int(c, 16) for c in entity], [16] * len(entity))
-        return "".join(f"{d:x}" for d in digits)
-    if kind == "ip":
-        return _ip(key, tweak, entity)
+        return lambda i: i >= last, lambda v: "@" in v
+    if kind == "secret":
+        return lambda i: False, _is_hex
     if kind == "card":
-        return _walk(lambda v: _formatted(key, tweak, v, lambda i: i == 0), entity, luhn)
+        return lambda i: i == 0, luhn
     if kind == "phone":
         fixed = 2 if entity.startswith("+1") else 3 if entity.startswith("+") else int(entity[0] == "0" or entity[0] == "1" and len(entity) == 11)
-        return _walk(lambda v: _formatted(key, tweak, v, lambda i: i < fixed), entity, _phone_class)
+        return lambda i: i < fixed, _phone_class
     if kind == "iban":
-        return _walk(lambda v: _formatted(key, tweak, v, lambda i: i < 2), entity, lambda v: _iban_rest(v) == 1)
+        return lambda i: i < 2, lambda v: _iban_rest(v) == 1
     if kind == "ssn":
-        return _walk(lambda v: _formatted(key, tweak, v), entity, lambda v: v[:3] not in ("000", "666") and v[0] != "9" and v[4:6] != "00" and v[7:] != "0000")
-    return _formatted(key, tweak, entity)
+        return lambda i: False, _valid_ssn
+    return lambda i: False, lambda v: None
+
+
+def format_of(kind: str, entity: str) -> str | None:
+    """What every attempt keeps of an entity: within one format, each attempt is a bijection, and formats don't meet. None for names."""
+    if kind.startswith("name"):
+        return None
+    if kind == "ip":
+        return _network(entity)
+    if kind == "secret" and _is_hex(entity):
+        return f"hex {len(entity)}"
+    keep, kind_of = _rule(kind, entity)
+    marks = (c if keep(i) or not alphabet_of(c) else "\1" + alphabet_of(c)[0] for i, c in enumerate(entity))
+    return f"{''.join(marks)} {kind_of(entity)}"
+
+
+def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
+    """The surrogate of an entity key. Each attempt is, for all kinds but names, a bijection within the entity's format."""
+    tweak = f"{kind}|{attempt}"
+    if kind.startswith("name"):
+        return _name(key, attempt, kind, entity)
+    if kind == "secret" and _is_hex(entity):
+        digits = permuted(key, tweak + "|hex", [int(c, 16) for c in entity], [16] * len(entity))
+        return "".join(f"{d:x}" for d in digits)
+    if kind == "ip":
+        return _ip(key, tweak, entity)
+    keep, kind_of = _rule(kind, entity)
+    return _walk(lambda v: _formatted(key, tweak, v, keep), entity, kind_of)
 
 
 def dressed(kind: str, mention: str, value: str) -> str:
@@ -282,7 +339,7 @@ def dressed(kind: str, mention: str, value: str) -> str:
         it = iter(value.replace("+", ""))
         return "".join(next(it) if c.isalnum() else c for c in mention)
     if kind == "email":
-        return "".join(v.upper() if c.isupper() else v for c, v in zip(mention, value, strict=True)) if len(mention) == len(value) else value
+        return "".join(v.upper() if c.isupper() and len(v.upper()) == 1 else v for c, v in zip(mention, value, strict=True)) if len(mention) == len(value) else value
     if kind.startswith("name"):
         return value.upper() if mention.isupper() and len(mention) > 1 else value[:1].upper() + value[1:]
     return value
@@ -292,7 +349,7 @@ def dressed(kind: str, mention: str, value: str) -> str:
 Exceptions = dict[tuple[str, str], tuple[int, str]]
 
 
-def replaced(text: str | None, key: bytes, exceptions: Exceptions) -> tuple[str | None, list[str]]:
+def replaced(text: str | None, key: bytes, exceptions: Exceptions, make: Callable[..., str] = surrogate) -> tuple[str | None, list[str]]:
     """The text with all entities replaced, and their kinds."""
     found = find_entities(text)
     if not found:
@@ -301,7 +358,7 @@ def replaced(text: str | None, key: bytes, exceptions: Exceptions) -> tuple[str
     for start, end, kind, value in found:
         entity = entity_key(kind, value)
         attempt, kind_of = exceptions.get((kind, entity), (0, kind))
-        out += [text[at:start], dressed(kind, value, surrogate(key, kind_of, entity, attempt))]
+        out += [text[at:start], dressed(kind, value, make(key, kind_of, entity, attempt))]
         at = end
     return "".join(out) + text[at:], [k for _, _, k, _ in found]
 
@@ -311,11 +368,15 @@ def replaced(text: str | None, key: bytes, exceptions: Exceptions) -> tuple[str
 
 def surrogate_table(df: DataFrame, key: bytes, text_col: str = "text", make: Callable[..., str] = surrogate) -> DataFrame:
     """All entities of the texts as (kind, entity, attempt, surrogate): surrogates are distinct within a family of kinds and
-    none is itself an entity of the texts. Colliding ones are made anew with the next attempt, all but the first of them by (attempt, entity), until none is left.
+    none is itself an entity of the texts. Colliding ones are made anew with the next attempt, all but the first of them by (attempt, entity), until
+    none is left; names grow with the attempts, so they always find a place. A format so full of real entities that after
+    FORMAT_ROUNDS some still collide takes one attempt for all its entities: a bijection, so they stay distinct, and of FORMAT_CHOICES the one that
+    leaves the fewest entities as they are; only in such a format can a surrogate be another real entity.
     """
     spark = df.sparkSession
     bound_arrow_batches(spark)
     texts = df.select(df[f"`{text_col}`"].alias("text")).where("text IS NOT NULL")
+    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,21 +387,35 @@ def surrogate_table(df: DataFrame, key: bytes, text_col: str = "text", make: Cal
     def made(kind: str, entity: str, attempt: int) -> str:
         return make(key, kind, entity, attempt)
 
+    @F.udf("string", useArrow=True)
+    def form(kind: str, entity: str) -> str | None:
+        return format_of(kind, entity)
+
     family = F.split("kind", "-")[0]
-    real = written(texts.mapInArrow(detect, "kind string, entity string").distinct(), "entities")
-    now = real.withColumn("attempt", F.lit(0)).withColumn("surrogate", made("kind", "entity", "attempt"))
-    for _ in range(MAX_ROUNDS):
-        now = written(now, "surrogates")
+    real = written(texts.mapInArrow(detect, "kind string, entity string").distinct(), "entities").repartition(n_tasks, "kind", "entity")
+    now = written(real.withColumn("attempt", F.lit(0)).withColumn("surrogate", made("kind", "entity", "attempt")), "surrogates")
+    full: DataFrame | None = None
+    for turn in count():
         first = Window.partitionBy(family, "surrogate").orderBy("attempt", "kind", "entity")
         taken = real.select(family.alias("f"), F.col("entity").alias("e"), F.lit(True).alias("hit")).distinct()
         judged = now.withColumn("n", F.row_number().over(first)).withColumn("f", family)
         judged = judged.join(taken, (judged["f"] == taken["f"]) & (judged["surrogate"] == taken["e"]), "left").drop(taken["f"])
         clash = (F.col("n") > 1) | F.coalesce("hit", F.lit(False))
-        if judged.where(clash).isEmpty():
-            return now
-        again = judged.withColumn("attempt", F.col("attempt") + clash.cast("int"))
-        now = again.select("kind", "entity", "attempt", F.when(clash, made("kind", "entity", "attempt")).otherwise(F.col("surrogate")).alias("surrogate"))
-    raise RuntimeError("surrogates still collide")
+        judged = written(judged.select("kind", "entity", "attempt", "surrogate", clash.alias("clash")), "judged")
+        if judged.where("clash").isEmpty():
+            return now if full is None else now.unionByName(full)
+        if turn == FORMAT_ROUNDS:
+            crowded = judged.where("clash").select("kind", form("kind", "entity").alias("form")).where("form IS NOT NULL").distinct()
+            formed = written(now.select("kind", "entity", form("kind", "entity").alias("form")).join(crowded, ["kind", "form"]), "crowded")
+            tried = formed.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(FORMAT_CHOICES - 1)))).repartition(n_tasks, "kind", "entity", "attempt")
+            tried = written(tried.withColumn("surrogate", made("kind", "entity", "attempt")), "tried")
+            left = tried.groupBy("kind", "form", "attempt").agg(F.sum((F.col("surrogate") == F.col("entity")).cast("long")).alias("same"))
+            best = left.groupBy("kind", "form").agg(F.min(F.struct("same", "attempt"))["attempt"].alias("attempt"))
+            full = tried.join(best, ["kind", "form", "attempt"]).select("kind", "entity", "attempt", "surrogate")
+            judged = judged.join(formed.select("kind", "entity"), ["kind", "entity"], "left_anti")
+        again = judged.withColumn("attempt", F.col("attempt") + F.col("clash").cast("int")).repartition(n_tasks, "kind", "entity")
+        remade = F.when(F.col("clash"), made("kind", "entity", "attempt")).otherwise(F.col("surrogate"))
+        now = written(again.select("kind", "entity", "attempt", remade.alias("surrogate")), "surrogates")
 
 
 def _exceptions(made: DataFrame) -> DataFrame:
@@ -358,8 +433,8 @@ def replace_entities(df: DataFrame, key: bytes, text_col: str = "text", make: Ca
     """Replace the personal data in each whole text; adds n_entities long and kinds array<string> (in order of the text).
 
     An entity has one surrogate in all texts (coreference), different ones have different surrogates that are no entity of the texts, and
-    surrogates depend on the key alone but for such collisions. A text without entities, or null, stays as it is. Columns
-    named n_entities or kinds are replaced; an empty table stays empty.
+    surrogates depend on the key alone but for such collisions. A text without entities, or null, stays as it is; equal
+    texts give equal texts. Letters of every script change within their script. Columns named n_entities or kinds are replaced; an empty table stays empty.
 
     Two passes over the texts; only entities are shuffled. Workers compute surrogates themselves and need just
     the exceptions: a table of up to MAX_SHARED rows, by count, is broadcast; a larger one is
@@ -389,7 +464,7 @@ def replace_entities(df: DataFrame, key: bytes, text_col: str = "text", make: Ca
                 exceptions = shared.value
                 if own.is_valid:
                     exceptions = {(o["kind"], o["entity"]): (o["attempt"], o["kind_of"]) for o in own.as_py()}
-                rows.append(replaced(text.as_py(), key, exceptions))
+                rows.append(replaced(text.as_py(), key, exceptions, make))
             columns = list(batch.columns[: len(kept)])
             columns[names.index(text_col)] = pa.array([t for t, _ in rows], pa.string())
             yield pa.RecordBatch.from_arrays(
