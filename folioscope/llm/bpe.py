@@ -30,9 +30,11 @@ MAX_RANK_BYTES = 64 << 20
 # Between a character that is no white space and a white space no pattern match crosses: no alternative of the pattern
 # takes white space after anything else.
 _SAFE = re.compile(r"(?<=\S)(?=[ \t\r\n])")
-# The library's regex engine overflows on these. Of such a run all but the last white space is one match, if
+# The white space of the pattern's \s (Unicode White_Space).
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The library's regex engine overflows on these. Of such a run, whatever white space it is made of, all but the last is one match, if
 # something else follows, and else the whole run is.
-_LONG_BLANK = re.compile(r"[ \t\r\n]{2000,}")
+_LONG_BLANK = re.compile(f"[{_BLANKS}]{{2000,}}")
 
 
 class Codec:
@@ -61,9 +63,6 @@ class Codec:
         at = 0
         for m in _LONG_BLANK.finditer(text):
             start, end = m.span()
-            # the run can be part of a longer one with other white space: leave its ends to the pattern
-            if start and text[start - 1].isspace() or end < len(text) and text[end].isspace():
-                continue
             yield from Codec._segments(text[at:start])
             at = end if end == len(text) else end - 1
             yield "blank", text[start:at]
