@@ -6,13 +6,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import written
+
 #: Cells of the whole grid at most; the table of curve indices is a literal of that length.
 MAX_CELLS = 1 << 16
 #: Parts of each cell. Rows of one cell are spread over them by hash before they are numbered, so a cell that holds
 #: a third of all rows is numbered by this many tasks.
 CELL_PARTS = 256
-#: Bytes of a string that count for its place in the order; longer common prefixes share a cell.
-PREFIX_BYTES = 7
 
 
 def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
@@ -59,15 +59,37 @@ def curve_table(n_dims: int, bits: int) -> list[int]:
 
 
 def ordered_number(df: DataFrame, name: str) -> Column:
-    """A double that keeps the order of a numeric, date or string column, for cut points and file pruning."""
-    kind = dict(df.dtypes)[name]
+    """A double that keeps the order of a numeric or date column, nulls as the least."""
     c = df[f"`{name}`"]
-    if kind in ("string", "binary"):
-        prefix = F.rpad(F.hex(F.substring(c.cast("binary"), 1, PREFIX_BYTES)), 2 * PREFIX_BYTES, "0")
-        return F.conv(prefix, 16, 10).cast("double")
-    if kind.startswith(("timestamp", "date")):
-        return c.cast("timestamp").cast("double")
-    return c.cast("double")
+    if dict(df.dtypes)[name].startswith(("timestamp", "date")):
+        c = c.cast("timestamp")
+    return F.coalesce(c.cast("double"), F.lit(float("-inf")))
+
+
+def string_cuts(df: DataFrame, names: list[str], wanted: list[float]) -> dict[str, list[str]]:
+    """The exact quantiles of whole strings, nulls as the least: for each column the distinct values at the wanted shares of all rows.
+
+    Rows are counted by value before the shuffle, values are sorted over ranges, and each range's sum gives the next one's
+    start, so no task sees all values; only the cuts come to the driver.
+    """
+    if not names:
+        return {}
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("dim"), df[f"`{c}`"].cast("string").alias("value")) for c in names]))
+    counts = df.select(values.alias("v")).select("v.*").groupBy("dim", "value").agg(F.count("*").alias("n"))
+    ranged = counts.repartitionByRange(F.col("dim"), F.col("value").asc_nulls_first()).select("*", F.spark_partition_id().alias("part"))
+    ranged = written(ranged, "string_values")
+    sums = ranged.groupBy("dim", "part").agg(F.sum("n").alias("n"))  # one row for each range
+    before = Window.partitionBy("dim").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("dim", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy("dim")).alias("all"))
+    inside = Window.partitionBy("dim", "part").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("upto", F.sum("n").over(inside)).join(F.broadcast(starts), ["dim", "part"])
+    upto = F.col("start") + F.col("upto")
+    marks = F.array(*[F.lit(w) for w in wanted])
+    is_cut = F.exists(marks, lambda w: (upto >= w * F.col("all")) & (upto - F.col("n") < w * F.col("all")))
+    cuts: dict[str, list[str]] = {c: [] for c in names}
+    for r in placed.where(is_cut & F.col("value").isNotNull()).select("dim", "value").collect():  # at most one for each wanted share
+        cuts[r.dim].append(r.value)
+    return cuts
 
 
 def hilbert_shards(
@@ -75,8 +97,8 @@ def hilbert_shards(
 ) -> DataFrame:
     """Put every row into one of n_shards runs of Hilbert order whose row counts differ by at most one.
 
-    Each dimension is quantised to 2**bits classes of about equal counts, at percentiles over all rows; nulls are in
-    the lowest class and NaN in the highest. Rows are ordered by curve index, then by hash part of the id, then by
+    Each dimension is quantised to 2**bits classes of about equal counts, at quantiles over all rows (of strings by their whole
+    bytes, of numbers from a sketch); nulls are in the lowest class and NaN in the highest. Rows are ordered by curve index, then by hash part of the id, then by
     id (nulls first); rows that tie in all that are exchangeable. Returns the columns of df and curve int, shard int,
     slot long (place in the shard, gapless from 0), replacing columns of these names. An empty table stays empty.
 
@@ -85,15 +107,19 @@ def hilbert_shards(
     """
     base = df.select(*[df[f"`{c}`"] for c in df.columns if c not in ("curve", "shard", "slot")])
     classes = (1 << bits) - 1
-    numbers = [F.coalesce(ordered_number(base, d), F.lit(float("-inf"))) for d in dims]
     wanted = [(i + 1) / (classes + 1) for i in range(classes)]
-    cuts = base.select(*[x.alias(f"d{i}") for i, x in enumerate(numbers)]).agg(
-        *[F.percentile_approx(f"d{i}", wanted, 1000).alias(f"d{i}") for i in range(len(dims))]
-    ).first()  # fmt: skip  one row, of bounded size
+    kinds = dict(base.dtypes)
+    numbers = {d: ordered_number(base, d) for d in dims if kinds[d] not in ("string", "binary")}
+    cuts = string_cuts(base, [d for d in dims if d not in numbers], wanted)
+    if numbers:
+        sketched = base.select(*[x.alias(f"d{i}") for i, x in enumerate(numbers.values())])
+        points = sketched.agg(*[F.percentile_approx(c, wanted, 1000) for c in sketched.columns]).first()  # one row, of bounded size
+        cuts |= {d: p or [] for d, p in zip(numbers, points, strict=True)}
     cell = F.lit(0)
-    for x, points in zip(numbers, cuts, strict=True):
-        digit = sum((F.when(x > F.lit(p), 1).otherwise(0) for p in sorted(set(points or []))), F.lit(0))
-        cell = cell * (classes + 1) + digit
+    for d in dims:
+        x = numbers[d] if d in numbers else base[f"`{d}`"].cast("string")
+        above = [F.when(x > F.lit(p), 1).otherwise(0) for p in sorted(set(cuts[d]))]
+        cell = cell * (classes + 1) + sum(above, F.lit(0))
     table = F.array(*[F.lit(i) for i in curve_table(len(dims), bits)])
     part = F.pmod(F.xxhash64(F.lit(17), base[f"`{id_col}`"]), F.lit(CELL_PARTS)).cast("int")
     placed = base.withColumns({"__cell": cell, "__part": part})
