@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm.common import bound_arrow_batches
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Is there a character of Unicode category L? str.isalpha tests for just these."""
+    return any(map(str.isalpha, text))
 
 
 @dataclass(frozen=True)
@@ -133,25 +136,31 @@ def windows_of(raw: bytes, size: int) -> np.ndarray:
 
 
 def fit(df: DataFrame, text_col: str, label_col: str, key_col: str, config: Config = Config()) -> ByteNet | None:
-    """Train on the labelled rows of df: for each label the config.sample_rows of least hash of key, text and label, and of each a
-    piece of config.sample_chars at a hashed place. None where no row has a label and a text.
+    """Train on the labelled rows of df: for each label the config.sample_rows of least hash of key and text length, and of each a
+    piece of config.sample_chars at a hashed place; equal pieces of one hash count once, ties go by the piece. None where no row has a label and a text; more
+    than config.max_labels labels are an error.
+
+    Labels are counted first, with partial sums before the shuffle. Their counts give the hash below which there are the wanted rows and
+    half as many more, so of a label that has most rows only about 1.5 sample_rows leave the tasks that read them.
     """
     text, label = F.col(f"`{text_col}`"), F.col(f"`{label_col}`")
-    order = F.xxhash64(F.lit(config.seed), F.col(f"`{key_col}`"), F.length(text))
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(config.seed), F.col(f"`{key_col}`"), F.length(text)), 11) / F.lit(float(1 << 53))
     start = F.pmod(F.xxhash64(F.lit(config.seed + 1), F.col(f"`{key_col}`")), F.greatest(F.lit(1), F.length(text) - config.sample_chars + 1))
-    rows = df.where(text.isNotNull() & label.isNotNull()).select(
+    labelled = df.where(text.isNotNull() & label.isNotNull())
+    counts = labelled.groupBy(label.cast("string").alias("label")).count().limit(config.max_labels + 1).collect()
+    if not counts:
+        return None
+    if len(counts) > config.max_labels:
+        raise ValueError(f"over {config.max_labels} labels")
+    labels = sorted(r.label for r in counts)
+    below = [(r.label, min(1.0, (1.5 * config.sample_rows + 100) / r["count"])) for r in counts]
+    below = df.sparkSession.createDataFrame(below, "label string, below double")
+    rows = labelled.select(
         label.cast("string").alias("label"), order.alias("o"), F.substr(text, (start + 1).cast("int"), F.lit(config.sample_chars)).alias("piece")
     )
-    from pyspark.sql import Window
-
+    rows = rows.join(F.broadcast(below), "label").where("o < below").select("label", "o", "piece").distinct()
     best = rows.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("o", "piece")))
-    best = best.where(F.col("n") <= config.sample_rows)
-    sample = sorted((r.label, r.o, r.piece) for r in best.limit(config.max_labels * config.sample_rows).collect())
-    labels = sorted({r[0] for r in sample})
-    if not labels:
-        return None
-    if len(labels) > config.max_labels:
-        raise ValueError(f"over {config.max_labels} labels")
+    sample = sorted((r.label, r.o, r.piece) for r in best.where(F.col("n") <= config.sample_rows).collect())
     x, y = [], []
     for label_of, _, piece in sample:
         for w in windows_of(piece.encode(), config.window):
@@ -194,7 +203,7 @@ TURN = 4096
 
 def predict_texts(net: ByteNet | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
     names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    live = [i for i, t in enumerate(texts) if net is not None and t and _LETTER.search(t)]
+    live = [i for i, t in enumerate(texts) if net is not None and t and has_letter(t)]
     if not live:
         return names, scores
     votes = np.zeros((len(live), len(net.labels)))
