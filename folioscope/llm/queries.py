@@ -179,14 +179,19 @@ FROM embeddings LEFT JOIN degree ON degree.a = vec_id LEFT JOIN least ON least.a
 WITH RECURSIVE sizes AS (
   SELECT source, sum(octet_length(encode(coalesce(text, ''))))::DOUBLE AS size FROM documents GROUP BY source
 ), rates AS (
-  SELECT source, least((1.0::DOUBLE / (SELECT count(*) FROM sizes)::DOUBLE) * (SELECT sum(size) FROM sizes) / size, 64.0::DOUBLE) AS rate FROM sizes
-), cdf(source, rate, k, p, c) AS (
-  SELECT source, rate, 0, exp(-rate), exp(-rate) FROM rates
-  UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < 160
+  SELECT source, (1.0::DOUBLE / (SELECT count(*) FROM sizes)::DOUBLE) * (SELECT sum(size) FROM sizes) / size AS rate FROM sizes
+), parts AS (
+  SELECT source, rate, greatest(ceil(rate / 64.0), 1)::INTEGER AS n_parts, rate / greatest(ceil(rate / 64.0), 1) AS mean FROM rates
+), cdf(source, mean, k, p, c) AS (
+  SELECT source, mean, 0, exp(-mean), exp(-mean) FROM parts
+  UNION ALL SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM cdf WHERE k < 160
+), seeded AS (
+  SELECT d.*, rate, unnest(range(n_parts)) AS part FROM documents d JOIN parts s ON d.source IS NOT DISTINCT FROM s.source
 ), units AS (
-  SELECT *, ('0x' || substr(md5('mix-1:count:' || coalesce(doc_id::VARCHAR, '~')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents
+  SELECT *, ('0x' || substr(md5(CASE part WHEN 0 THEN 'mix-1:count:' ELSE 'mix-1:part:' || part || ':' END || coalesce(doc_id::VARCHAR, '~')), 1, 13))::BIGINT
+    / 4503599627370496.0::DOUBLE AS u FROM seeded
 ), counts AS (
-  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, any_value(t.rate) AS rate, count(*) AS k
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, d.rate, count(*) AS k
   FROM units d JOIN cdf t ON d.source IS NOT DISTINCT FROM t.source AND t.c <= d.u GROUP BY ALL
 )
 SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy, round(rate, 9) AS rate,
