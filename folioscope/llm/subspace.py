@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from folioscope.llm.common import bound_arrow_batches, components, written
 
-#: Dimensions of a block, and of the grid in it that deals out the work.
+#: Dimensions of a block, and of the grid in it that deals out the work: two, and one more for each GRID_STEP-fold of a label's vectors beyond GRID_FROM.
 BLOCK_DIMS, GRID_DIMS = 8, 2
+GRID_FROM, GRID_STEP = 100_000, 3
+#: Side of a grid's cells, in radii.
+WIDTH = 2
 #: Vectors on one side of a task. A cell with more is cut into parts, and a task takes a pair of parts.
 MAX_SIDE = 3000
+#: Pairs of one cell of the finer grid that are tested at once.
+MAX_PAIRS = 1 << 18
 #: Budgets are widened by this against rounding; exact checks follow.
 SLACK = 1e-6
 
@@ -50,19 +54,84 @@ def usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & ~bad & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def _cells(y: np.ndarray, dims: int, radius: float) -> list[np.ndarray]:
-    """Cells that the box of half a radius around each vector touches, as (row, cell...) arrays: one or two a dimension."""
-    width = 2 * radius
-    low = np.floor((y[:, :dims] - radius / 2) / width).astype(np.int64)
-    high = np.floor((y[:, :dims] + radius / 2) / width).astype(np.int64)
-    out = []
-    for side in product((0, 1), repeat=dims):
-        here = np.array(side, bool)
-        rows = np.flatnonzero(((high > low) | ~here).all(axis=1))
-        out.append(np.column_stack([rows, np.where(here, high[rows], low[rows])]))
+def _corners(y: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest and highest grid cell, in each dimension, that the box of half a radius around each vector touches: the same or the next."""
+    width = WIDTH * radius
+    return np.floor((y - radius / 2) / width).astype(np.int64), np.floor((y + radius / 2) / width).astype(np.int64)
+
+
+def _code(cells: np.ndarray) -> np.ndarray:
+    """A number for each row of cell coordinates (below 2**30 in absolute value for two, spread by multiplication for more)."""
+    out = np.zeros(len(cells), np.int64)
+    for d in range(cells.shape[1]):
+        out = out * np.int64(0x9E3779B97F4A7C15 - (1 << 64)) + cells[:, d]
     return out
 
 
+def _touched(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code of a cell) for all cells that each row's box touches; a dimension is doubled only for the rows that cross a border in it."""
+    rows, cells = np.arange(len(low)), low.copy()
+    for d in range(low.shape[1]):
+        more = np.flatnonzero(high[rows, d] > cells[:, d])
+        beyond = cells[more].copy()
+        beyond[:, d] = high[rows[more], d]
+        rows, cells = np.concatenate([rows, rows[more]]), np.concatenate([cells, beyond])
+    return rows, _code(cells)
+
+
+def near_in_block(z: np.ndarray, radius: float, left: np.ndarray, right: np.ndarray, dealt: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(i, j, pairs tested): pairs of rows of z, one of left and one of right, within the radius; each pair once, with i < j where both sides are the same.
+
+    A grid over the dimensions that the rows were not dealt by: two rows within the radius have boxes that meet, and the pair belongs to the one cell that holds the low
+    corner of what both touch. Only pairs that share a cell are tested.
+    """
+    low, high = _corners(z[:, dealt:], radius)
+    side = np.zeros(len(z), np.int8)
+    side[left] |= 1
+    side[right] |= 2
+    same = bool((side == 3).any())
+    rows, code = _touched(low, high)
+    order = np.lexsort((rows, code))
+    rows, code = rows[order], code[order]
+    start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    size = np.diff(np.append(start, len(code)))
+    crowd = size > 1
+    start, size = start[crowd], size[crowd]
+    # cells of few rows together, up to MAX_PAIRS pairs at once; a larger cell in blocks of its rows
+    work = size * size
+    at = 0
+    while at < len(start):
+        if work[at] > MAX_PAIRS:
+            members = rows[start[at] : start[at] + size[at]]
+            step = max(1, MAX_PAIRS // size[at])
+            for a in range(0, size[at], step):
+                i = np.repeat(members[a : a + step], size[at])
+                yield _tested(z, radius, low, code[start[at]], i, np.tile(members, len(members[a : a + step])), side, same)
+            at += 1
+            continue
+        upto = at + max(1, int(np.searchsorted(np.cumsum(work[at:]), MAX_PAIRS, side="right")))
+        some = work[at:upto] <= MAX_PAIRS
+        upto = at + int(np.argmin(some)) if not some.all() else upto
+        n, first = size[at:upto], start[at:upto]
+        which = np.repeat(np.arange(len(n)), n * n)
+        inside = np.arange(len(which)) - np.repeat(np.cumsum(n * n) - n * n, n * n)
+        i, j = rows[first[which] + inside // n[which]], rows[first[which] + inside % n[which]]
+        yield _tested(z, radius, low, code[first][which], i, j, side, same)
+        at = upto
+
+
+def _tested(z, radius, low, code, i, j, side, same):
+    ok = (i < j) if same else ((side[i] & 1) > 0) & ((side[j] & 2) > 0)
+    code = code[ok] if np.ndim(code) else code
+    i, j = i[ok], j[ok]
+    tested = len(i)
+    ok = ((z[i] - z[j]) ** 2).sum(axis=1) <= radius * radius + 1e-9
+    code = code[ok] if np.ndim(code) else code
+    i, j = i[ok], j[ok]
+    ok = _code(np.maximum(low[i], low[j])) == code if len(i) else np.zeros(0, bool)
+    return i[ok], j[ok], tested
+
+
 def near_duplicates(
     df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
@@ -72,11 +141,13 @@ def near_duplicates(
     the row's own). Rows with null label, null id, or a vector that is null, zero or has null or non-finite components link
     with nothing (n_links 0, component their id); an empty table stays empty; other columns are ignored.
 
-    Equal vectors are one representative with a count, so copies are never paired. Unit vectors are rotated and split into
-    blocks; each block is range-joined under its budget on a grid of its first dimensions, each pair in the one cell that holds the low
+    Equal vectors are one representative with a count, so copies are never paired. Rows with equal ids and other vectors are rows of their own: each counts its own
+    links, and they share the component of the least of them. Unit vectors are rotated and split into
+    blocks; each block is range-joined under its budget: a grid of its first dimensions, more of them for labels of more vectors, deals vectors to tasks, and
+    a finer one of all its dimensions picks the pairs there. A pair belongs to the one cell that holds the low
     corner of both boxes; the full cosine is computed at once, and a pair counts in the first block within budget, which is
     the union of the blocks' candidates without gathering pairs. Tasks give link counts and a spanning forest,
-    not pairs. A crowded cell is cut into parts, and each pair of parts is a task, whatever its size.
+    not pairs. Vectors are dealt once, as places without the vectors themselves; a crowded cell is cut into parts, and each pair of parts is a task, whatever its size.
     """
     spark = df.sparkSession
     bound_arrow_batches(spark)
@@ -88,18 +159,20 @@ def near_duplicates(
         good.groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("vec").alias("vec")),
         "vectors",
     )
-    kind = reps.schema["vec"].dataType
-    dealt = reps.select("label", "rep", "mult", "vec").mapInArrow(_deal(threshold), T.StructType([
-        T.StructField("label", T.StringType()), T.StructField("dim", T.IntegerType()), T.StructField("block", T.IntegerType()),
-        T.StructField("cell", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("mult", T.LongType()), T.StructField("vec", kind),
-    ]))
-    place = ["label", "dim", "block", "cell"]
-    crowded = dealt.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") > MAX_SIDE)
+    sizes = reps.groupBy("label").agg(F.count("*").alias("n"))  # one row for each label
+    grown = F.ceil(F.log(F.col("n") / GRID_FROM) / F.log(F.lit(float(GRID_STEP))))
+    grid = F.least(F.lit(BLOCK_DIMS), F.lit(GRID_DIMS) + F.greatest(F.lit(0), grown)).cast("int")
+    sized = reps.join(sizes.select("label", grid.alias("grid")), "label")
+    dealt = written(
+        sized.select("label", "rep", "grid", "vec").mapInArrow(_deal(threshold), "label string, dim int, grid int, block int, cell long, rep long"), "vector_places"
+    )
+    place = ["label", "dim", "grid", "block", "cell"]
+    crowded = dealt.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") > 1)
     crowded = crowded.select(*place, F.ceil(F.col("n") / MAX_SIDE).cast("int").alias("parts"))
-    parted = dealt.join(crowded, place, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    parted = parted.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    parted = dealt.join(crowded, place).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     parted = parted.withColumns({"a": F.least("part", "other"), "b": F.greatest("part", "other")}).drop("parts", "other")
+    parted = parted.join(reps.select("label", "rep", "mult", "vec"), ["label", "rep"])
     found = written(
         parted.groupBy(*place, "a", "b").applyInArrow(_link(threshold), "rep long, links long, root long"), "vector_links"
     )
@@ -127,58 +200,40 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _deal(threshold: float):
     def run(batches):
         for batch in batches:
-            sizes = np.diff(batch.column(3).offsets.to_numpy())
-            for dim in np.unique(sizes).tolist():
-                some = batch.take(pa.array(np.flatnonzero(sizes == dim)))
+            sizes, grids = np.diff(batch.column(3).offsets.to_numpy()), batch.column(2).to_numpy()
+            for dim, grid in np.unique(np.column_stack([sizes, grids]), axis=0).tolist():
+                some = batch.take(pa.array(np.flatnonzero((sizes == dim) & (grids == grid))))
                 y = unit(_matrix(some.column(3))) @ rotation(dim)
                 for i, (first, end, budget) in enumerate(blocks(dim, threshold)):
-                    dims = min(GRID_DIMS, end - first)
-                    for found in _cells(y[:, first:end], dims, budget**0.5):
-                        if not len(found):
-                            continue
-                        cell = found[:, 1]
-                        for d in range(2, dims + 1):
-                            cell = (cell << 30) ^ found[:, d]
-                        head = some.take(pa.array(found[:, 0]))
-                        n = len(found)
-                        yield pa.RecordBatch.from_arrays(
-                            [head.column(0), pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, i, np.int32)), pa.array(cell), head.column(1), head.column(2), head.column(3)],
-                            names=["label", "dim", "block", "cell", "rep", "mult", "vec"],
-                        )
+                    dims, radius = min(grid, end - first), budget**0.5
+                    rows, cell = _touched(*_corners(y[:, first : first + dims], radius))
+                    head, n = some.take(pa.array(rows)), len(rows)
+                    same = lambda v: pa.array(np.full(n, v, np.int32))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays(
+                        [head.column(0), same(dim), same(grid), same(i), pa.array(cell), head.column(1)], names=["label", "dim", "grid", "block", "cell", "rep"]
+                    )
 
     return run
 
 
 def _link(threshold: float):
     def run(group: pa.Table) -> pa.Table:
-        dim, number, cell = (group.column(c)[0].as_py() for c in ("dim", "block", "cell"))
+        dim, grid, number, cell = (group.column(c)[0].as_py() for c in ("dim", "grid", "block", "cell"))
         a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
         rep, mult, part = (group.column(c).to_numpy() for c in ("rep", "mult", "part"))
         x = unit(_matrix(group.column("vec")))
         y = x @ rotation(dim)
         layout = blocks(dim, threshold)
         first, end, budget = layout[number]
-        dims, radius = min(GRID_DIMS, end - first), budget**0.5
-        corner = np.floor((y[:, first : first + dims] - radius / 2) / (2 * radius)).astype(np.int64)
-        left, right = np.flatnonzero(part == a), np.flatnonzero(part == b)
+        dims, radius = min(grid, end - first), budget**0.5
+        corner, _ = _corners(y[:, first : first + dims], radius)
         links, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
-        z = y[:, first:end]
-        squares = (z * z).sum(axis=1)
-        for at in range(0, len(left), 512):
-            i = left[at : at + 512]
-            near = squares[i][:, None] + squares[right][None] - 2 * (z[i] @ z[right].T) <= budget + 1e-9
-            p, q = np.nonzero(near)
-            i, j = i[p], right[q]
-            if a == b:
-                i, j = i[i < j], j[i < j]
+        for i, j, _ in near_in_block(y[:, first:end], radius, np.flatnonzero(part == a), np.flatnonzero(part == b), dims):
+            # the pair belongs to the task of the low corner that both boxes have in common
+            own = _code(np.maximum(corner[i], corner[j])) == cell if len(i) else np.zeros(0, bool)
+            i, j = i[own], j[own]
             for s in range(0, len(i), 1 << 16):
                 u, v = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                if dims:  # the pair belongs to the cell of the low corner that both boxes have in common
-                    own = np.maximum(corner[u], corner[v])
-                    code = own[:, 0]
-                    for d in range(1, dims):
-                        code = (code << 30) ^ own[:, d]
-                    u, v = u[code == cell], v[code == cell]
                 ok = (x[u] * x[v]).sum(axis=1) >= threshold
                 u, v = u[ok], v[ok]
                 gap = (y[u] - y[v]) ** 2
