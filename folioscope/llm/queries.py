@@ -66,7 +66,7 @@ def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiff.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return tiff.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), layouts=tiff.LAYOUTS).drop("text")
 
 
 URL_RULES = [

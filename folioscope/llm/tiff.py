@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -379,19 +379,25 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 
 def feature_of(pages: list[Page]) -> str:
-    """Pages, rows, and of the samples sum, sum of squares and number of different values."""
+    """Pages, rows, how they were stored, and of the samples sum, sum of squares and number of different values."""
     counts = sum(np.bincount(np.frombuffer(p.samples, np.uint8), minlength=256) for p in pages)
     values = np.arange(256)
-    return f"pages={len(pages)};rows={sum(p.height for p in pages)};sum={int(counts @ values)};squares={int(counts @ values**2)};values={int((counts > 0).sum())}"
+    how = f"compression={pages[0].compression};predictor={pages[0].predictor}"
+    return f"pages={len(pages)};rows={sum(p.height for p in pages)};{how};sum={int(counts @ values)};squares={int(counts @ values**2)};values={int((counts > 0).sum())}"
 
 
 STORED_COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def store_texts(df: DataFrame, text_col: str = "text", layout: Layout = Layout(), media: bool = False) -> DataFrame:
+#: Every compression in strips and in tiles, with and without a predictor.
+LAYOUTS = tuple(Layout(compression=c, tile=tile, predictor=1 + (i + j) % 2) for i, c in enumerate((NONE, LZW, DEFLATE, PACKBITS)) for j, tile in enumerate((0, 16)))
+
+
+def store_texts(df: DataFrame, text_col: str = "text", layouts: Sequence[Layout] = (Layout(),), media: bool = False) -> DataFrame:
     """Store each whole text as a TIFF file, read the file back page by page, and describe what was read.
 
-    The text (null: empty) in UTF-8, padded by zeros to a positive multiple of 64, is the payload. Adds STORED_COLUMNS, and the
+    The text (null: empty) in UTF-8, padded by zeros to a positive multiple of 64, is the payload; its CRC-32 picks one of the layouts. A file that claims an image of
+    over 4096 times its own size is refused. Adds STORED_COLUMNS, and the
     file as binary media if asked for, replacing columns of these names. Rows are independent; equal texts get equal values.
     """
     bound_arrow_batches(df.sparkSession)
@@ -406,7 +412,7 @@ def store_texts(df: DataFrame, text_col: str = "text", layout: Layout = Layout()
             rows = []
             for value in batch.column(len(kept)):
                 n, payload = payload_of(value.as_py())
-                stored = write_payload(payload, layout)
+                stored = write_payload(payload, layouts[zlib.crc32(payload) % len(layouts)])
                 pages = list(read_pages(stored))
                 back = b"".join(p.samples for p in pages)
                 rows.append([n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(pages), *[stored] * media])
