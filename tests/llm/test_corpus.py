@@ -106,6 +106,26 @@ def test_shard_edges(spark):
         hilbert.curve_table(5, 5)
 
 
+def test_cells_and_curve_indices(spark):
+    """Classes by quantiles of whole values, recomputed in plain Python, and each row's index from the curve's own table."""
+    rng = random.Random(5)
+    names = [None, "crawl-2023-a", "crawl-2023-b", "crawl-2023-c", "zebra", ""]
+    rows = [(i, rng.choice(names), rng.choice([None, 1, 5, 5, 9, 1000])) for i in range(400)]
+    rows[0] = (0, "x" * 100_000, 7)
+    got = hilbert.hilbert_shards(spark.createDataFrame(rows, "doc_id long, name string, size int"), ("name", "size"), n_shards=9, bits=2).collect()
+    check_shards(got, 9)
+
+    def cuts(values, low):
+        held = sorted(((low, "") if v is None else (1, v)) for v in values)
+        return {held[-(-len(held) * k // 4) - 1] for k in (1, 2, 3)} - {(low, "")}
+
+    by_name, by_size = cuts([r[1] for r in rows], 0), cuts([r[2] for r in rows], 0)
+    table = hilbert.curve_table(2, 2)
+    for r in got:
+        cell = sum(r.name is not None and r.name > v for _, v in by_name) * 4 + sum(r.size is not None and r.size > v for _, v in by_size)
+        assert r.curve == table[cell]
+
+
 def test_written_shards(spark, tmp_path):
     df = spark.range(100).selectExpr("id AS doc_id", "id % 10 AS a", "id div 10 AS b")
     hilbert.write_shards(hilbert.hilbert_shards(df, ("a", "b"), n_shards=4), str(tmp_path / "s"))
@@ -151,6 +171,29 @@ def test_vectors(spark, monkeypatch, side):
     assert subspace.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_block_pairs_are_all_pairs_within_the_radius(monkeypatch):
+    rng = np.random.default_rng(8)
+    for most in (1 << 18, 50):
+        monkeypatch.setattr(subspace, "MAX_PAIRS", most)
+        z = np.concatenate([rng.normal(size=(150, 8)) * 0.125, np.repeat(rng.normal(size=(3, 8)) * 0.1, 20, axis=0) + rng.normal(size=(60, 8)) * 0.01])
+        near = ((z[:, None] - z[None]) ** 2).sum(2) <= 0.07**2
+        want = {(i, j) for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True)}
+        sides = [np.arange(0, 210, 2), np.arange(1, 210, 2)]
+        got = [p for i, j, _ in subspace.near_in_block(z, 0.07, np.arange(210), np.arange(210)) for p in zip(i.tolist(), j.tolist(), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
+        got = [(min(p), max(p)) for i, j, _ in subspace.near_in_block(z, 0.07, *sides) for p in zip(i.tolist(), j.tolist(), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == {p for p in want if sum(p) % 2}
+
+
+def test_vectors_of_large_labels_are_dealt_finer(spark, monkeypatch):
+    monkeypatch.setattr(subspace, "GRID_FROM", 10)
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=20) * 0.02 + (i % 4 == np.arange(20) % 4)).astype(np.float32).tolist(), i % 2, "clash") for i in range(80)]
+    got = subspace.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, n_links string")).collect()
+    want = brute_vectors([r[:3] for r in rows], 0.98)
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want and any(n for n, *_ in want.values())
+
+
 # -- lines ----------------------------------------------------------------------------------------------------------
 
 
@@ -183,6 +226,33 @@ def test_lines(spark, batches):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_the_query_compacts(spark, monkeypatch):
+    """With the settings of the registered query, levels fill and are merged, and the runs are gone at the end."""
+    seen, dropped = [], []
+    real = linededup.LineRuns.add
+
+    def add(self, batch):
+        real(self, batch)
+        seen.append([len(x) for x in self.levels])
+
+    monkeypatch.setattr(linededup.LineRuns, "add", add)
+    monkeypatch.setattr(linededup.LineRuns, "drop", lambda self, was=linededup.LineRuns.drop: (dropped.append(self.runs()), was(self)))
+    queries.op8_line_runs(spark, SF)
+    assert seen == [[1], [0, 1], [1, 1], [0, 0, 1], [1, 0, 1]]
+    assert dropped and not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+    monkeypatch.setattr(linededup.LineRuns, "keys", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        queries.op8_line_runs(spark, SF)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_one_very_long_text(spark):
+    long = "\n".join(["a line that five documents have, in the end"] + [f"line {i} of a very long text, which only it has" for i in range(20_000)])
+    rows = [(i, "a line that five documents have, in the end") for i in range(5)] + [(9, long)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: (1, 1) for i in range(5)}, 9: (20_001, 0)}
+
+
 def test_runs_are_compacted(spark):
     runs = linededup.LineRuns(spark, n_buckets=2, fan_out=2)
     for b in range(5):
@@ -228,6 +298,49 @@ def test_shingle_groups(spark, monkeypatch, scheme, side):
     assert partenum.shingle_groups(df.limit(0), scheme).count() == 0
 
 
+def test_common_passages_and_short_sets(spark):
+    """Many documents share passages, some of them are near copies: heavy signatures, sets that can spare them and sets that can't, and sets of few shingles."""
+    rng = random.Random(77)
+    voc = [f"v{i}" for i in range(4000)]
+    passages = [rng.choices(voc, k=60) for _ in range(3)]
+    rows = []
+    for i in range(150):
+        body = rng.choices(voc, k=rng.choice([5, 60, 200]))
+        for p in passages[: i % 4]:
+            at = rng.randrange(len(body) + 1)
+            body = body[:at] + p + body[at:]
+        rows.append((len(rows), " ".join(body)))
+        if i % 5 == 0:
+            body[rng.randrange(len(body))] = "other"
+            rows.append((len(rows), " ".join(body)))
+    base = rng.choices(voc, k=14)
+    for n in (8, 9, 10, 11, 12, 13, 14):  # sets of four to ten shingles of five words
+        for _ in range(20):
+            words = [rng.choice(voc) if rng.random() < 0.03 else w for w in base[:n]]
+            rows.append((len(rows), " ".join(words)))
+    scheme = partenum.Scheme(5, 80, 100)
+    sets = {i: shingles(t, 5) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if b < a and scheme.links(len(sets[a] & sets[b]), len(sets[a]), len(sets[b]))]
+    got = partenum.shingle_groups(spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, node long, sig string"), scheme, leads=True).collect()
+    want = closure(sets, links)
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert {r.doc_id for r in got if r.lead} == set(want.values())
+
+
+def test_few_shingles_give_all_their_deletions():
+    rng = np.random.default_rng(3)
+    scheme = partenum.Scheme(5, 80, 100)
+    h = np.sort(rng.integers(1, 2**63, (2000, 6), dtype=np.int64).astype(np.uint64), axis=1).ravel()
+    sig, owner, instance, margin = partenum.signatures(h, np.full(2000, 6), scheme)
+    assert np.unique(sig, return_counts=True)[1].max() == 1, "no two of these sets have a signature in common"
+
+
+def test_same_id_with_other_text(spark):
+    rows = [(3, "one two three four five six seven eight"), (5, "one two three four five six seven eight"), (5, "a text of its own that is like no other here"), (5, None), (3, "one two three four five six seven eight"), (None, "x y z")]
+    got = partenum.shingle_groups(spark.createDataFrame(rows, "doc_id long, text string"), partenum.Scheme(5, 80, 100), leads=True).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.lead) for r in got) == [(0, 0, True), (3, 3, True), (3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True)]
+
+
 def test_signatures_miss_nothing():
     rng = random.Random(9)
     voc = [f"w{i}" for i in range(3000)]
@@ -242,7 +355,7 @@ def test_signatures_miss_nothing():
                 texts.append(" ".join(b[: int(len(b) * rng.choice([1, 1, 0.9]))]).encode())
             ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
             h, counts = partenum.shingle_sets(np.frombuffer(b"".join(texts), np.uint8), ends, scheme.words)
-            sig, owner, _ = partenum.signatures(h, counts, scheme)
+            sig, owner, *_ = partenum.signatures(h, counts, scheme)
             at = np.concatenate([[0], np.cumsum(counts)])
             sets = [set(h[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]
             sigs = [set(sig[owner == i].tolist()) for i in range(len(sets))]
@@ -285,9 +398,47 @@ def test_mix_reaches_the_weights_of_tiny_sources(spark, monkeypatch):
     assert abs(mixed.first().rate - 10002 / 4) < 1e-9
 
 
+def test_mix_of_a_rate_of_hundreds(spark):
+    df = spark.range(10_001).selectExpr("id AS doc_id", "if(id < 10000, 'many', 'one') AS source", "if(id = 10000, repeat('x', 200000), 'y') AS text")
+    mixed = mixing.poisson_mix(df.drop("text"), seed="s").where("source = 'one'")
+    n = mixed.count()
+    assert abs(n - 5000.5) < 5 * 5000**0.5 and mixed.first().rate == 5000.5
+    sized = mixing.poisson_mix(df, size=F.octet_length("text")).groupBy("source").agg(F.count("*").alias("n")).collect()
+    assert {r.source for r in sized} == {"many", "one"}
+
+
 # -- pipeline -------------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("case", ["odd", "empty", "unlabelled"])
+def test_pipeline_edges(spark, case):
+    """Nulls in every column, empty and long texts, repeats, shared ids, and more columns than expected, through all stages."""
+    long = "the cat and the dog went home again and " * 5000
+    rows = [
+        (1, "the cat and the dog are here, in this house of ours", "en", "a", 50), (2, "der Hund und die Katze sind hier, in diesem unserem Haus", "de", "b", 55), (3, None, None, None, None), (4, "", "en", "a", 0),
+        (5, long, "en", None, None), (None, "the cat and the dog are away, in that house", None, "a", 4), (1, "the cat and the dog are here, in this house of ours", "en", "a", 50),
+        (2, "the dog and a cat have another text under an old id", "en", "b", 51), (6, "12 34 !?", "de", "b", 8), (7, "der Hund und die Katze sind hier, in diesem unserem Haus", "de", "b", 55),
+    ]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, mark string, lead int")
+    if case == "empty":
+        df = df.limit(0)
+    if case == "unlabelled":
+        df = df.withColumn("lang", F.lit(None).cast("string"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        df = corpus_pipeline.written(stage(spark, df, SF), f"edge_{name}")
+        kept[name] = [(r.doc_id, r.text) if name != "tokens" else (r.doc_id, r.n_tokens) for r in df.collect()]
+    if case == "empty":
+        assert not any(kept.values())
+        return
+    assert len(kept["language"]) == (7 if case == "odd" else 10), "texts without a letter go, but only where languages were learned"
+    assert len(kept["lines"]) == len(kept["language"])
+    near = kept["near_duplicates"]
+    assert sorted(i or 0 for i, t in near if t) == sorted([0, 1, 2, 2, 5] + ([4, 6] if case == "unlabelled" else []))[: len(near)] or case == "unlabelled"
+    assert len(set(near)) == len(near) and (7, rows[1][1]) not in near and sum(i == 1 for i, _ in near) == 1 and sum(i == 2 for i, _ in near) == 2
+    assert {t for _, t in kept["mix"]} <= {t for _, t in near}
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, kept = set(docs.columns), {}

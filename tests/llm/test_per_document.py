@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -64,6 +65,15 @@ def test_bpe_query(spark):
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
 
 
+@pytest.mark.parametrize("blank", ["\u3000" * 1_000_000, "\x0b" * 1_000_000, "\u00a0" + " " * 1_000_000, (" " * 1500 + "\u00a0") * 700, "\x1c" * 3000 + " " * 3000])
+def test_long_runs_of_any_white_space(blank):
+    codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    for text in (blank, "a" + blank + "b", blank + "\x1cb"):
+        assert codec.decode(codec.encode(text)) == text.encode()
+    short = blank[:1000]
+    assert codec.encode("a" + short + "b") == library().encode_ordinary("a" + short + "b")
+
+
 # -- language -------------------------------------------------------------------------------------------------------
 
 
@@ -89,6 +99,82 @@ def test_language_edges(spark):
     assert langid.predict_languages(docs(spark, ["hello"]), one).first().score == 1.0
 
 
+def test_letters_are_those_of_category_l():
+    net = langid.ByteNet(["a", "b"])
+    assert langid.predict_texts(net, ["½ ² ③", "Ⅷ 12", "_", "x", "ß", "漢", "", None])[0].count(langid.UNKNOWN) == 5
+    assert all(langid.has_letter(c) == unicodedata.category(c).startswith("L") for c in map(chr, range(0x3000)))
+
+
+def test_labels_are_counted_not_cut(spark):
+    rows = [(i, "some text of a language", f"l{i:03d}") for i in range(257)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.fit(df, "text", "lang", "doc_id")
+    net = langid.fit(df.where("doc_id < 20"), "text", "lang", "doc_id", langid.Config(epochs=0))
+    assert len(net.labels) == 20
+
+
+def test_a_label_that_has_most_rows_is_sampled(spark):
+    df = spark.range(9000).selectExpr("id AS doc_id", "if(id < 8900, 'the cat and the dog', 'der Hund und die Katze') AS text", "if(id < 8900, 'en', 'de') AS lang")
+    seen = {}
+    real = langid.ByteNet.fit
+    langid.ByteNet.fit = lambda self, x, y: seen.update(y=y)
+    try:
+        langid.fit(df, "text", "lang", "doc_id", langid.Config(sample_rows=200))
+    finally:
+        langid.ByteNet.fit = real
+    assert np.bincount(seen["y"]).tolist() == [100, 200], "all of the rare label, the bound of the other"
+
+
+def test_forward_pass_and_gradients():
+    """Against a plain loop over filters and positions, and numeric derivatives."""
+    config = langid.Config(window=12, embed=3, widths=(2, 3), filters=2)
+    net = langid.ByteNet(["a", "b", "c"], config)
+    for name in ("table", "kernel", "bias", "head", "offset"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(1, 256, (5, 12)).astype(np.uint8), np.array([0, 1, 2, 0, 1])
+
+    def naive():
+        out = []
+        for row in x:
+            hidden = []
+            for f in range(4):
+                width = config.widths[f // 2]
+                best = max(sum(net.table[row[at + k]][e] * net.kernel[k * 3 + e, f] for k in range(width) for e in range(3)) for at in range(12 - 3 + 1))
+                hidden.append(max(best + net.bias[f], 0))
+            z = np.array(hidden) @ net.head + net.offset
+            out.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+        return np.array(out)
+
+    assert np.allclose(net.predict(x), naive(), atol=1e-6)
+    loss = lambda: -np.log(naive()[np.arange(5), y]).mean()
+    grads = net._gradients(x, y)
+    for name in ("kernel", "bias", "head", "offset", "table"):
+        value = getattr(net, name)
+        places = [tuple(rng.integers(0, n) for n in value.shape) for _ in range(6)] if name != "table" else [(int(x[0, i]), 1) for i in range(6)]
+        for at in places:
+            if name == "kernel" and not net.mask[at]:
+                continue
+            old = value[at]
+            value[at] = old + 1e-6
+            up = loss()
+            value[at] = old - 1e-6
+            down = loss()
+            value[at] = old
+            assert abs((up - down) / 2e-6 - grads[name][at]) < 1e-4
+
+
+def test_ties_repeats_and_empty_tables(spark):
+    labelled = docs(spark, ["the cat and the dog", "der Hund und die Katze"] * 5).selectExpr("doc_id", "text", "if(doc_id % 2 = 0, 'en', 'de') AS lang")
+    net = langid.fit(labelled, "text", "lang", "doc_id", langid.Config(epochs=1))
+    assert langid.predict_languages(docs(spark, ["x"]).limit(0), net).count() == 0
+    twice = langid.predict_languages(docs(spark, ["the cat", "the cat"]), net).collect()
+    assert twice[0].lang_pred == twice[1].lang_pred and twice[0].score == twice[1].score
+    net.predict = lambda x: np.full((len(x), 2), 0.5, np.float32)
+    assert langid.predict_texts(net, ["abc"]) == (["de"], [0.5]), "of equal shares the first label in order"
+
+
 def test_whole_text_counts():
     net = langid.ByteNet(["a", "b"], langid.Config(window=16))
     seen = []
@@ -170,6 +256,72 @@ def test_bijection():
     assert len({surrogates.surrogate(KEY, "phone", f"+1743555{i:04d}") for i in range(2000)}) == 2000
 
 
+def test_texts_that_no_surrogate_may_crash(spark):
+    """Values without an ASCII letter or digit, other scripts, and formats that are full."""
+    odd = [
+        "Password: ----------------", "token=________________", "mail иван@почта.рф now", "mail ΝΙΚΟΣ@ταχ.ελ and é.ñ@ü.fr", "secret: пароль1234567890секрет", "secret = ٠١٢٣٤٥٦٧٨٩٠١٢٣٤٥٦٧", "Mr Ян", "x" * 200_000 + " a@b.org", None, "",
+    ]
+    rows = {r.doc_id: r for r in surrogates.replace_entities(docs(spark, [*odd, odd[2]]), KEY).collect()}
+    assert rows[0].text == odd[0] and rows[1].text == odd[1] and rows[0].n_entities == 0
+    for i in (2, 3, 4, 5):
+        for *_, value in surrogates.find_entities(odd[i]):
+            assert value not in rows[i].text
+            assert {unicodedata.name(c).split()[0] for c in value if c.isalpha()} == {unicodedata.name(c).split()[0] for c in surrogates.find_entities(rows[i].text)[0][3] if c.isalpha()} or i == 3
+    assert rows[2].text == rows[len(odd)].text, "repeated rows fare alike"
+    assert rows[7].text.endswith(".org") and rows[8].text is None
+    assert surrogates.replace_entities(docs(spark, odd).limit(0), KEY).count() == 0
+
+
+def test_many_short_names_and_a_full_network(spark):
+    letters = "αβγδεζηθικλμνξοπρστυφχψω"
+    names = [a.upper() + b + c for a in letters for b in letters for c in letters][:12_000]
+    texts = [". ".join(f"κύριος {n}" for n in names[i : i + 100]) for i in range(0, len(names), 100)]
+    texts += [" ".join(f"192.168.{i}.{j}" for j in range(256)) for i in range(256)]
+    made = surrogates.surrogate_table(docs(spark, texts), KEY)
+    rows = made.collect()
+    for kind, want in (("name", 12_000), ("ip", 65_536)):
+        some = [r for r in rows if r.kind.startswith(kind)]
+        assert len(some) == want == len({r.surrogate for r in some})
+    assert not {r.surrogate for r in rows if r.kind.startswith("name")} & set(n.lower() for n in names)
+    assert sum(r.surrogate == r.entity for r in rows if r.kind == "ip") <= 2
+    assert made.rdd.getNumPartitions() >= 1
+
+
+@pytest.mark.parametrize("kind,value", [("email", "иван@почта.рф"), ("email", "é.b@x.org"), ("card", "4111111111111111"), ("ssn", "078-05-1120"), ("ip", "8.8.4.4"), ("ip", "172.20.1.1"), ("phone", "+14155550123"), ("secret", "abcdef0123456789abcd"), ("secret", "пароль12345678секрет"), ("iban", "DE89370400440532013000")])
+def test_each_attempt_stays_in_its_format(kind, value):
+    for attempt in range(6):
+        assert surrogates.format_of(kind, surrogates.surrogate(KEY, kind, value, attempt)) == surrogates.format_of(kind, value)
+
+
+@pytest.mark.parametrize("shared", [100_000, 0])
+def test_planted_data_by_another_detector(spark, monkeypatch, shared):
+    """A planted corpus through replace_entities on both paths of the exceptions; what was planted is known, so nothing here relies on the detector."""
+    monkeypatch.setattr(surrogates, "MAX_SHARED", shared)
+    rng = random.Random(12)
+    mails = [f"{''.join(rng.choices('abcdefgh', k=2))}@{rng.choice('xyz')}.org" for _ in range(60)]  # two letters and one: collisions are certain
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004"]
+    people = ["Smith", "Jones", "Иванов", "Moser"]
+    texts = []
+    for i in range(120):
+        words = [f"plain{rng.randrange(50)}" for _ in range(6)]
+        planted = rng.sample(mails, 2) + [rng.choice(cards), f"Mr {people[i % 4]}", people[i % 4]]
+        texts.append((" ".join(w for pair in zip(words, [*planted, ""]) for w in pair), planted))
+    rows = surrogates.replace_entities(docs(spark, [t for t, _ in texts]), KEY).collect()
+    image: dict[str, str] = {}
+    for r in rows:
+        before, planted = texts[r.doc_id]
+        old, new = before.split(), r.text.split()
+        assert [w for w in old if w.startswith("plain")] == [w for w in new if w.startswith("plain")], "all else stays"
+        assert len(old) == len(new)
+        for a, b in zip(old, new, strict=True):
+            if "@" in a or a in people:
+                assert b != a and image.setdefault(a, b) == b, "one surrogate for each entity, everywhere"
+                assert ("@" in a) == ("@" in b) and len(a) == len(b) or a in people
+        assert surrogates.luhn("".join(w for w in new if w.isdigit())) and not any(c in r.text for c in cards)
+    assert len(set(image.values())) == len(image)
+    assert not set(image.values()) & {m for _, p in texts for m in p if "@" in m}, "no surrogate is another real address"
+
+
 @pytest.mark.parametrize("shared", [100_000, 0])
 def test_collisions_are_made_anew(spark, monkeypatch, shared):
     monkeypatch.setattr(surrogates, "MAX_SHARED", shared)
@@ -218,6 +370,8 @@ def test_big_endian_and_broken_files(spark):
     file = b"MM\0*" + struct.pack(">I", 12) + b"\1\2\3\4" + ifd
     (page,) = tiff.read_pages(file)
     assert (page.width, page.bits, page.samples) == (2, 16, b"\1\2\3\4")
+    clash = spark.createDataFrame([(7, "w", 1.5, file)], "k int, width string, samples double, media binary")
+    assert [(r.k, r.width, bytes(r.samples)) for r in tiff.tiff_pages(clash).collect()] == [(7, 2, b"\1\2\3\4")]
     loop = file[:-4] + struct.pack(">I", 12)
     good = tiff.write_payload(bytes(128), tiff.Layout(page_rows=1))
     df = spark.createDataFrame([(1, good), (2, None), (3, b"no"), (4, loop), (5, good[:-9]), (1, good)], "page int, media binary")
@@ -241,7 +395,10 @@ def test_tiff_query(spark):
         raw = texts[r.doc_id]
         padded = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
-    odd = {r.doc_id: r for r in tiff.store_texts(docs(spark, ODD, feature="clash"), media=True).collect()}
+    seen = {re.search("compression=([0-9]+);predictor=([0-9])", r.feature).groups() for r in queries.op6_tiff(spark, SF).collect()}
+    assert seen == {(str(c), p) for c in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS) for p in "12"}, "the query writes and reads all of them"
+    odd = {r.doc_id: r for r in tiff.store_texts(docs(spark, [*ODD, ODD[4]], feature="clash"), layouts=tiff.LAYOUTS, media=True).collect()}
+    assert odd[len(ODD)].media == odd[4].media
     assert odd[0].payload_bytes == 64 and odd[0].media_sha256 == odd[1].media_sha256 == hashlib.sha256(odd[1].media).hexdigest()
     assert tiff.store_texts(docs(spark, ["x"]).limit(0)).count() == 0
 
