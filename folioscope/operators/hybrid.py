@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
+from folioscope.functions import urls as U
 
 
 def merge_channels(keyword: DataFrame, vector: DataFrame) -> DataFrame:
@@ -38,6 +39,14 @@ def fuse(merged: DataFrame, pool: int = 12, allowed: Column | None = None) -> Da
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool)
 
 
+def dropped_candidates(candidates: DataFrame, allowed: DataFrame, url_col: str = "source_url") -> DataFrame:
+    """(query_id, kept, dropped) of candidates whose URL isn't allowed; a blank URL passes."""
+    known = allowed.select(F.col("url").alias("__a")).distinct().withColumn("__ok", F.lit(True))
+    met = candidates.join(known, U.canonical(F.col(url_col)) == F.col("__a"), "left")
+    passes = F.coalesce(F.col("__ok"), F.lit(False)) | (F.trim(X.text_of(F.col(url_col))) == "")
+    return met.groupBy("query_id").agg(F.count_if(passes).alias("kept"), F.count_if(~passes).alias("dropped"))
+
+
 @dataclass(frozen=True)
 class Weights:
     """Fixed values of the re-ranking."""

@@ -611,4 +611,4 @@ def freshness_sla(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # what else is registered builds on the queries above
-from folioscope.plans import records  # noqa: E402, F401
+from folioscope.plans import indexes, records  # noqa: E402, F401

@@ -25,12 +25,12 @@ def pages_to_chunks(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return chunking.sliding_chunks(html.html_to_markdown(pages, id_col, html_col), id_col, "markdown")
 
 
-def build_indexes(spark: SparkSession, chunks: DataFrame, root: str, stamp: str, config: dict[str, Any] | None = None) -> str:
-    """Write chunks, postings, lengths and vectors of one version, check that counts agree, and point to it last."""
+def build_indexes(spark: SparkSession, chunks: DataFrame, root: str, stamp: str, config: dict[str, Any] | None = None, normalized: bool = False) -> str:
+    """Write chunks, postings, lengths and vectors of one version, check that counts agree, and point to it last. normalized: NFKC was applied to the texts."""
     version = tables.version_id(stamp, MODEL, config or {})
     tables.write_version(chunks, f"{root}/chunks", version)
     chunks = spark.read.parquet(f"{root}/chunks/index_version={version}")
-    index = keyword.build_index(chunks, "chunk_id", "text")
+    index = keyword.build_index(chunks, "chunk_id", "text", normalized=normalized)
     for name, df in {"postings": index.postings, "lengths": index.lengths, "terms": index.terms, "stats": index.stats}.items():
         tables.write_version(df, f"{root}/{name}", version)
     tables.write_version(vectors.hash_embedding(chunks, "chunk_id", "text", MODEL), f"{root}/vectors", version)
@@ -62,6 +62,28 @@ def load_index(spark: SparkSession, root: str, model: str = MODEL) -> Index:
     return Index(read("chunks"), keyword.Postings(read("postings"), read("stats")), read("vectors"))
 
 
+#: An index of up to so many chunks is held against the allowlist whole when it is handed over.
+SCANNED = 500
+
+
+def index_issues(spark: SparkSession, root: str, allowed: DataFrame | None = None, expected_version: str | None = None) -> DataFrame:
+    """(code, n): what is wrong with the active version: another version than expected, no chunks, counts of chunks or vectors that differ from the pointer's, and, in an
+    index of up to SCANNED chunks, source URLs that are not allowed. Counts are aggregates of the written tables.
+    """
+    active, index = tables.active_version(spark, root), load_index(spark, root)
+    counts = index.chunks.agg(F.count("*").alias("chunks")).crossJoin(F.broadcast(index.vectors.agg(F.countDistinct("id").alias("vectors"))))
+    pointed = F.lit(active["chunks"])
+    tests = [
+        ("version_mismatch", F.lit(expected_version not in (None, active["version"])).cast("long")), ("empty_index", (F.col("chunks") == 0).cast("long")),
+        ("chunk_count_mismatch", F.abs(F.col("chunks") - pointed)), ("vector_count_mismatch", F.abs(F.col("vectors") - pointed)),
+    ]
+    rows = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("code"), n.alias("n")) for c, n in tests])).alias("x")).select("x.*")
+    if allowed is not None and active["chunks"] <= SCANNED:
+        off = U.keep_allowed(index.chunks.where(F.trim(F.coalesce("source_url", F.lit(""))) != ""), "source_url", allowed, negate=True)
+        rows = rows.unionByName(off.agg(F.lit("url_not_allowlisted").alias("code"), F.count("*").alias("n")).select("code", "n"))
+    return rows.where("n > 0")
+
+
 def sparse_topk(queries: DataFrame, index: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """Top k by dot product of sparse unit vectors (id, idx, value); allowed(query_id, id) restricts pairs before they are summed."""
     q = queries.select(F.col("id").alias("query_id"), "idx", F.col("value").alias("qv"))
