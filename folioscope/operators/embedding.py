@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import os
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -69,6 +72,29 @@ def embed(df: DataFrame, id_col: str, text_col: str, p: Provider) -> DataFrame:
     return rows.mapInPandas(run, "id long, embedding array<double>")
 
 
+@dataclass(frozen=True)
+class HttpEmbed:
+    """An external provider: POST of {model, input, dimensions} to url, and a vector for each item of data, in the order of their index. The key is read from the
+    environment of the worker, under the name key_env; a missing one, an HTTP error or another answer fails the call.
+    """
+
+    url: str
+    model_id: str
+    key_env: str = ""
+    dimensions: int | None = None
+    timeout: float = 120.0
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        headers = {"Content-Type": "application/json"}
+        if self.key_env:
+            headers["Authorization"] = f"Bearer {os.environ[self.key_env].strip()}"
+        body = {"model": self.model_id, "input": texts} | ({"dimensions": self.dimensions} if self.dimensions else {})
+        request = urllib.request.Request(self.url, json.dumps(body).encode(), headers, method="POST")
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            rows = json.load(answer).get("data") or []
+        return [[float(x) for x in r["embedding"]] for r in sorted(rows, key=lambda r: int(r.get("index", 0)))]
+
+
 def letter_profile(texts: list[str]) -> list[list[float]]:
     """A small provider without a model: shares of vowels, digits and blanks."""
     return [[sum(c in kind for c in t) / max(1, len(t)) for kind in ("aeiou", "0123456789", " \t\n")] for t in texts]

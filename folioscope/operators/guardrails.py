@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,9 +134,29 @@ def usable_title(c: Column) -> Column:
     return ~t.isin("", "(document)", "(preamble)") & ~X.any_of(F.lower(t), ["view details", "also manages"]) & (F.length(t) <= 80)
 
 
+#: Puts evidence into words: (question, evidence, sentences at most, performance alone) to a body. It must be importable by the workers.
+Writer = Callable[[str, str, int, bool], str]
+
+
+def written_bodies(df: DataFrame, writer: Writer, policy: Policy = Policy()) -> DataFrame:
+    """Add written_body to rows of compose_factual: what a language model makes of the evidence, null where the call failed or gave nothing, so that the extract stands. One pass, no shuffle."""
+
+    @F.pandas_udf("string")
+    def written(query: pd.Series, chunk: pd.Series, limited: pd.Series) -> pd.Series:
+        def one(q: str | None, c: str | None, p: bool | None) -> str | None:
+            try:
+                return writer((q or "").strip(), (c or "").strip(), min(policy.max_body, policy.max_sentences), bool(p)).strip() or None
+            except Exception:
+                return None
+
+        return pd.Series([one(q, c, p) for q, c, p in zip(query, chunk, limited, strict=True)], dtype=object)
+
+    return df.withColumn("written_body", written("query", "chunk_text", F.coalesce("performance_limited", F.lit(False))))
+
+
 def compose_factual(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Drafts from (query, chunk_text, section_title, effective_date, citation_url, performance_limited): a template with the facet's value or the best
-    sentence, then a clarifier; numbers that the chunk lacks are cut.
+    sentence, then a clarifier; a written_body that isn't null stands in their place. Numbers that the chunk lacks are cut.
     """
     facet = detect_facet(F.col("query"), F.col("chunk_text"))
     value = facet_value(facet, F.col("chunk_text"))
@@ -145,6 +167,8 @@ def compose_factual(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
     limited = F.when(F.coalesce(F.col("performance_limited"), F.lit(False)), PERFORMANCE_CLARIFIER)
     section = F.when(usable_title(F.col("section_title")), F.concat(F.lit("This information is from the "), F.col("section_title"), F.lit(" section of the official page.")))
     body = F.array_join(F.slice(F.array_compact(F.array(first, limited, section)), 1, policy.max_body), " ")
+    if "written_body" in df.columns:
+        body = F.coalesce(F.nullif(F.trim("written_body"), F.lit("")), body)
     date = X.display_date(F.col("effective_date"), policy.no_date)
     out = df.withColumns({"facet_detected": facet, "__body": body})
     out = out.withColumn("__bad", X.uncited_numbers(F.col("__body"), F.concat_ws(" ", "chunk_text", "section_title")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +84,34 @@ def classify(df: DataFrame, query_col: str, rules: Rules = Rules()) -> DataFrame
     return base.withColumn("__d", decision).select(*[F.col(f"`{c}`") for c in df.columns], "query_normalized", "__d.*")
 
 
+def classify_with(df: DataFrame, query_col: str, model: Callable[[str], str | None] | None, rules: Rules = Rules(), below: float = MEDIUM) -> DataFrame:
+    """classify, and where that is less sure than below, the intent that a model names for the question, with its default action; without a model, where it
+    fails, or where it names no known intent, the rules' answer stands. The model runs once for each such question, in an Arrow function.
+    """
+    ruled = classify(df, query_col, rules)
+    if model is None:
+        return ruled
+
+    @F.pandas_udf("string")
+    def named(q: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            try:
+                found = model(text) if text else None
+            except Exception:
+                return None
+            return found if found in DEFAULT_ACTION else None
+
+        return q.map(one).astype(object)
+
+    unsure = F.when(F.col("confidence") < below, F.col("query_normalized"))
+    told = ruled.withColumn("__named", named(unsure))
+    use = F.col("__named").isNotNull()
+    return told.withColumns({
+        "action": F.when(use, default_action(F.col("__named"))).otherwise(F.col("action")), "intent": F.coalesce("__named", "intent"),
+        "reasons": F.when(use, F.concat("reasons", F.array(F.lit("model")))).otherwise(F.col("reasons")),
+    }).drop("__named")
+
+
 def refusal_type(intent: Column, action: Column) -> Column:
     """Which refusal an intent calls for; disambiguate goes by the action."""
     out = F.lit("out_of_scope")

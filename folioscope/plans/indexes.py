@@ -9,7 +9,7 @@ from folioscope.operators import hybrid, keyword
 from folioscope.plans import services
 from folioscope.plans.base import answers, answers_sql, query, table
 from folioscope.plans.records import _folder
-from folioscope.plans.registered import _BM25, _CHANGED, _stable
+from folioscope.plans.core import _BM25, _CHANGED, _stable
 from folioscope.streaming.refresh import refresh_stream
 
 

@@ -13,7 +13,7 @@ from folioscope.functions import urls as U
 from folioscope.functions.rules import ANSWER_PATTERNS, QUERY_INJECTION
 from folioscope.operators import corpus, guardrails, handoff, refresh, resolve, sections, vectors
 from folioscope.plans.base import ORACLES, answers, answers_sql, query, table
-from folioscope.plans.registered import _BM25, _CANON, _CANONICAL, _DOC_LINES, _STABLE, _VEC_ITEMS, LEADS, POLICY, _questions, _vector_queries, bm25_topk
+from folioscope.plans.core import _BM25, _CANON, _CANONICAL, _DOC_LINES, _STABLE, _VEC_ITEMS, LEADS, POLICY, _questions, _vector_queries, bm25_topk
 from folioscope.sources import bundles, scratch, tables
 
 _WS = r"'[ \t\n\x0B\f\r]+', ' ', 'g'"
@@ -720,6 +720,30 @@ def provider_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", *[F.round(F.get("embedding", F.lit(i)), 9).alias(n) for i, n in enumerate(("vowels", "digits", "blanks"))])
 
 
+@query("SELECT 'v' || i AS index_version, (i * 2)::BIGINT AS k FROM range(3) t(i)")
+def config_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "config")
+    for i in range(3):
+        bundles.write_config(spark, path, f"v{i}", {"k": 2 * i}, "2025-01-01")
+    return spark.read.schema("index_version string, config struct<k: bigint>").json(path).select("index_version", "config.k")
+
+
+@query("""SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'It says 7%.' WHEN item_id % 3 = 1 THEN 'The expense ratio is 0.5%.' ELSE 'Written twice.' END AS body_text FROM benchmark""")
+def written_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A writer that fails for some questions (the template stands), adds a number that the evidence has, or none."""
+    rows = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.concat(F.lit("what is the expense ratio "), (F.col("item_id") % 3).cast("string")).alias("query"), F.lit("Expense ratio 0.5%. It says 7%.").alias("chunk_text"),
+        F.lit("(document)").alias("section_title"), F.lit("2025-01-31").alias("effective_date"), F.lit(POLICY.default_url).alias("citation_url"), F.lit(False).alias("performance_limited"),
+    )
+    return guardrails.compose_factual(guardrails.written_bodies(rows, _writer, POLICY), POLICY).select("query_id", "body_text")
+
+
+def _writer(query: str, chunk: str, most: int, limited: bool) -> str:
+    if query.endswith("1"):
+        raise TimeoutError
+    return "It says 7%." if query.endswith("0") else "Written twice."
+
+
 @query("SELECT 'recall_at_k' AS metric, 0.9::DOUBLE AS value, 'r' || i AS run FROM range(3) t(i)")
 def metric_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "snapshots")

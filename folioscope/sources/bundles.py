@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.sources.tables import CHUNK, _exists
+from folioscope.sources.tables import CHUNK, _exists, fingerprint
 
 
 def write_bundles(chunks: DataFrame, path: str, key: str = "scheme") -> None:
@@ -64,6 +64,12 @@ def load_templates(path: str, slots: tuple[str, ...] = ("value", "sentence")) ->
     return out
 
 
+def write_config(spark: SparkSession, path: str, version: str, config: Mapping[str, Any], stamp: str) -> None:
+    """The configuration of an index version, with its fingerprint, as one JSON document beside the others."""
+    row = json.dumps({"index_version": version, "captured_at": stamp, "fingerprint": fingerprint(config), "config": dict(config)}, sort_keys=True)
+    spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("append").text(path)
+
+
 def write_snapshot(metrics: DataFrame, path: str, stamp: str) -> None:
     """Append a metric table as JSON lines under the run's time."""
     metrics.withColumn("run", F.lit(stamp)).coalesce(1).write.mode("append").json(path)
