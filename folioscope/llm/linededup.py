@@ -13,7 +13,9 @@ from folioscope.llm.common import written
 #: Stripped at both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
 #: So many runs of a level are merged into one of the next.
-FAN_OUT = 4
+FAN_OUT = 2
+#: Batches of ids. With FAN_OUT the first level fills twice, is compacted twice into a second that fills as well, and the last batch meets runs of two levels.
+BATCHES = FAN_OUT * FAN_OUT + 1
 
 
 def line_key(line: Column) -> Column:
@@ -29,7 +31,8 @@ class LineRuns:
     A run is a table bucketed and sorted by hash, with rows (h1, h2, n_docs, keep_doc). Each batch is merge-joined
     with the runs, bucket by bucket, and only the batch is shuffled. A key that no run has (anti-join) enters with its
     keep_doc; a key that some run has enters with its count alone. Compaction adds counts and keeps the one keep_doc.
-    Runs are written tables in the warehouse, so lost executors lose nothing.
+    Runs are written tables in the warehouse, so lost executors lose nothing. As a context manager it drops them at the end, also
+    after a failure; only a driver that dies leaves tables named line_run_* behind.
     """
 
     def __init__(self, spark: SparkSession, n_buckets: int | None = None, fan_out: int = FAN_OUT) -> None:
@@ -37,6 +40,12 @@ class LineRuns:
         self.n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
 
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *failure: object) -> None:
+        self.drop()
+
     def _write(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         dealt = df.repartition(self.n_buckets, "h1", "h2")
@@ -100,7 +109,7 @@ def dedup_lines(
     text_col: str = "text",
     min_chars: int = 40,
     min_docs: int = 5,
-    batches: int = 3,
+    batches: int = BATCHES,
 ) -> DataFrame:
     """Drop lines whose key, of at least min_chars code points, is in at least min_docs documents, but for the
     largest id that holds it.
@@ -108,7 +117,7 @@ def dedup_lines(
     Lines are what stands between \\n; an empty or null text is one empty line. Batches are ranges of ids from the
     largest down, so the batch in which a key is first seen holds the document that keeps it. Rows with equal ids are
     one document: they count once and keep or lose a line together. A row with a null id counts for nothing and stays as
-    it is. Returns the columns of df with the text replaced (null stays null if no line went) and n_lines long, n_dropped long,
+    it is. A text of any length is one row and is split once. Returns the columns of df with the text replaced (null stays null if no line went) and n_lines long, n_dropped long,
     replacing columns of these names; an empty table stays empty. Keys are 128-bit hashes.
 
     The text is read twice and moved once, beside the numbers of the lines to drop, and only these are gathered for each document.
@@ -125,19 +134,18 @@ def dedup_lines(
     places = written(
         exploded.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "doc", "mark", "pos"), "lines"
     )
-    index = LineRuns(spark)
     cuts = places.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     edges = [None, *sorted(set(cuts), reverse=True), None]
-    for high, low in zip(edges, edges[1:], strict=False):
-        rows = places
-        if high is not None:
-            rows = rows.where(F.col("doc") <= high)
-        if low is not None:
-            rows = rows.where(F.col("doc") > low)
-        found = rows.select("h1", "h2", "doc").distinct()
-        index.add(found.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keep_doc")))
-    common = written(index.keys().where(F.col("n_docs") >= min_docs), "common_lines")
-    index.drop()
+    with LineRuns(spark) as index:
+        for high, low in zip(edges, edges[1:], strict=False):
+            rows = places
+            if high is not None:
+                rows = rows.where(F.col("doc") <= high)
+            if low is not None:
+                rows = rows.where(F.col("doc") > low)
+            found = rows.select("h1", "h2", "doc").distinct()
+            index.add(found.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keep_doc")))
+        common = written(index.keys().where(F.col("n_docs") >= min_docs), "common_lines")
     doomed = places.join(common, ["h1", "h2"]).where("doc <> keep_doc").groupBy("doc", "mark").agg(
         F.collect_set("pos").alias("drop")
     )
