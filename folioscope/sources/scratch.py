@@ -46,8 +46,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioscope/{name}-{uuid.uuid4().hex}"
+    release(spark)  # before: what made the tables written earlier is out of reach only now
     df.write.parquet(path)
-    release(spark)
 
     def drop() -> None:
         with contextlib.suppress(Exception):  # the JVM may have ended before
