@@ -89,7 +89,7 @@ def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partenum.shingle_groups(table(spark, sf_dir, "documents"), partenum.Scheme(words=3, num=90, den=100))
+    return partenum.shingle_groups(table(spark, sf_dir, "documents"), partenum.Scheme(words=3, num=90, den=100), slices=2)
 
 
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
