@@ -7,10 +7,11 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
+from folioscope.functions import urls as U
 
 #: Scores of the rules and thresholds of the decision.
 SCORES = {"url": 1.0, "slug": 0.98, "alias": 0.96, "display_name": 0.94, "house_core": 0.93, "core_phrase": 0.90}
@@ -46,6 +47,54 @@ def scheme_record(scheme: str, url: str, display_name: str, house: str) -> Schem
     return Scheme(scheme, url, display, core, _plain(scheme), words)
 
 
+def _plain_column(c: Column) -> Column:
+    return X.squeeze(F.regexp_replace(F.translate(F.lower(F.trim(X.text_of(c))), "’‘", "''"), "-", " "))
+
+
+def registry_index(registry: DataFrame, house: str) -> DataFrame:
+    """(scheme, url, display, core, spaced, tokens) of registry(scheme, url, scheme_display_name): scheme_record for a whole table, without a driver-side list."""
+    slug = F.regexp_replace(F.regexp_replace("scheme", f"^{re.escape(house)}-", ""), "-direct-growth(-plan)?$", "")
+    display = _plain_column(F.regexp_replace("scheme_display_name", r"(?i)\s*(?:[-–—]\s*)?(?:direct|growth|plan)\b.*$", ""))
+    named = registry.select("scheme", "url", display.alias("display"), _plain_column(slug).alias("slug"), _plain_column(F.col("scheme")).alias("spaced"))
+    core = F.when(F.length("display") > F.length("slug"), F.regexp_replace("display", f"^{re.escape(house)} ", "")).otherwise(F.col("slug"))
+    words = F.filter(F.split("core", " "), lambda w: ~w.isin(*COMMON_WORDS, house, ""))
+    return named.withColumn("core", core).select("scheme", "url", "display", "core", "spaced", words.alias("tokens"))
+
+
+#: Schemes of a registry that is broadcast to the questions; a larger one is met in a partitioned loop.
+SHARED_SCHEMES = 10_000
+
+
+def exact_matches(queries: DataFrame, query_id: str, query_col: str, index: DataFrame, aliases: DataFrame, house: str, url_prefix: str = "funds.example.com/") -> DataFrame:
+    """(query_id, scheme, url, score, method, rank): schemes that a question names by the rules without fuzzy ratios, the best rule of each, best first, ties by scheme.
+
+    aliases(phrase, scheme): a scheme has the longest of its phrases that the question contains. Containment is no equality, so questions and registry meet in a loop join whose smaller side is
+    the registry, broadcast up to SHARED_SCHEMES, as counted.
+    """
+    norm = X.query_form(F.col(query_col))
+    asked = queries.select(F.col(query_id).alias("query_id"), norm.alias("q"), U.slug_mentions(F.col(query_col), url_prefix).alias("slugs"))
+    longest = aliases.groupBy("scheme").agg(F.array_sort(F.collect_list(F.struct((-F.length("phrase")).alias("n"), "phrase"))).alias("phrases"))
+    schemes = index.join(longest, "scheme", "left")
+    small = schemes.limit(SHARED_SCHEMES + 1).count() <= SHARED_SCHEMES
+    c, q = F.col, F.col("q")
+    within = lambda phrase: F.contains(q, phrase)
+    by_display = (F.length("display") >= 8) & within(c("display"))
+    full = F.concat(F.lit(f"{house} "), c("core"))
+    rules = [
+        ("url", F.array_contains("slugs", c("scheme"))), ("slug", F.contains(F.replace(q, F.lit(" "), F.lit("-")), c("scheme")) | within(c("spaced"))),
+        ("alias", F.exists(F.coalesce("phrases", F.array().cast("array<struct<n:int,phrase:string>>")), lambda p: within(p["phrase"]))), ("display_name", by_display),
+        ("house_core", (F.length(full) >= 10) & within(full)), ("core_phrase", ~by_display & (F.length("core") >= 4) & within(c("core"))),
+    ]
+    method = F.coalesce(*[F.when(test, F.lit(name)) for name, test in rules])  # in falling order of their scores
+    met = asked.join(F.broadcast(schemes) if small else schemes, method.isNotNull())
+    score = F.lit(0.0)
+    for name, _ in rules:
+        score = F.when(F.col("method") == name, SCORES[name]).otherwise(score)
+    found = met.select("query_id", "scheme", "url", method.alias("method")).withColumn("score", score)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "scheme")
+    return found.withColumn("rank", F.row_number().over(order))
+
+
 def phrase_ratio(haystack: str, needle: str) -> float:
     """1 if contained, else the best Ratcliff-Obershelp ratio with a window of eight more characters."""
     if not needle or not haystack:

@@ -226,6 +226,50 @@ _REGISTRY = [
 ]
 
 
+_INDEX_ROWS = r"""reg AS (SELECT 'acme-' || (CASE item_id % 4 WHEN 0 THEN 'large-cap' WHEN 1 THEN 'gilt' WHEN 2 THEN 'tax-saver-fund' ELSE 'x' END) || '-' || item_id || '-direct-growth' AS scheme,
+CASE item_id % 3 WHEN 0 THEN 'Acme Very Long Name Number ' || item_id || ' Fund – Direct Growth' ELSE 'Acme ' || item_id || ' Plan' END AS dn FROM benchmark),
+named AS (SELECT scheme, 'https://funds.example.com/' || scheme AS url, trim(regexp_replace(replace(lower(trim(regexp_replace(dn, '(?i)\s*(?:[-–—]\s*)?(?:direct|growth|plan)\b.*$', ''))), '-', ' '), '\s+', ' ', 'g')) AS display,
+  replace(regexp_replace(regexp_replace(scheme, '^acme-', ''), '-direct-growth(-plan)?$', ''), '-', ' ') AS slug, replace(scheme, '-', ' ') AS spaced FROM reg),
+idx AS (SELECT scheme, url, display, CASE WHEN length(display) > length(slug) THEN regexp_replace(display, '^acme ', '') ELSE slug END AS core, spaced FROM named)"""
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("item_id")
+    body = F.when(k % 4 == 0, "large-cap").when(k % 4 == 1, "gilt").when(k % 4 == 2, "tax-saver-fund").otherwise("x")
+    scheme = F.concat(F.lit("acme-"), body, F.lit("-"), k.cast("string"), F.lit("-direct-growth"))
+    shown = F.when(k % 3 == 0, F.concat(F.lit("Acme Very Long Name Number "), k.cast("string"), F.lit(" Fund – Direct Growth"))).otherwise(F.concat(F.lit("Acme "), k.cast("string"), F.lit(" Plan")))
+    rows = table(spark, sf_dir, "benchmark").select(scheme.alias("scheme"), F.concat(F.lit("https://funds.example.com/"), scheme).alias("url"), shown.alias("scheme_display_name"))
+    return resolve.registry_index(rows, "acme")
+
+
+@query(f"""WITH {_INDEX_ROWS} SELECT *, array_to_string(list_filter(string_split(core, ' '), lambda w: w NOT IN ('acme', '', {", ".join(f"'{w}'" for w in resolve.COMMON_WORDS)})), '|') AS tokens FROM idx""")
+def registry_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).withColumn("tokens", F.array_join("tokens", "|"))
+
+
+_NAMED = "CASE conv_id % 7 WHEN 0 THEN 'acme large cap ' || conv_id % 40 WHEN 1 THEN 'https://funds.example.com/acme-gilt-' || conv_id % 40 || '-direct-growth' WHEN 2 THEN 'very long name number ' || conv_id % 40 || ' fund' WHEN 3 THEN 'tax saver or gilt 5' WHEN 4 THEN 'gilt ' || conv_id % 40 ELSE '' END || ' ' || text"
+
+
+@query(f"""WITH {_INDEX_ROWS}, asked AS (SELECT conv_id * 1000 + turn AS query_id, {_NAMED} AS raw FROM conversations),
+norm AS (SELECT query_id, raw, trim(regexp_replace(translate(lower(raw), '’‘“”', '''''""'), {_WS})) AS q FROM asked),
+al AS (SELECT scheme, 'tax saver' AS phrase FROM idx WHERE scheme LIKE '%tax-saver-fund-2-%'),
+met AS (SELECT query_id, idx.scheme, url, CASE WHEN list_contains(regexp_extract_all(lower(raw), 'funds\.example\.com/([a-z0-9-]+)', 1), idx.scheme) THEN 'url' WHEN contains(replace(q, ' ', '-'), idx.scheme) OR contains(q, spaced) THEN 'slug'
+  WHEN al.phrase IS NOT NULL AND contains(q, al.phrase) THEN 'alias' WHEN length(display) >= 8 AND contains(q, display) THEN 'display_name' WHEN length('acme ' || core) >= 10 AND contains(q, 'acme ' || core) THEN 'house_core'
+  WHEN length(core) >= 4 AND contains(q, core) THEN 'core_phrase' END AS method FROM norm CROSS JOIN idx LEFT JOIN al USING (scheme)),
+scored AS (SELECT *, (CASE method WHEN 'url' THEN 1.0 WHEN 'slug' THEN 0.98 WHEN 'alias' THEN 0.96 WHEN 'display_name' THEN 0.94 WHEN 'house_core' THEN 0.93 ELSE 0.9 END)::DOUBLE AS score FROM met WHERE method IS NOT NULL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, scheme) AS rank FROM scored""")
+def scheme_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    k, n = F.col("conv_id") % 7, (F.col("conv_id") % 40).cast("string")
+    named = (
+        F.when(k == 0, F.concat(F.lit("acme large cap "), n)).when(k == 1, F.concat(F.lit("https://funds.example.com/acme-gilt-"), n, F.lit("-direct-growth"))).when(k == 2, F.concat(F.lit("very long name number "), n, F.lit(" fund")))
+        .when(k == 3, "tax saver or gilt 5").when(k == 4, F.concat(F.lit("gilt "), n)).otherwise("")
+    )
+    asked = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(named, F.lit(" "), "text").alias("q"))
+    aliases = index.where("scheme LIKE '%tax-saver-fund-2-%'").select(F.lit("tax saver").alias("phrase"), "scheme").unionByName(index.where("false").select(F.lit("").alias("phrase"), "scheme"))
+    return resolve.exact_matches(asked, "id", "q", index, aliases, "acme")
+
+
 @query()
 def scheme_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = [resolve.scheme_record(s, f"https://funds.example.com/funds/{s}", d, "acme") for s, d in _REGISTRY]

@@ -67,3 +67,18 @@ def test_a_model_decides_what_the_rules_leave_open(spark):
     told = {r.id: r for r in intent.classify_with(df, "q", lambda q: {"tell a story": "advisory"}.get(q, "nonsense")).collect()}
     assert told[2].intent == "advisory" and told[2].action == "refuse" and told[2].reasons[-1] == "model"
     assert all(told[i] == ruled[i] for i in (1, 3, 4))
+
+
+def test_registry_table_is_the_registry_list(spark):
+    from folioscope.operators import resolve
+
+    rows = [("acme-midcap-fund-direct-growth", "Acme Midcap Fund Direct Growth"), ("acme-elss-direct-growth-plan", "ACME ELSS Tax’s Saver — Growth"), ("other-fund", ""), ("acme-a", "Acme  Very  Long Direct Plan")]
+    df = spark.createDataFrame([(s, f"https://x.org/{s}", d) for s, d in rows], "scheme string, url string, scheme_display_name string")
+    got = {r.scheme: r for r in resolve.registry_index(df, "acme").collect()}
+    for s, d in rows:
+        want = resolve.scheme_record(s, f"https://x.org/{s}", d, "acme")
+        assert (got[s].display, got[s].core, got[s].spaced, tuple(got[s].tokens)) == (want.display, want.core, want.spaced, want.tokens)
+    asked = spark.createDataFrame([(1, "expense ratio of acme midcap"), (2, "nothing")], "id int, q string")
+    aliases = spark.createDataFrame([("midcap", "acme-midcap-fund-direct-growth")], "phrase string, scheme string")
+    found = resolve.exact_matches(asked, "id", "q", resolve.registry_index(df, "acme"), aliases, "acme").collect()
+    assert [(r.query_id, r.scheme, r.method, r.rank) for r in found] == [(1, "acme-midcap-fund-direct-growth", "alias", 1)]
