@@ -141,8 +141,8 @@ def near_duplicates(
     the row's own). Rows with null label, null id, or a vector that is null, zero or has null or non-finite components link
     with nothing (n_links 0, component their id); an empty table stays empty; other columns are ignored.
 
-    Equal vectors are one representative with a count, so copies are never paired. Rows with equal ids and other vectors are rows of their own: each counts its own
-    links, and they share the component of the least of them. Unit vectors are rotated and split into
+    Equal vectors are one representative with a count, so copies are never paired. Rows with equal ids and other vectors are rows of their own, with links and
+    a component of their own. Unit vectors are rotated and split into
     blocks; each block is range-joined under its budget: a grid of its first dimensions, more of them for labels of more vectors, deals vectors to tasks, and
     a finer one of all its dimensions picks the pairs there. A pair belongs to the one cell that holds the low
     corner of both boxes; the full cosine is computed at once, and a pair counts in the first block within budget, which is
@@ -156,7 +156,7 @@ def near_duplicates(
     key = [F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(3), "vec").alias("h2")]
     good = rows.where("ok").select("id", "label", *key, "vec")
     reps = written(
-        good.groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("vec").alias("vec")),
+        good.groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("vec").alias("vec")).withColumn("no", F.monotonically_increasing_id()),
         "vectors",
     )
     sizes = reps.groupBy("label").agg(F.count("*").alias("n"))  # one row for each label
@@ -164,22 +164,24 @@ def near_duplicates(
     grid = F.least(F.lit(BLOCK_DIMS), F.lit(GRID_DIMS) + F.greatest(F.lit(0), grown)).cast("int")
     sized = reps.join(sizes.select("label", grid.alias("grid")), "label")
     dealt = written(
-        sized.select("label", "rep", "grid", "vec").mapInArrow(_deal(threshold), "label string, dim int, grid int, block int, cell long, rep long"), "vector_places"
+        sized.select("label", "no", "grid", "vec").mapInArrow(_deal(threshold), "label string, dim int, grid int, block int, cell long, no long"), "vector_places"
     )
     place = ["label", "dim", "grid", "block", "cell"]
     crowded = dealt.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") > 1)
     crowded = crowded.select(*place, F.ceil(F.col("n") / MAX_SIDE).cast("int").alias("parts"))
-    parted = dealt.join(crowded, place).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    parted = dealt.join(crowded, place).withColumn("part", F.pmod(F.xxhash64("no"), F.col("parts")).cast("int"))
     parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     parted = parted.withColumns({"a": F.least("part", "other"), "b": F.greatest("part", "other")}).drop("parts", "other")
-    parted = parted.join(reps.select("label", "rep", "mult", "vec"), ["label", "rep"])
+    parted = parted.join(reps.select("no", "mult", "vec"), "no")
     found = written(
-        parted.groupBy(*place, "a", "b").applyInArrow(_link(threshold), "rep long, links long, root long"), "vector_links"
+        parted.groupBy(*place, "a", "b").applyInArrow(_link(threshold), "no long, links long, root long"), "vector_links"
     )
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    known = reps.select("label", "h1", "h2", "rep", "mult").join(links, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
-    known = known.select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+    links = found.groupBy("no").agg(F.sum("links").alias("links"))
+    groups = components(found.select(F.col("no").alias("u"), F.col("root").alias("v")))
+    known = reps.select("label", "h1", "h2", "no", "rep", "mult").join(links, "no", "left").join(groups, F.col("no") == F.col("node"), "left")
+    least = known.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
+    known = known.join(least, "component", "left")
+    known = known.select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n"), F.coalesce("least", "rep").alias("c"))
     all_rows = rows.select("id", F.when(F.col("ok"), F.col("label")).alias("label"), *key)
     # a row that links with nothing meets no representative, as its label is null here
     joined = all_rows.join(known, ["label", "h1", "h2"], "left")
@@ -210,7 +212,7 @@ def _deal(threshold: float):
                     head, n = some.take(pa.array(rows)), len(rows)
                     same = lambda v: pa.array(np.full(n, v, np.int32))  # noqa: B023, E731
                     yield pa.RecordBatch.from_arrays(
-                        [head.column(0), same(dim), same(grid), same(i), pa.array(cell), head.column(1)], names=["label", "dim", "grid", "block", "cell", "rep"]
+                        [head.column(0), same(dim), same(grid), same(i), pa.array(cell), head.column(1)], names=["label", "dim", "grid", "block", "cell", "no"]
                     )
 
     return run
@@ -220,7 +222,7 @@ def _link(threshold: float):
     def run(group: pa.Table) -> pa.Table:
         dim, grid, number, cell = (group.column(c)[0].as_py() for c in ("dim", "grid", "block", "cell"))
         a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
-        rep, mult, part = (group.column(c).to_numpy() for c in ("rep", "mult", "part"))
+        rep, mult, part = (group.column(c).to_numpy() for c in ("no", "mult", "part"))
         x = unit(_matrix(group.column("vec")))
         y = x @ rotation(dim)
         layout = blocks(dim, threshold)
@@ -254,6 +256,6 @@ def _link(threshold: float):
         least = np.full(len(rep), np.iinfo(np.int64).max)
         np.minimum.at(least, label, rep)
         some = np.flatnonzero(links > 0)
-        return pa.table({"rep": rep[some], "links": links[some], "root": least[label[some]]})
+        return pa.table({"no": rep[some], "links": links[some], "root": least[label[some]]})
 
     return run
