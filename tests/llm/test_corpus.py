@@ -194,6 +194,12 @@ def test_vectors_of_large_labels_are_dealt_finer(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want and any(n for n, *_ in want.values())
 
 
+def test_an_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [0.0, 1.0, 0.001], 0), (3, [1.0, 0.001, 0.0], 0), (4, [0.0, 1.0, 0.0], 0)]
+    got = subspace.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 2, 1)]
+
+
 # -- lines ----------------------------------------------------------------------------------------------------------
 
 
