@@ -20,7 +20,9 @@ PARTS = 3
 #: Sets that fill too few groups under one partition of the domain try the next, up to so many.
 PARTITIONS = 8
 #: Shingles on one side of a verification task. A larger cluster is cut into parts, and a task takes a pair of parts.
-MAX_SIDE = 1_500_000
+MAX_SIDE = 500_000
+#: Tested pairs that a task remembers; beyond them it forgets and may test a pair again.
+REMEMBERED = 500_000
 #: A signature of more sets than this is heavy. Sets that can do without their heavy signatures aren't candidates by them.
 LIGHT = 4
 #: Rounds in which such sets leave, after which others can. Fewer or more only change how many candidates are tested.
@@ -365,7 +367,8 @@ def linked_groups(
     pairs = np.unique(np.column_stack([lead, owner])[lead != owner], axis=0)
     for i, j in pairs.tolist():
         test(i, j)
-    tested = {(i, j) for i, j in pairs.tolist()}
+    n = len(sets)
+    tested = {i * n + j for i, j in pairs[:REMEMBERED].tolist()}
     size = np.diff(np.append(begin, len(sig)))
     for k in np.flatnonzero(size > 2).tolist():
         members = owner[begin[k] : begin[k] + size[k]].tolist()
@@ -379,10 +382,12 @@ def linked_groups(
             for others in piles[x + 1 :]:
                 for i in some:
                     for j in others:
-                        pair = (i, j) if i < j else (j, i)
+                        pair = min(i, j) * n + max(i, j)
                         if pair not in tested:
+                            if len(tested) >= REMEMBERED:
+                                tested.clear()
                             tested.add(pair)
-                            test(*pair)
+                            test(i, j)
     return np.array([root(i) for i in range(len(sets))], np.int64)
 
 
