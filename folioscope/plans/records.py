@@ -250,7 +250,7 @@ def registry_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMED = "CASE conv_id % 7 WHEN 0 THEN 'acme large cap ' || conv_id % 40 WHEN 1 THEN 'https://funds.example.com/acme-gilt-' || conv_id % 40 || '-direct-growth' WHEN 2 THEN 'very long name number ' || conv_id % 40 || ' fund' WHEN 3 THEN 'tax saver or gilt 5' WHEN 4 THEN 'gilt ' || conv_id % 40 ELSE '' END || ' ' || text"
 
 
-@query(f"""WITH {_INDEX_ROWS}, asked AS (SELECT conv_id * 1000 + turn AS query_id, {_NAMED} AS raw FROM conversations),
+@query(rf"""WITH {_INDEX_ROWS}, asked AS (SELECT conv_id * 1000 + turn AS query_id, {_NAMED} AS raw FROM conversations),
 norm AS (SELECT query_id, raw, trim(regexp_replace(translate(lower(raw), '’‘“”', '''''""'), {_WS})) AS q FROM asked),
 al AS (SELECT scheme, 'tax saver' AS phrase FROM idx WHERE scheme LIKE '%tax-saver-fund-2-%'),
 met AS (SELECT query_id, idx.scheme, url, CASE WHEN list_contains(regexp_extract_all(lower(raw), 'funds\.example\.com/([a-z0-9-]+)', 1), idx.scheme) THEN 'url' WHEN contains(replace(q, ' ', '-'), idx.scheme) OR contains(q, spaced) THEN 'slug'
