@@ -7,6 +7,7 @@ import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,22 +39,48 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet below the shared folder and read it back.
+#: Scopes that are open, the innermost last: (session, path) of what was made within each.
+_scopes: list[list[tuple[SparkSession, str]]] = []
 
-    This cuts the lineage with files that every executor can read, so a lost executor costs no recomputation.
-    The files go by discard(), or else when the driver ends.
-    """
-    spark = df.sparkSession
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared folder. What is written there goes when the scope around ends, or else when the driver ends."""
     path = f"{shared_dir(spark)}/folioscope/{name}-{uuid.uuid4().hex}"
-    release(spark)  # before: what made the tables written earlier is out of reach only now
-    df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append((spark, path))
 
     def drop() -> None:
         with contextlib.suppress(Exception):  # the JVM may have ended before
             remove(spark, path)
 
     atexit.register(drop)
+    return path
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Tables written within go at the end: `with scope(): near_dup(docs).write.parquet(...)` leaves nothing behind in a driver that lives on.
+
+    Results must be written or collected inside, as they read these tables. Scopes may be nested; a thread of its own needs one of its own.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            remove(spark, path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df once as Parquet below the shared folder and read it back.
+
+    This cuts the lineage with files that every executor can read, so a lost executor costs no recomputation.
+    The files go by discard(), at the end of a scope(), or else when the driver ends.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    release(spark)  # before: what made the tables written earlier is out of reach only now
+    df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.written_at = path
     return back
