@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.sources.scratch import discard, release, remove, shared_dir, written
+from folioscope.sources.scratch import discard, new_path, release, remove, shared_dir, written
 
-__all__ = ["ARROW_BATCH_BYTES", "bound_arrow_batches", "components", "discard", "hash_unit", "release", "remove", "shared_dir", "written"]
+__all__ = ["ARROW_BATCH_BYTES", "bound_arrow_batches", "components", "discard", "hash_unit", "new_path", "release", "remove", "shared_dir", "written"]
 
 #: Bytes of Arrow data handed to a Python worker at once. One row may be larger; it then travels alone.
 ARROW_BATCH_BYTES = 8 << 20

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, hilbert, langid, linededup, mixing, partenum, shiftand, subspace, surrogates, tiff
+from folioscope.llm import bestfit, bpe, deltalloyd, filteraudit, hilbert, langid, linededup, mixing, partenum, shiftand, subspace, surrogates, tiff
+from folioscope.llm.common import written
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -97,6 +98,39 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(docs, size=F.octet_length(F.coalesce("text", F.lit("")))).withColumn("rate", F.round("rate", 9))
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return deltalloyd.with_inertia(deltalloyd.cluster(vectors, k=40, rounds=5, dim=64, scale=256, seed="2:")).drop("q")
+
+
+def text_filters(text: Column) -> dict[str, Column]:
+    """Conditions on which a text fails: few words, repeated words, capitals, markup characters."""
+    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"))
+    return {
+        "A": F.size(words) < 100,
+        "B": 100 * F.size(F.array_distinct(words)) < 80 * F.size(words),
+        "C": 100 * F.regexp_count(text, F.lit("[A-Z]")) > 10 * F.length(text),
+        "D": text.rlike("[#$%&*|]"),
+    }
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    judged = docs.select("doc_id", "lang", filteraudit.digest(text).alias("digest"), *[c.alias(k) for k, c in text_filters(text).items()])
+    judged = filteraudit.later_copies(written(judged, "judged"), "doc_id", "digest", "E").drop("digest")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(
+        F.bool_or(F.col("quality") == 1).alias("good"), F.bool_or(F.col("toxic") == 1).alias("toxic")
+    )
+    rows = judged.join(labels, "doc_id", "left")
+    return filteraudit.audit(rows, F.col("lang"), {k: F.col(k) for k in "ABCDE"}, {k: F.col(k) for k in ("good", "toxic")}).drop("filter")
+
+
+def op13_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = bestfit.read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    return bestfit.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, capacity=2048, end_id=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -108,6 +142,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_runs": op8_line_runs,
     "op9_partenum": op9_partenum,
     "op10_poisson_mix": op10_poisson_mix,
+    "op11_delta_lloyd": op11_delta_lloyd,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_best_two_fit": op13_best_two_fit,
 }
 
 _BARE = r"regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
@@ -133,7 +170,67 @@ SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, least(d.doc_id, coales
 FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id"""
 
 
+def lloyd_sql(k: int, rounds: int, dim: int, scale: int, seed: str) -> str:
+    """Lloyd's rounds as a chain of tables: one row for each vector (or centroid) and dimension."""
+    steps = [
+        f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), vec AS MATERIALIZED (SELECT r, unnest(q) AS x, unnest(range({dim})) AS i FROM kept),
+start AS (SELECT row_number() OVER (ORDER BY sha256('{seed}' || vec_id) NULLS LAST, q) - 1 AS c, q FROM kept),
+centroid0 AS MATERIALIZED (SELECT c, unnest(q) AS x, unnest(range({dim})) AS i FROM start WHERE c < {k})"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"""owned{n} AS MATERIALIZED (
+  SELECT r, c, d FROM (
+    SELECT r, c, sum((vec.x - centroid{n}.x) * (vec.x - centroid{n}.x)) AS d FROM vec JOIN centroid{n} USING (i) GROUP BY r, c
+  ) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1
+)""")
+        if n < rounds:
+            steps.append(f"""moved{n} AS MATERIALIZED (
+  SELECT c, i, (s - ((s % n) + n) % n) // n AS x FROM (SELECT c, i, sum(x) AS s, count(*) AS n FROM owned{n} JOIN vec USING (r) GROUP BY c, i)
+), centroid{n + 1} AS MATERIALIZED (
+  SELECT c, i, coalesce(m.x, o.x)::BIGINT AS x FROM centroid{n} o LEFT JOIN moved{n} m USING (c, i)
+)""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM owned{rounds} JOIN kept USING (r) JOIN (SELECT c, sha256(string_agg(x, ',' ORDER BY i)) AS centroid_sha256 FROM centroid{rounds} GROUP BY c) USING (c)"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_delta_lloyd": lloyd_sql(40, 5, 64, 256, "2:"),
+    "op12_filter_audit": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), judged AS (
+  SELECT part, quality = 1 AS good, toxic = 1 AS toxic, {'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w),
+    'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text), 'D': regexp_matches(text, '[#$%&*|]'),
+    'E': doc_id > min(doc_id) OVER (PARTITION BY text)} AS f
+  FROM words LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)
+), fails AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (CASE WHEN f.A THEN 'A' ELSE '' END) || (CASE WHEN f.B THEN 'B' ELSE '' END) || (CASE WHEN f.C THEN 'C' ELSE '' END)
+    || (CASE WHEN f.D THEN 'D' ELSE '' END) || (CASE WHEN f.E THEN 'E' ELSE '' END) AS failed FROM judged
+), kinds AS (SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM fails GROUP BY ALL),
+orders(o) AS (
+  SELECT '' UNION ALL SELECT o || x FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE NOT contains(o, x)
+), steps AS (SELECT o AS filter_order, unnest(range(1, 6)) AS step FROM orders WHERE length(o) = 5),
+states AS (SELECT filter_order, step, substr(filter_order, 1, step - 1) AS before, substr(filter_order, step, 1) AS here FROM steps),
+counted AS (
+  SELECT part, filter_order, step, here,
+    sum(CASE WHEN before = '' OR NOT regexp_matches(failed, '[' || before || 'x]') THEN 1 ELSE 0 END * CASE WHEN contains(failed, here) THEN 0 ELSE n END) AS kept,
+    sum(n) FILTER (WHERE contains(failed, here) AND NOT regexp_matches(failed, '[' || before || 'x]')) AS removed,
+    sum(n) FILTER (WHERE contains(failed, here)) AS failing,
+    sum(n) FILTER (WHERE failed = here) AS unique_fails,
+    sum(good) FILTER (WHERE contains(failed, here) AND NOT regexp_matches(failed, '[' || before || 'x]')) AS good_lost,
+    sum(toxic) FILTER (WHERE contains(failed, here) AND NOT regexp_matches(failed, '[' || before || 'x]')) AS toxic_lost
+  FROM kinds, states GROUP BY ALL
+)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  (coalesce(failing, 0) - coalesce(removed, 0))::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  (sum(coalesce(removed, 0)) OVER (PARTITION BY part, here))::BIGINT AS shapley
+FROM counted""",
     "op7_url_automaton": rf"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
