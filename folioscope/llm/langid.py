@@ -136,18 +136,20 @@ def windows_of(raw: bytes, size: int) -> np.ndarray:
 
 
 def fit(df: DataFrame, text_col: str, label_col: str, key_col: str, config: Config = Config()) -> ByteNet | None:
-    """Train on the labelled rows of df: for each label the config.sample_rows of least hash of key and text length, and of each a
-    piece of config.sample_chars at a hashed place; equal pieces of one hash count once, ties go by the piece. None where no row has a label and a text; more
-    than config.max_labels labels are an error.
+    """Train on the labelled rows of df: for each label the config.sample_rows of least hash of key and text, and of each a piece of
+    config.sample_chars at a hashed place. Rows with equal key, text and label count once; of equal hashes ties go by the piece. None where no row has
+    a label and a text; more than config.max_labels labels are an error.
 
-    Labels are counted first, with partial sums before the shuffle. Their counts give the hash below which there are the wanted rows and
-    half as many more, so of a label that has most rows only about 1.5 sample_rows leave the tasks that read them.
+    A label's different rows are counted first, as hashes and with sums before the shuffle. The counts give the hash below which there are
+    the wanted rows and half as many more, so of a label that has most rows only about 1.5 sample_rows leave the tasks that read them. Whole texts
+    are hashed, so rows that share one key don't share a hash, and every label with a text gets training rows.
     """
-    text, label = F.col(f"`{text_col}`"), F.col(f"`{label_col}`")
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(config.seed), F.col(f"`{key_col}`"), F.length(text)), 11) / F.lit(float(1 << 53))
-    start = F.pmod(F.xxhash64(F.lit(config.seed + 1), F.col(f"`{key_col}`")), F.greatest(F.lit(1), F.length(text) - config.sample_chars + 1))
+    text, label, key = F.col(f"`{text_col}`"), F.col(f"`{label_col}`"), F.col(f"`{key_col}`")
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(config.seed), key, text), 11) / F.lit(float(1 << 53))
+    start = F.pmod(F.xxhash64(F.lit(config.seed + 1), key), F.greatest(F.lit(1), F.length(text) - config.sample_chars + 1))
     labelled = df.where(text.isNotNull() & label.isNotNull())
-    counts = labelled.groupBy(label.cast("string").alias("label")).count().limit(config.max_labels + 1).collect()
+    different = labelled.select(label.cast("string").alias("label"), order.alias("o")).distinct()
+    counts = different.groupBy("label").count().limit(config.max_labels + 1).collect()
     if not counts:
         return None
     if len(counts) > config.max_labels:

@@ -126,6 +126,27 @@ def test_a_label_that_has_most_rows_is_sampled(spark):
     assert np.bincount(seen["y"]).tolist() == [100, 200], "all of the rare label, the bound of the other"
 
 
+@pytest.mark.parametrize("same_text", [False, True])
+@pytest.mark.parametrize("ids", ["0", "if(lang = 'en', 0, id)", "if(lang = 'en', 0, 1)"])
+def test_repeated_ids_lose_no_label(spark, ids, same_text):
+    """One id for all rows, for a whole label, and for each of two; texts that differ or not."""
+    tail = "''" if same_text else "id"
+    df = spark.range(6000).selectExpr("id", "if(id % 2 = 0, 'en', 'de') AS lang").selectExpr(
+        f"{ids} AS doc_id", "lang", f"concat(if(lang = 'en', 'the cat and the dog ', 'der Hund und die Katze '), {tail}) AS text"
+    )
+    seen = {}
+    real = langid.ByteNet.fit
+    langid.ByteNet.fit = lambda self, x, y: seen.update(y=y) or real(self, x, y)
+    try:
+        net = langid.fit(df, "text", "lang", "doc_id", langid.Config(sample_rows=200, epochs=3))
+    finally:
+        langid.ByteNet.fit = real
+    least = 200 if not same_text else 1
+    assert all(n >= least for n in np.bincount(seen["y"], minlength=2))
+    if not same_text:
+        assert langid.predict_texts(net, ["der Hund und die Katze 77", "the cat and the dog 77"])[0] == ["de", "en"]
+
+
 def test_forward_pass_and_gradients():
     """Against a plain loop over filters and positions, and numeric derivatives."""
     config = langid.Config(window=12, embed=3, widths=(2, 3), filters=2)
