@@ -60,7 +60,7 @@ def _distances(unit: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 
 def pack_cells(vectors: DataFrame, centroids: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(packs, reach) of vectors(id, v, scope), every one in the cell of its nearest centroid; rows whose vector is null or of another length than the centroids are left out.
+    """(packs, reach) of vectors(id, v, scope), packs numbered by slab in their cell and scope, every one in the cell of its nearest centroid; rows whose vector is null or of another length than the centroids are left out.
 
     A cell's vectors of one scope are dealt over packs by the hash of the id, so copies that fill a cell are many packs, and none is larger
     than about PACK. Rows of packs lie in the order of the cells, so that a reader skips row groups by cell.
@@ -82,7 +82,7 @@ def pack_cells(vectors: DataFrame, centroids: np.ndarray) -> tuple[DataFrame, Da
     dealt = placed.join(parts, (F.col("cell") == F.col("c")) & F.col("scope").eqNullSafe(F.col("s")))
     dealt = dealt.withColumn("slab", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     packed = dealt.groupBy("cell", "scope", "slab").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("rows"))
-    packs = packed.select("cell", "scope", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("vecs"))
+    packs = packed.select("cell", "scope", "slab", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("vecs"))
     return packs.repartitionByRange("cell", "scope", F.xxhash64("ids")).sortWithinPartitions("cell", "scope"), reach
 
 

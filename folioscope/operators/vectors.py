@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folioscope.functions import text as X
 from folioscope.operators.keyword import top_k
@@ -44,6 +45,13 @@ def hash_embedding(df: DataFrame, id_col: str, text_col: str, model: str, positi
     return sums.where("v <> 0").join(norms, "id").select("id", "idx", value.alias("value"))
 
 
+def dense(sparse: DataFrame, dim: int = DIM) -> DataFrame:
+    """(id, v) with all dim numbers of sparse rows (id, idx, value)."""
+    at = F.map_from_entries(F.collect_list(F.struct("idx", "value")))
+    rows = sparse.groupBy("id").agg(at.alias("m"))
+    return rows.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit(0.0))).alias("v"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """JVM-side, for few pairs: 0 if one is zero; null if lengths differ."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -86,7 +94,12 @@ def _unit(flat: np.ndarray, n: int) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
-def _scan(queries: list[tuple], k: int):
+def _hits(query_id: np.ndarray, ids: np.ndarray, scores: np.ndarray, kinds: tuple[pa.DataType, pa.DataType]) -> pa.RecordBatch:
+    """Rows (query_id, id, score) with ids of the tables' own types."""
+    return pa.RecordBatch.from_arrays([pa.array(query_id).cast(kinds[0]), pa.array(ids).cast(kinds[1]), pa.array(scores)], names=["query_id", "id", "score"])
+
+
+def _scan(queries: list[tuple], k: int, kinds: tuple[pa.DataType, pa.DataType]):
     """A task's pass over (id, key, v) that keeps the best k vectors of each query."""
     groups: dict[tuple[str, int], list[tuple]] = {}
     for q in queries:
@@ -94,7 +107,7 @@ def _scan(queries: list[tuple], k: int):
     asked = {g: (np.array([q[0] for q in qs]), _unit(np.array([q[1] for q in qs]), len(qs))) for g, qs in groups.items() if g[1]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {g: (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for g in asked}
+        best: dict[tuple[str, int], tuple] = {}
         for batch in batches:
             keys, sizes = batch.column(1).to_numpy(zero_copy_only=False), np.diff(batch.column(2).offsets.to_numpy())
             for (key, dim), (_, q) in asked.items():
@@ -102,10 +115,11 @@ def _scan(queries: list[tuple], k: int):
                 for at in range(0, len(some), BLOCK):
                     part = batch.take(pa.array(some[at : at + BLOCK]))
                     d = _unit(part.column(2).flatten().to_numpy(zero_copy_only=False), len(part))
-                    new = best_of(np.round(q @ d.T, 6), part.column(0).to_numpy(), k)
-                    best[key, dim] = _first(*(np.concatenate(x) for x in zip(best[key, dim], new, strict=True)), k)
+                    new = best_of(np.round(q @ d.T, 6), np.array(part.column(0).to_pylist()), k)
+                    old = best.get((key, dim))
+                    best[key, dim] = _first(*(np.concatenate(x) for x in zip(old, new, strict=True)), k) if old else new
         for g, (row, ids, scores) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(asked[g][0][row]), pa.array(ids), pa.array(scores)], names=["query_id", "id", "score"])
+            yield _hits(asked[g][0][row], ids, scores, kinds)
 
     return run
 
@@ -121,12 +135,14 @@ def cosine_topk(
     depend on the tables. key: a column that query and vector must have in common (filter before scoring).
     """
     asked = queries.where(F.col(query_vec).isNotNull())
+    schema = f"query_id {dict(queries.dtypes)[query_id]}, id {dict(vectors.dtypes)[id_col]}, score double"
+    kinds = tuple(to_arrow_type(t.schema[c].dataType) for t, c in ((queries, query_id), (vectors, id_col)))
     size = asked.agg(F.coalesce(F.sum(F.size(query_vec)), F.lit(0))).first()[0]
     if size <= SHARED_VALUES:
         rows = asked.select(query_id, query_vec, (F.col(key) if key else F.lit(0)).cast("string").alias("key")).collect()
         sources = scratch.spread(vectors.where(F.col(vec_col).isNotNull()))
         found = sources.select(F.col(id_col).alias("id"), (F.col(key) if key else F.lit(0)).cast("string").alias("key"), F.col(vec_col).alias("v"))
-        return top_k(found.mapInArrow(_scan([tuple(r) for r in rows], k), "query_id long, id long, score double"), k)
+        return top_k(found.mapInArrow(_scan([tuple(r) for r in rows], k, kinds), schema), k)
     pairs = _blocks(queries, query_id, query_vec, "q", key).join(_blocks(vectors, id_col, vec_col, "d", key), "key").drop("key")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,6 +152,6 @@ def cosine_topk(
                 for m in (q, d):
                     m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
                 at, ids, s = best_of(np.round(q @ d.T, 6), np.array(row["d_ids"]), k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(row["q_ids"])[at]), pa.array(ids), pa.array(s)], names=["query_id", "id", "score"])
+                yield _hits(np.array(row["q_ids"])[at], ids, s, kinds)
 
-    return top_k(pairs.mapInArrow(score, "query_id long, id long, score double"), k)
+    return top_k(pairs.mapInArrow(score, schema), k)

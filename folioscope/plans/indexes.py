@@ -13,23 +13,26 @@ from folioscope.plans.core import _BM25, _CHANGED, _stable
 from folioscope.streaming.refresh import refresh_stream
 
 
-def _built(spark: SparkSession, sf_dir: str) -> str:
-    docs, root = table(spark, sf_dir, "documents"), _folder(spark, "index")
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks of seven sources; the language is the scheme."""
     url = F.concat(F.lit("https://funds.example.com/p"), (F.col("doc_id") % 7).cast("string"))
-    services.build_indexes(spark, docs.select(F.col("doc_id").cast("string").alias("chunk_id"), "text", url.alias("source_url")), root, "20250101", normalized=True)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", url.alias("source_url"), F.col("lang").alias("scheme"))
+
+
+def _built(spark: SparkSession, sf_dir: str) -> str:
+    root = _folder(spark, "index")
+    services.build_indexes(spark, _chunks(spark, sf_dir), root, "20250101")
     return root
 
 
 @query(f"WITH {_BM25} SELECT * FROM kw")
 def indexed_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The keyword channel of a built index: postings and statistics as written, without the documents' texts."""
+    """The keyword channel of a built index: blocks that can matter, without the documents' texts."""
     index = services.load_index(spark, _built(spark, sf_dir))
-    numbered = keyword.Postings(index.keyword.postings.withColumn("id", F.col("id").cast("long")), index.keyword.stats)
-    asked = table(spark, sf_dir, "benchmark")
-    return keyword.search(numbered, keyword.query_terms(asked, "item_id", "text", normalized=True), index.chunks, asked, 5, "chunk_id", "item_id")
+    return index.keyword_topk(keyword.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text"), 5)
 
 
-@query("""SELECT 'url_not_allowlisted' AS code, count(*) AS n FROM documents WHERE doc_id % 7 IN (5, 6) AND (SELECT count(*) FROM documents) <= 500 HAVING count(*) > 0
+@query("""SELECT 'url_not_allowlisted' AS code, count(*) AS n FROM documents WHERE doc_id % 7 IN (5, 6) HAVING count(*) > 0
 UNION ALL SELECT 'version_mismatch', 1""")
 def index_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     allowed = spark.range(5).select(F.concat(F.lit("https://funds.example.com/p"), "id").alias("url"))

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from folioscope.functions import urls as U
 from folioscope.functions.rules import Rules
 from folioscope.operators import guardrails, hybrid, intent, keyword, requests, resolve, vectors
+from folioscope.plans import segments
+from folioscope.plans.segments import MODEL, Index
 from folioscope.sources import scratch, tables
 
-MODEL = "hash_v1"
-
 
 def pages_to_chunks(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """Pages to Markdown to chunks."""
@@ -26,73 +26,33 @@ def pages_to_chunks(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
 
 def build_indexes(spark: SparkSession, chunks: DataFrame, root: str, stamp: str, config: dict[str, Any] | None = None, normalized: bool = False) -> str:
-    """Write chunks, postings, lengths and vectors of one version, check that counts agree, and point to it last. normalized: NFKC was applied to the texts."""
-    version = tables.version_id(stamp, MODEL, config or {})
-    tables.write_version(chunks, f"{root}/chunks", version)
-    chunks = spark.read.parquet(f"{root}/chunks/index_version={version}")
-    index = keyword.build_index(chunks, "chunk_id", "text", normalized=normalized)
-    for name, df in {"postings": index.postings, "lengths": index.lengths, "terms": index.terms, "stats": index.stats}.items():
-        tables.write_version(df, f"{root}/{name}", version)
-    tables.write_version(vectors.hash_embedding(chunks, "chunk_id", "text", MODEL), f"{root}/vectors", version)
-    n = chunks.count()
-    embedded = spark.read.parquet(f"{root}/vectors/index_version={version}").select("id").distinct().count()
-    if not n or embedded != n:
-        raise ValueError(f"{n} chunks and {embedded} vectors")
-    tables.activate(spark, root, version, chunks=n, model=MODEL)
-    return version
-
-
-@dataclass(frozen=True)
-class Index:
-    """The active version of what build_indexes wrote: chunks, postings with their statistics, and sparse vectors(id, idx, value)."""
-
-    chunks: DataFrame
-    keyword: keyword.Postings
-    vectors: DataFrame
+    """Write chunks, posting blocks and vector cells of a new version, check that counts agree, and point to it last. normalized: NFKC was applied to the texts."""
+    return segments.create(spark, chunks, root, tables.version_id(stamp, MODEL, config or {}), MODEL, normalized).manifest["version"]
 
 
-def load_index(spark: SparkSession, root: str, model: str = MODEL) -> Index:
-    """Read the active version; one of another embedding model, or without chunks, is an error."""
-    active = tables.active_version(spark, root)
-    if active["model"] != model:
-        raise ValueError(f"the index was built with {active['model']}, not with {model}")
-    if not active["chunks"]:
-        raise ValueError("the index is empty")
-    read = lambda name: spark.read.parquet(f"{root}/{name}/index_version={active['version']}")
-    return Index(read("chunks"), keyword.Postings(read("postings"), read("stats")), read("vectors"))
+load_index = segments.load
 
 
-#: An index of up to so many chunks is held against the allowlist whole when it is handed over.
-SCANNED = 500
-
-
-def index_issues(spark: SparkSession, root: str, allowed: DataFrame | None = None, expected_version: str | None = None) -> DataFrame:
-    """(code, n): what is wrong with the active version: another version than expected, no chunks, counts of chunks or vectors that differ from the pointer's, and, in an
-    index of up to SCANNED chunks, source URLs that are not allowed. Counts are aggregates of the written tables.
+def index_issues(spark: SparkSession, root: str, allowed: DataFrame | None = None, expected_version: str | None = None, scanned: int | None = None) -> DataFrame:
+    """(code, n): what is wrong with the active version: another version than expected, no chunks, counts of chunks or vectors that differ from the manifest's, and
+    source URLs that are not allowed. scanned: hold only indexes of up to so many chunks against the allowlist (None: all). Counts are aggregates of the written tables.
     """
-    active, index = tables.active_version(spark, root), load_index(spark, root)
-    counts = index.chunks.agg(F.count("*").alias("chunks")).crossJoin(F.broadcast(index.vectors.agg(F.countDistinct("id").alias("vectors"))))
+    index = load_index(spark, root)
+    active = index.manifest
+    vectors = index._read("packs").select("segment", F.explode("ids").alias("id"))
+    counts = index.chunks.agg(F.count("*").alias("chunks")).crossJoin(F.broadcast(index.living(vectors, "id").agg(F.count("*").alias("vectors"))))
     pointed = F.lit(active["chunks"])
     tests = [
         ("version_mismatch", F.lit(expected_version not in (None, active["version"])).cast("long")), ("empty_index", (F.col("chunks") == 0).cast("long")),
         ("chunk_count_mismatch", F.abs(F.col("chunks") - pointed)), ("vector_count_mismatch", F.abs(F.col("vectors") - pointed)),
     ]
     rows = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("code"), n.alias("n")) for c, n in tests])).alias("x")).select("x.*")
-    if allowed is not None and active["chunks"] <= SCANNED:
+    if allowed is not None and (scanned is None or active["chunks"] <= scanned):
         off = U.keep_allowed(index.chunks.where(F.trim(F.coalesce("source_url", F.lit(""))) != ""), "source_url", allowed, negate=True)
         rows = rows.unionByName(off.agg(F.lit("url_not_allowlisted").alias("code"), F.count("*").alias("n")).select("code", "n"))
     return rows.where("n > 0")
 
 
-def sparse_topk(queries: DataFrame, index: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """Top k by dot product of sparse unit vectors (id, idx, value); allowed(query_id, id) restricts pairs before they are summed."""
-    q = queries.select(F.col("id").alias("query_id"), "idx", F.col("value").alias("qv"))
-    hits = index.join(q, "idx").groupBy("query_id", "id").agg(F.round(F.sum(F.col("qv") * F.col("value")), 6).alias("score"))
-    if allowed is not None:
-        hits = hits.join(allowed, ["query_id", "id"], "left_semi")
-    return keyword.top_k(hits, k)
-
-
 @dataclass(frozen=True)
 class Service:
     """What answers need. registry: the schemes (driver-side list); chunks: (chunk_id, text, scheme, source_url, section_title, effective_date)."""
@@ -118,11 +78,11 @@ class Service:
         live = asked.where(F.col("action").isin("retrieve", "performance_limited"))
         sure = (F.col("status") == "resolved") & (F.col("scheme_confidence") >= 0.82)
         live = live.withColumn("scheme_filter", F.when(sure, F.col("scheme")))
-        filtered = chunks.withColumn("scheme_filter", F.col("scheme"))
         if index is None:
+            filtered = chunks.withColumn("scheme_filter", F.col("scheme"))
             found = keyword.bm25_topk(filtered, live, self.k, "chunk_id", "text", "query_id", "query", keep=["scheme_filter"])
         else:
-            found = keyword.search(index.keyword, keyword.query_terms(live, "query_id", "query"), filtered, live, self.k, "chunk_id", "query_id", keep=["scheme_filter"])
+            found = index.keyword_topk(keyword.query_terms(live, "query_id", "query"), self.k, live.select("query_id", F.col("scheme_filter").alias("scope")))
         near = self._near(live, chunks, index)
         fused = hybrid.fuse(hybrid.merge_channels(found, near), self.pool)
         rows = fused.drop("rank").join(chunks.withColumnRenamed("chunk_id", "id").withColumnRenamed("text", "chunk_text").withColumnRenamed("scheme", "chunk_scheme"), "id")
@@ -134,10 +94,15 @@ class Service:
         return asked.drop("status").join(best, "query_id", "left")
 
     def _near(self, live: DataFrame, chunks: DataFrame, index: Index | None) -> DataFrame:
-        embedded = vectors.hash_embedding(chunks, "chunk_id", "text", MODEL) if index is None else index.vectors
-        of = chunks.select(F.col("chunk_id").alias("id"), F.col("scheme").alias("s"))
-        pairs = live.select("query_id", "scheme_filter").join(of, F.col("scheme_filter").isNull() | (F.col("scheme_filter") == F.col("s"))).select("query_id", "id")
-        return sparse_topk(vectors.hash_embedding(live, "query_id", "query", MODEL), embedded, self.k, pairs)
+        """The vector channel: cells of the index, or one scan of the chunks for the questions of any scheme and one for those of their own."""
+        asked = vectors.dense(vectors.hash_embedding(live, "query_id", "query", MODEL)).withColumnRenamed("id", "query_id")
+        asked = asked.join(live.select("query_id", F.col("scheme_filter").alias("scope")), "query_id")
+        if index is not None:
+            return index.vector_topk(asked, self.k)
+        held = vectors.dense(vectors.hash_embedding(chunks, "chunk_id", "text", MODEL)).join(chunks.select(F.col("chunk_id").alias("id"), F.col("scheme").alias("scope")), "id")
+        held, asked = scratch.written(held, "vectors"), scratch.written(asked, "questions")
+        every = vectors.cosine_topk(held, asked.where("scope IS NULL"), self.k, "id", "v", "query_id", "v")
+        return every.union(vectors.cosine_topk(held, asked.where("scope IS NOT NULL"), self.k, "id", "v", "query_id", "v", key="scope"))
 
     def answer_within(self, questions: DataFrame, seconds: float, chunks: DataFrame | None = None, index: Index | None = None) -> DataFrame:
         """answer, written, with code and status null and 200; or, where that takes longer, a row for each question with upstream_timeout and its status. Jobs that are late are cancelled."""

@@ -98,19 +98,51 @@ def write_version(df: DataFrame, root: str, version: str, partition: str | None
     return path
 
 
-def activate(spark: SparkSession, root: str, version: str, **facts: Any) -> None:
-    """Point to a version that is written in full. Pointers are never changed: a new one has a higher number, and the highest counts."""
-    pointer = f"{root}/_active"
-    last = spark.read.json(pointer).agg(F.max("seq")).first()[0] if _exists(spark, pointer) else 0
-    row = json.dumps({"seq": last + 1, "version": version, **facts}, sort_keys=True)
-    spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("append").text(pointer)
+class ActivationConflict(RuntimeError):
+    """Another writer has made a version active since the one that this writer started from."""
+
+
+def _pointers(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(seq, path) of the pointers of an index, the latest first."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/_active")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    return sorted(((int(n.split(".")[0]), f"{root}/_active/{n}") for n in names if re.fullmatch(r"\d+\.json", n)), reverse=True)
+
+
+def activate(spark: SparkSession, root: str, version: str, expected: int | None = None, **facts: Any) -> int:
+    """Point to a version that is written in full, and return the pointer's number. Pointers are never changed: a new one is a file named by the next number.
+
+    expected: the number that the writer started from (0: none). The file is created only if there is none of its name, so of two writers that started from the same
+    pointer one gets ActivationConflict, and the other's version stays active; without it the next free number is taken. The store must create
+    files exclusively, as HDFS does. A writer that dies before its pointer has content leaves an empty file, which readers pass over.
+    """
+    last = max((n for n, _ in _pointers(spark, root)), default=0)
+    if expected is not None and last != expected:
+        raise ActivationConflict(f"{root} is at pointer {last}, not at {expected}")
+    seq = last + 1
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/_active/{seq:012d}.json")
+    try:
+        out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, False)
+    except Exception as e:
+        if "exist" in str(e).lower():
+            raise ActivationConflict(f"pointer {seq} of {root} was taken meanwhile") from e
+        raise
+    out.write(bytearray(json.dumps({"seq": seq, "version": version, **facts}, sort_keys=True).encode()))
+    out.close()
+    return seq
 
 
 def active_version(spark: SparkSession, root: str) -> dict[str, Any]:
-    pointer = f"{root}/_active"
-    if not _exists(spark, pointer):
-        raise FileNotFoundError(f"{root} has no active version")
-    return spark.read.json(pointer).orderBy(F.desc("seq")).first().asDict(True)
+    """The latest pointer that has content."""
+    for _, path in _pointers(spark, root):
+        content = "".join(r.value for r in spark.read.text(path).collect())
+        if content:
+            return json.loads(content)
+    raise FileNotFoundError(f"{root} has no active version")
 
 
 def read_active(spark: SparkSession, root: str) -> DataFrame:
