@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
 from folioscope.functions import urls as U
+from folioscope.operators.graphs import components
 from folioscope.sources import scratch
 
 REQUIRED = ("chunk_id", "text", "source_url", "scheme", "doc_type")
@@ -60,18 +62,25 @@ def _word_sets(df: DataFrame, id_col: str, text_col: str, group_col: str | None)
 def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.92, group_col: str | None = None) -> DataFrame:
     """(a, b, jaccard) of texts whose word sets have at least that Jaccard similarity, a < b.
 
-    Equal word sets are one representative (its least id stands for them; near_members tells whom). Each set is indexed by the rarest words of its prefix: two sets
-    that are similar share one of them, so frequent words make no pairs; a pair must also agree in size.
+    Words are 64-bit hashes from the start. Equal word sets are one representative (its least id stands for them; near_members tells whom). Each set is indexed by the
+    rarest words of its prefix: two sets that are similar share one of them, so frequent words make no pairs; a pair must also agree in size, and have
+    enough words left behind the places of the one that they share.
     """
     rows = _word_sets(scratch.spread(df), id_col, text_col, group_col).where(F.size("w") > 0)
-    reps = scratch.written(rows.groupBy("g", F.xxhash64("w").alias("h"), "w").agg(F.min("id").alias("id")).select("id", "g", "w"), "word_sets")
-    freq = reps.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    ranked = reps.select("id", "g", F.size("w").alias("n_w"), F.explode("w").alias("t")).join(freq, "t")
+    rows = rows.select("id", "g", F.sha2(F.array_join("w", " "), 256).alias("h"), F.array_sort(F.transform("w", lambda x: F.xxhash64(x))).alias("w"))
+    reps = scratch.written(rows.groupBy("g", "h").agg(F.min(F.struct("id", "w")).alias("r")).select("g", "r.id", "r.w"), "word_sets")
+    each = reps.select("id", "g", F.size("w").alias("n_w"), F.explode("w").alias("t"))
+    ranked = each.join(each.groupBy("t").agg(F.count("*").alias("n")), "t")
     order = Window.partitionBy("id", "g").orderBy("n", "t")
     prefix = ranked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n_w") - F.ceil(F.col("n_w") * threshold) + 1)
-    left = prefix.select("g", "t", F.col("id").alias("a"), F.col("n_w").alias("na"))
-    right = prefix.select("g", "t", F.col("id").alias("b"), F.col("n_w").alias("nb"))
-    pairs = left.join(right, ["g", "t"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("g", "a", "b").distinct()
+    prefix = scratch.written(prefix.select("id", "g", "n_w", "t", "k"), "prefixes")
+    left = prefix.select("g", "t", F.col("id").alias("a"), F.col("n_w").alias("na"), F.col("k").alias("ka"))
+    right = prefix.select("g", "t", F.col("id").alias("b"), F.col("n_w").alias("nb"), F.col("k").alias("kb"))
+    met = left.join(right, ["g", "t"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
+    # the first word in common, in the order of prefixes, has at most min(na - ka, nb - kb) others behind it
+    first = met.groupBy("g", "a", "b", "na", "nb").agg(F.min("ka").alias("ka"), F.min("kb").alias("kb"))
+    most = 1 + F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb"))
+    pairs = first.where(most * (1 + threshold) + 1e-6 >= threshold * (F.col("na") + F.col("nb"))).select("g", "a", "b")
     full = pairs.join(reps.select("g", F.col("id").alias("a"), F.col("w").alias("wa")), ["g", "a"]).join(reps.select("g", F.col("id").alias("b"), F.col("w").alias("wb")), ["g", "b"])
     common = F.size(F.array_intersect("wa", "wb")).cast("long")
     sized = full.select("a", "b", common.alias("c"), (F.size("wa") + F.size("wb") - common).alias("u"))
@@ -90,24 +99,55 @@ def near_members(df: DataFrame, id_col: str, text_col: str, group_col: str | Non
     return met.select("id", "representative", "n_copies")
 
 
+#: Pairs of a component that one task decides. A larger one is decided in rounds.
+TASK_PAIRS = 1_000_000
+
+
+def _greedy(group: pa.Table) -> pa.Table:
+    """(b, first) of the pairs of a component, decided in the order of ids: dropped ids with the least kept one that is near."""
+    before: dict = {}
+    for a, b in zip(group.column("a").to_pylist(), group.column("b").to_pylist(), strict=True):
+        before.setdefault(b, []).append(a)
+    first: dict = {}
+    for b in sorted(before):
+        kept = [a for a in before[b] if a not in first]
+        if kept:
+            first[b] = min(kept)
+    kind = group.schema.field("a").type
+    return pa.table({"b": pa.array(list(first), kind), "first": pa.array(list(first.values()), kind)})
+
+
 def keep_first(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.92, group_col: str | None = None) -> DataFrame:
     """(id, kept_id, kept): what a scan in the order of unique ids keeps that drops each document near one it has kept; kept_id is the least such one.
 
-    Each round keeps the representatives without a smaller undecided neighbour and drops their neighbours; a round's rest is
-    written. There are as many rounds as a chain of decisions is long, and pairs are all that moves.
+    A decision needs only those of its connected component of pairs. Components of up to TASK_PAIRS pairs are decided in one task each, so the number of jobs does not
+    grow with the length of a chain. What is larger goes in rounds that keep representatives without a smaller undecided neighbour and drop their
+    neighbours, each round written.
     """
     pairs = scratch.written(near_pairs(df, id_col, text_col, threshold, group_col).select("a", "b").distinct(), "near_pairs")
+    nodes = components(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    owned = scratch.written(pairs.join(nodes, F.col("a") == F.col("node")).select("a", "b", "component"), "near_components")
+    large = owned.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > TASK_PAIRS).select("component")
+    kind = dict(pairs.dtypes)["a"]
+    first = owned.join(large, "component", "left_anti").groupBy("component").applyInArrow(_greedy, f"b {kind}, first {kind}")
+    rest = scratch.written(owned.join(large, "component", "left_semi").select("a", "b"), "near_left")
+    if not rest.isEmpty():
+        first = first.union(_by_rounds(rest))
+    members = near_members(df, id_col, text_col, group_col)
+    met = members.join(first, F.col("representative") == F.col("b"), "left")
+    kept = F.coalesce("first", "representative")
+    return met.select("id", kept.alias("kept_id"), (F.col("id") == kept).alias("kept"))
+
+
+def _by_rounds(pairs: DataFrame) -> DataFrame:
+    """(b, first), like _greedy, for pairs of any number."""
     left, gone = pairs, pairs.select("b").limit(0)
     while not left.isEmpty():
         free = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
         out = scratch.written(left.join(free, "a").select("b").distinct(), "near_gone")
-        gone = gone.union(out)
+        gone = scratch.written(gone.union(out), "near_gone")
         left = scratch.written(left.join(out, "b", "left_anti").join(out.withColumnRenamed("b", "a"), "a", "left_anti"), "near_left")
-    first = pairs.join(gone.withColumnRenamed("b", "a"), "a", "left_anti").groupBy("b").agg(F.min("a").alias("first"))
-    members = near_members(df, id_col, text_col, group_col)
-    met = members.join(first, F.col("representative") == F.col("b"), "left")
-    kept = F.coalesce("first", "representative")
-    return met.select("id", kept.alias("kept_id"), (F.col("id") == kept).alias("kept"))
+    return pairs.join(gone.withColumnRenamed("b", "a"), "a", "left_anti").groupBy("b").agg(F.min("a").alias("first"))
 
 
 def chunk_errors(df: DataFrame, allowed: DataFrame | None = None, site: str | None = None, required: Sequence[str] = REQUIRED) -> DataFrame:

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folioscope.functions import text as X
 from folioscope.functions import urls as U
+from folioscope.sources import scratch
 
 #: Scores of the rules and thresholds of the decision.
 SCORES = {"url": 1.0, "slug": 0.98, "alias": 0.96, "display_name": 0.94, "house_core": 0.93, "core_phrase": 0.90}
@@ -61,32 +66,27 @@ def registry_index(registry: DataFrame, house: str) -> DataFrame:
     return named.withColumn("core", core).select("scheme", "url", "display", "core", "spaced", words.alias("tokens"))
 
 
-#: Schemes of a registry that is broadcast to the questions; a larger one is met in a partitioned loop.
-SHARED_SCHEMES = 10_000
-
-
 def exact_matches(queries: DataFrame, query_id: str, query_col: str, index: DataFrame, aliases: DataFrame, house: str, url_prefix: str = "funds.example.com/") -> DataFrame:
     """(query_id, scheme, url, score, method, rank): schemes that a question names by the rules without fuzzy ratios, the best rule of each, best first, ties by scheme.
 
-    aliases(phrase, scheme): a scheme has the longest of its phrases that the question contains. Containment is no equality, so questions and registry meet in a loop join whose smaller side is
-    the registry, broadcast up to SHARED_SCHEMES, as counted.
+    aliases(phrase, scheme). A question that contains a name contains the name's anchor, so questions and registry meet by anchors (see resolve_registry), and the
+    rules are evaluated on these pairs alone.
     """
-    norm = X.query_form(F.col(query_col))
-    asked = queries.select(F.col(query_id).alias("query_id"), norm.alias("q"), U.slug_mentions(F.col(query_col), url_prefix).alias("slugs"))
-    longest = aliases.groupBy("scheme").agg(F.array_sort(F.collect_list(F.struct((-F.length("phrase")).alias("n"), "phrase"))).alias("phrases"))
-    schemes = index.join(longest, "scheme", "left")
-    small = schemes.limit(SHARED_SCHEMES + 1).count() <= SHARED_SCHEMES
+    asked = scratch.written(queries.select(F.col(query_id).alias("query_id"), F.col(query_col).alias("raw")), "questions")
+    schemes = _numbered(index, aliases)
+    pairs = _pairs_met(asked, schemes, house, url_prefix, close=False).join(asked, "query_id").join(schemes, "no")
+    pairs = pairs.withColumns({"q": X.query_form(F.col("raw")), "slugs": U.slug_mentions(F.col("raw"), url_prefix)})
     c, q = F.col, F.col("q")
     within = lambda phrase: F.contains(q, phrase)
     by_display = (F.length("display") >= 8) & within(c("display"))
     full = F.concat(F.lit(f"{house} "), c("core"))
     rules = [
         ("url", F.array_contains("slugs", c("scheme"))), ("slug", F.contains(F.replace(q, F.lit(" "), F.lit("-")), c("scheme")) | within(c("spaced"))),
-        ("alias", F.exists(F.coalesce("phrases", F.array().cast("array<struct<n:int,phrase:string>>")), lambda p: within(p["phrase"]))), ("display_name", by_display),
+        ("alias", F.exists("phrases", within)), ("display_name", by_display),
         ("house_core", (F.length(full) >= 10) & within(full)), ("core_phrase", ~by_display & (F.length("core") >= 4) & within(c("core"))),
     ]
     method = F.coalesce(*[F.when(test, F.lit(name)) for name, test in rules])  # in falling order of their scores
-    met = asked.join(F.broadcast(schemes) if small else schemes, method.isNotNull())
+    met = pairs.where(method.isNotNull())
     score = F.lit(0.0)
     for name, _ in rules:
         score = F.when(F.col("method") == name, SCORES[name]).otherwise(score)
@@ -115,9 +115,19 @@ def word_ratio(haystack: str, token: str) -> float:
     return max((difflib.SequenceMatcher(None, token, w).ratio() for w in haystack.split() if len(w) >= 4), default=0.0)
 
 
+def _question_form(query: str) -> str:
+    return re.sub(r"\s+", " ", query.lower().translate(str.maketrans("’‘“”", "''\"\"")).strip())
+
+
+def _mentions(text: str, house: str, needles: list[str]) -> bool:
+    """Does one of several alternatives in a question (a or b, a vs b) have the house and one of the needles?"""
+    parts = re.split(r"\s+(?:or|vs\.?|versus)\s+", text)
+    return len(parts) > 1 and any(house in part and any(n in part for n in needles) for part in parts)
+
+
 def match_scores(query: str, s: Scheme, aliases: dict[str, str], house: str, url_prefix: str) -> list[tuple[float, str]]:
     """(score, method) of every rule that fits, in the order in which the first of equal scores wins."""
-    norm = re.sub(r"\s+", " ", query.lower().translate(str.maketrans("’‘“”", "''\"\"")).strip())
+    norm = _question_form(query)
     out: list[tuple[float, str]] = []
 
     def rule(method: str, fits: bool, factor: float = 1.0) -> None:
@@ -184,7 +194,11 @@ def resolve(
     blocks = [registry[i : i + BLOCK] for i in range(0, max(1, len(registry)), BLOCK)]
     matches = F.concat(*[scored(block)("raw") for block in blocks])
     base = queries.select(F.col(query_id).alias("query_id"), X.query_form(F.col(query_col)).alias("q"), F.col(query_col).alias("raw"))
-    base = base.select("query_id", F.array_sort(matches, _by_score).alias("m"), compared("q").alias("cmp"))
+    return _decided(base.select("query_id", F.array_sort(matches, _by_score).alias("m"), compared("q").alias("cmp")), default_url)
+
+
+def _decided(base: DataFrame, default_url: str) -> DataFrame:
+    """The decision on (query_id, m, cmp): m the matches, best first; cmp the schemes that alternatives name."""
     top, second = F.get("m", F.lit(0)), F.get("m", F.lit(1))
     strong = F.filter("m", lambda r: r["score"] >= MULTI)
     gap = top["score"] - F.coalesce(second["score"], F.lit(0.0))
@@ -203,3 +217,142 @@ def resolve(
 
 def _by_score(a, b):
     return F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["scheme"] < b["scheme"], -1).when(a["scheme"] > b["scheme"], 1).otherwise(0)
+
+
+# -- a registry as a table -------------------------------------------------------------------------------------------
+
+#: Longest needle that only the end of a question can come close to: a window has eight characters more, and of two texts of n and w characters that
+#: reach FUZZY_MIN, w is at most n (2 / FUZZY_MIN - 1). Longer ones are met in segments of a question.
+TAIL_NEEDLE, WINDOW_MORE, STRIDE = 24, 8, 16
+#: Characters of an anchor: a rare piece of a name, which a question that contains the name contains too.
+ANCHOR = 4
+
+
+def needed_grams(n: int) -> int:
+    """Pairs of neighbouring characters, of n - 1 in a needle, that a text has at least whose Ratcliff-Obershelp ratio with it reaches FUZZY_MIN.
+
+    With r = FUZZY_MIN, M matched characters are a common subsequence of n and w characters with 2 M >= r (n + w). Each of the n - M others spoils
+    two pairs, each of the w - M characters between them one: 2 n + w - 3 M, at most (2 - 1.5 r) n + (1 - 1.5 r) w. That is most where w
+    is least, and M can't be above w, so w >= n r / (2 - r).
+    """
+    r = FUZZY_MIN
+    least = n * r / (2 - r)
+    return n - 1 - int((2 - 1.5 * r) * n + (1 - 1.5 * r) * least + 1e-9)
+
+
+def _pairs(text: str) -> list[str]:
+    return [text[i : i + 2] for i in range(len(text) - 1)]
+
+
+def _needle_kind(n: int) -> str:
+    return "tail" if n <= TAIL_NEEDLE else f"long{n // STRIDE}"
+
+
+def _question_pieces(query: str, classes: list[int], url_prefix: str, close: bool = True) -> set[tuple[str, int, str]]:
+    """(kind, place, gram) of a question, blanks as hyphens: its short pieces for anchors; pairs of its end, of its segments by class of needles, and of its words; its slugs."""
+    norm = _question_form(query)
+    flat = norm.replace(" ", "-")
+    out = {("anchor", 0, flat[i : i + k]) for k in range(1, ANCHOR + 1) for i in range(len(flat) - k + 1)}
+    out |= {("url", 0, slug) for slug in re.findall(re.escape(url_prefix) + r"([a-z0-9-]+)", query.lower())}
+    if not close:
+        return out
+    end = int(TAIL_NEEDLE * (2 / FUZZY_MIN - 1)) + 1
+    out |= {("tail", 0, g) for g in _pairs(flat[-end:])}
+    for c in classes:
+        size = STRIDE * (c + 1) - 1 + WINDOW_MORE + STRIDE
+        for place, start in enumerate(range(0, max(1, len(flat)), STRIDE)):
+            out |= {(f"long{c}", place, g) for g in _pairs(flat[start : start + size])}
+    for place, word in enumerate(norm.split()):
+        if len(word) >= 4:
+            out |= {("word", place, g) for g in _pairs(word)}
+    return out
+
+
+def _needles(s: Scheme, phrases: list[str], house: str) -> tuple[list[str], list[tuple[str, str]]]:
+    """What a question contains if an exact rule fits (an empty core: the house, which a comparison must name), and (kind, text) that it comes close to if a fuzzy one does."""
+    exact = [s.scheme, s.spaced, s.core or house, *([s.display] if len(s.display) >= 8 else []), *phrases]
+    close = [(_needle_kind(len(t)), t) for t in (s.core, f"{house} {s.core}") if s.core] + [("word", t) for t in s.tokens if len(t) >= 8]
+    return [t.replace(" ", "-") for t in exact if t], [(k, t if k == "word" else t.replace(" ", "-")) for k, t in close]
+
+
+def _numbered(index: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The registry with a number for each scheme and the phrases of its aliases, written."""
+    phrases = aliases.groupBy("scheme").agg(F.collect_set("phrase").alias("phrases"))
+    rows = index.join(phrases, "scheme", "left").withColumn("phrases", F.coalesce("phrases", F.array().cast("array<string>")))
+    return scratch.written(rows.withColumn("no", F.monotonically_increasing_id()), "schemes")
+
+
+_GRAM = ("no", "needle", "kind", "gram", "times", "need")
+
+
+def _pairs_met(asked: DataFrame, schemes: DataFrame, house: str, url_prefix: str, close: bool = True) -> DataFrame:
+    """(query_id, no): the schemes whose anchors or slugs a question of asked(query_id, raw) contains; close: and those that it has as many pairs of as a fuzzy rule needs."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                s = Scheme(r["scheme"], r["url"], r["display"], r["core"], r["spaced"], tuple(r["tokens"]))
+                exact, near = _needles(s, r["phrases"], house)
+                for i, t in enumerate(dict.fromkeys(exact)):
+                    k = min(ANCHOR, len(t))
+                    rows += [(r["no"], i, "anchor", g, 1, 1) for g in {t[j : j + k] for j in range(len(t) - k + 1)}]
+                for i, (kind, t) in enumerate(dict.fromkeys(near) if close else []):
+                    need = max(1, needed_grams(len(t)))
+                    rows += [(r["no"], i, kind, g, n, need) for g, n in Counter(_pairs(t)).items()]
+                rows.append((r["no"], 0, "url", s.scheme, 1, 1))
+            yield pa.RecordBatch.from_pylist([dict(zip(_GRAM, row, strict=True)) for row in rows], schema)
+
+    schema = pa.schema(list(zip(_GRAM, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)))
+    grams = scratch.written(schemes.mapInArrow(cut, "no long, needle long, kind string, gram string, times long, need long"), "name_grams")
+    anchors = grams.where("kind = 'anchor'")
+    rare = anchors.join(anchors.groupBy("gram").agg(F.count("*").alias("df")), "gram").groupBy("no", "needle").agg(F.min(F.struct("df", "gram")).alias("m"))
+    one = F.lit(1).cast("long")
+    names = grams.where("kind <> 'anchor'").unionByName(rare.select("no", "needle", F.lit("anchor").alias("kind"), F.col("m.gram").alias("gram"), one.alias("times"), one.alias("need")))
+    classes = sorted(int(r.kind[4:]) for r in grams.where("kind LIKE 'long%'").select("kind").distinct().collect())  # one for each STRIDE of lengths
+    kind, arrow = dict(asked.dtypes)["query_id"], to_arrow_type(asked.schema["query_id"].dataType)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = [dict(zip(("query_id", "kind", "place", "gram"), (q, *x), strict=True)) for x in (_question_pieces(raw, classes, url_prefix, close) if raw else ())]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("query_id", arrow), ("kind", pa.string()), ("place", pa.int64()), ("gram", pa.string())]))
+
+    pieces = asked.select("query_id", "raw").mapInArrow(ask, f"query_id {kind}, kind string, place long, gram string")
+    met = pieces.join(names, ["kind", "gram"]).groupBy("query_id", "kind", "place", "no", "needle").agg(F.sum("times").alias("n"), F.max("need").alias("need"))
+    return met.where("n >= need").select("query_id", "no").distinct()
+
+
+def resolve_registry(
+    queries: DataFrame, query_id: str, query_col: str, index: DataFrame, aliases: DataFrame, house: str = "acme", url_prefix: str = "funds.example.com/", default_url: str = "",
+) -> DataFrame:
+    """resolve() with a registry of any size as a table: index as of registry_index, aliases(phrase, scheme). The same columns and rows.
+
+    Questions meet names by pieces that they must have in common, never pair by pair. A question that contains a name contains the name's anchor, its
+    rarest piece of ANCHOR characters. One that comes close to it has needed_grams of its pairs: at its end where the name is short, in a
+    segment as long as the name's windows otherwise, or in a word. Rules and ratios are evaluated on the questions and schemes that are left.
+    A null question matches nothing; equal (question id, scheme) are one.
+    """
+    asked = scratch.written(queries.select(F.col(query_id).alias("query_id"), F.col(query_col).alias("raw")), "questions")
+    schemes = _numbered(index, aliases)
+    pairs = _pairs_met(asked, schemes, house, url_prefix).join(asked, "query_id").join(schemes, "no")
+
+    @F.pandas_udf("struct<score:double,method:string,mentioned:boolean>")
+    def judge(raw: pd.Series, q: pd.Series, row: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for text, form, r in zip(raw, q, row.itertuples(index=False), strict=True):
+            s = Scheme(r.scheme, r.url, r.display, r.core, r.spaced, tuple(r.tokens))
+            found = match_scores(text, s, dict.fromkeys(r.phrases, r.scheme), house, url_prefix)
+            score, method = max(found, key=lambda f: f[0]) if found else (None, None)
+            out.append((score, method, _mentions(form, house, [s.core, s.spaced, *r.phrases])))
+        return pd.DataFrame(out, columns=["score", "method", "mentioned"])
+
+    row = F.struct("scheme", "url", "display", "core", "spaced", "tokens", "phrases")
+    judged = scratch.written(pairs.select("query_id", "scheme", "url", judge("raw", X.query_form(F.col("raw")), row).alias("j")).select("query_id", "scheme", "url", "j.*"), "judged")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "scheme")
+    best = judged.where("score IS NOT NULL").withColumn("rank", F.row_number().over(order)).where("rank <= 5")  # the decision looks at no more
+    matches = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("scheme", "url", "score", "method")), _by_score).alias("m"))
+    named = judged.where("mentioned").groupBy("query_id").agg(F.array_sort(F.collect_set("scheme")).alias("cmp"))
+    base = asked.select("query_id").join(matches, "query_id", "left").join(named, "query_id", "left")
+    none = F.array().cast("array<struct<scheme:string,url:string,score:double,method:string>>")
+    return _decided(base.select("query_id", F.coalesce("m", none).alias("m"), F.coalesce("cmp", F.array().cast("array<string>")).alias("cmp")), default_url)

@@ -237,11 +237,14 @@ def dedupe_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.dedupe_exact(docs, "source", "text", ["n_chars", "doc_id"]).select("doc_id", "source", "n_copies")
 
 
-@query(f"""WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split({_DEDUPE}, ' '), lambda x: x <> ''))) AS w FROM documents),
+_NEAR = f"""WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split({_DEDUPE}, ' '), lambda x: x <> ''))) AS w FROM documents),
 reps AS (SELECT min(doc_id) AS id, w FROM w WHERE len(w) > 0 GROUP BY w)
 SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS jaccard
 FROM reps a JOIN reps b ON a.id < b.id AND least(len(a.w), len(b.w)) >= 0.92 * greatest(len(a.w), len(b.w))
-WHERE 100 * len(list_intersect(a.w, b.w)) >= 92 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""")
+WHERE 100 * len(list_intersect(a.w, b.w)) >= 92 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))"""
+
+
+@query(_NEAR)
 def near_dup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.near_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -252,7 +255,17 @@ def near_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.near_members(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+# a scan over the ids that have neighbours, in order: each is kept if none that was kept is near
+@query(f"""WITH RECURSIVE pairs AS MATERIALIZED (SELECT a, b FROM ({_NEAR})),
+nodes AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS pos, list(a) FILTER (WHERE a IS NOT NULL) AS before
+  FROM (SELECT b AS id, a FROM pairs UNION SELECT a, NULL FROM pairs) GROUP BY id),
+scan(pos, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT n.pos, CASE WHEN list_has_any(coalesce(n.before, []::BIGINT[]), kept) THEN kept ELSE list_append(kept, n.id) END FROM scan s JOIN nodes n ON n.pos = s.pos + 1),
+last AS (SELECT kept FROM scan ORDER BY pos DESC LIMIT 1),
+firsts AS (SELECT b, min(a) AS first FROM pairs, last WHERE list_contains(kept, a) GROUP BY b),
+members AS (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY w) AS representative
+  FROM (SELECT doc_id, list_sort(list_distinct(list_filter(string_split({_DEDUPE}, ' '), lambda x: x <> ''))) AS w FROM documents))
+SELECT id, coalesce(first, representative) AS kept_id, id = coalesce(first, representative) AS kept FROM members LEFT JOIN firsts ON representative = b""")
 def near_dup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.keep_first(table(spark, sf_dir, "documents"), "doc_id", "text")
 

@@ -278,6 +278,16 @@ def scheme_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve(asked, "id", "q", registry, {"tax saver": "acme-elss-tax-saver-direct-growth"}, default_url=POLICY.default_url)
 
 
+@query()
+def scheme_resolve_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same decision with a registry made of the benchmark, as a table: fuzzy rules on what pieces in common leave; a test holds it against the loop."""
+    names = F.array(*[F.lit(x) for x in ("acme larg cap", "vry long name number", "acme gilt 5 or acme large cap 4 fund", "tax savr fund")])
+    spoiled = F.concat_ws(" ", F.get(names, (F.col("conv_id") % 5).cast("int")), (F.col("conv_id") % 40).cast("string"), "text")
+    asked = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), spoiled.alias("q"))
+    aliases = spark.createDataFrame([], "phrase string, scheme string")
+    return resolve.resolve_registry(asked, "id", "q", _index(spark, sf_dir), aliases, default_url=POLICY.default_url)
+
+
 # -- structure and gates --------------------------------------------------------------------------------------------
 
 

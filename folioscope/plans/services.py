@@ -55,11 +55,11 @@ def index_issues(spark: SparkSession, root: str, allowed: DataFrame | None = Non
 
 @dataclass(frozen=True)
 class Service:
-    """What answers need. registry: the schemes (driver-side list); chunks: (chunk_id, text, scheme, source_url, section_title, effective_date)."""
+    """What answers need. registry: the schemes, as a short list or as a table (see resolve.registry_index); chunks: (chunk_id, text, scheme, source_url, section_title, effective_date)."""
 
     rules: Rules
     policy: guardrails.Policy
-    registry: list[resolve.Scheme]
+    registry: list[resolve.Scheme] | DataFrame
     aliases: dict[str, str]
     k: int = 5
     pool: int = 12
@@ -72,7 +72,7 @@ class Service:
         if index is not None:
             chunks = index.chunks
         asked = intent.classify(questions, "query", self.rules)
-        solved = resolve.resolve(questions, "query_id", "query", self.registry, self.aliases, self.rules.house, f"{self.rules.site}/", self.policy.default_url)
+        solved = self._resolved(questions)
         # written at the points that several branches read: the rules are evaluated once, and the plans stay small
         asked = scratch.written(asked.join(solved.withColumnRenamed("confidence", "scheme_confidence"), "query_id"), "asked")
         live = asked.where(F.col("action").isin("retrieve", "performance_limited"))
@@ -93,6 +93,13 @@ class Service:
         best = best.select("query_id", "id", "chunk_text", "section_title", "effective_date", F.col("cite.url").alias("citation_url"), "final_score", F.col("status").alias("retrieval_status"))
         return asked.drop("status").join(best, "query_id", "left")
 
+    def _resolved(self, questions: DataFrame) -> DataFrame:
+        site = f"{self.rules.site}/"
+        if isinstance(self.registry, list):
+            return resolve.resolve(questions, "query_id", "query", self.registry, self.aliases, self.rules.house, site, self.policy.default_url)
+        aliases = questions.sparkSession.createDataFrame(list(self.aliases.items()), "phrase string, scheme string")
+        return resolve.resolve_registry(questions, "query_id", "query", self.registry, aliases, self.rules.house, site, self.policy.default_url)
+
     def _near(self, live: DataFrame, chunks: DataFrame, index: Index | None) -> DataFrame:
         """The vector channel: cells of the index, or one scan of the chunks for the questions of any scheme and one for those of their own."""
         asked = vectors.dense(vectors.hash_embedding(live, "query_id", "query", MODEL)).withColumnRenamed("id", "query_id")

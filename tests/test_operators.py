@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,6 +188,49 @@ def test_near_members_and_keep_first(spark):
     assert got == {i: (min(k for k in sets if sets[k] == w), sum(v == w for v in sets.values())) for i, w in sets.items()}
 
 
+def chain(spark, n):
+    """Texts of which each is near its neighbours only."""
+    rows = [(i, " ".join(f"w{j}" for j in range(2 * i, 2 * i + 50))) for i in range(n)]
+    return spark.createDataFrame(rows, "id int, text string").repartition(4)
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 30])
+def test_long_chains(spark, monkeypatch, limit):
+    """Decided in one task, or in rounds; either way every second text stays."""
+    monkeypatch.setattr(quality, "TASK_PAIRS", limit)
+    n = 2000 if limit > 30 else 40
+    got = {r.id: r.kept_id for r in quality.keep_first(chain(spark, n), "id", "text").collect()}
+    assert got == {i: i - i % 2 for i in range(n)}
+
+
+def test_jobs_do_not_grow_with_a_chain(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(quality, "_by_rounds", lambda rest: rounds.append(1) or rest)
+    written = []
+    real = quality.scratch.written
+    monkeypatch.setattr(quality.scratch, "written", lambda df, name: written.append(name) or real(df, name))
+    counts = []
+    for n in (5, 300):
+        written.clear()
+        quality.keep_first(chain(spark, n), "id", "text").collect()
+        counts.append(len(written))
+    assert counts[0] == counts[1] and not rounds
+
+
+def test_near_pairs_like_brute_force(spark):
+    rng = random.Random(11)
+    texts = {i: " ".join(rng.sample([f"w{j}" for j in range(14)], rng.randrange(4, 13))) for i in range(150)}
+    sets = {i: frozenset(t.split()) for i, t in texts.items()}
+    least = {}
+    for i, w in sets.items():
+        least.setdefault(w, i)
+    reps = sorted(least.values())
+    for threshold in (0.6, 0.75, 0.92):
+        want = {(a, b) for a in reps for b in reps if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold}
+        df = spark.createDataFrame(list(texts.items()), "id int, text string")
+        assert {(r.a, r.b) for r in quality.near_pairs(df, "id", "text", threshold).collect()} == want
+
+
 def test_chunk_errors_and_states(spark):
     chunks = spark.createDataFrame([("a", "t", "https://x.org/a", "s", "d"), ("b", " ", "https://y.org/a", "s", None), ("c", "t", "bad", "s", "d")], "chunk_id string, text string, source_url string, scheme string, doc_type string")
     allowed = spark.createDataFrame([("https://x.org/a",)], "url string")
