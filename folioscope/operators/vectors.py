@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from folioscope.functions import text as X
-from folioscope.operators.keyword import top_k
+from folioscope.operators.keyword import _first, top_k
 from folioscope.sources import scratch
 
 #: Fixed values of the hashed embedding: dimensions, bytes used of each digest, and how far its sign byte is.
@@ -82,13 +82,6 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np
     return _first(row, ids[col], scores[row, col], k)
 
 
-def _first(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores, row))
-    row, ids, scores = row[order], ids[order], scores[order]
-    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-    return row[keep], ids[keep], scores[keep]
-
-
 def _unit(flat: np.ndarray, n: int) -> np.ndarray:
     m = flat.reshape(n, -1).astype(np.float64)
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)

@@ -293,12 +293,12 @@ def keyword_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TOKENS} SELECT term, count(*) AS df FROM post GROUP BY term")
 def token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword.build_index(table(spark, sf_dir, "documents"), "doc_id", "text", normalized=True).terms
+    return keyword.build_index(table(spark, sf_dir, "documents"), "doc_id", "text").terms
 
 
 @query(f"WITH {_TOKENS} SELECT count(*) AS n_docs, round(avg(dl), 6) AS avg_dl FROM lens")
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = keyword.build_index(table(spark, sf_dir, "documents"), "doc_id", "text", normalized=True).stats
+    stats = keyword.build_index(table(spark, sf_dir, "documents"), "doc_id", "text").stats
     return stats.select("n_docs", F.round("avg_dl", 6).alias("avg_dl"))
 
 
@@ -312,7 +312,7 @@ kw AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTI
 
 @query(f"WITH {_BM25} SELECT * FROM kw")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword.bm25_topk(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), normalized=True)
+    return keyword.bm25_topk(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query("""WITH toks AS (SELECT item_id AS id, CASE WHEN len(regexp_extract_all(lower(text), '[a-z0-9%]+')) = 0 THEN ['_empty_'] ELSE regexp_extract_all(lower(text), '[a-z0-9%]+') END AS t FROM benchmark),
