@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 WS = r"[ \t\n\x0B\f\r]+"
 
 # Words that carry no meaning in a keyword query, and in re-ranking.
-KEYWORD_STOP = "a an the is are was were what which who how of for to in on at and or me my this that it".split()
-RERANK_STOP = "what is the of for a an in on and or fund direct growth mutual tell me about".split()
+KEYWORD_STOP = ["a", "an", "the", "is", "are", "was", "were", "what", "which", "who", "how", "of", "for", "to", "in", "on", "at", "and", "or", "me", "my", "this", "that", "it"]
+RERANK_STOP = ["what", "is", "the", "of", "for", "a", "an", "in", "on", "and", "or", "fund", "direct", "growth", "mutual", "tell", "me", "about"]
 FACET_PHRASES = ["exit load", "lock-in", "lock in", "riskometer", "expense ratio", "minimum sip", "min sip", "benchmark", "statement", "tax", "nav", "aum"]
 
 # Markers of a challenge or login page, in raw HTML and in extracted text.
@@ -76,8 +76,10 @@ def hits(labels_and_tests: Sequence[tuple[str, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(test, F.lit(label)) for label, test in labels_and_tests]))
 
 
-def challenge_flag(html: Column, extra: Sequence[str] = (), limit: int = 500_000) -> Column:
-    return any_of(F.lower(F.substring(text_of(html), 1, limit)), [*RAW_CHALLENGE, *extra])
+def challenge_flag(html: Column, extra: Sequence[str] = (), limit: int | None = 500_000) -> Column:
+    """Does a page have a mark of a challenge or login in its first limit characters (None: anywhere)?"""
+    page = text_of(html) if limit is None else F.substring(text_of(html), 1, limit)
+    return any_of(F.lower(page), [*RAW_CHALLENGE, *extra])
 
 
 def challenge_in_text(text: Column) -> Column:

@@ -111,10 +111,10 @@ def main_fragment(root: Node) -> tuple[Node, str]:
     return _first(root, lambda n: n.name == "body") or root, "document"
 
 
-def extract_status(text: str, html: str) -> str:
-    """ok, partial or empty_shell, by how much text there is and whether the page is a challenge."""
-    low, n = text.lower(), len(text)
-    if any(m in low or m in html[:200_000].lower() for m in X.TEXT_CHALLENGE):
+def extract_status(text: str, html: str, scanned: int | None = None) -> str:
+    """ok, partial or empty_shell, by how much text there is and whether the page is a challenge, by its text and so many characters of its source (None: all)."""
+    low, raw, n = text.lower(), html[:scanned].lower(), len(text)
+    if any(m in low or m in raw for m in X.TEXT_CHALLENGE):
         return "partial" if n >= 400 else "empty_shell"
     if n >= 6000 and ("expense" in low or "nav" in low or "₹" in text):
         return "ok"

@@ -66,9 +66,9 @@ def registry_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- pages ----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT page_id, " + " OR ".join(f"contains(lower(substr(html, 1, 500000)), '{m}')" for m in [*X.RAW_CHALLENGE, "track("]) + " AS challenge FROM pages")
+@query("SELECT page_id, " + " OR ".join(f"contains(lower(html), '{m}')" for m in [*X.RAW_CHALLENGE, "track("]) + " AS challenge FROM pages")
 def challenge_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", X.challenge_flag(F.col("html"), extra=["track("]).alias("challenge"))
+    return table(spark, sf_dir, "pages").select("page_id", X.challenge_flag(F.col("html"), extra=["track("], limit=None).alias("challenge"))
 
 
 @query()
@@ -78,7 +78,7 @@ def html_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.html_to_markdown(table(spark, sf_dir, "pages"), "page_id", "html")
+    return html.html_to_markdown(table(spark, sf_dir, "pages"), "page_id", "html", most=None)
 
 
 # -- lines, sections, chunks ----------------------------------------------------------------------------------------
@@ -558,7 +558,7 @@ def facet_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def quarantine_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = html.html_to_markdown(table(spark, sf_dir, "pages"), "page_id", "html")
+    pages = html.html_to_markdown(table(spark, sf_dir, "pages"), "page_id", "html", most=None)
     args = [F.col("extract_status"), F.col("normalize_status"), F.octet_length("markdown"), F.lit(None).cast("string")]
     return pages.select("page_id", handoff.parse_success(*args).alias("success"), handoff.quarantine_reasons(*args).alias("reasons"))
 
@@ -612,7 +612,10 @@ def bundle_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.bundle_states(rows.select("source", (F.col("quality") == 1).alias("kept"), F.col("toxic").alias("hard_errors")), "source")
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE ts >= m - INTERVAL 10 DAY) AS fresh, round(count(*) FILTER (WHERE ts >= m - INTERVAL 10 DAY) / count(*), 4) AS share FROM events, (SELECT max(ts) AS m FROM events)")
+FRESH_SQL = "SELECT count(*) AS n, count(*) FILTER (WHERE ts >= m - INTERVAL 10 DAY) AS fresh, round(count(*) FILTER (WHERE ts >= m - INTERVAL 10 DAY) / count(*), 4) AS share FROM events, (SELECT max(ts) AS m FROM events)"
+
+
+@query(FRESH_SQL)
 def freshness_sla(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"))
     latest = events.agg(F.max("ts").alias("now"))

@@ -9,6 +9,7 @@ from folioscope.operators import evaluation as E
 from folioscope.operators import handoff, hybrid, intent, requests
 from folioscope.plans.base import ANSWER_SITE as SITE
 from folioscope.plans.base import answers, answers_sql, query, table
+from folioscope.plans.core import FRESH_SQL, freshness_sla
 
 _A = f"WITH a AS ({answers_sql()})"
 _SENT = "len(list_filter(list_transform(string_split(regexp_replace(trim(coalesce({0}, '')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> ''))"
@@ -274,13 +275,13 @@ def format_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_A}, m AS (SELECT {_ratio(f'count(*) FILTER (WHERE {_HIT})', 'count(*)')} AS h, {_ratio(f'count(*) FILTER (WHERE {_REFUSED})', 'count(*)')} AS r,
-{_ratio(f"count(*) FILTER (WHERE http_status = 200 AND {_COMPLIANT})", "count(*) FILTER (WHERE http_status = 200 AND outcome_type = 'factual')")} AS f, 0.96::DOUBLE AS s FROM a),
+{_ratio(f"count(*) FILTER (WHERE http_status = 200 AND {_COMPLIANT})", "count(*) FILTER (WHERE http_status = 200 AND outcome_type = 'factual')")} AS f, (SELECT share FROM ({FRESH_SQL})) AS s FROM a),
 g AS (SELECT 'retrieval_hit_quality' AS metric, h AS value, 0.85::DOUBLE AS least FROM m UNION ALL SELECT 'refusal_accuracy', r, 1.0 FROM m UNION ALL SELECT 'format_compliance', f, 0.95 FROM m UNION ALL SELECT 'source_freshness_sla', s, 0.95 FROM m)
 SELECT metric, value, least, value >= least AS met FROM g""")
 def metric_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda df, c, n: df.select(F.col(c).alias(n))
     row = one(retrieval_hits(spark, sf_dir), "rate", "retrieval_hit_quality").crossJoin(F.broadcast(one(refusal_accuracy(spark, sf_dir), "rate", "refusal_accuracy")))
-    row = row.crossJoin(F.broadcast(one(format_rate(spark, sf_dir), "factual_rate", "format_compliance"))).withColumn("source_freshness_sla", F.lit(0.96))
+    row = row.crossJoin(F.broadcast(one(format_rate(spark, sf_dir), "factual_rate", "format_compliance"))).crossJoin(F.broadcast(one(freshness_sla(spark, sf_dir), "share", "source_freshness_sla")))
     return E.threshold_gates(row)
 
 

@@ -494,6 +494,18 @@ def strict_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.strict_pages(pages.where("page_id % 5 <> 0")).select("page_id")
 
 
+@query("SELECT count(*) AS failing, count(*) > 0 AS refused, CASE WHEN count(*) > 0 THEN '404' END AS why FROM pages WHERE page_id % 5 = 0")
+def strict_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strict form over all pages, some of which are not found: the run is refused, and says why."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.when(F.col("page_id") % 5 == 0, 404).otherwise(200).alias("http_status"))
+    why = None
+    try:
+        corpus.strict_pages(pages).write.format("noop").mode("overwrite").save()
+    except Exception as e:
+        why = "404" if "404 for" in str(e) else str(e)
+    return pages.where("http_status <> 200").agg(F.count("*").alias("failing")).withColumns({"refused": F.lit(why is not None), "why": F.lit(why)})
+
+
 # -- sources and sinks, written and read again ----------------------------------------------------------------------
 
 
@@ -564,18 +576,22 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("conv_id long, turn long, query string").json(path)
 
 
-@query("SELECT region AS id, 'scheme-' || region AS scheme, 'https://funds.example.com/scheme-' || region AS url, region % 2 = 0 AS active FROM range(16) t(region)")
+@query("SELECT min(doc_id)::INTEGER AS id, source AS scheme, 'https://funds.example.com/' || source AS url, count(*) % 2 = 0 AS active FROM documents WHERE source IS NOT NULL GROUP BY source")
 def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry document with an entry for each source of the documents, written and read again."""
+    sources = table(spark, sf_dir, "documents").where("source IS NOT NULL").groupBy("source").agg(F.min("doc_id").cast("int").alias("id"), (F.count("*") % 2 == 0).alias("active"))
+    entry = F.struct("id", F.col("source").alias("scheme"), F.concat(F.lit("https://funds.example.com/"), "source").alias("url"), "active")
     path = _folder(spark, "registry")
-    doc = {"entries": [{"id": i, "scheme": f"scheme-{i}", "url": f"https://funds.example.com/scheme-{i}", "active": i % 2 == 0} for i in range(16)]}
-    spark.createDataFrame([(json.dumps(doc),)], "value string").coalesce(1).write.text(path)
+    sources.agg(F.collect_list(entry).alias("entries")).select(F.to_json(F.struct("entries")).alias("value")).write.text(path)  # a corpus has few sources
     return tables.read_registry(spark, path).select("id", "scheme", "url", "active")
 
 
-@query("SELECT 'scheme-' || i AS scheme, 'https://funds.example.com/' || i AS url FROM range(16) t(i)")
+@query("SELECT source AS scheme, 'https://funds.example.com/' || lang || '/' || source AS url FROM documents WHERE source IS NOT NULL AND lang = 'en' GROUP BY source, lang")
 def source_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = [x for i in range(16) for x in (f"  - scheme: scheme-{i}", f'    url: "https://funds.example.com/{i}"  # page')]
-    return tables.read_source_list(spark, ["sources:", *lines], 16)
+    """A list of the sources with English documents, as lines, and read again."""
+    found = [r.source for r in table(spark, sf_dir, "documents").where("source IS NOT NULL AND lang = 'en'").select("source").distinct().collect()]
+    lines = [x for s in found for x in (f"  - scheme: {s}", f'    url: "https://funds.example.com/en/{s}"  # page')]
+    return tables.read_source_list(spark, ["sources:", *lines], len(found))
 
 
 @query("SELECT source AS scheme, count(*) AS chunk_count, array_to_string(list('c' || doc_id ORDER BY doc_id), '|') AS chunk_ids FROM documents GROUP BY source")
@@ -774,19 +790,22 @@ def provider_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", *[F.round(F.get("embedding", F.lit(i)), 9).alias(n) for i, n in enumerate(("vowels", "digits", "blanks"))])
 
 
-@query("SELECT 'v' || i AS index_version, (i * 2)::BIGINT AS k FROM range(3) t(i)")
+@query("SELECT source AS index_version, count(*) AS k FROM documents WHERE source IS NOT NULL GROUP BY source")
 def config_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The configuration of an index of each source's documents: how many there are."""
     path = _folder(spark, "config")
-    for i in range(3):
-        bundles.write_config(spark, path, f"v{i}", {"k": 2 * i}, "2025-01-01")
+    for r in table(spark, sf_dir, "documents").where("source IS NOT NULL").groupBy("source").count().collect():
+        bundles.write_config(spark, path, r.source, {"k": r["count"]}, "2025-01-01")
     return spark.read.schema("index_version string, config struct<k: bigint>").json(path).select("index_version", "config.k")
 
 
-@query("""SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'It says 7%.' WHEN item_id % 3 = 1 THEN 'The expense ratio is 0.5%.' ELSE 'Written twice.' END AS body_text FROM benchmark""")
+@query("""SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'It says ' || length(text) || '%.' WHEN item_id % 3 = 1 THEN 'The expense ratio is 0.' || (item_id % 90 + 10) || '%.' ELSE 'Written twice.' END AS body_text FROM benchmark""")
 def written_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A writer that fails for some questions (the template stands), adds a number that the evidence has, or none."""
+    """A writer that fails for some questions (the template stands, with the figure of that question's evidence), says a number that the evidence has, or none."""
+    k = F.col("item_id")
+    evidence = F.concat(F.lit("Expense ratio 0."), (k % 90 + 10).cast("string"), F.lit("%. It says "), F.length("text").cast("string"), F.lit("%."))
     rows = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.concat(F.lit("what is the expense ratio "), (F.col("item_id") % 3).cast("string")).alias("query"), F.lit("Expense ratio 0.5%. It says 7%.").alias("chunk_text"),
+        k.alias("query_id"), F.concat(F.lit("what is the expense ratio "), (k % 3).cast("string")).alias("query"), evidence.alias("chunk_text"),
         F.lit("(document)").alias("section_title"), F.lit("2025-01-31").alias("effective_date"), F.lit(POLICY.default_url).alias("citation_url"), F.lit(False).alias("performance_limited"),
     )
     return guardrails.compose_factual(guardrails.written_bodies(rows, _writer, POLICY), POLICY).select("query_id", "body_text")
@@ -795,12 +814,14 @@ def written_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _writer(query: str, chunk: str, most: int, limited: bool) -> str:
     if query.endswith("1"):
         raise TimeoutError
-    return "It says 7%." if query.endswith("0") else "Written twice."
+    return chunk[chunk.index("It says") :] if query.endswith("0") else "Written twice."
 
 
-@query("SELECT 'recall_at_k' AS metric, 0.9::DOUBLE AS value, 'r' || i AS run FROM range(3) t(i)")
+@query("""SELECT lang AS metric, round(avg(n_chars), 4) AS value, 'first' AS run FROM documents WHERE lang IS NOT NULL GROUP BY lang
+UNION ALL SELECT source, round(count(*), 4), 'second' FROM documents WHERE source IS NOT NULL GROUP BY source""")
 def metric_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "snapshots")
-    for i in range(3):
-        bundles.write_snapshot(spark.range(1).select(F.lit("recall_at_k").alias("metric"), F.lit(0.9).alias("value")), path, f"r{i}")
+    """Two runs' metrics, appended: the mean length by language, and the documents of each source."""
+    docs, path = table(spark, sf_dir, "documents"), _folder(spark, "snapshots")
+    bundles.write_snapshot(docs.where("lang IS NOT NULL").groupBy(F.col("lang").alias("metric")).agg(F.round(F.avg("n_chars"), 4).alias("value")), path, "first")
+    bundles.write_snapshot(docs.where("source IS NOT NULL").groupBy(F.col("source").alias("metric")).agg(F.count("*").cast("double").alias("value")), path, "second")
     return spark.read.schema("metric string, value double, run string").json(path)

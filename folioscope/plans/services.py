@@ -18,11 +18,11 @@ from folioscope.plans.segments import MODEL, Index
 from folioscope.sources import scratch, tables
 
 
-def pages_to_chunks(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """Pages to Markdown to chunks."""
+def pages_to_chunks(pages: DataFrame, id_col: str, html_col: str, most: int | None = None) -> DataFrame:
+    """Pages to Markdown (of at most so many characters; None: whole) to chunks."""
     from folioscope.operators import chunking, html
 
-    return chunking.sliding_chunks(html.html_to_markdown(pages, id_col, html_col), id_col, "markdown")
+    return chunking.sliding_chunks(html.html_to_markdown(pages, id_col, html_col, most), id_col, "markdown")
 
 
 def build_indexes(spark: SparkSession, chunks: DataFrame, root: str, stamp: str, config: dict[str, Any] | None = None, normalized: bool = False) -> str:
