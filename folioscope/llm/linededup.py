@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import written
+from folioscope.llm.common import new_path, remove, written
 
 #: Stripped at both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -31,7 +31,7 @@ class LineRuns:
     A run is a table bucketed and sorted by hash, with rows (h1, h2, n_docs, keep_doc). Each batch is merge-joined
     with the runs, bucket by bucket, and only the batch is shuffled. A key that no run has (anti-join) enters with its
     keep_doc; a key that some run has enters with its count alone. Compaction adds counts and keeps the one keep_doc.
-    Runs are written tables in the warehouse, so lost executors lose nothing. As a context manager it drops them at the end, also
+    Runs are tables below the shared folder, so lost executors lose nothing. As a context manager it drops them at the end, also
     after a failure; only a driver that dies leaves tables named line_run_* behind.
     """
 
@@ -39,6 +39,7 @@ class LineRuns:
         self.spark, self.fan_out = spark, fan_out
         self.n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
+        self.paths: dict[str, str] = {}
 
     def __enter__(self) -> LineRuns:
         return self
@@ -49,9 +50,15 @@ class LineRuns:
     def _write(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         dealt = df.repartition(self.n_buckets, "h1", "h2")
-        dealt.write.bucketBy(self.n_buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(name)
+        self.paths[name] = new_path(self.spark, "line_run")
+        dealt.write.bucketBy(self.n_buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", self.paths[name]).saveAsTable(name)
         return name
 
+    def _drop(self, run: str) -> None:
+        """The table and, as its files lie at a path of their own, these too."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        remove(self.spark, self.paths.pop(run))
+
     def runs(self) -> list[str]:
         return [r for level in self.levels for r in level]
 
@@ -74,7 +81,7 @@ class LineRuns:
                 break
             merged = self._write(self._merged(level))
             for run in level:
-                self.spark.sql(f"DROP TABLE {run}")
+                self._drop(run)
             level.clear()
             if i + 1 == len(self.levels):
                 self.levels.append([])
@@ -99,7 +106,7 @@ class LineRuns:
 
     def drop(self) -> None:
         for run in self.runs():
-            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+            self._drop(run)
         self.levels = [[]]
 
 
@@ -131,19 +138,17 @@ def dedup_lines(
     long = base.where(F.length(text) >= min_chars).where(doc.isNotNull())
     exploded = long.select(doc.alias("doc"), F.xxhash64(text).alias("mark"), F.posexplode(lines).alias("pos", "line"))
     exploded = exploded.where(F.length(F.btrim("line", F.lit(BLANKS))) >= min_chars).withColumn("key", line_key(F.col("line")))
-    places = written(
-        exploded.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "doc", "mark", "pos"), "lines"
-    )
-    cuts = places.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
-    edges = [None, *sorted(set(cuts), reverse=True), None]
+    cuts = base.where(doc.isNotNull()).agg(F.percentile_approx(doc, [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+    edges = sorted(set(cuts), reverse=True)
+    # numbered from the largest ids down; a folder for each batch, so that each is read once
+    batch = sum((F.when(F.col("doc") <= e, 1).otherwise(0) for e in edges), F.lit(0))
+    path = new_path(spark, "lines")
+    rows = exploded.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "doc", "mark", "pos", batch.alias("batch"))
+    rows.write.partitionBy("batch").parquet(path)
+    places = spark.read.schema(rows.schema).parquet(path)
     with LineRuns(spark) as index:
-        for high, low in zip(edges, edges[1:], strict=False):
-            rows = places
-            if high is not None:
-                rows = rows.where(F.col("doc") <= high)
-            if low is not None:
-                rows = rows.where(F.col("doc") > low)
-            found = rows.select("h1", "h2", "doc").distinct()
+        for number in range(len(edges) + 1):
+            found = places.where(F.col("batch") == number).select("h1", "h2", "doc").distinct()
             index.add(found.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keep_doc")))
         common = written(index.keys().where(F.col("n_docs") >= min_docs), "common_lines")
     doomed = places.join(common, ["h1", "h2"]).where("doc <> keep_doc").groupBy("doc", "mark").agg(
