@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from folioscope.functions.rules import Rules
 from folioscope.operators import cells, guardrails, hybrid, keyword, resolve
@@ -13,6 +16,7 @@ from folioscope.plans.core import _BM25, _CHANGED, _VEC, _stable, _vector_querie
 from folioscope.plans.records import _folder
 from folioscope.sources import scratch
 from folioscope.streaming.refresh import refresh_stream
+from folioscope.streaming.stateful import stateful_refresh
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,15 +112,28 @@ def dropped_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid.dropped_candidates(rows.select(F.col("conv_id").alias("query_id"), F.col("citation_url").alias("source_url")), allowed)
 
 
-@query(f"""SELECT 0::BIGINT AS batch, doc_id::VARCHAR AS url, 'baseline' AS status, {_stable('text')} AS new_hash FROM documents WHERE doc_id % 4 <> 0
+_REFRESHED = f"""SELECT 0::BIGINT AS batch, doc_id::VARCHAR AS url, 'baseline' AS status, {_stable('text')} AS new_hash FROM documents WHERE doc_id % 4 <> 0
 UNION ALL SELECT 1, doc_id::VARCHAR, CASE WHEN toxic = 1 THEN 'failed' WHEN doc_id % 4 = 0 THEN 'baseline' WHEN {_stable('text')} = {_stable(_CHANGED)} THEN 'unchanged' ELSE 'changed' END, CASE WHEN toxic = 1 THEN NULL ELSE {_stable(_CHANGED)} END
-FROM documents JOIN labels USING (doc_id)""")
-def refresh_stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+FROM documents JOIN labels USING (doc_id)"""
+
+
+def _refreshed(spark: SparkSession, sf_dir: str, run: Callable[..., StreamingQuery], *folders: str) -> DataFrame:
     """Two batches through the stream: three of four documents, then all labelled ones, the poor of them edited and the toxic ones not fetched."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    where = {n: _folder(spark, n) for n in ("pages", "store", "changes", "checkpoint")}
+    where = {n: _folder(spark, n) for n in ("pages", "changes", "checkpoint", *folders)}
     edited = F.when(F.col("quality") == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
     for rows, text, at in ((docs.where("doc_id % 4 <> 0"), F.col("text"), "2025-01-01"), (docs.where("quality IS NOT NULL"), F.when(F.col("toxic") == 0, edited), "2025-01-02")):
         rows.select(F.col("doc_id").cast("string").alias("url"), text.alias("text"), F.lit(at).cast("timestamp").alias("fetched_at")).write.mode("append").parquet(where["pages"])
-        refresh_stream(spark, **where).awaitTermination()
+        run(spark, **where).awaitTermination()
     return spark.read.parquet(where["changes"]).select(F.col("batch").cast("long").alias("batch"), "url", "status", "new_hash")
+
+
+@query(_REFRESHED)
+def refresh_stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _refreshed(spark, sf_dir, refresh_stream, "store")
+
+
+@query(_REFRESHED)
+def stateful_refresh_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batches through the stream whose hashes are keyed state."""
+    return _refreshed(spark, sf_dir, stateful_refresh, "reverts")
