@@ -33,6 +33,29 @@ def build_indexes(spark: SparkSession, chunks: DataFrame, root: str, stamp: str,
 load_index = segments.load
 
 
+def page_chunks(pages: DataFrame, scheme: str | None = None) -> DataFrame:
+    """Chunks of pages(url, html) as an index takes them; ids are made of the url's hash, so a page's chunks have ids of their own."""
+    numbered = scratch.written(pages.select("url", F.xxhash64("url").alias("page"), "html"), "fetched")
+    cut = pages_to_chunks(numbered, "page", "html").join(numbered.select(F.col("page").alias("id"), "url"), "id")
+    return cut.select("chunk_id", "text", F.col("url").alias("source_url"), F.lit(scheme).cast("string").alias("scheme"), "section_title")
+
+
+def reingest_url(spark: SparkSession, root: str, url: str, hosts: str, scheme: str | None = None, **options: str) -> Index:
+    """One url from fetch to index: fetched within the allowed hosts, made to chunks, and put in place of what the index had of it, as a segment of its own.
+
+    A page that can't be fetched leaves the index as it is and is an error; one without text is taken out. options: those of the page source.
+    """
+    from folioscope.sources.http import PageSource
+
+    spark.dataSource.register(PageSource)
+    page = scratch.written(spark.read.format("pages").options(urls=url, hosts=hosts, **options).load(), "page")
+    got = page.select("status", "error").first()
+    if got.error or got.status != 200:
+        raise RuntimeError(f"{url}: {got.error or got.status}")
+    chunks = page_chunks(page.select("url", F.decode("body", "UTF-8").alias("html")), scheme)
+    return segments.reingest(spark, root, chunks, url)
+
+
 def index_issues(spark: SparkSession, root: str, allowed: DataFrame | None = None, expected_version: str | None = None, scanned: int | None = None) -> DataFrame:
     """(code, n): what is wrong with the active version: another version than expected, no chunks, counts of chunks or vectors that differ from the manifest's, and
     source URLs that are not allowed. scanned: hold only indexes of up to so many chunks against the allowlist (None: all). Counts are aggregates of the written tables.

@@ -1,13 +1,16 @@
 """The segmented index: updates and merges give what a full build gives, and write in proportion to what changed."""
 
+import functools
+import http.server
 import os
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import keyword
-from folioscope.plans import segments
+from folioscope.plans import segments, services
 from folioscope.sources import tables
 
 KIND = "chunk_id string, text string, scheme string, source_url string"
@@ -128,6 +131,28 @@ def test_activation(spark, tmp_path):
     assert tables.activate(spark, root, "three") == 4 and tables.active_version(spark, root)["version"] == "three"
 
 
+def test_one_url_from_fetch_to_index(spark, tmp_path):
+    folder = tmp_path / "site"
+    folder.mkdir()
+    (folder / "a.html").write_text("<html><body><main><h1>Fund A</h1><p>" + "The exit load is nil. " * 30 + "</p></main></body></html>")
+    handler = functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(folder))
+    root = str(tmp_path / "i")
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        base = f"http://127.0.0.1:{server.server_port}"
+        segments.create(spark, spark.createDataFrame([("x", "old words", "s", f"{base}/a.html"), ("y", "others stay", "s", "elsewhere")], KIND), root, "v")
+        index = services.reingest_url(spark, root, f"{base}/a.html", "127.0.0.1", "s", tries="1")
+        for url, why in ((f"{base}/none", "404"), ("http://elsewhere.invalid/x", "not_allowlisted")):
+            with pytest.raises(RuntimeError, match=why):
+                services.reingest_url(spark, root, url, "127.0.0.1", tries="1")
+        server.shutdown()
+    rows = {r.source_url: r for r in index.chunks.collect()}
+    assert "exit load is nil" in rows[f"{base}/a.html"].text and rows["elsewhere"].chunk_id == "y" and not any(r.chunk_id == "x" for r in rows.values())
+    asked = spark.createDataFrame([(1, "exit load")], "query_id int, query string")
+    assert index.keyword_topk(keyword.query_terms(asked, "query_id", "query"), 1).first().id == rows[f"{base}/a.html"].chunk_id
+    assert segments.load(spark, root).manifest["seq"] == index.manifest["seq"], "what failed changed nothing"
+
+
 def test_everything_removed(spark, tmp_path):
     root = str(tmp_path / "i")
     rows = rows_of(random.Random(1), range(2), "a")
