@@ -7,7 +7,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA = "id long, chunk_id string, chunk_no int, text string, start_char int, end_char int, section_title string, section_level int, estimated_tokens int"
 
@@ -152,3 +153,14 @@ def sliding_chunks(df: DataFrame, id_col: str, text_col: str, params: ChunkParam
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in SCHEMA.split(", ")])
 
     return df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")).mapInPandas(run, SCHEMA)
+
+
+def register_chunk(spark: SparkSession, name: str = "chunk", params: ChunkParams = ChunkParams()) -> None:
+    """Chunks in SQL: SELECT c.* FROM documents d, LATERAL chunk(d.doc_id, d.text) c. The columns are those of sliding_chunks; rows stay in their partition."""
+
+    class Chunks:
+        def eval(self, key: int, text: str) -> Iterator[tuple]:
+            for n, (a, b, title, level) in enumerate(chunk_spans(text or "", params)):
+                yield key, f"{key}_c{n:04d}", n, text[a:b], a, b, title, level, max(1, int((b - a) / params.chars_per_token))
+
+    spark.udtf.register(name, F.udtf(Chunks, returnType=SCHEMA))

@@ -151,6 +151,14 @@ def chunk_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.sliding_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@query()
+def chunk_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunker as a table function in SQL; a test holds it against chunk_sliding."""
+    chunking.register_chunk(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("chunked_documents")
+    return spark.sql("SELECT c.* FROM chunked_documents d, LATERAL chunk(d.doc_id, d.text) c")
+
+
 @query("SELECT doc_id, greatest(1, floor(length(text) / 4.0))::INTEGER AS estimated_tokens, greatest(1, floor(length(text) / 4.0)) > 512 AS exceeds_context FROM documents")
 def context_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.context_flags(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")

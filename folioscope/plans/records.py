@@ -515,6 +515,16 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{scratch.shared_dir(spark)}/folioscope/{name}-{uuid.uuid4().hex}"
 
 
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_type(props) AS kind FROM events WHERE props IS NOT NULL")
+def typed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose leftover key has a nested document: it comes back as one, not as its text."""
+    rows = table(spark, sf_dir, "events").where("props IS NOT NULL")
+    rows = rows.select(F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "p": '), "props", F.lit("}")).alias("j"))
+    found = tables.decode_records(rows, "j", "event_id long", typed=True).withColumn("p", F.try_element_at("metadata", F.lit("p")))
+    kind = F.when(F.schema_of_variant("p").startswith("OBJECT"), "OBJECT").otherwise(F.schema_of_variant("p"))
+    return found.select("event_id", F.variant_get("p", "$.k", "string").alias("k"), kind.alias("kind"))
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(array_to_string(list_sort(list_filter(json_keys(props), lambda x: x <> 'k')), '|'), '') AS rest FROM events WHERE props IS NOT NULL")
 def decoded_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").where("props IS NOT NULL").select(F.to_json(F.struct(F.col("event_id").cast("string").alias("event_id"), F.col("props").alias("p"))).alias("j"), "event_id", "props")

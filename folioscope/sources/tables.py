@@ -63,10 +63,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def decode_records(df: DataFrame, json_col: str, schema: str = CHUNK) -> DataFrame:
-    """Typed columns of a JSON column, and the keys that the schema lacks as map metadata."""
+def decode_records(df: DataFrame, json_col: str, schema: str = CHUNK, typed: bool = False) -> DataFrame:
+    """Typed columns of a JSON column, and the keys that the schema lacks as map metadata: of their JSON text or, typed, of variants, in which numbers, flags and nested values stay what they are."""
     known = T._parse_datatype_string(schema).names
-    rest = F.map_filter(F.from_json(json_col, "map<string,string>"), lambda k, v: ~k.isin(*known))
+    rest = F.map_filter(F.from_json(json_col, f"map<string,{'variant' if typed else 'string'}>"), lambda k, v: ~k.isin(*known))
     return df.select(F.from_json(json_col, schema).alias("r"), rest.alias("metadata")).select("r.*", "metadata")
 
 

@@ -376,3 +376,24 @@ def test_vector_queries_of_any_number(spark, monkeypatch):
         assert sorted(map(tuple, vectors.cosine_topk(df, asked.where("query_id < 900"), key=key).collect())) == few
         monkeypatch.setattr(vectors, "SHARED_VALUES", 0)
         assert sorted(map(tuple, vectors.cosine_topk(df.where("vec_id < 900"), asked.where("query_id < 900"), key=key).collect())) == few
+
+
+def test_chunks_in_sql(spark):
+    from folioscope.plans.registered import QUERIES
+    from tests.conftest import SF
+
+    rows = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, SF).collect())
+    assert rows("chunk_lateral") == rows("chunk_sliding")
+    spark.createDataFrame([(1, None), (2, "")], "i long, t string").createOrReplaceTempView("blank_texts")
+    chunking.register_chunk(spark)
+    assert spark.sql("SELECT c.* FROM blank_texts, LATERAL chunk(i, t) c").count() == 0
+
+
+def test_typed_leftover_keys(spark):
+    from folioscope.sources import tables
+
+    df = spark.createDataFrame([('{"a": 1, "x": 2.5, "y": {"z": [1, "b"]}, "w": true, "v": null}',), ("{broken",), (None,)], "j string")
+    r = tables.decode_records(df, "j", "a long", typed=True).where("a = 1").select("a", F.to_json("metadata").alias("m"), F.variant_get(F.col("metadata")["y"], "$.z[0]", "int").alias("z")).first()
+    assert json.loads(r.m) == {"x": 2.5, "y": {"z": [1, "b"]}, "w": True, "v": None} and (r.a, r.z) == (1, 1)
+    text = tables.decode_records(df, "j", "a long").where("a = 1").first().metadata
+    assert text["x"] == "2.5" and json.loads(text["y"]) == {"z": [1, "b"]}
