@@ -41,3 +41,15 @@ def next_hashes(diff: DataFrame, frozen: bool) -> DataFrame:
 def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Rows of changes replace those of current with the same key; the columns are current's."""
     return current.join(changes.select(key), key, "left_anti").unionByName(changes.select(*current.columns))
+
+
+def write_store(hashes: DataFrame, table: str, path: str, buckets: int | None = None) -> DataFrame:
+    """The hash store as a table at path, bucketed and sorted by url, and read back; diff_hashes with it as old shuffles the new hashes alone.
+
+    buckets: at least the session's shuffle partitions (the default), or the join deals the store out again.
+    """
+    spark = hashes.sparkSession
+    n = max(buckets or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = hashes.select("url", "hash").repartition(n, "url")
+    dealt.write.mode("overwrite").bucketBy(n, "url").sortBy("url").format("parquet").option("path", path).saveAsTable(table)
+    return spark.table(table)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from folioscope.functions import text as X
 from folioscope.functions import urls as U
 from folioscope.operators import chunking, guardrails, handoff, html, hybrid, intent, keyword, quality, refresh, requests, sections, vectors
 from folioscope.plans.base import query, table
+from folioscope.sources import scratch
 
 SITE = "example.com"
 
@@ -199,13 +202,13 @@ def stable_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.stable_hash(F.col("text")).alias("hash"))
 
 
-def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _diff(spark: SparkSession, sf_dir: str, stored: Callable[[DataFrame], DataFrame] = lambda old: old) -> DataFrame:
     """Documents against a later state: those labelled poor were edited, toxic ones could not be fetched; unlabelled ones are new."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     old = docs.where("quality IS NOT NULL").select(F.col("doc_id").alias("url"), X.stable_hash(F.col("text")).alias("hash"))
     edited = F.when(F.col("quality") == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
     new = docs.select(F.col("doc_id").alias("url"), F.when(F.coalesce("toxic", F.lit(0)) == 0, X.stable_hash(edited)).alias("hash"))
-    return refresh.diff_hashes(old, new)
+    return refresh.diff_hashes(stored(old), new)
 
 
 _DIFF = f"""SELECT doc_id AS url, CASE WHEN quality IS NOT NULL THEN {_stable('text')} END AS old_hash, CASE WHEN coalesce(toxic, 0) = 0 THEN {_stable(_CHANGED)} END AS new_hash
@@ -218,6 +221,14 @@ def refresh_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _diff(spark, sf_dir)
 
 
+@query(_DIFFED)
+def refresh_diff_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the old hashes in a bucketed store, which is not shuffled."""
+    name = f"hash_store_{uuid4().hex}"
+    store = scratch.new_path(spark, "hash_store")
+    return _diff(spark, sf_dir, lambda old: refresh.write_store(old, name, store))
+
+
 @query(f"""SELECT n_baseline, n_changed, n_unchanged, n_failed, n_removed, n_changed >= 3 AS frozen, CASE WHEN n_changed >= 3 THEN 0 ELSE n_changed END AS n_reingest FROM (
 SELECT count(*) FILTER (WHERE status = 'baseline') AS n_baseline, count(*) FILTER (WHERE status = 'changed') AS n_changed, count(*) FILTER (WHERE status = 'unchanged') AS n_unchanged,
 count(*) FILTER (WHERE status = 'failed') AS n_failed, 0::BIGINT AS n_removed FROM ({_DIFFED}))""")

@@ -397,3 +397,18 @@ def test_typed_leftover_keys(spark):
     assert json.loads(r.m) == {"x": 2.5, "y": {"z": [1, "b"]}, "w": True, "v": None} and (r.a, r.z) == (1, 1)
     text = tables.decode_records(df, "j", "a long").where("a = 1").first().metadata
     assert text["x"] == "2.5" and json.loads(text["y"]) == {"z": [1, "b"]}
+
+
+def test_the_bucketed_store_is_not_shuffled(spark, tmp_path):
+    old = spark.range(200).selectExpr("CAST(id AS STRING) AS url", "CAST(id % 7 AS STRING) AS hash")
+    new = spark.range(100, 260).selectExpr("CAST(id AS STRING) AS url", "IF(id % 9 = 0, NULL, CAST(id % 5 AS STRING)) AS hash")
+    store = refresh.write_store(old, "bucketed_hashes", str(tmp_path / "store"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        diff = refresh.diff_hashes(store, new)
+        plan = diff._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        assert {tuple(r) for r in diff.collect()} == {tuple(r) for r in refresh.diff_hashes(old, new).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_hashes")
