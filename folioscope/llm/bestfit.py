@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,21 +19,48 @@ from folioscope.llm.common import bound_arrow_batches, written
 
 #: Bytes of a tokenizer file at most; it is broadcast.
 MAX_TOKENIZER_BYTES = 64 << 20
-#: Bytes of text that are split into words at once, words remembered by each Python worker, and the longest of these.
-SEGMENT_BYTES, CACHED_WORDS, CACHED_BYTES = 1 << 20, 500_000, 64
+#: Characters of text that are split into words at once, words remembered by each Python worker, and the longest of these.
+SEGMENT, CACHED_WORDS, CACHED_CHARS = 1 << 22, 1_000_000, 64
 #: Pieces handed back at once.
 ROWS_AT_ONCE = 20_000
 #: Parts of each length, by hash, so that a length that a third of all pieces have is numbered by this many tasks.
 LENGTH_PARTS = 256
 
-_BLANK = re.compile(rb"[ \t-\r]")
+_BLANK = re.compile(r"[ \t-\r]")
+#: Words of ASCII and of the letters of Latin-1, which lower and compose one by one; how the pre-tokenizer cuts them, in lower case and with blanks between; a word that stands between others.
+SIMPLE = r"^[\x00-\x7fÀ-ÖØ-öø-ÿ]+$"
+PARTS = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 ]+| ")
+SEPARATOR = "\x01"
+
+
+def _gathered(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ids in runs of sizes, the run of each i of at, one after the other, and how many each has."""
+    n = sizes[at]
+    starts = (np.cumsum(sizes) - sizes)[at]
+    return ids[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+
+def _strings(a: pa.Array) -> list[str]:
+    return a.to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist
+
+
+def _runs(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(pieces), np.uint32), np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+
+
+def _split(ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """The bytes of ids between cuts."""
+    data, ends = ids.tobytes(), (4 * cuts).tolist()
+    return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 class WordCoder:
     """Ids of whole texts, as little-endian 32-bit numbers, from ids of words between ASCII white space.
 
-    Right for tokenizers that drop white space and never look across it, as the word-end kind does: its normaliser composes, lowers and
-    blanks characters one by one, and its pre-tokenizer cuts at white space. Special tokens' strings are ordinary text.
+    For tokenizers of the word-end kind, whose normaliser composes, lowers and blanks characters one by one, whose pre-tokenizer cuts at white
+    space and by PARTS, and whose last token of every part has the word-end mark. Texts' words are made distinct, SIMPLE ones are cut into parts, and these are
+    remembered; new ones go to the library together, and are told apart by the marks (parts) or by a separator's id (other words).
+    Special tokens' strings are ordinary text.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -41,28 +69,87 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, text: bytes) -> Iterator[bytes]:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        [self.between] = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        self.parts: dict[str, bytes] = {" ": b""}
+        self.words: dict[str, bytes] = {"": b""}
+
+    def encode(self, text: str) -> Iterator[bytes]:
         """The ids of text, segment by segment, so that a very long one is never held as a list of words."""
         at = 0
         while at < len(text):
-            cut = _BLANK.search(text, at + SEGMENT_BYTES) if len(text) - at > SEGMENT_BYTES else None
+            cut = _BLANK.search(text, at + SEGMENT) if len(text) - at > SEGMENT else None
             end = cut.start() if cut else len(text)
-            yield self._words(text[at:end].split())
+            yield from self.encode_short([text[at:end]])
             at = end
 
-    def _words(self, words: list[bytes]) -> bytes:
-        found = list(map(self.known.get, words))
-        if None in found:
-            new = list({w for w, ids in zip(words, found, strict=True) if ids is None})
-            coded = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            fresh = {w: array("I", c.ids).tobytes() for w, c in zip(new, coded, strict=True)}
-            found = [fresh[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
-            if len(self.known) + len(fresh) > CACHED_WORDS:
-                self.known.clear()
-            self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHED_BYTES)
-        return b"".join(found)
+    def encode_short(self, texts: list[str]) -> list[bytes]:
+        """The ids of several texts, whose new words go to the library together."""
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        flat = cut.flatten().dictionary_encode()
+        words = flat.dictionary
+        simple = pc.match_substring_regex(words, SIMPLE)
+        one, other = self._simple(_strings(words.filter(simple))), self._other(_strings(words.filter(pc.invert(simple))))
+        place = np.argsort(~simple.to_numpy(zero_copy_only=False), kind="stable")  # simple ones first
+        rank = np.empty(len(words), np.int64)
+        rank[place] = np.arange(len(words))
+        runs = (np.concatenate(x) for x in zip(one, other, strict=True))
+        ids, sizes = _gathered(*runs, rank[flat.indices.to_numpy(zero_copy_only=False)])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return _split(ids, ends[cut.offsets.to_numpy()])
+
+    def _simple(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        tokens = pa.array(PARTS.findall(" ".join(words).lower()), pa.large_string()).dictionary_encode()
+        parts = _strings(tokens.dictionary)
+        new = [p for p in parts if p not in self.parts]
+        if new:
+            ids = np.array(self._ids(" ".join(new)), np.uint32)
+            fresh = dict(zip(new, _split(ids, np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])), strict=True))
+            _remember(self.parts, fresh, parts)
+        at = tokens.indices.to_numpy(zero_copy_only=False)
+        ids, sizes = _gathered(*_runs([self.parts[p] for p in parts]), at)
+        _forget(self.parts, new, " ")
+        if not words:
+            return ids, sizes
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        blank = np.flatnonzero(at == parts.index(" ")) if " " in parts else np.zeros(0, np.int64)
+        return ids, np.diff(np.concatenate([[0], ends[blank], [ends[-1]]]))
+
+    def _other(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        new = [w for w in words if w not in self.words]
+        plain = [w for w in new if SEPARATOR not in w]
+        fresh = {w: np.array(self._ids(w), np.uint32).tobytes() for w in new if SEPARATOR in w}
+        if plain:
+            ids = np.array(self._ids(f" {SEPARATOR} ".join(plain)), np.uint32)
+            cuts = np.flatnonzero(ids == self.between)
+            left = np.arange(len(cuts))  # separators before each cut, which are left out
+            fresh |= zip(plain, _split(np.delete(ids, cuts), np.concatenate([[0], cuts - left, [len(ids) - len(cuts)]])), strict=True)
+        _remember(self.words, fresh, words)
+        out = _runs([self.words[w] for w in words])
+        _forget(self.words, new, "")
+        return out
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids  # without offsets
+
+
+def _remember(known: dict[str, bytes], fresh: dict[str, bytes], needed: list[str]) -> None:
+    """Add fresh; if there are too many then, keep only what is needed now."""
+    if len(known) + len(fresh) > CACHED_WORDS:
+        held = {w: known[w] for w in needed if w in known}
+        known.clear()
+        known.update(held)
+    known.update(fresh)
+
+
+def _forget(known: dict[str, bytes], new: list[str], always: str) -> None:
+    """Take out new words that are too long to remember."""
+    for w in new:
+        if len(w) > CACHED_CHARS:
+            known.pop(w, None)
+    known[always] = b""
 
 
 _coders: dict[int, WordCoder] = {}
@@ -99,9 +186,25 @@ def token_pieces(df: DataFrame, tokenizer_json: str, capacity: int, end_id: int
     names = [id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     width, ending = 4 * capacity, array("I", [end_id]).tobytes()
 
-    def pieces(coder: WordCoder, text: bytes) -> Iterator[bytes]:
+    def coded(coder: WordCoder, texts: pa.Array) -> Iterator[tuple[int, Iterator[bytes]]]:
+        """(row, ids in runs), short texts together."""
+        some: list[tuple[int, str]] = []
+        size = 0
+        for row, value in enumerate(texts):
+            text = value.as_py() or ""
+            if len(text) > SEGMENT:
+                yield row, coder.encode(text)
+                continue
+            some.append((row, text))
+            size += len(text)
+            if size > SEGMENT:
+                yield from ((r, iter([ids])) for (r, _), ids in zip(some, coder.encode_short([t for _, t in some]), strict=True))
+                some, size = [], 0
+        yield from ((r, iter([ids])) for (r, _), ids in zip(some, coder.encode_short([t for _, t in some]), strict=True))
+
+    def pieces(runs: Iterator[bytes]) -> Iterator[bytes]:
         rest = b""
-        for ids in coder.encode(text):
+        for ids in runs:
             rest += ids
             whole = len(rest) - len(rest) % width
             for at in range(0, whole, width):
@@ -126,8 +229,8 @@ def token_pieces(df: DataFrame, tokenizer_json: str, capacity: int, end_id: int
         for batch in batches:
             of: list[int] = []
             cut: list[tuple[int, bytes]] = []
-            for row, text in enumerate(batch.column(1)):
-                for p, b in enumerate(pieces(coder, text.as_py() or b"")):
+            for row, runs in coded(coder, batch.column(1)):
+                for p, b in enumerate(pieces(runs)):
                     of.append(row)
                     cut.append((p, b))
                     if len(of) >= ROWS_AT_ONCE:
@@ -136,7 +239,7 @@ def token_pieces(df: DataFrame, tokenizer_json: str, capacity: int, end_id: int
             if of:
                 yield table(of, cut, batch.column(0))
 
-    return df.select(f"`{id_col}`", F.col(f"`{text_col}`").cast("binary")).mapInArrow(run, schema)
+    return df.select(f"`{id_col}`", F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)

@@ -274,11 +274,25 @@ def test_packing_edges(spark):
     assert bestfit.pack_documents(df.where("doc_id < 0"), TOKENIZER).count() == 0
 
 
+def test_words_like_the_library(monkeypatch):
+    """Words of odd characters in any mix, also while nothing can be remembered."""
+    rng = random.Random(8)
+    pool = [*"abZ's09_-<|>/\x00\x01\x1c\x7f", "'re", "'LL", "</w>", "é", "É", "İ", "ΣΑΣ", "ß", "字", "\u0301", "ﬁ", "½", "٣", "\u00a0", "\u2003", "\u200b", "😀", "don't", "THE"]
+    tokenizer = Tokenizer.from_str(TOKENIZER)
+    tokenizer.encode_special_tokens = True
+    coder = bestfit.WordCoder(TOKENIZER)
+    for n in range(300):
+        if n == 150:
+            monkeypatch.setattr(bestfit, "CACHED_WORDS", 0)
+        text = "".join(rng.choice([*pool, " ", "\n"]) for _ in range(rng.randrange(60)))
+        assert b"".join(coder.encode(text)) == array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes(), repr(text)
+
+
 def test_segments_change_no_ids(monkeypatch):
-    text = ("The quick brown fox, it's 3.5 times\n\nas QUICK " * 50 + "́x").encode()
+    text = ("The quick brown fox, it's 3.5 times\n\nas QUICK " * 50 + "́x")
     whole = b"".join(bestfit.WordCoder(TOKENIZER).encode(text))
-    monkeypatch.setattr(bestfit, "SEGMENT_BYTES", 7)
+    monkeypatch.setattr(bestfit, "SEGMENT", 7)
     monkeypatch.setattr(bestfit, "CACHED_WORDS", 3)
     assert b"".join(bestfit.WordCoder(TOKENIZER).encode(text)) == whole
-    want = Tokenizer.from_str(TOKENIZER).encode(text.decode(), add_special_tokens=False).ids
+    want = Tokenizer.from_str(TOKENIZER).encode(text, add_special_tokens=False).ids
     assert array("I", want).tobytes() == whole
