@@ -37,7 +37,7 @@ class Index:
         found = [self.spark.read.parquet(f"{self.root}/segments/{s['id']}/{name}").withColumn("segment", F.lit(s["id"])) for s in (self.manifest["segments"] if some is None else some)]
         return reduce(DataFrame.unionByName, found)
 
-    def _dead(self, name: str, empty: str) -> DataFrame | None:
+    def _dead(self, name: str) -> DataFrame | None:
         """A table of all tombstones, of segments that are still there."""
         if not self.manifest["tombstones"]:
             return None
@@ -47,7 +47,7 @@ class Index:
     @property
     def dead(self) -> DataFrame | None:
         """(segment, id) of chunks that were replaced or removed."""
-        found = self._dead("ids", "")
+        found = self._dead("ids")
         return None if found is None else found.select("segment", "id")
 
     def living(self, df: DataFrame, id_col: str) -> DataFrame:
@@ -71,7 +71,7 @@ class Index:
     def terms(self) -> DataFrame:
         """(term, df), added over segments, less what tombstones took."""
         rows = self._read("terms").select("term", "df")
-        dead = self._dead("terms", "")
+        dead = self._dead("terms")
         if dead is not None:
             rows = rows.union(dead.select("term", -F.col("df")))
         return rows.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
@@ -90,7 +90,7 @@ class Index:
         return keyword.top_k(reduce(DataFrame.union, found), k)
 
     def _cells(self, centroids: str, some: list[dict]) -> cells.Cells:
-        packs, dead = self._read("packs", some), self._dead("ids", "")
+        packs, dead = self._read("packs", some), self._dead("ids")
         if dead is not None:
             places = dead.groupBy(F.col("segment").alias("__g"), F.col("cell").alias("__c"), F.col("scope").alias("__s"), F.col("slab").alias("__n")).agg(F.collect_list("id").alias("dead"))
             at = (F.col("segment") == F.col("__g")) & (F.col("cell") == F.col("__c")) & F.col("scope").eqNullSafe(F.col("__s")) & (F.col("slab") == F.col("__n"))
