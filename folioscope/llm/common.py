@@ -1,10 +1,11 @@
-"""What several operators share: Arrow batches, hashed numbers, written tables, and components."""
+"""What several operators share: Arrow batches, hashed numbers, written tables, and components (of the core)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.operators.graphs import components
 from folioscope.sources.scratch import discard, new_path, release, remove, shared_dir, written
 
 __all__ = ["ARROW_BATCH_BYTES", "bound_arrow_batches", "components", "discard", "hash_unit", "new_path", "release", "remove", "shared_dir", "written"]
@@ -22,33 +23,3 @@ def hash_unit(seed: str, *cols: Column) -> Column:
     """A number in [0, 1) with 52 bits, from the MD5 of the seed and the columns (nulls as '~')."""
     joined = F.concat_ws(":", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("~")) for c in cols])
     return F.conv(F.substring(F.md5(joined), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected graph as (node, component), component being the smallest node.
-
-    edges has long columns u and v; loops, nulls and repeats are ignored. Nodes without an edge to another node don't
-    appear. Large-star and small-star rounds alternate until the edges are stars; every round is written, and the one before it removed.
-    Each round only groups and joins on a node, minima are taken before the shuffle, and a node with very many
-    edges is left to the adaptive skew join: no neighbourhood is ever gathered.
-    """
-    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-    before = None
-    for _ in range(max_rounds):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
-        small = large.join(low, F.col("u") == F.col("w")).where("v <> m").select(
-            F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")
-        )
-        last, now = now, written(small.union(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "stars")
-        discard(last)
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        before = mark
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
