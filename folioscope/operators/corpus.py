@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -128,7 +129,23 @@ def handoff_rows(registry: DataFrame, documents: DataFrame, metadata: DataFrame,
     }).drop("__de", "__dn", "__me", "__mn")
 
 
-def handoff_blockers(df: DataFrame, allowed: DataFrame, site: str | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class HandoffRules:
+    """Which statuses let a document into the index. Those in neither list of extraction block too, under a code of their own."""
+
+    indexable: tuple[str, ...] = ("ok", "partial")
+    blocked: tuple[str, ...] = ("parse_error", "empty_shell")
+    blocked_normal: tuple[str, ...] = ("empty", "failed")
+
+
+def handoff_rules(config: Mapping[str, Any]) -> HandoffRules:
+    """Rules from the section handoff of a configuration; what is absent or empty there is as usual."""
+    section, usual = config.get("handoff") or {}, HandoffRules()
+    names = {"indexable": "indexable_extract_statuses", "blocked": "blocked_extract_statuses", "blocked_normal": "blocked_normalize_statuses"}
+    return HandoffRules(**{k: tuple(str(x) for x in section.get(n) or getattr(usual, k)) for k, n in names.items()})
+
+
+def handoff_blockers(df: DataFrame, allowed: DataFrame, site: str | None = None, rules: HandoffRules = HandoffRules()) -> DataFrame:
     """Add blockers, array<string> of up to 17 codes, and indexable (none) to handoff_rows. allowed(url): canonical URLs."""
     c, status = F.col, F.col("extract_status")
     has = lambda name: F.coalesce(c(name), F.lit(False))
@@ -145,9 +162,9 @@ def handoff_blockers(df: DataFrame, allowed: DataFrame, site: str | None = None)
         F.when(readable & c("sections_kind").isNull(), "clean_document_missing_sections").when(readable & (c("sections_kind") != "array"), "clean_document_sections_invalid"),
         F.when(~readable, "clean_document_unreadable"),
         F.when(has("has_metadata") & ~has("metadata_readable"), "doc_metadata_unreadable"),
-        F.when(status.isNull(), "extract_status_missing").when(status.isin("parse_error", "empty_shell"), F.concat(F.lit("extract_status="), status))
-        .when(~status.isin("ok", "partial"), F.concat(F.lit("extract_status_not_indexable="), status)),
-        F.when(c("normalize_status").isin("empty", "failed"), F.concat(F.lit("normalize_status="), c("normalize_status"))),
+        F.when(status.isNull(), "extract_status_missing").when(status.isin(*rules.blocked), F.concat(F.lit("extract_status="), status))
+        .when(~status.isin(*rules.indexable), F.concat(F.lit("extract_status_not_indexable="), status)),
+        F.when(c("normalize_status").isin(*rules.blocked_normal), F.concat(F.lit("normalize_status="), c("normalize_status"))),
         F.when(url.isNull(), "source_url_invalid").when(~has("__listed"), "source_url_not_allowlisted").when(~url.eqNullSafe(registered), "source_url_registry_mismatch"),
     ))
     return met.withColumn("blockers", codes).withColumn("indexable", F.size("blockers") == 0).drop("__a", "__listed")

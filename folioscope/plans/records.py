@@ -414,24 +414,34 @@ _HAND = {
 _OWN_URL = "concat('https://funds.example.com/p', CAST(doc_id % 5 AS STRING))"
 
 
-@query(f"""WITH s AS (SELECT doc_id AS scheme, {_OWN_URL} AS own, {", ".join(f"{v} AS {k}" for k, v in _HAND.items())} FROM documents),
+_BLOCKERS = f"""WITH s AS (SELECT doc_id AS scheme, {_OWN_URL} AS own, {", ".join(f"{v} AS {k}" for k, v in _HAND.items())} FROM documents),
 t AS (SELECT *, has_d AND readable AS good, coalesce(nullif(CASE WHEN has_d THEN de END, ''), nullif(CASE WHEN has_m THEN me END, '')) AS status, CASE WHEN has_d OR has_m THEN nn END AS norm, CASE WHEN has_m AND meta_url <> '' THEN meta_url ELSE own END AS url, CASE WHEN has_d THEN markdown END AS md FROM s)
 SELECT scheme, concat_ws('|', CASE WHEN NOT has_d THEN 'missing_clean_document' END, CASE WHEN md IS NULL THEN 'missing_clean_markdown' WHEN md = '' THEN 'empty_clean_markdown' END, CASE WHEN NOT has_m THEN 'missing_doc_metadata' END,
 CASE WHEN quarantined THEN 'quarantined' END, CASE WHEN good AND body_missing THEN 'clean_document_body_markdown_missing' END, CASE WHEN good AND kind IS NULL THEN 'clean_document_missing_sections' WHEN good AND kind <> 'array' THEN 'clean_document_sections_invalid' END,
 CASE WHEN NOT good THEN 'clean_document_unreadable' END, CASE WHEN has_m AND NOT m_readable THEN 'doc_metadata_unreadable' END,
 CASE WHEN status IS NULL THEN 'extract_status_missing' WHEN status = 'parse_error' THEN 'extract_status=parse_error' WHEN status <> 'ok' THEN 'extract_status_not_indexable=' || status END, CASE WHEN norm = 'failed' THEN 'normalize_status=failed' END,
-CASE WHEN url = 'no url' THEN 'source_url_invalid' WHEN url = 'https://funds.example.com/z' THEN 'source_url_not_allowlisted' WHEN url <> own THEN 'source_url_registry_mismatch' END) AS blockers FROM t""")
+CASE WHEN url = 'no url' THEN 'source_url_invalid' WHEN url = 'https://funds.example.com/z' THEN 'source_url_not_allowlisted' WHEN url <> own THEN 'source_url_registry_mismatch' END) AS blockers FROM t"""
+
+
+@query(_BLOCKERS)
 def handoff_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _handoff(spark, sf_dir).select("scheme", F.array_join("blockers", "|").alias("blockers"))
 
 
-def _handoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_BLOCKERS.replace("status <> 'ok'", "status NOT IN ('ok', 'odd')").replace("norm = 'failed'", "norm = 'none'"))
+def handoff_blockers_configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under rules of a configuration: another status may be indexed, and one of normalisation no longer blocks."""
+    rules = corpus.handoff_rules({"handoff": {"indexable_extract_statuses": ["ok", "odd"], "blocked_normalize_statuses": ["none"]}})
+    return _handoff(spark, sf_dir, rules).select("scheme", F.array_join("blockers", "|").alias("blockers"))
+
+
+def _handoff(spark: SparkSession, sf_dir: str, rules: corpus.HandoffRules = corpus.HandoffRules()) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("scheme"), F.expr(_OWN_URL).alias("url"), *[F.expr(v).alias(k) for k, v in _HAND.items()])
     docs = rows.where("has_d").select("scheme", "readable", F.lit("").alias("doc_url"), "markdown", "body_missing", F.col("kind").alias("sections_kind"), F.col("de").alias("extract_status"), F.col("nn").alias("normalize_status"))
     meta = rows.where("has_m").select("scheme", F.col("m_readable").alias("readable"), "meta_url", F.col("me").alias("extract_status"), F.col("nn").alias("normalize_status"))
     manifest = rows.select("scheme", F.lit(1).alias("seq"), "quarantined")
     allowed = spark.range(5).select(F.concat(F.lit("https://funds.example.com/p"), "id").alias("url"))
-    return corpus.handoff_blockers(corpus.handoff_rows(rows.select("scheme", "url"), docs, meta, manifest), allowed)
+    return corpus.handoff_blockers(corpus.handoff_rows(rows.select("scheme", "url"), docs, meta, manifest), allowed, rules=rules)
 
 
 @query("SELECT count(*) FILTER (WHERE doc_id % 3 = 0) AS indexable, count(*) FILTER (WHERE doc_id % 3 = 0) < 500 AS partial FROM documents")

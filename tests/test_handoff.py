@@ -48,3 +48,11 @@ def test_enrich_and_compliance(spark):
     )
     got = [r[0] for r in answers.select(handoff.format_compliance("funds.example.com")).collect()]
     assert [g.compliant for g in got] == [True, False, False] and got[1].citation_present and not got[1].citation_allowlisted and not got[1].sentences_ok
+
+
+def test_handoff_rules_of_a_configuration():
+    from folioscope.operators import corpus
+
+    assert corpus.handoff_rules({}) == corpus.handoff_rules({"handoff": {"blocked_extract_statuses": []}}) == corpus.HandoffRules()
+    got = corpus.handoff_rules({"handoff": {"indexable_extract_statuses": ["ok", 1], "blocked_normalize_statuses": ["x"]}})
+    assert got == corpus.HandoffRules(("ok", "1"), ("parse_error", "empty_shell"), ("x",))
