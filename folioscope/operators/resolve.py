@@ -222,8 +222,8 @@ def _by_score(a, b):
 # -- a registry as a table -------------------------------------------------------------------------------------------
 
 #: Longest needle that only the end of a question can come close to: a window has eight characters more, and of two texts of n and w characters that
-#: reach FUZZY_MIN, w is at most n (2 / FUZZY_MIN - 1). Longer ones are met in segments of a question.
-TAIL_NEEDLE, WINDOW_MORE, STRIDE = 24, 8, 16
+#: reach FUZZY_MIN, w is at most n (2 / FUZZY_MIN - 1). Longer ones, by classes of length, are met in segments of a question, one each STRIDE characters.
+TAIL_NEEDLE, WINDOW_MORE, CLASS, STRIDE = 24, 8, 16, 32
 #: Characters of an anchor: a rare piece of a name, which a question that contains the name contains too.
 ANCHOR = 4
 
@@ -245,7 +245,7 @@ def _pairs(text: str) -> list[str]:
 
 
 def _needle_kind(n: int) -> str:
-    return "tail" if n <= TAIL_NEEDLE else f"long{n // STRIDE}"
+    return "tail" if n <= TAIL_NEEDLE else f"long{n // CLASS}"
 
 
 def _question_pieces(query: str, classes: list[int], url_prefix: str, close: bool = True) -> set[tuple[str, int, str]]:
@@ -259,7 +259,7 @@ def _question_pieces(query: str, classes: list[int], url_prefix: str, close: boo
     end = int(TAIL_NEEDLE * (2 / FUZZY_MIN - 1)) + 1
     out |= {("tail", 0, g) for g in _pairs(flat[-end:])}
     for c in classes:
-        size = STRIDE * (c + 1) - 1 + WINDOW_MORE + STRIDE
+        size = CLASS * (c + 1) - 1 + WINDOW_MORE + STRIDE
         for place, start in enumerate(range(0, max(1, len(flat)), STRIDE)):
             out |= {(f"long{c}", place, g) for g in _pairs(flat[start : start + size])}
     for place, word in enumerate(norm.split()):
@@ -309,14 +309,17 @@ def _pairs_met(asked: DataFrame, schemes: DataFrame, house: str, url_prefix: str
     rare = anchors.join(anchors.groupBy("gram").agg(F.count("*").alias("df")), "gram").groupBy("no", "needle").agg(F.min(F.struct("df", "gram")).alias("m"))
     one = F.lit(1).cast("long")
     names = grams.where("kind <> 'anchor'").unionByName(rare.select("no", "needle", F.lit("anchor").alias("kind"), F.col("m.gram").alias("gram"), one.alias("times"), one.alias("need")))
-    classes = sorted(int(r.kind[4:]) for r in grams.where("kind LIKE 'long%'").select("kind").distinct().collect())  # one for each STRIDE of lengths
+    classes = sorted(int(r.kind[4:]) for r in grams.where("kind LIKE 'long%'").select("kind").distinct().collect())  # one for each CLASS of lengths
     kind, arrow = dict(asked.dtypes)["query_id"], to_arrow_type(asked.schema["query_id"].dataType)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [dict(zip(("query_id", "kind", "place", "gram"), (q, *x), strict=True)) for x in (_question_pieces(raw, classes, url_prefix, close) if raw else ())]
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("query_id", arrow), ("kind", pa.string()), ("place", pa.int64()), ("gram", pa.string())]))
+                found = _question_pieces(raw, classes, url_prefix, close) if raw else ()
+                if found:
+                    kinds, places, grams = zip(*found, strict=True)
+                    columns = [pa.array([q], arrow).take(pa.array([0] * len(kinds))), pa.array(kinds, pa.string()), pa.array(places, pa.int64()), pa.array(grams, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "kind", "place", "gram"])
 
     pieces = asked.select("query_id", "raw").mapInArrow(ask, f"query_id {kind}, kind string, place long, gram string")
     met = pieces.join(names, ["kind", "gram"]).groupBy("query_id", "kind", "place", "no", "needle").agg(F.sum("times").alias("n"), F.max("need").alias("need"))
