@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +23,9 @@ from folioscope.sources import scratch
 SCORES = {"url": 1.0, "slug": 0.98, "alias": 0.96, "display_name": 0.94, "house_core": 0.93, "core_phrase": 0.90}
 FUZZY = {"fuzzy": 0.92, "fuzzy_house": 0.91, "fuzzy_token": 0.89}
 RESOLVE, FUZZY_MIN, GAP, MULTI = 0.82, 0.86, 0.06, 0.72
+#: Longest needle that only the end of a question can come close to: a window has eight characters more, and of two texts of n and w characters that
+#: reach FUZZY_MIN, w is at most n (2 / FUZZY_MIN - 1). Longer ones, by classes of length, are met in segments of a question, one each STRIDE characters.
+TAIL_NEEDLE, WINDOW_MORE, CLASS, STRIDE = 24, 8, 16, 32
 #: Schemes that one function scores a question against.
 BLOCK = 10_000
 #: Words of a scheme's name that distinguish nothing.
@@ -111,6 +115,29 @@ def phrase_ratio(haystack: str, needle: str) -> float:
     return best
 
 
+def close_ratio(haystack: str, needle: str) -> float:
+    """phrase_ratio where that reaches FUZZY_MIN, else 0: only windows with enough of the needle's characters, in any order, are matched."""
+    if not needle or not haystack:
+        return 0.0
+    if needle in haystack:
+        return 1.0
+    n, size = len(needle), len(haystack)
+    letters = np.frombuffer(haystack.encode("utf-32-le"), np.uint32)
+    start = np.arange(max(1, size - n + 1))
+    stop = np.minimum(start + n + WINDOW_MORE, size)
+    common = np.zeros(len(start), np.int64)
+    for letter, times in Counter(needle).items():
+        before = np.concatenate([[0], np.cumsum(letters == ord(letter))])
+        common += np.minimum(before[stop] - before[start], times)
+    able = np.flatnonzero(2 * common >= FUZZY_MIN * (n + stop - start) - 1e-9)
+    matcher = difflib.SequenceMatcher(None)
+    best = 0.0
+    for i in able.tolist():
+        matcher.set_seqs(needle, haystack[i : i + n + WINDOW_MORE])
+        best = max(best, matcher.ratio())
+    return best if best >= FUZZY_MIN else 0.0
+
+
 def word_ratio(haystack: str, token: str) -> float:
     return max((difflib.SequenceMatcher(None, token, w).ratio() for w in haystack.split() if len(w) >= 4), default=0.0)
 
@@ -142,7 +169,7 @@ def match_scores(query: str, s: Scheme, aliases: dict[str, str], house: str, url
     rule("core_phrase", not by_display and len(s.core) >= 4 and s.core in norm)
     rule("house_core", len(f"{house} {s.core}") >= 10 and f"{house} {s.core}" in norm)
     for method, phrase in (("fuzzy", s.core), ("fuzzy_house", f"{house} {s.core}")):
-        r = phrase_ratio(norm, phrase)
+        r = close_ratio(norm, phrase)
         rule(method, r >= FUZZY_MIN, r)
     for token in s.tokens:
         if len(token) >= 8:
@@ -221,9 +248,6 @@ def _by_score(a, b):
 
 # -- a registry as a table -------------------------------------------------------------------------------------------
 
-#: Longest needle that only the end of a question can come close to: a window has eight characters more, and of two texts of n and w characters that
-#: reach FUZZY_MIN, w is at most n (2 / FUZZY_MIN - 1). Longer ones, by classes of length, are met in segments of a question, one each STRIDE characters.
-TAIL_NEEDLE, WINDOW_MORE, CLASS, STRIDE = 24, 8, 16, 32
 #: Characters of an anchor: a rare piece of a name, which a question that contains the name contains too.
 ANCHOR = 4
 

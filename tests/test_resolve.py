@@ -73,6 +73,18 @@ def test_needed_grams_is_a_bound():
             assert sum(g in have for g in resolve._pairs(needle)) >= resolve.needed_grams(len(needle))
 
 
+def test_close_ratio_is_the_phrase_ratio():
+    rng = random.Random(4)
+    hits = 0
+    for _ in range(600):
+        needle = "".join(rng.choice("abcde é") for _ in range(rng.randrange(1, 45)))
+        text = rng.choice(["", "tell me of "]) + spoiled(rng, needle, rng.randrange(0, 7)) + rng.choice(["", " and more words", " x"])
+        want = resolve.phrase_ratio(text, needle)
+        assert resolve.close_ratio(text, needle) == (want if want >= resolve.FUZZY_MIN else 0.0)
+        hits += want >= resolve.FUZZY_MIN
+    assert hits > 100 and resolve.close_ratio("", "a") == resolve.close_ratio("a", "") == 0.0
+
+
 def test_empty_registry_and_no_questions(spark):
     none = spark.createDataFrame([], "phrase string, scheme string")
     table = spark.createDataFrame([], "scheme string, url string, scheme_display_name string")
