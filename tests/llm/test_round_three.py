@@ -296,3 +296,25 @@ def test_segments_change_no_ids(monkeypatch):
     assert b"".join(bestfit.WordCoder(TOKENIZER).encode(text)) == whole
     want = Tokenizer.from_str(TOKENIZER).encode(text, add_special_tokens=False).ids
     assert array("I", want).tobytes() == whole
+
+
+def test_partenum_ignores_columns_of_its_names(spark):
+    from folioscope.llm import partenum
+
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (2, base + " x"), (3, "another text of its own"), (4, None)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    clash = plain.withColumns({c: F.lit("clash") for c in ("component_id", "n_shingles", "mark", "lead", "id", "rep", "cluster", "sig", "node")})
+    scheme = partenum.Scheme(words=3, num=90, den=100)
+    got, want = (Counter(tuple(r) for r in partenum.shingle_groups(df, scheme, slices=2).collect()) for df in (clash, plain))
+    assert got == want and (2, 59, 1) in got
+
+
+def test_mix_of_a_very_long_text(spark):
+    from folioscope.llm import mixing
+
+    rows = [(0, "long", "word " * 1_000_000), *((i, "short", "few words") for i in range(1, 40))]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.poisson_mix(df, size=F.octet_length("text")).groupBy("source").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("m")).collect()
+    found = {r.source: (r.n, r.m) for r in got}
+    assert found["short"][0] > 100_000 and found.get("long", (0, 5_000_000))[1] == 5_000_000
