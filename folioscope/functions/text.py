@@ -112,6 +112,21 @@ def keyword_form(c: Column, normalized: bool = False) -> Column:
     return F.lower(squeeze(t))
 
 
+def token_form(c: Column, normalized: bool = False) -> Column:
+    """A text with the tokens of its keyword_form: white space stays, and each rule runs only on texts that have what it looks for."""
+    t = text_of(c)
+    if not normalized:
+        t = F.coalesce(nfkc(F.when(F.octet_length(t) != F.char_length(t), t)), t)
+
+    def step(x: Column, needed: Column, pattern: str, by: str) -> Column:
+        return F.get(F.transform(F.array(x), lambda y: F.when(needed(y), F.regexp_replace(y, pattern, by)).otherwise(y)), F.lit(0))
+
+    t = step(t, lambda y: F.contains(y, F.lit("₹")) | F.contains(F.lower(y), F.lit("rupee")), r"(?i)₹|\brupees?\b", " INR ")
+    t = step(t, lambda y: F.contains(y, F.lit("INR")), r"INR\s*([\d,]+(?:\.\d+)?)", "INR $1")
+    t = F.replace(t, F.lit(","), F.lit(""))
+    return F.lower(step(t, lambda y: F.contains(y, F.lit("%")), r"(\d+(?:\.\d+)?)\s*%", "$1 percent"))
+
+
 def tokens(c: Column, normalized: bool = False) -> Column:
     return F.regexp_extract_all(keyword_form(c, normalized), F.lit("[a-z0-9]+"), F.lit(0))
 

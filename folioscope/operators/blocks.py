@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,23 +28,98 @@ def gain(tf: Column, dl: Column, average: Column, k1: float = K1, b: float = B)
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.when(average == 0, 1.0).otherwise(average)))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """(term, n, ids, tfs, dls, scopes), written: the postings of rows(id, dl, scope, terms, tfs), where terms and tfs are lists, packed by term in each batch of rows."""
+    kind, most = dict(rows.dtypes)["id"], max(1, PART // 8)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.repeat(np.arange(len(batch)), np.diff(batch.column(3).offsets.to_numpy()))
+            if not len(own):
+                continue
+            code = batch.column(3).flatten().dictionary_encode()
+            number = code.indices.to_numpy()
+            order = np.argsort(number, kind="stable")
+            number, own = number[order], pa.array(own[order])
+            start = _cut(np.flatnonzero(np.diff(number, prepend=-1)), len(number), most)
+            size = np.diff(np.append(start, len(number)))
+            ends = pa.array(np.append(start, len(number)).astype(np.int32))
+            lists = [batch.column(0).take(own), batch.column(4).flatten().take(pa.array(order)), batch.column(1).take(own), batch.column(2).take(own)]
+            columns = [code.dictionary.take(pa.array(number[start])), pa.array(size.astype(np.int32)), *[pa.ListArray.from_arrays(ends, c) for c in lists]]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "n", "ids", "tfs", "dls", "scopes"])
+
+    found = rows.select("id", F.col("dl").cast("int").alias("dl"), F.col("scope").cast("string").alias("scope"), "terms", F.col("tfs").cast("array<long>").alias("tfs"))
+    return scratch.written(found.mapInArrow(pack, f"term string, n int, ids array<{kind}>, tfs array<long>, dls array<int>, scopes array<string>"), "postings")
+
+
+def _cut(start: np.ndarray, end: int, most: int) -> np.ndarray:
+    """Where runs begin, and where pieces of them begin that have at most so many rows."""
+    size = np.diff(np.append(start, end))
+    pieces = -(-size // most)
+    return np.repeat(start, pieces) + (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * most
+
+
 def build_blocks(postings: DataFrame, average: float) -> DataFrame:
-    """(term, part, block, n, max_tf, min_dl, ids, tfs, dls, scopes) of postings(term, id, dl, tf, scope), written before as they are read twice.
+    """blocks_of for postings(term, id, dl, tf, scope), a row each."""
+    return blocks_of(packed(postings.select("id", "dl", "scope", F.array("term").alias("terms"), F.array("tf").alias("tfs"))), average)
+
+
+def blocks_of(packs: DataFrame, average: float) -> DataFrame:
+    """(term, part, block, n, max_tf, min_dl, ids, tfs, dls, scopes) of packed postings.
 
-    A term of more than PART postings is dealt over parts by the hash of the id, so no task holds all of a frequent one. In each part postings
+    A term of more than PART postings is dealt over parts, by the hash of the first id of its packs, so no task holds all of a frequent one. In each part postings
     are in order of their gain at the average length given, and cut into blocks. max_tf and min_dl bound a block's gain at any average,
-    so blocks stay right when documents are added. Rows lie in the order of terms, so that a reader skips row groups.
+    so blocks stay right when documents are added. Postings move once, in packs, and rows lie in the order of terms within a file.
     """
-    salt = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")
-    heavy = postings.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") > PART)
-    heavy = heavy.select(F.col("term").alias("t"), F.least(F.ceil(F.col("df") / PART).cast("int"), F.lit(PARTS)).alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("s"))
-    dealt = postings.withColumn("salt", salt).join(heavy, (F.col("term") == F.col("t")) & (F.col("salt") == F.col("s")), "left")
-    dealt = dealt.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.col("salt") % F.col("parts")))
-    best = Window.partitionBy("term", "part").orderBy(F.desc(gain(F.col("tf"), F.col("dl"), F.lit(float(average)))), "id")
-    placed = dealt.withColumn("block", F.floor((F.row_number().over(best) - 1) / BLOCK).cast("int"))
-    rows = placed.groupBy("term", "part", "block").agg(F.collect_list(F.struct("id", "tf", "dl", "scope")).alias("r"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-    columns = [F.col(f"r.{c}").alias(f"{c}s") for c in ("id", "tf", "dl", "scope")]
-    return rows.select("term", "part", "block", F.size("r").alias("n"), "max_tf", "min_dl", *columns).repartitionByRange("term", "part").sortWithinPartitions("term", "part", "block")
+    heavy = packs.groupBy("term").agg(F.sum("n").alias("df")).where(F.col("df") > PART)
+    heavy = heavy.select(F.col("term").alias("t"), F.least(F.ceil(F.col("df") / PART).cast("int"), F.lit(PARTS)).alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("parts")).cast("int"), F.lit(0))
+    dealt = packs.join(F.broadcast(heavy), F.col("term") == F.col("t"), "left")  # at most one for every PART postings
+    dealt = dealt.select("term", part.alias("part"), "ids", "tfs", "dls", "scopes")
+    kind, block, average = dict(packs.dtypes)["ids"], BLOCK, average or 1.0
+    names = ["term", "part", "block", "n", "max_tf", "min_dl", "ids", "tfs", "dls", "scopes"]
+
+    def cut(rows: pa.Table) -> pa.RecordBatch:
+        """Blocks of whole parts of terms, in order."""
+        rows = rows.combine_chunks().to_batches()[0]
+        term, part = rows.column(0), rows.column(1).to_numpy()
+        new = pc.not_equal(term.slice(1), term.slice(0, len(rows) - 1)).to_numpy(zero_copy_only=False) | (part[1:] != part[:-1])
+        group = np.repeat(np.cumsum(np.append(0, new)), np.diff(rows.column(2).offsets.to_numpy()))
+        own = np.repeat(np.arange(len(rows)), np.diff(rows.column(2).offsets.to_numpy()))
+        tf, dl = rows.column(3).flatten().to_numpy(), rows.column(4).flatten().to_numpy()
+        order = np.lexsort((-tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average)), group))
+        first = np.flatnonzero(np.diff(group, prepend=-1))  # groups stay where they were
+        start = _cut(first, len(group), block)
+        number = (start - first[group[start]]) // block
+        tf, dl, at = tf[order], dl[order], pa.array(order)
+        ends = pa.array(np.append(start, len(group)).astype(np.int32))
+        head = own[start]
+        columns = [
+            term.take(pa.array(head)), pa.array(part[head]), pa.array(number.astype(np.int32)), pa.array(np.diff(np.append(start, len(group))).astype(np.int32)),
+            pa.array(np.maximum.reduceat(tf, start)), pa.array(np.minimum.reduceat(dl, start)), *[pa.ListArray.from_arrays(ends, rows.column(c).flatten().take(at)) for c in (2, 3, 4, 5)],
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last part of a term may go on in the next batch
+        for batch in batches:
+            if not len(batch):
+                continue
+            term, part = batch.column(0), batch.column(1)
+            last = pc.and_(pc.equal(term, term[len(batch) - 1]), pc.equal(part, part[len(batch) - 1]))
+            n = pc.sum(last).as_py()
+            if n == len(batch) and (not held or (held[0].column(0)[0], held[0].column(1)[0]) == (term[0], part[0])):
+                held.append(batch)
+                continue
+            done = pa.Table.from_batches([*held, batch.slice(0, len(batch) - n)])
+            if len(done):
+                yield cut(done)
+            held = [batch.slice(len(batch) - n)]
+        if held:
+            yield cut(pa.Table.from_batches(held))
+
+    schema = f"term string, part int, block int, n int, max_tf long, min_dl int, ids {kind}, tfs array<long>, dls array<int>, scopes array<string>"
+    return dealt.repartition("term", "part").sortWithinPartitions("term", "part").mapInArrow(run, schema)
 
 
 def postings_of(blocks: DataFrame) -> DataFrame:

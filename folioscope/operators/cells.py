@@ -81,9 +81,9 @@ def pack_cells(vectors: DataFrame, centroids: np.ndarray) -> tuple[DataFrame, Da
     parts = reach.select(F.col("cell").alias("c"), F.col("scope").alias("s"), F.ceil(F.col("n") / PACK).cast("int").alias("parts"))
     dealt = placed.join(parts, (F.col("cell") == F.col("c")) & F.col("scope").eqNullSafe(F.col("s")))
     dealt = dealt.withColumn("slab", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    packed = dealt.groupBy("cell", "scope", "slab").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("rows"))
+    packed = dealt.repartitionByRange("cell", "scope", "slab").groupBy("cell", "scope", "slab").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("rows"))
     packs = packed.select("cell", "scope", "slab", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("vecs"))
-    return packs.repartitionByRange("cell", "scope", F.xxhash64("ids")).sortWithinPartitions("cell", "scope"), reach
+    return packs.sortWithinPartitions("cell", "scope"), reach
 
 
 def unpack(packs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,8 @@ from folioscope.sources import scratch
 
 #: Fixed values of the ranking function.
 K1, B = 1.5, 0.75
+#: A token of a text in its keyword form, as X.tokens has them.
+TOKEN = re.compile("[a-z0-9]+")
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,9 @@ DIM, BYTES, SHIFT = 384, 16, 7
 BLOCK = 1000
 #: Numbers of all query vectors that are broadcast at most (32 MB).
 SHARED_VALUES = 1 << 22
+#: Tokens that a task digests at once.
+STEP = 1 << 16
+_TOKEN = re.compile(b"[a-z0-9%]+")
 
 
 def hash_embedding(df: DataFrame, id_col: str, text_col: str, model: str, positional: bool = True, dim: int = DIM) -> DataFrame:
@@ -45,6 +50,51 @@ def hash_embedding(df: DataFrame, id_col: str, text_col: str, model: str, positi
     return sums.where("v <> 0").join(norms, "id").select("id", "idx", value.alias("value"))
 
 
+class Digests:
+    """Dense positional embeddings of lower-cased texts, as of hash_embedding, for one task."""
+
+    def __init__(self, model: str) -> None:
+        self.model = model
+        self.heads: list[bytes] = []
+
+    def of(self, texts: list[str]) -> np.ndarray:
+        """A row for each text, of length 1, or of zeros where all sums are 0. Beside the rows, memory is that of a text's tokens and of STEP digests."""
+        out = np.zeros((len(texts), DIM))
+        for i, text in enumerate(texts):
+            toks = _TOKEN.findall(text.encode()) or [b"_empty_"]
+            self.heads += [b"%s:%d:" % (self.model.encode(), n) for n in range(len(self.heads), len(toks))]
+            sums = np.zeros(512, np.int64)
+            for at in range(0, len(toks), STEP):
+                raw = b"".join([sha256(h + t).digest() for h, t in zip(self.heads[at : at + STEP], toks[at : at + STEP], strict=False)])
+                d = np.frombuffer(raw, np.uint8).reshape(-1, 32)
+                # the places of digests are below 256; those to subtract are counted 256 later
+                place = d[:, :BYTES].astype(np.int64) | (d[:, SHIFT : SHIFT + BYTES] & 1).astype(np.int64) << 8
+                sums += np.bincount(place.ravel(), minlength=512)
+            out[i, :256] = sums[:256] - sums[256:]
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return out / np.where(norm == 0, 1.0, norm)
+
+
+def lists(m: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+
+
+def dense_embedding(df: DataFrame, id_col: str, text_col: str, model: str) -> DataFrame:
+    """(id, v): what dense(hash_embedding(...)) gives, in one pass over the texts and without a shuffle."""
+    kind = dict(df.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Digests(model)
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK):
+                part = batch.slice(at, BLOCK)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists(made.of(part.column(1).to_pylist()))], names=["id", "v"])
+
+    rows = df.select(F.col(id_col).alias("id"), F.lower(X.text_of(F.col(text_col))).alias("low"))
+    return rows.mapInArrow(run, f"id {kind}, v array<double>")
+
+
 def dense(sparse: DataFrame, dim: int = DIM) -> DataFrame:
     """(id, v) with all dim numbers of sparse rows (id, idx, value)."""
     at = F.map_from_entries(F.collect_list(F.struct("idx", "value")))
