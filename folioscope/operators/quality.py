@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,21 +60,41 @@ def _word_sets(df: DataFrame, id_col: str, text_col: str, group_col: str | None)
     return df.select(F.col(id_col).alias("id"), (F.col(group_col) if group_col else F.lit(0)).cast("string").alias("g"), F.array_sort(words).alias("w"))
 
 
+#: Buckets that words are counted in, and ids in some pair that are broadcast at most; with more, all sets are shuffled.
+BUCKETS, SHARED_IDS = 1 << 17, 1 << 21
+
+
 def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.92, group_col: str | None = None) -> DataFrame:
     """(a, b, jaccard) of texts whose word sets have at least that Jaccard similarity, a < b.
 
     Words are 64-bit hashes from the start. Equal word sets are one representative (its least id stands for them; near_members tells whom). Each set is indexed by the
     rarest words of its prefix: two sets that are similar share one of them, so frequent words make no pairs; a pair must also agree in size, and have
-    enough words left behind the places of the one that they share.
+    enough words left behind the places of the one that they share. How rare a word is, is told by the words of its bucket, of BUCKETS, and its hash: any
+    order that all sets share finds the same pairs, so each set picks its prefix where it lies, and only prefixes are shuffled.
     """
     rows = _word_sets(scratch.spread(df), id_col, text_col, group_col).where(F.size("w") > 0)
     rows = rows.select("id", "g", F.sha2(F.array_join("w", " "), 256).alias("h"), F.array_sort(F.transform("w", lambda x: F.xxhash64(x))).alias("w"))
     reps = scratch.written(rows.groupBy("g", "h").agg(F.min(F.struct("id", "w")).alias("r")).select("g", "r.id", "r.w"), "word_sets")
-    each = reps.select("id", "g", F.size("w").alias("n_w"), F.explode("w").alias("t"))
-    ranked = each.join(each.groupBy("t").agg(F.count("*").alias("n")), "t")
-    order = Window.partitionBy("id", "g").orderBy("n", "t")
-    prefix = ranked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n_w") - F.ceil(F.col("n_w") * threshold) + 1)
-    prefix = scratch.written(prefix.select("id", "g", "n_w", "t", "k"), "prefixes")
+    sums = reps.select(F.explode("w").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).alias("bucket")).count()
+    rarity = np.zeros(BUCKETS, np.int64)
+    for r in sums.collect():  # at most BUCKETS
+        rarity[r.bucket] = r["count"]
+    shared = df.sparkSession.sparkContext.broadcast(rarity)
+    kind = dict(reps.dtypes)["id"]
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.diff(batch.column(2).offsets.to_numpy()).astype(np.int64)
+            t = batch.column(2).flatten().to_numpy()
+            own = np.repeat(np.arange(len(batch)), size)
+            order = np.lexsort((t, shared.value[t & (BUCKETS - 1)], own))  # sets stay where they were
+            k = np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size) + 1
+            some = k <= (size - np.ceil(size * threshold) + 1)[own]
+            at = pa.array(own[some])
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(size[own[some]].astype(np.int32)), pa.array(t[order[some]]), pa.array(k[some].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "g", "n_w", "t", "k"])
+
+    prefix = scratch.written(reps.select("id", "g", "w").mapInArrow(pick, f"id {kind}, g string, n_w int, t long, k int"), "prefixes")
     left = prefix.select("g", "t", F.col("id").alias("a"), F.col("n_w").alias("na"), F.col("k").alias("ka"))
     right = prefix.select("g", "t", F.col("id").alias("b"), F.col("n_w").alias("nb"), F.col("k").alias("kb"))
     met = left.join(right, ["g", "t"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
@@ -81,6 +102,10 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.9
     first = met.groupBy("g", "a", "b", "na", "nb").agg(F.min("ka").alias("ka"), F.min("kb").alias("kb"))
     most = 1 + F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb"))
     pairs = first.where(most * (1 + threshold) + 1e-6 >= threshold * (F.col("na") + F.col("nb"))).select("g", "a", "b")
+    pairs = scratch.written(pairs, "met_pairs")  # the shuffles of prefixes go before sets move
+    ids = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "met_ids")
+    if ids.count() <= SHARED_IDS:  # sets that are in no pair stay where they lie
+        reps = reps.join(F.broadcast(ids), "id", "left_semi")
     full = pairs.join(reps.select("g", F.col("id").alias("a"), F.col("w").alias("wa")), ["g", "a"]).join(reps.select("g", F.col("id").alias("b"), F.col("w").alias("wb")), ["g", "b"])
     common = F.size(F.array_intersect("wa", "wb")).cast("long")
     sized = full.select("a", "b", common.alias("c"), (F.size("wa") + F.size("wb") - common).alias("u"))
