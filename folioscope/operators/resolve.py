@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import functools
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,6 +28,8 @@ RESOLVE, FUZZY_MIN, GAP, MULTI = 0.82, 0.86, 0.06, 0.72
 #: Longest needle that only the end of a question can come close to: a window has eight characters more, and of two texts of n and w characters that
 #: reach FUZZY_MIN, w is at most n (2 / FUZZY_MIN - 1). Longer ones, by classes of length, are met in segments of a question, one each STRIDE characters.
 TAIL_NEEDLE, WINDOW_MORE, CLASS, STRIDE = 24, 8, 16, 32
+#: Distinct pieces of names up to which every worker has them all, so that questions send no others; of more, questions send every piece.
+VOCABULARY = 1 << 18
 #: Schemes that one function scores a question against.
 BLOCK = 10_000
 #: Words of a scheme's name that distinguish nothing.
@@ -115,13 +119,21 @@ def phrase_ratio(haystack: str, needle: str) -> float:
     return best
 
 
+def _reach(n: int) -> int:
+    """Characters, at most, of a window that reaches FUZZY_MIN with n characters."""
+    return int(n * (2 / FUZZY_MIN - 1) + 1e-9)
+
+
 def close_ratio(haystack: str, needle: str) -> float:
     """phrase_ratio where that reaches FUZZY_MIN, else 0: only windows with enough of the needle's characters, in any order, are matched."""
     if not needle or not haystack:
         return 0.0
     if needle in haystack:
         return 1.0
-    n, size = len(needle), len(haystack)
+    n = len(needle)
+    if n + WINDOW_MORE > _reach(n):  # of a short needle, whole windows are too long
+        haystack = haystack[-_reach(n) :]
+    size = len(haystack)
     letters = np.frombuffer(haystack.encode("utf-32-le"), np.uint32)
     start = np.arange(max(1, size - n + 1))
     stop = np.minimum(start + n + WINDOW_MORE, size)
@@ -142,8 +154,12 @@ def word_ratio(haystack: str, token: str) -> float:
     return max((difflib.SequenceMatcher(None, token, w).ratio() for w in haystack.split() if len(w) >= 4), default=0.0)
 
 
+@functools.lru_cache(maxsize=16)
 def _question_form(query: str) -> str:
-    return re.sub(r"\s+", " ", query.lower().translate(str.maketrans("’‘“”", "''\"\"")).strip())
+    text = query.lower()
+    for quote, plain in zip("’‘“”", "''\"\"", strict=True):
+        text = text.replace(quote, plain)
+    return " ".join(text.split())
 
 
 def _mentions(text: str, house: str, needles: list[str]) -> bool:
@@ -152,8 +168,8 @@ def _mentions(text: str, house: str, needles: list[str]) -> bool:
     return len(parts) > 1 and any(house in part and any(n in part for n in needles) for part in parts)
 
 
-def match_scores(query: str, s: Scheme, aliases: dict[str, str], house: str, url_prefix: str) -> list[tuple[float, str]]:
-    """(score, method) of every rule that fits, in the order in which the first of equal scores wins."""
+def match_scores(query: str, s: Scheme, aliases: dict[str, str], house: str, url_prefix: str, near: bool = True) -> list[tuple[float, str]]:
+    """(score, method) of every rule that fits, in the order in which the first of equal scores wins. near: can a name that is not contained come close?"""
     norm = _question_form(query)
     out: list[tuple[float, str]] = []
 
@@ -169,9 +185,9 @@ def match_scores(query: str, s: Scheme, aliases: dict[str, str], house: str, url
     rule("core_phrase", not by_display and len(s.core) >= 4 and s.core in norm)
     rule("house_core", len(f"{house} {s.core}") >= 10 and f"{house} {s.core}" in norm)
     for method, phrase in (("fuzzy", s.core), ("fuzzy_house", f"{house} {s.core}")):
-        r = close_ratio(norm, phrase)
+        r = close_ratio(norm, phrase) if near else float(phrase != "" and phrase in norm)
         rule(method, r >= FUZZY_MIN, r)
-    for token in s.tokens:
+    for token in s.tokens if near else ():
         if len(token) >= 8:
             r = word_ratio(norm, token)
             rule("fuzzy_token", r >= FUZZY_MIN, r)
@@ -264,39 +280,171 @@ def needed_grams(n: int) -> int:
     return n - 1 - int((2 - 1.5 * r) * n + (1 - 1.5 * r) * least + 1e-9)
 
 
+def needed_in_window(n: int) -> int:
+    """needed_grams where the text is a whole window, of WINDOW_MORE characters more than the needle."""
+    w = n + WINDOW_MORE
+    matched = math.ceil(FUZZY_MIN * (n + w) / 2 - 1e-9)
+    return n - 1 - (2 * n + w - 3 * matched)
+
+
 def _pairs(text: str) -> list[str]:
     return [text[i : i + 2] for i in range(len(text) - 1)]
 
 
-def _needle_kind(n: int) -> str:
-    return "tail" if n <= TAIL_NEEDLE else f"long{n // CLASS}"
+#: Stands for a digit in the form of a long name: names of a series, which differ in their numbers, have one form.
+DIGIT = "\0"
+
+
+def _form(needle: str) -> str:
+    """The needle with its digits masked, if the pairs without digits are enough to meet it by."""
+    form = re.sub("[0-9]", DIGIT, needle)
+    lost = sum(DIGIT in g for g in _pairs(form))
+    return form if 2 * lost <= needed_grams(len(needle)) else needle
+
+
+#: (query, kind, place, part, gram): what a question offers. A part is the segment of a question that the place is, for kinds that are matched by segments.
+Piece = tuple[str, int, str | None, str]
+
+
+@dataclass(frozen=True)
+class Kind:
+    """What questions are searched for: the pieces that names have (None: too many to be sent), the fewest that a name needs, and a table of their hashes."""
+
+    name: str
+    number: int
+    least: int
+    names: frozenset[str] | None
+    table: np.ndarray | None
+
+
+def _kind(kind: str, least: int, names: set[str] | None) -> Kind:
+    name = kind.rstrip("0123456789")
+    number = int(kind[len(name) :] or 0)
+    table = None
+    if names and name in ("anchor", "long", "end"):
+        table = np.zeros(1 << max(12, (16 * len(names)).bit_length()), bool)
+        k = number if name == "anchor" else 2
+        table[np.concatenate([_hashes(_letters(g), k) for g in names]) & (len(table) - 1)] = True
+    return Kind(name, number, least, None if names is None else frozenset(names), table)
+
+
+def _letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+def _hashes(letters: np.ndarray, k: int) -> np.ndarray:
+    """A number for each piece of k letters; the low bits of equal pieces are equal."""
+    h = letters[: max(0, len(letters) - k + 1)]
+    for j in range(1, k):
+        h = h * 0x9E3779B1 + letters[j : j + len(h)]
+    return h ^ h >> 15
+
 
+def _question_pieces(query: str, kinds: list[Kind], url_prefix: str) -> list[Piece]:
+    """Pieces of a question that names have, blanks as hyphens: short ones for anchors; pairs of its end, of its segments by class of needles, and of its words; its slugs.
 
-def _question_pieces(query: str, classes: list[int], url_prefix: str, close: bool = True) -> set[tuple[str, int, str]]:
-    """(kind, place, gram) of a question, blanks as hyphens: its short pieces for anchors; pairs of its end, of its segments by class of needles, and of its words; its slugs."""
+    A place with fewer pieces than any name of the kind needs has none. Tables of hashes say where to look.
+    """
     norm = _question_form(query)
     flat = norm.replace(" ", "-")
-    out = {("anchor", 0, flat[i : i + k]) for k in range(1, ANCHOR + 1) for i in range(len(flat) - k + 1)}
-    out |= {("url", 0, slug) for slug in re.findall(re.escape(url_prefix) + r"([a-z0-9-]+)", query.lower())}
-    if not close:
-        return out
-    end = int(TAIL_NEEDLE * (2 / FUZZY_MIN - 1)) + 1
-    out |= {("tail", 0, g) for g in _pairs(flat[-end:])}
-    for c in classes:
-        size = CLASS * (c + 1) - 1 + WINDOW_MORE + STRIDE
-        for place, start in enumerate(range(0, max(1, len(flat)), STRIDE)):
-            out |= {(f"long{c}", place, g) for g in _pairs(flat[start : start + size])}
-    for place, word in enumerate(norm.split()):
-        if len(word) >= 4:
-            out |= {("word", place, g) for g in _pairs(word)}
+    letters = _letters(flat)
+    hashes = {k: _hashes(letters, k) for k in range(1, ANCHOR + 1)}
+    out: list[Piece] = []
+
+    def offer(kind: Kind, place: int, part: str | None, grams: set[str]) -> None:
+        found = grams if kind.names is None else grams & kind.names
+        if len(found) >= kind.least:
+            out.extend((f"{kind.name}{kind.number or ''}", place, part, g) for g in found)
+
+    def places(kind: Kind, k: int) -> np.ndarray:
+        """Is there a piece of the kind at each place? Some are false."""
+        return np.ones(len(hashes[k]), bool) if kind.table is None else kind.table[hashes[k] & (len(kind.table) - 1)]
+
+    for kind in kinds:
+        if kind.name == "anchor":
+            k = kind.number
+            offer(kind, 0, None, {flat[i : i + k] for i in np.flatnonzero(places(kind, k)).tolist()})
+        elif kind.name == "url":
+            offer(kind, 0, None, set(re.findall(re.escape(url_prefix) + r"([a-z0-9-]+)", query.lower())))
+        elif kind.name == "tail":
+            offer(kind, 0, None, set(_pairs(flat[-_reach(kind.number) :])))
+        elif kind.name in ("long", "end"):  # segments that hold all of their windows, and those at the end of the question
+            had = np.concatenate([[0], np.cumsum(places(kind, 2))])
+            start = np.arange(0, len(had), STRIDE)
+            size = CLASS * (kind.number + 1) - 1 + WINDOW_MORE + STRIDE - 1
+            able = had[np.minimum(start + size - 1, len(had) - 1)] - had[start] >= kind.least
+            for i in start[able & ((start + size <= len(flat)) == (kind.name == "long"))].tolist():
+                offer(kind, i // STRIDE, flat[i : i + size], set(_pairs(flat[i : i + size])))
+        elif kind.name == "word":
+            for place, word in enumerate(norm.split()):
+                if len(word) >= 4:
+                    offer(kind, place, None, set(_pairs(word)))
     return out
 
 
-def _needles(s: Scheme, phrases: list[str], house: str) -> tuple[list[str], list[tuple[str, str]]]:
-    """What a question contains if an exact rule fits (an empty core: the house, which a comparison must name), and (kind, text) that it comes close to if a fuzzy one does."""
+def _needles(s: Scheme, phrases: list[str], house: str, close: bool) -> set[tuple[str, str]]:
+    """(kind, form): what a question contains if an exact rule fits (an empty core: the house, which a comparison must name), and what it comes close to if a fuzzy one does."""
     exact = [s.scheme, s.spaced, s.core or house, *([s.display] if len(s.display) >= 8 else []), *phrases]
-    close = [(_needle_kind(len(t)), t) for t in (s.core, f"{house} {s.core}") if s.core] + [("word", t) for t in s.tokens if len(t) >= 8]
-    return [t.replace(" ", "-") for t in exact if t], [(k, t if k == "word" else t.replace(" ", "-")) for k, t in close]
+    out = {("url", s.scheme)} | {(f"anchor{min(ANCHOR, len(t))}", t.replace(" ", "-")) for t in exact if t}
+    if close:
+        out |= {("word", t) for t in s.tokens if len(t) >= 8}
+        for t in (s.core, f"{house} {s.core}") if s.core else ():
+            n = len(t)
+            flat = t.replace(" ", "-")
+            out |= {(f"tail{n}", flat)} if n <= TAIL_NEEDLE else {(f"{k}{n // CLASS}", _form(flat)) for k in ("long", "end")}
+    return out
+
+
+def _grams(kind: str, form: str) -> list[tuple[str, int, int, int]]:
+    """(gram, times, need, least) of a form: need of its pieces, counted as often as it has them, at least so many distinct ones, are in what comes close to it."""
+    if kind == "url":
+        return [(form, 1, 1, 1)]
+    if kind.startswith("anchor"):
+        k = int(kind[6:])
+        return [(g, 1, 1, 1) for g in {form[i : i + k] for i in range(len(form) - k + 1)}]
+    pairs = _pairs(form)
+    found = Counter(g for g in pairs if DIGIT not in g)
+    need = (needed_in_window if kind.startswith("long") else needed_grams)(len(form)) - len(pairs) + found.total()
+    need, have, least = max(1, need), 0, 0
+    for times in sorted(found.values(), reverse=True):
+        least, have = least + (have < need), have + times
+    return [(g, times, need, least) for g, times in found.items()]
+
+
+@functools.lru_cache(maxsize=4096)
+def _places(fixed: str) -> dict[str, int]:
+    """The bits of each character's places."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(fixed):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def _may_reach(forms: list[str], parts: list[str]) -> np.ndarray:
+    """For each form and segment: can a name of the form reach FUZZY_MIN with a window that starts in the first STRIDE characters of the segment?
+
+    What Ratcliff-Obershelp matches is a common subsequence, so the longest one of each window is a bound (found with a bit for each character, all windows of
+    a batch at once). Masked digits count as matched. Forms of over 64 characters without digits are not decided here: True.
+    """
+    out = np.ones(len(forms), bool)
+    fixed = [f.replace(DIGIT, "") for f in forms]
+    lengths = np.array([len(f) if len(x) <= 64 else 0 for f, x in zip(forms, fixed, strict=True)], np.int64)
+    for n in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.flatnonzero(lengths == n)
+        bits = np.zeros((len(rows), n + WINDOW_MORE + STRIDE), np.uint64)
+        for at, i in enumerate(rows.tolist()):
+            places, part = _places(fixed[i]), parts[i][: bits.shape[1]]
+            bits[at, : len(part)] = [places.get(c, 0) for c in part]
+        window = np.array([len(parts[i]) for i in rows])[:, None] - np.arange(STRIDE)
+        window = np.minimum(window, n + WINDOW_MORE)
+        state = np.full(window.shape, ~np.uint64(0))
+        for j in range(n + WINDOW_MORE):
+            hit = state & bits[:, j : j + STRIDE]
+            state = (state + hit) | (state - hit)
+        masked = np.array([n - len(fixed[i]) for i in rows])[:, None]
+        matched = np.bitwise_count(~state) + masked  # places beyond the form stay set
+        out[rows] = ((window > 0) & (2 * matched >= FUZZY_MIN * (n + window) - 1e-9)).any(axis=1)
+    return out
 
 
 def _numbered(index: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -306,48 +454,73 @@ def _numbered(index: DataFrame, aliases: DataFrame) -> DataFrame:
     return scratch.written(rows.withColumn("no", F.monotonically_increasing_id()), "schemes")
 
 
-_GRAM = ("no", "needle", "kind", "gram", "times", "need")
-
-
 def _pairs_met(asked: DataFrame, schemes: DataFrame, house: str, url_prefix: str, close: bool = True) -> DataFrame:
-    """(query_id, no): the schemes whose anchors or slugs a question of asked(query_id, raw) contains; close: and those that it has as many pairs of as a fuzzy rule needs."""
+    """(query_id, no, near): the schemes whose anchors or slugs a question of asked(query_id, raw) contains; close: and those that a fuzzy rule may fit (near)."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 s = Scheme(r["scheme"], r["url"], r["display"], r["core"], r["spaced"], tuple(r["tokens"]))
-                exact, near = _needles(s, r["phrases"], house)
-                for i, t in enumerate(dict.fromkeys(exact)):
-                    k = min(ANCHOR, len(t))
-                    rows += [(r["no"], i, "anchor", g, 1, 1) for g in {t[j : j + k] for j in range(len(t) - k + 1)}]
-                for i, (kind, t) in enumerate(dict.fromkeys(near) if close else []):
-                    need = max(1, needed_grams(len(t)))
-                    rows += [(r["no"], i, kind, g, n, need) for g, n in Counter(_pairs(t)).items()]
-                rows.append((r["no"], 0, "url", s.scheme, 1, 1))
-            yield pa.RecordBatch.from_pylist([dict(zip(_GRAM, row, strict=True)) for row in rows], schema)
-
-    schema = pa.schema(list(zip(_GRAM, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)))
-    grams = scratch.written(schemes.mapInArrow(cut, "no long, needle long, kind string, gram string, times long, need long"), "name_grams")
-    anchors = grams.where("kind = 'anchor'")
-    rare = anchors.join(anchors.groupBy("gram").agg(F.count("*").alias("df")), "gram").groupBy("no", "needle").agg(F.min(F.struct("df", "gram")).alias("m"))
-    one = F.lit(1).cast("long")
-    names = grams.where("kind <> 'anchor'").unionByName(rare.select("no", "needle", F.lit("anchor").alias("kind"), F.col("m.gram").alias("gram"), one.alias("times"), one.alias("need")))
-    classes = sorted(int(r.kind[4:]) for r in grams.where("kind LIKE 'long%'").select("kind").distinct().collect())  # one for each CLASS of lengths
-    kind, arrow = dict(asked.dtypes)["query_id"], to_arrow_type(asked.schema["query_id"].dataType)
+                rows += [(r["no"], kind, form) for kind, form in _needles(s, r["phrases"], house, close)]
+            yield _batch(rows, no=pa.int64(), kind=pa.string(), form=pa.string())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(kind, form, *gram) for kind, form in zip(*(c.to_pylist() for c in batch.columns), strict=True) for gram in _grams(kind, form)]
+            yield _batch(rows, kind=pa.string(), form=pa.string(), gram=pa.string(), times=pa.int64(), need=pa.int64(), least=pa.int64())
+
+    needles = scratch.written(schemes.mapInArrow(named, "no long, kind string, form string"), "names")
+    grams = scratch.written(needles.select("kind", "form").distinct().mapInArrow(cut, "kind string, form string, gram string, times long, need long, least long"), "name_grams")
+    anchors = grams.where("kind LIKE 'anchor%'")
+    common = anchors.groupBy("kind", "gram").agg(F.count("*").alias("df"))
+    rare = anchors.join(common, ["kind", "gram"]).groupBy("kind", "form").agg(F.min(F.struct("df", "gram")).alias("m"), *[F.max(c).alias(c) for c in ("times", "need", "least")])
+    rare = rare.select("kind", "form", F.col("m.gram").alias("gram"), "times", "need", "least")
+    names = scratch.written(grams.where("kind NOT LIKE 'anchor%'").unionByName(rare), "name_pieces")
+
+    found: dict[str, set[str]] = {}
+    terms = names.select("kind", "gram").distinct().limit(VOCABULARY + 1).collect()
+    for r in terms if len(terms) <= VOCABULARY else ():
+        found.setdefault(r.kind, set()).add(r.gram)
+    least = names.groupBy("kind").agg(F.min("least").alias("least")).collect()  # one row for each length of short names and CLASS of long ones
+    kinds = asked.sparkSession.sparkContext.broadcast([_kind(r.kind, r.least, found[r.kind] if found else None) for r in least])
+    type_, arrow = dict(asked.dtypes)["query_id"], to_arrow_type(asked.schema["query_id"].dataType)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = _question_pieces(raw, classes, url_prefix, close) if raw else ()
-                if found:
-                    kinds, places, grams = zip(*found, strict=True)
-                    columns = [pa.array([q], arrow).take(pa.array([0] * len(kinds))), pa.array(kinds, pa.string()), pa.array(places, pa.int64()), pa.array(grams, pa.string())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "kind", "place", "gram"])
+            rows, of = [], []
+            for i, raw in enumerate(batch.column(1).to_pylist()):
+                more = _question_pieces(raw, kinds.value, url_prefix) if raw else []
+                rows += more
+                of += [i] * len(more)
+                if len(rows) > 1 << 16:
+                    yield pieces_of(batch, rows, of)
+                    rows, of = [], []
+            yield pieces_of(batch, rows, of)
+
+    def pieces_of(batch: pa.RecordBatch, rows: list[Piece], of: list[int]) -> pa.RecordBatch:
+        ids = batch.column(0).cast(arrow).take(pa.array(of, pa.int64()))
+        rest = _batch(rows, kind=pa.string(), place=pa.int64(), part=pa.string(), gram=pa.string())
+        return pa.RecordBatch.from_arrays([ids, *rest.columns], names=["query_id", *rest.schema.names])
+
+    pieces = asked.select("query_id", "raw").mapInArrow(ask, f"query_id {type_}, kind string, place long, part string, gram string")
+    met = pieces.join(names, ["kind", "gram"]).groupBy("query_id", "kind", "place", "part", "form").agg(F.sum("times").alias("n"), F.max("need").alias("need"))
+    met = met.where("n >= need")
+
+    @F.pandas_udf("boolean")
+    def may_reach(form: pd.Series, part: pd.Series) -> pd.Series:
+        out = part.isna()
+        out[~out] = _may_reach(form[~out].tolist(), part[~out].tolist())
+        return out
+
+    met = (met.where(may_reach("form", "part")) if close else met).select("query_id", "kind", "form").distinct()
+    near = ~(F.col("kind").startswith("anchor") | (F.col("kind") == "url"))
+    return met.join(needles, ["kind", "form"]).groupBy("query_id", "no").agg(F.max(near).alias("near"))
+
 
-    pieces = asked.select("query_id", "raw").mapInArrow(ask, f"query_id {kind}, kind string, place long, gram string")
-    met = pieces.join(names, ["kind", "gram"]).groupBy("query_id", "kind", "place", "no", "needle").agg(F.sum("times").alias("n"), F.max("need").alias("need"))
-    return met.where("n >= need").select("query_id", "no").distinct()
+def _batch(rows: list[tuple], **types: pa.DataType) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], names=list(types))
 
 
 def resolve_registry(
@@ -357,7 +530,9 @@ def resolve_registry(
 
     Questions meet names by pieces that they must have in common, never pair by pair. A question that contains a name contains the name's anchor, its
     rarest piece of ANCHOR characters. One that comes close to it has needed_grams of its pairs: at its end where the name is short, in a
-    segment as long as the name's windows otherwise, or in a word. Rules and ratios are evaluated on the questions and schemes that are left.
+    segment as long as the name's windows otherwise, or in a word. Long names that differ in digits only are met as one, and a segment must have a
+    common subsequence with them as long as the ratio implies. Rules are evaluated on the questions and schemes that are left, ratios only
+    where a fuzzy rule may fit.
     A null question matches nothing; equal (question id, scheme) are one.
     """
     asked = scratch.written(queries.select(F.col(query_id).alias("query_id"), F.col(query_col).alias("raw")), "questions")
@@ -365,17 +540,17 @@ def resolve_registry(
     pairs = _pairs_met(asked, schemes, house, url_prefix).join(asked, "query_id").join(schemes, "no")
 
     @F.pandas_udf("struct<score:double,method:string,mentioned:boolean>")
-    def judge(raw: pd.Series, q: pd.Series, row: pd.DataFrame) -> pd.DataFrame:
+    def judge(raw: pd.Series, q: pd.Series, near: pd.Series, row: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for text, form, r in zip(raw, q, row.itertuples(index=False), strict=True):
+        for text, form, close, r in zip(raw, q, near, row.itertuples(index=False), strict=True):
             s = Scheme(r.scheme, r.url, r.display, r.core, r.spaced, tuple(r.tokens))
-            found = match_scores(text, s, dict.fromkeys(r.phrases, r.scheme), house, url_prefix)
+            found = match_scores(text, s, dict.fromkeys(r.phrases, r.scheme), house, url_prefix, close or not s.core)
             score, method = max(found, key=lambda f: f[0]) if found else (None, None)
             out.append((score, method, _mentions(form, house, [s.core, s.spaced, *r.phrases])))
         return pd.DataFrame(out, columns=["score", "method", "mentioned"])
 
     row = F.struct("scheme", "url", "display", "core", "spaced", "tokens", "phrases")
-    judged = scratch.written(pairs.select("query_id", "scheme", "url", judge("raw", X.query_form(F.col("raw")), row).alias("j")).select("query_id", "scheme", "url", "j.*"), "judged")
+    judged = scratch.written(pairs.select("query_id", "scheme", "url", judge("raw", X.query_form(F.col("raw")), "near", row).alias("j")).select("query_id", "scheme", "url", "j.*"), "judged")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "scheme")
     best = judged.where("score IS NOT NULL").withColumn("rank", F.row_number().over(order)).where("rank <= 5")  # the decision looks at no more
     matches = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("scheme", "url", "score", "method")), _by_score).alias("m"))

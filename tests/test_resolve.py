@@ -92,3 +92,60 @@ def test_empty_registry_and_no_questions(spark):
     got = resolve.resolve_registry(q, "id", "q", resolve.registry_index(table, "acme"), none, default_url="d").collect()
     assert [(r.status, r.source_url) for r in got] == [("unknown", "d")]
     assert resolve.resolve_registry(q.where(F.lit(False)), "id", "q", resolve.registry_index(table, "acme"), none).count() == 0
+
+
+def series(n):
+    """Names that differ in their numbers only, long and short."""
+    return [(f"acme-fixed-term-plan-series-number-{i}-direct-growth" if i % 3 else f"acme-gilt-{i}-direct-growth", f"Acme Fixed Term Series Number {i} Fund" if i % 2 else f"Acme {i}") for i in range(n)]
+
+
+def tables(spark, rows, asked):
+    table = spark.createDataFrame([(s, f"https://funds.example.com/{s}", d) for s, d in rows], "scheme string, url string, scheme_display_name string")
+    return spark.createDataFrame(asked, "id int, q string").repartition(4), resolve.registry_index(table, "acme"), spark.createDataFrame([], "phrase string, scheme string")
+
+
+def test_series_meets_few_questions(spark):
+    """Questions that share most of a series' name, but come close to none, are not met with the whole series."""
+    q, index, aliases = tables(spark, series(120), [(i, f"fxed term series number {i % 40} and what it costs to leave it early, as a share of the sum") for i in range(100)])
+    schemes = resolve._numbered(index, aliases)
+    asked = q.select(F.col("id").alias("query_id"), F.col("q").alias("raw"))
+    assert resolve._pairs_met(asked, schemes, "acme", "funds.example.com/").count() < 5 * 100
+
+
+@pytest.mark.parametrize("vocabulary", [resolve.VOCABULARY, 0])
+def test_series_like_loop(spark, monkeypatch, vocabulary):
+    monkeypatch.setattr(resolve, "VOCABULARY", vocabulary)
+    rng = random.Random(5)
+    rows = series(45)
+    asked = list(enumerate(questions(rng, rows, 50)))
+    for slug, name in rng.sample(rows, 30):
+        named = spoiled(rng, rng.choice([slug.replace("-", " "), name.lower()]), rng.choice([0, 1, 1, 2]))
+        asked.append((len(asked), rng.choice(["", "please tell "]) + named + rng.choice(["", " or acme gilt 3", " with all that it costs to hold and to leave it"])))
+    q, index, aliases = tables(spark, rows, asked)
+    listed = [resolve.scheme_record(s, f"https://funds.example.com/{s}", d, "acme") for s, d in rows]
+    want = {tuple(r)[0]: tuple(r) for r in resolve.resolve(q, "id", "q", listed, {}, "acme", default_url="none").collect()}
+    got = {tuple(r)[0]: tuple(r) for r in resolve.resolve_registry(q, "id", "q", index, aliases, default_url="none").collect()}
+    assert got == want and len({v[6] for v in got.values()}) >= 4
+
+
+def test_windows_that_reach_are_met():
+    """A window that reaches the ratio has the pairs that the form needs, and its segment passes."""
+    import difflib
+
+    rng = random.Random(6)
+    hits = 0
+    for _ in range(3000):
+        needle = "".join(rng.choice("abcdef-12") for _ in range(rng.randrange(25, 75)))
+        before = "".join(rng.choice("abcdef-") for _ in range(rng.randrange(resolve.STRIDE)))
+        text = spoiled(rng, needle, rng.randrange(0, 3)) + "".join(rng.choice("abcdef-1") for _ in range(rng.choice([0, 3, 60])))
+        window = text[: len(needle) + resolve.WINDOW_MORE]
+        if difflib.SequenceMatcher(None, needle, window).ratio() < resolve.FUZZY_MIN:
+            continue
+        hits += 1
+        form, have = resolve._form(needle), set(resolve._pairs(window))
+        whole = len(window) == len(needle) + resolve.WINDOW_MORE
+        grams = resolve._grams("long2" if whole else "end2", form)
+        found = [g for g in grams if g[0] in have]
+        assert sum(g[1] for g in found) >= grams[0][2] and len(found) >= grams[0][3]
+        assert resolve._may_reach([form, "z" * 40], [before + text, before + text]).tolist() == [True, False]
+    assert hits > 500
