@@ -30,6 +30,8 @@ RESOLVE, FUZZY_MIN, GAP, MULTI = 0.82, 0.86, 0.06, 0.72
 TAIL_NEEDLE, WINDOW_MORE, CLASS, STRIDE = 24, 8, 16, 32
 #: Distinct pieces of names up to which every worker has them all, so that questions send no others; of more, questions send every piece.
 VOCABULARY = 1 << 18
+#: Questions that are searched at once.
+QUESTIONS = 64
 #: Schemes that one function scores a question against.
 BLOCK = 10_000
 #: Words of a scheme's name that distinguish nothing.
@@ -80,7 +82,7 @@ def exact_matches(queries: DataFrame, query_id: str, query_col: str, index: Data
     aliases(phrase, scheme). A question that contains a name contains the name's anchor, so questions and registry meet by anchors (see resolve_registry), and the
     rules are evaluated on these pairs alone.
     """
-    asked = scratch.written(queries.select(F.col(query_id).alias("query_id"), F.col(query_col).alias("raw")), "questions")
+    asked = _questions(queries, query_id, query_col)
     schemes = _numbered(index, aliases)
     pairs = _pairs_met(asked, schemes, house, url_prefix, close=False).join(asked, "query_id").join(schemes, "no")
     pairs = pairs.withColumns({"q": X.query_form(F.col("raw")), "slugs": U.slug_mentions(F.col("raw"), url_prefix)})
@@ -308,7 +310,10 @@ Piece = tuple[str, int, str | None, str]
 
 @dataclass(frozen=True)
 class Kind:
-    """What questions are searched for: the pieces that names have (None: too many to be sent), the fewest that a name needs, and a table of their hashes."""
+    """What questions are searched for: the pieces that names have (None: too many to be sent), the fewest that a name needs, and a table of their hashes.
+
+    For segments the table has a bit for each piece, or where there are more than 64, one for all.
+    """
 
     name: str
     number: int
@@ -322,9 +327,9 @@ def _kind(kind: str, least: int, names: set[str] | None) -> Kind:
     number = int(kind[len(name) :] or 0)
     table = None
     if names and name in ("anchor", "long", "end"):
-        table = np.zeros(1 << max(12, (16 * len(names)).bit_length()), bool)
-        k = number if name == "anchor" else 2
-        table[np.concatenate([_hashes(_letters(g), k) for g in names]) & (len(table) - 1)] = True
+        table = np.zeros(1 << max(12, (16 * len(names)).bit_length()), bool if name == "anchor" or len(names) > 64 else np.uint64)
+        for bit, g in enumerate(names):
+            table[_hashes(_letters(g), len(g)) & (len(table) - 1)] |= True if table.dtype == bool else np.uint64(1 << bit)
     return Kind(name, number, least, None if names is None else frozenset(names), table)
 
 
@@ -340,46 +345,71 @@ def _hashes(letters: np.ndarray, k: int) -> np.ndarray:
     return h ^ h >> 15
 
 
-def _question_pieces(query: str, kinds: list[Kind], url_prefix: str) -> list[Piece]:
-    """Pieces of a question that names have, blanks as hyphens: short ones for anchors; pairs of its end, of its segments by class of needles, and of its words; its slugs.
+def _question_pieces(queries: list[str], kinds: list[Kind], url_prefix: str) -> tuple[list[int], list[Piece]]:
+    """(question's number, piece) of pieces that names have, blanks as hyphens: short ones for anchors; pairs of a question's end, of its segments by class of needles, and of its words; its slugs.
 
-    A place with fewer pieces than any name of the kind needs has none. Tables of hashes say where to look.
+    A place with fewer pieces than any name of the kind needs has none. Tables of hashes say where to look, in all questions at once.
     """
-    norm = _question_form(query)
-    flat = norm.replace(" ", "-")
-    letters = _letters(flat)
+    norms = [_question_form(q) for q in queries]
+    flats = [n.replace(" ", "-") for n in norms]
+    text = "".join(f + "\n" for f in flats)  # no question has a line end, nor has a name
+    sizes = np.array([len(f) for f in flats], np.int64)
+    offsets = np.cumsum(sizes + 1) - sizes - 1
+    letters = _letters(text)
     hashes = {k: _hashes(letters, k) for k in range(1, ANCHOR + 1)}
+    of: list[int] = []
     out: list[Piece] = []
 
-    def offer(kind: Kind, place: int, part: str | None, grams: set[str]) -> None:
+    def offer(i: int, kind: Kind, place: int, part: str | None, grams: set[str]) -> None:
         found = grams if kind.names is None else grams & kind.names
         if len(found) >= kind.least:
-            out.extend((f"{kind.name}{kind.number or ''}", place, part, g) for g in found)
+            name = f"{kind.name}{kind.number or ''}"
+            of.extend([i] * len(found))
+            out.extend([(name, place, part, g) for g in found])
 
     def places(kind: Kind, k: int) -> np.ndarray:
         """Is there a piece of the kind at each place? Some are false."""
         return np.ones(len(hashes[k]), bool) if kind.table is None else kind.table[hashes[k] & (len(kind.table) - 1)]
 
+    count = np.maximum(1, -(-sizes // STRIDE))  # segments of each question
+    owner = np.repeat(np.arange(len(flats)), count)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    start, end = offsets[owner] + place * STRIDE, (offsets + sizes)[owner]
     for kind in kinds:
         if kind.name == "anchor":
             k = kind.number
-            offer(kind, 0, None, {flat[i : i + k] for i in np.flatnonzero(places(kind, k)).tolist()})
-        elif kind.name == "url":
-            offer(kind, 0, None, set(re.findall(re.escape(url_prefix) + r"([a-z0-9-]+)", query.lower())))
-        elif kind.name == "tail":
-            offer(kind, 0, None, set(_pairs(flat[-_reach(kind.number) :])))
+            at = np.flatnonzero(places(kind, k))
+            found = {(i, text[j : j + k]) for i, j in zip((np.searchsorted(offsets, at, "right") - 1).tolist(), at.tolist(), strict=True)}
+            for i, gram in found:
+                if "\n" not in gram:
+                    offer(i, kind, 0, None, {gram})
         elif kind.name in ("long", "end"):  # segments that hold all of their windows, and those at the end of the question
-            had = np.concatenate([[0], np.cumsum(places(kind, 2))])
-            start = np.arange(0, len(had), STRIDE)
             size = CLASS * (kind.number + 1) - 1 + WINDOW_MORE + STRIDE - 1
-            able = had[np.minimum(start + size - 1, len(had) - 1)] - had[start] >= kind.least
-            for i in start[able & ((start + size <= len(flat)) == (kind.name == "long"))].tolist():
-                offer(kind, i // STRIDE, flat[i : i + size], set(_pairs(flat[i : i + size])))
-        elif kind.name == "word":
-            for place, word in enumerate(norm.split()):
+            stop = np.minimum(start + size, end)
+            seen = places(kind, 2)
+            seen = np.append(seen, seen.dtype.type(0))
+            if kind.table is not None and kind.table.dtype == np.uint64:
+                had = np.bitwise_count(np.bitwise_or.reduceat(seen, np.stack([start, np.maximum(stop - 1, start)], axis=1).ravel())[::2])
+            else:
+                before = np.concatenate([[0], np.cumsum(seen)])
+                had = before[np.maximum(stop - 1, start)] - before[start]
+            able = had >= kind.least
+            for x in np.flatnonzero(able & ((start + size <= end) == (kind.name == "long"))).tolist():
+                part = text[start[x] : stop[x]]
+                offer(int(owner[x]), kind, int(place[x]), part, set(_pairs(part)))
+    ends = [(kind, _reach(kind.number)) for kind in kinds if kind.name == "tail"]
+    urls, words = ([kind for kind in kinds if kind.name == name] for name in ("url", "word"))
+    for i, (query, norm, flat) in enumerate(zip(queries, norms, flats, strict=True)):
+        last = _pairs(flat[-_reach(TAIL_NEEDLE) - 1 :])
+        for kind, reach in ends:
+            offer(i, kind, 0, None, set(last[-reach:]))
+        for kind in urls if url_prefix in (low := query.lower()) else ():
+            offer(i, kind, 0, None, set(re.findall(re.escape(url_prefix) + r"([a-z0-9-]+)", low)))
+        for kind in words:
+            for at, word in enumerate(norm.split()):
                 if len(word) >= 4:
-                    offer(kind, place, None, set(_pairs(word)))
-    return out
+                    offer(i, kind, at, None, set(_pairs(word)))
+    return of, out
 
 
 def _needles(s: Scheme, phrases: list[str], house: str, close: bool) -> set[tuple[str, str]]:
@@ -447,6 +477,13 @@ def _may_reach(forms: list[str], parts: list[str]) -> np.ndarray:
     return out
 
 
+def _questions(queries: DataFrame, query_id: str, query_col: str) -> DataFrame:
+    """(query_id, raw), written and dealt evenly, as a search takes more time than reading and a file's row groups may be few."""
+    rows = queries.select(F.col(query_id).alias("query_id"), F.col(query_col).alias("raw"))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return scratch.written(rows.repartition(max(4 * cores, rows.rdd.getNumPartitions())), "questions")
+
+
 def _numbered(index: DataFrame, aliases: DataFrame) -> DataFrame:
     """The registry with a number for each scheme and the phrases of its aliases, written."""
     phrases = aliases.groupBy("scheme").agg(F.collect_set("phrase").alias("phrases"))
@@ -488,15 +525,11 @@ def _pairs_met(asked: DataFrame, schemes: DataFrame, house: str, url_prefix: str
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, of = [], []
-            for i, raw in enumerate(batch.column(1).to_pylist()):
-                more = _question_pieces(raw, kinds.value, url_prefix) if raw else []
-                rows += more
-                of += [i] * len(more)
-                if len(rows) > 1 << 16:
-                    yield pieces_of(batch, rows, of)
-                    rows, of = [], []
-            yield pieces_of(batch, rows, of)
+            asking = [(i, raw) for i, raw in enumerate(batch.column(1).to_pylist()) if raw]
+            for at in range(0, len(asking), QUESTIONS):
+                numbers, queries = zip(*asking[at : at + QUESTIONS], strict=True)
+                of, rows = _question_pieces(list(queries), kinds.value, url_prefix)
+                yield pieces_of(batch, rows, [numbers[i] for i in of])
 
     def pieces_of(batch: pa.RecordBatch, rows: list[Piece], of: list[int]) -> pa.RecordBatch:
         ids = batch.column(0).cast(arrow).take(pa.array(of, pa.int64()))
@@ -535,7 +568,7 @@ def resolve_registry(
     where a fuzzy rule may fit.
     A null question matches nothing; equal (question id, scheme) are one.
     """
-    asked = scratch.written(queries.select(F.col(query_id).alias("query_id"), F.col(query_col).alias("raw")), "questions")
+    asked = _questions(queries, query_id, query_col)
     schemes = _numbered(index, aliases)
     pairs = _pairs_met(asked, schemes, house, url_prefix).join(asked, "query_id").join(schemes, "no")
 
