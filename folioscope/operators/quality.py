@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
@@ -60,58 +61,133 @@ def _word_sets(df: DataFrame, id_col: str, text_col: str, group_col: str | None)
     return df.select(F.col(id_col).alias("id"), (F.col(group_col) if group_col else F.lit(0)).cast("string").alias("g"), F.array_sort(words).alias("w"))
 
 
-#: Buckets that words are counted in, and ids in some pair that are broadcast at most; with more, all sets are shuffled.
-BUCKETS, SHARED_IDS = 1 << 17, 1 << 21
+#: Buckets that words are counted in, and bits of a set's sketch.
+BUCKETS, BITS = 1 << 17, 256
+#: Words of sets, and pairs, that a task compares at once. A group of more is cut into parts, and a task takes a pair of parts.
+BLOCK_WORDS, BLOCK_PAIRS = 1 << 20, 1 << 20
+#: Sets that move to the tasks that compare them in one round, which bounds the disk; rounds follow one another.
+MOVED_SETS = 1 << 19
 
 
 def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.92, group_col: str | None = None) -> DataFrame:
     """(a, b, jaccard) of texts whose word sets have at least that Jaccard similarity, a < b.
 
-    Words are 64-bit hashes from the start. Equal word sets are one representative (its least id stands for them; near_members tells whom). Each set is indexed by the
-    rarest words of its prefix: two sets that are similar share one of them, so frequent words make no pairs; a pair must also agree in size, and have
-    enough words left behind the places of the one that they share. How rare a word is, is told by the words of its bucket, of BUCKETS, and its hash: any
-    order that all sets share finds the same pairs, so each set picks its prefix where it lies, and only prefixes are shuffled.
+    Words are 64-bit hashes from the start. Equal word sets are one representative (its least id stands for them; near_members tells whom; rows of null ids are left out). Each set is indexed by the
+    rarest words of its prefix: two sets that are similar share one of them, so frequent words make no pairs; a pair must also agree in size, have
+    enough words left behind the places of the one that they share, and differ in no more bits of their sketches than their sets may in words. How rare a word is,
+    is told by the words of its bucket, of BUCKETS, and its hash: any order that all sets share finds the same pairs, so each set picks its prefix where it lies,
+    and only prefixes are shuffled. Pairs that pass are compared by groups of sets that hang together, so a set moves once for a group and not for each pair.
     """
-    rows = _word_sets(scratch.spread(df), id_col, text_col, group_col).where(F.size("w") > 0)
+    rows = _word_sets(scratch.spread(df), id_col, text_col, group_col).where((F.size("w") > 0) & F.col("id").isNotNull())
     rows = rows.select("id", "g", F.sha2(F.array_join("w", " "), 256).alias("h"), F.array_sort(F.transform("w", lambda x: F.xxhash64(x))).alias("w"))
-    reps = scratch.written(rows.groupBy("g", "h").agg(F.min(F.struct("id", "w")).alias("r")).select("g", "r.id", "r.w"), "word_sets")
+    reps = rows.groupBy("g", "h").agg(F.min(F.struct("id", "w")).alias("r")).select(F.monotonically_increasing_id().alias("u"), "g", "r.id", "r.w")
+    reps = scratch.written(reps, "word_sets")
+    prefix = scratch.written(_prefixes(reps, threshold), "prefixes")
+    # x has no more words than y, so it needs a shorter prefix
+    left = prefix.where(1 + F.col("n_w") - F.col("k") + 1e-6 >= 2 * threshold / (1 + threshold) * F.col("n_w"))
+    left, right = (p.select("g", "t", *[F.col(c).alias(f"{c}{side}") for c in p.columns if c not in ("g", "t")]) for side, p in (("x", left), ("y", prefix)))
+    both = F.col("n_wx") + F.col("n_wy")
+    shorter = (F.col("n_wx") < F.col("n_wy")) | ((F.col("n_wx") == F.col("n_wy")) & (F.col("ux") < F.col("uy")))
+    # if the word is the first in common, in the order of prefixes, it has at most so many others behind it; a pair that fails there fails at later ones
+    most = 1 + F.least(F.col("n_wx") - F.col("kx"), F.col("n_wy") - F.col("ky"))
+    apart = sum((F.bit_count(F.col(f"s{i}x").bitwiseXOR(F.col(f"s{i}y"))) for i in range(BITS // 64)), F.lit(0))
+    met = left.join(right, ["g", "t"]).where(
+        shorter
+        & (F.col("n_wx") + 1e-6 >= threshold * F.col("n_wy"))
+        & (most * (1 + threshold) + 1e-6 >= threshold * both)
+        & (apart * (1 + threshold) <= (1 - threshold) * both + 1e-6)
+    )
+    pairs = scratch.written(met.select(F.col("ux").alias("x"), F.col("uy").alias("y"), F.col("n_wx").alias("nx"), F.col("n_wy").alias("ny")).distinct(), "met_pairs")
+    scratch.discard(prefix)
+    sized = _compared(pairs, reps)
+    scratch.discard(reps)
+    # in whole numbers, as a rounded share can reach a threshold that the sets don't
+    near = sized.where((F.col("c") * 1_000_000 >= F.col("n") * F.lit(round(threshold * 1_000_000))) & (F.col("a") != F.col("b")))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round(F.col("c") / F.col("n"), 6).alias("jaccard"))
+
+
+def _prefixes(reps: DataFrame, threshold: float) -> DataFrame:
+    """(u, g, n_w, t, k, s0, ...): a row for each word t of a set's prefix, with its place k, the size of the set and its sketch.
+
+    Bit i of a sketch is the parity of the words that fall on it, so two sets differ in no fewer words than their sketches in bits.
+    """
     sums = reps.select(F.explode("w").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).alias("bucket")).count()
     rarity = np.zeros(BUCKETS, np.int64)
     for r in sums.collect():  # at most BUCKETS
         rarity[r.bucket] = r["count"]
-    shared = df.sparkSession.sparkContext.broadcast(rarity)
-    kind = dict(reps.dtypes)["id"]
+    shared = reps.sparkSession.sparkContext.broadcast(rarity)
+    buckets, bits = BUCKETS, BITS
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = np.diff(batch.column(2).offsets.to_numpy()).astype(np.int64)
             t = batch.column(2).flatten().to_numpy()
             own = np.repeat(np.arange(len(batch)), size)
-            order = np.lexsort((t, shared.value[t & (BUCKETS - 1)], own))  # sets stay where they were
+            order = np.lexsort((t, shared.value[t & (buckets - 1)], own))  # sets stay where they were
             k = np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size) + 1
-            some = k <= (size - np.ceil(size * threshold) + 1)[own]
-            at = pa.array(own[some])
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(size[own[some]].astype(np.int32)), pa.array(t[order[some]]), pa.array(k[some].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "g", "n_w", "t", "k"])
-
-    prefix = scratch.written(reps.select("id", "g", "w").mapInArrow(pick, f"id {kind}, g string, n_w int, t long, k int"), "prefixes")
-    left = prefix.select("g", "t", F.col("id").alias("a"), F.col("n_w").alias("na"), F.col("k").alias("ka"))
-    right = prefix.select("g", "t", F.col("id").alias("b"), F.col("n_w").alias("nb"), F.col("k").alias("kb"))
-    met = left.join(right, ["g", "t"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
-    # the first word in common, in the order of prefixes, has at most min(na - ka, nb - kb) others behind it
-    first = met.groupBy("g", "a", "b", "na", "nb").agg(F.min("ka").alias("ka"), F.min("kb").alias("kb"))
-    most = 1 + F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb"))
-    pairs = first.where(most * (1 + threshold) + 1e-6 >= threshold * (F.col("na") + F.col("nb"))).select("g", "a", "b")
-    pairs = scratch.written(pairs, "met_pairs")  # the shuffles of prefixes go before sets move
-    ids = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "met_ids")
-    if ids.count() <= SHARED_IDS:  # sets that are in no pair stay where they lie
-        reps = reps.join(F.broadcast(ids), "id", "left_semi")
-    full = pairs.join(reps.select("g", F.col("id").alias("a"), F.col("w").alias("wa")), ["g", "a"]).join(reps.select("g", F.col("id").alias("b"), F.col("w").alias("wb")), ["g", "b"])
-    common = F.size(F.array_intersect("wa", "wb")).cast("long")
-    sized = full.select("a", "b", common.alias("c"), (F.size("wa") + F.size("wb") - common).alias("u"))
-    # in whole numbers, as a rounded share can reach a threshold that the sets don't
-    near = sized.where(F.col("c") * 1_000_000 >= F.col("u") * F.lit(round(threshold * 1_000_000)))
-    return near.select("a", "b", F.round(F.col("c") / F.col("u"), 6).alias("jaccard"))
+            some = k <= (size - np.ceil(size * threshold - 1e-6) + 1)[own]
+            odd = np.bincount(own * bits + ((t >> 20) & (bits - 1)), minlength=len(batch) * bits) & 1
+            sketch = np.packbits(odd.astype(np.uint8).reshape(len(batch), bits), axis=1).view(np.int64)
+            at = own[some]
+            columns = [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(size[at].astype(np.int32)), pa.array(t[order[some]]), pa.array(k[some].astype(np.int32))]
+            columns += [pa.array(sketch[at, i]) for i in range(bits // 64)]
+            yield pa.RecordBatch.from_arrays(columns, names=["u", "g", "n_w", "t", "k", *(f"s{i}" for i in range(bits // 64))])
+
+    kinds = ", ".join(f"s{i} long" for i in range(BITS // 64))
+    return reps.select("u", "g", "w").mapInArrow(pick, f"u long, g string, n_w int, t long, k int, {kinds}")
+
+
+def _compared(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b, c, n): the ids of each pair (x, y, nx, ny) of sets, in any order, with the number of words in common and in all.
+
+    A pair goes to the group of the least set within two steps of it. Small groups share blocks, large ones are cut; a block is compared in one task, and sets
+    that are in no pair stay where they lie.
+    """
+    kind = dict(reps.dtypes)["id"]
+    both = pairs.select(F.col("x").alias("u"), F.col("y").alias("v")).union(pairs.select("y", "x"))
+    least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+    label = scratch.written(both.join(least.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("m").alias("m")), "near_labels")
+    keyed = pairs.join(label.toDF("x", "mx"), "x").join(label.toDF("y", "my"), "y").withColumn("key", F.least("mx", "my")).drop("mx", "my")
+    keyed = scratch.written(keyed, "keyed_pairs")
+    ends = F.array(F.struct(F.col("x").alias("u"), F.col("nx").alias("n")), F.struct(F.col("y").alias("u"), F.col("ny").alias("n")))
+    words = keyed.select("key", F.explode(ends).alias("e")).distinct().groupBy("key").agg((F.sum("e.n") / BLOCK_WORDS).alias("words"))
+    loads = scratch.written(words.join(keyed.groupBy("key").agg((F.count("*") / BLOCK_PAIRS).alias("pairs")), "key"), "near_loads")
+    blocks = loads.agg(F.coalesce(F.ceil(F.sum(F.col("words") + F.col("pairs"))), F.lit(1))).first()[0]
+    large = loads.where((F.col("words") > 1) | (F.col("pairs") > 1)).select("key", F.ceil(F.greatest(2 * F.col("words"), F.sqrt("pairs"))).alias("parts"))  # at most blocks of them
+    px, py = (F.pmod(F.xxhash64(c), F.col("parts")) for c in ("x", "y"))
+    block = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("key"), F.lit(blocks))).otherwise(F.xxhash64("key", F.least(px, py), F.greatest(px, py)))
+    blocked = keyed.join(F.broadcast(large), "key", "left").select("x", "y", block.alias("block"))
+    def overlaps(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        """(a, b, c, n) of the pairs of a block, whose sets are all there."""
+        lists = sets.column("w").combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()).astype(np.int64))])
+        distinct, word = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        u = sets.column("u").to_numpy()
+        order = np.argsort(u)
+        x, y = (order[np.searchsorted(u, pairs.column(c).to_numpy(), sorter=order)] for c in ("x", "y"))
+        common, seen, last = np.zeros(len(x), np.int64), np.zeros(len(distinct), bool), -1
+        stops, of_y = ends.tolist(), y.tolist()
+        by = np.argsort(x, kind="stable")
+        for i, owner in zip(by.tolist(), x[by].tolist(), strict=True):
+            if owner != last:
+                if last >= 0:
+                    seen[word[stops[last] : stops[last + 1]]] = False
+                seen[word[stops[owner] : stops[owner + 1]]] = True
+                last = owner
+            common[i] = np.count_nonzero(seen[word[stops[of_y[i]] : stops[of_y[i] + 1]]])
+        size = np.diff(ends)
+        ids = sets.column("id").combine_chunks()
+        return pa.table({"a": ids.take(pa.array(x)), "b": ids.take(pa.array(y)), "c": pa.array(common), "n": pa.array(size[x] + size[y] - common)})
+
+    needs = scratch.written(blocked.select("block", F.explode(F.array("x", "y")).alias("u")).distinct(), "near_needs")
+    rounds = max(1, -(-needs.count() // MOVED_SETS))
+    done = []
+    for i in range(rounds):
+        now = F.pmod(F.xxhash64("block", F.lit(1)), F.lit(rounds)) == i
+        moved = reps.join(F.broadcast(needs.where(now)), "u").select("block", "u", "id", "w")
+        met = blocked.where(now).groupBy("block").cogroup(moved.groupBy("block")).applyInArrow(overlaps, f"a {kind}, b {kind}, c long, n long")
+        done.append(scratch.written(met, "near_compared"))
+    return reduce(DataFrame.union, done)
 
 
 def near_members(df: DataFrame, id_col: str, text_col: str, group_col: str | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
@@ -35,3 +36,29 @@ def test_near_pairs_shuffle_prefixes_only(spark, monkeypatch):
     assert got == {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 92 * len(sets[a] | sets[b])}
     assert got
     assert "Exchange" not in made["prefixes"][1]._jdf.queryExecution().executedPlan().toString(), "words of sets are not shuffled"
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_near_sets_move_once_for_a_group(spark, monkeypatch, small):
+    """Of a group of near copies each set moved for each of its pairs before, so what moved grew with the square of the group."""
+    rng = random.Random(5)
+    texts = [(1000, None), (None, "w0 w1"), (1001, "")]
+    for g in range(2):
+        base = [f"g{g}w{i}" for i in range(100)]
+        texts += [(g * 100 + i, " ".join(base[: 100 - i % 8] + [f"g{g}new{i}"])) for i in range(30)]
+    texts += [(None, texts[5][1])]  # an unknown id doesn't hide its copy
+    rng.shuffle(texts)
+    if small:  # groups are cut, and sets move in rounds
+        monkeypatch.setattr(quality, "BLOCK_WORDS", 1000)
+        monkeypatch.setattr(quality, "BLOCK_PAIRS", 50)
+        monkeypatch.setattr(quality, "MOVED_SETS", 100)
+    made, real = {}, quality.scratch.written
+    monkeypatch.setattr(quality.scratch, "written", lambda df, name: made.setdefault(name, []).append(real(df, name)) or made[name][-1])
+    got = sorted((r.a, r.b, r.jaccard) for r in quality.near_pairs(spark.createDataFrame(texts, "id int, text string"), "id", "text").collect())
+    sets = {i: set(t.split()) for i, t in texts if t and i is not None}
+    share = {(a, b): (len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in sets for b in sets if a < b}
+    assert got == sorted((a, b, round(c / n, 6)) for (a, b), (c, n) in share.items() if 100 * c >= 92 * n)
+    assert len(got) > 500
+    moved = made["near_needs"][0].count()
+    assert moved == 60 if not small else 60 < moved < len(got)
+    assert (len(made["near_compared"]) > 1) == small
