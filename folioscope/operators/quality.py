@@ -65,8 +65,9 @@ def _word_sets(df: DataFrame, id_col: str, text_col: str, group_col: str | None)
 BUCKETS, BITS = 1 << 17, 256
 #: Words of sets, and pairs, that a task compares at once. A group of more is cut into parts, and a task takes a pair of parts.
 BLOCK_WORDS, BLOCK_PAIRS = 1 << 20, 1 << 20
-#: Sets that move to the tasks that compare them in one round, which bounds the disk; rounds follow one another.
-MOVED_SETS = 1 << 19
+#: Sets that move to the tasks that compare them in one round, and words of theirs that always may; no more words move at once than all sets have, which
+#: bounds the disk. Rounds follow one another.
+MOVED_SETS, MOVED_WORDS = 1 << 19, 1 << 24
 
 
 def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.92, group_col: str | None = None) -> DataFrame:
@@ -82,7 +83,8 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.9
     rows = rows.select("id", "g", F.sha2(F.array_join("w", " "), 256).alias("h"), F.array_sort(F.transform("w", lambda x: F.xxhash64(x))).alias("w"))
     reps = rows.groupBy("g", "h").agg(F.min(F.struct("id", "w")).alias("r")).select(F.monotonically_increasing_id().alias("u"), "g", "r.id", "r.w")
     reps = scratch.written(reps, "word_sets")
-    prefix = scratch.written(_prefixes(reps, threshold), "prefixes")
+    prefix, n_words = _prefixes(reps, threshold)
+    prefix = scratch.written(prefix, "prefixes")
     # x has no more words than y, so it needs a shorter prefix
     left = prefix.where(1 + F.col("n_w") - F.col("k") + 1e-6 >= 2 * threshold / (1 + threshold) * F.col("n_w"))
     left, right = (p.select("g", "t", *[F.col(c).alias(f"{c}{side}") for c in p.columns if c not in ("g", "t")]) for side, p in (("x", left), ("y", prefix)))
@@ -99,15 +101,15 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.9
     )
     pairs = scratch.written(met.select(F.col("ux").alias("x"), F.col("uy").alias("y"), F.col("n_wx").alias("nx"), F.col("n_wy").alias("ny")).distinct(), "met_pairs")
     scratch.discard(prefix)
-    sized = _compared(pairs, reps)
+    sized = _compared(pairs, reps, n_words)
     scratch.discard(reps)
     # in whole numbers, as a rounded share can reach a threshold that the sets don't
     near = sized.where((F.col("c") * 1_000_000 >= F.col("n") * F.lit(round(threshold * 1_000_000))) & (F.col("a") != F.col("b")))
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round(F.col("c") / F.col("n"), 6).alias("jaccard"))
 
 
-def _prefixes(reps: DataFrame, threshold: float) -> DataFrame:
-    """(u, g, n_w, t, k, s0, ...): a row for each word t of a set's prefix, with its place k, the size of the set and its sketch.
+def _prefixes(reps: DataFrame, threshold: float) -> tuple[DataFrame, int]:
+    """(u, g, n_w, t, k, s0, ...): a row for each word t of a set's prefix, with its place k, the size of the set and its sketch; and the words of all sets.
 
     Bit i of a sketch is the parity of the words that fall on it, so two sets differ in no fewer words than their sketches in bits.
     """
@@ -134,10 +136,10 @@ def _prefixes(reps: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["u", "g", "n_w", "t", "k", *(f"s{i}" for i in range(bits // 64))])
 
     kinds = ", ".join(f"s{i} long" for i in range(BITS // 64))
-    return reps.select("u", "g", "w").mapInArrow(pick, f"u long, g string, n_w int, t long, k int, {kinds}")
+    return reps.select("u", "g", "w").mapInArrow(pick, f"u long, g string, n_w int, t long, k int, {kinds}"), int(rarity.sum())
 
 
-def _compared(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, reps: DataFrame, n_words: int) -> DataFrame:
     """(a, b, c, n): the ids of each pair (x, y, nx, ny) of sets, in any order, with the number of words in common and in all.
 
     A pair goes to the group of the least set within two steps of it. Small groups share blocks, large ones are cut; a block is compared in one task, and sets
@@ -156,7 +158,7 @@ def _compared(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     large = loads.where((F.col("words") > 1) | (F.col("pairs") > 1)).select("key", F.ceil(F.greatest(2 * F.col("words"), F.sqrt("pairs"))).alias("parts"))  # at most blocks of them
     px, py = (F.pmod(F.xxhash64(c), F.col("parts")) for c in ("x", "y"))
     block = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("key"), F.lit(blocks))).otherwise(F.xxhash64("key", F.least(px, py), F.greatest(px, py)))
-    blocked = keyed.join(F.broadcast(large), "key", "left").select("x", "y", block.alias("block"))
+    blocked = keyed.join(F.broadcast(large), "key", "left").select("x", "y", block.alias("block"), ends.alias("ends"))
     def overlaps(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         """(a, b, c, n) of the pairs of a block, whose sets are all there."""
         lists = sets.column("w").combine_chunks()
@@ -179,13 +181,14 @@ def _compared(pairs: DataFrame, reps: DataFrame) -> DataFrame:
         ids = sets.column("id").combine_chunks()
         return pa.table({"a": ids.take(pa.array(x)), "b": ids.take(pa.array(y)), "c": pa.array(common), "n": pa.array(size[x] + size[y] - common)})
 
-    needs = scratch.written(blocked.select("block", F.explode(F.array("x", "y")).alias("u")).distinct(), "near_needs")
-    rounds = max(1, -(-needs.count() // MOVED_SETS))
+    needs = scratch.written(blocked.select("block", F.explode("ends").alias("e")).select("block", "e.u", "e.n").distinct(), "near_needs")
+    n_sets, n_moved = needs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    rounds = max(1, -(-n_sets // MOVED_SETS), -(-n_moved // max(n_words, MOVED_WORDS)))
     done = []
     for i in range(rounds):
         now = F.pmod(F.xxhash64("block", F.lit(1)), F.lit(rounds)) == i
         moved = reps.join(F.broadcast(needs.where(now)), "u").select("block", "u", "id", "w")
-        met = blocked.where(now).groupBy("block").cogroup(moved.groupBy("block")).applyInArrow(overlaps, f"a {kind}, b {kind}, c long, n long")
+        met = blocked.where(now).select("block", "x", "y").groupBy("block").cogroup(moved.groupBy("block")).applyInArrow(overlaps, f"a {kind}, b {kind}, c long, n long")
         done.append(scratch.written(met, "near_compared"))
     return reduce(DataFrame.union, done)
 
@@ -195,6 +198,7 @@ def near_members(df: DataFrame, id_col: str, text_col: str, group_col: str | Non
     number of documents of this set. Texts without words are one set. Only ids and SHA-256 of the sets are shuffled.
     """
     rows = _word_sets(df, id_col, text_col, group_col).select("id", "g", F.sha2(F.array_join("w", " "), 256).alias("h"))
+    rows = scratch.written(rows, "set_hashes")  # both sides of the join read it, and texts are split once
     sets = rows.groupBy("g", "h").agg(F.min("id").alias("representative"), F.count("*").alias("n_copies"))
     met = rows.join(sets, rows["g"].eqNullSafe(sets["g"]) & (rows["h"] == sets["h"]))
     return met.select("id", "representative", "n_copies")

@@ -51,7 +51,7 @@ def test_near_sets_move_once_for_a_group(spark, monkeypatch, small):
     if small:  # groups are cut, and sets move in rounds
         monkeypatch.setattr(quality, "BLOCK_WORDS", 1000)
         monkeypatch.setattr(quality, "BLOCK_PAIRS", 50)
-        monkeypatch.setattr(quality, "MOVED_SETS", 100)
+        monkeypatch.setattr(quality, "MOVED_WORDS", 100)
     made, real = {}, quality.scratch.written
     monkeypatch.setattr(quality.scratch, "written", lambda df, name: made.setdefault(name, []).append(real(df, name)) or made[name][-1])
     got = sorted((r.a, r.b, r.jaccard) for r in quality.near_pairs(spark.createDataFrame(texts, "id int, text string"), "id", "text").collect())
@@ -62,3 +62,14 @@ def test_near_sets_move_once_for_a_group(spark, monkeypatch, small):
     moved = made["near_needs"][0].count()
     assert moved == 60 if not small else 60 < moved < len(got)
     assert (len(made["near_compared"]) > 1) == small
+
+
+def test_keep_first_splits_texts_twice(spark, monkeypatch):
+    """For pairs and for members; members took them apart again on each side of a join."""
+    made, real = {}, quality.scratch.written
+    monkeypatch.setattr(quality.scratch, "written", lambda df, name: made.setdefault(name, real(df, name)))
+    rows = [(0, "a b"), (1, "b  A"), (2, None), (None, "a b")]
+    members = quality.near_members(spark.createDataFrame(rows, "id int, text string"), "id", "text")
+    assert sorted((str(r.id), r.representative, r.n_copies) for r in members.collect()) == [("0", 0, 3), ("1", 0, 3), ("2", 2, 1), ("None", 0, 3)]
+    plan = members._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and list(made) == ["set_hashes"]
